@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, minhash, mixing, simhash
+from . import decontaminate, minhash, mixing, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprint_with_edits(table(spark, sf_dir, "documents"), minhash.MinHash(functions=128, shingle=5))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3)
 
@@ -31,8 +35,8 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op4_mixing": op4_mixing, "op5_simhash": op5_simhash, "op9_decontaminate": op9_decontaminate}
+    return {"op1_minhash": op1_minhash, "op3_warc": op3_warc, "op4_mixing": op4_mixing, "op5_simhash": op5_simhash, "op9_decontaminate": op9_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc": warc.ORACLE_SQL}
