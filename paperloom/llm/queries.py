@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, htmltext, minhash, mixing, simhash, warc
+from . import chat, decontaminate, htmltext, minhash, mixing, simhash, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,8 +42,12 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op3_warc": op3_warc, "op4_mixing": op4_mixing, "op5_simhash": op5_simhash, "op6_chat": op6_chat, "op7_html": op7_html, "op9_decontaminate": op9_decontaminate}
+    return {"op1_minhash": op1_minhash, "op3_warc": op3_warc, "op4_mixing": op4_mixing, "op5_simhash": op5_simhash, "op6_chat": op6_chat, "op7_html": op7_html, "op9_decontaminate": op9_decontaminate, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
