@@ -191,7 +191,7 @@ def scores(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*keep).schema.add("score", "double").add("predicted", "int")
+    schema = docs.select(*keep).schema.add("score", "double").add("predicted", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
