@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, htmltext, minhash, mixing, simhash, toxicity, warc
+from . import chat, decontaminate, htmltext, langid, minhash, mixing, simhash, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(table(spark, sf_dir, "documents"), langid.VOCABULARY)
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13)
     return marked.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -47,7 +51,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op3_warc": op3_warc, "op4_mixing": op4_mixing, "op5_simhash": op5_simhash, "op6_chat": op6_chat, "op7_html": op7_html, "op9_decontaminate": op9_decontaminate, "op10_toxicity": op10_toxicity}
+    return {"op1_minhash": op1_minhash, "op3_warc": op3_warc, "op4_mixing": op4_mixing, "op5_simhash": op5_simhash, "op6_chat": op6_chat, "op7_html": op7_html, "op8_language": op8_language, "op9_decontaminate": op9_decontaminate, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
