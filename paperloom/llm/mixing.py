@@ -120,3 +120,17 @@ def mix_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int =
     """`mix` over the sizes and targets of `docs` (doc_id, text, source, any others); an empty table gives none."""
     sizes = written(sized(docs), "sizes")
     return mix(sizes, targets(sizes, weights, most), seed)
+
+
+def mixture(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, seed: int = 42) -> DataFrame:
+    """The documents that the mix takes, with `size, source_size, target, taken, copies` after the columns of `docs`.
+
+    Rows that share doc_id and size share their copies.
+    """
+    added = ["size", "source_size", "target", "taken", "copies"]
+    docs = docs.drop(*added)
+    chosen = mix_documents(docs, weights, most, seed).where("taken > 0").withColumn("copies", (F.col("taken") / F.col("size")).cast("long"))
+    chosen = chosen.groupBy("doc_id", "size").agg(*(F.max(c).alias(c) for c in added[1:])).withColumnsRenamed({"doc_id": "__id", "size": "__size"})
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.withColumn("size", size).join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("size") == F.col("__size")))
+    return rows.select(*docs.columns, *added)

@@ -295,3 +295,13 @@ def near_duplicates(docs: DataFrame, limit: int = 3, shingle: int = 3, seed: int
     component = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     of = labelled.join(component, "root").select("fp", "component_id")
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, limit: int = 3, shingle: int = 5) -> DataFrame:
+    """The rows of `docs` with, of each group of near-duplicates, only the document of least doc_id.
+
+    Rows that share a doc_id stay or go together; a row without one stays.
+    """
+    least = near_duplicates(docs, limit, shingle)
+    gone = least.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
