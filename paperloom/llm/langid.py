@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from .textkernel import mix, slices, utf8
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN = "und"
 #: Bounds of the training sample: rows with a language, those of least hash, and code points of a text that may enter it.
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 3000
 SAMPLE_CHARS = 32768
 ROUNDS = 4
 #: Pseudo-count of a piece, and probability of a letter that no piece has.
@@ -54,7 +54,7 @@ def _code_points() -> tuple[np.ndarray, np.ndarray]:
     return letter, lower
 
 
-@cache
+@lru_cache(maxsize=2)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         up = np.concatenate([[_U(1)], np.cumprod(np.full(size, _U(_R)))])
@@ -84,7 +84,7 @@ class Letters:
             start, end = np.repeat(start, parts) + k * _LETTERS, np.repeat(end, parts)
             end = np.minimum(end, start + _LETTERS)
         self.first = np.searchsorted(start, at)
-        size = 1 << max(int(n).bit_length(), 10)
+        size = 1 << max(int(n).bit_length(), 10)  # powers are kept for a few sizes
         up, down = _powers(size)
         with np.errstate(over="ignore"):
             self.prefix = np.concatenate([[_U(0)], np.cumsum((points.astype(np.uint64) + _U(1)) * up[:n])])
@@ -216,8 +216,8 @@ class Lattice:
         return uses
 
 
-#: Distinct words that a lattice takes at once.
-_BLOCK = 1 << 14
+#: Distinct words that a lattice takes at once, and training bytes of a run.
+_BLOCK, _RUN = 1 << 13, 1 << 20
 
 
 @dataclass
@@ -259,15 +259,20 @@ def fit(rows: list[tuple[str, str]], pieces: Pieces, rounds: int = ROUNDS) -> Mo
     p[-1] = 0
     if not languages:
         return Model(languages, pieces, p)
-    words = Letters(*utf8(pa.array([r[0] for r in rows], pa.large_string())))
-    lang = np.repeat([languages.index(r[1]) for r in rows], words.count)
-    counts = np.zeros((len(words.start), len(languages)))
-    np.add.at(counts, (words.word, lang), 1.0)
+    # a run of texts at a time, so that what is held grows with the distinct words alone
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.large_string()), pa.array([languages.index(r[1]) for r in rows])], ["text", "lang"])
+    runs: list[tuple[Letters, np.ndarray]] = []
+    for part in slices(batch, "text", _RUN):
+        words = Letters(*utf8(part.column("text")))
+        counts = np.zeros((len(words.start), len(languages)))
+        np.add.at(counts, (words.word, np.repeat(part.column("lang").to_numpy(), words.count)), 1.0)
+        runs.append((words, counts))
     for _ in range(rounds):
         uses = np.zeros_like(p)
-        for at in range(0, len(words.start), _BLOCK):
-            lattice = Lattice(words, pieces, np.arange(at, min(at + _BLOCK, len(words.start))))
-            uses += lattice.expected(p, counts[lattice.order])
+        for words, counts in runs:
+            for at in range(0, len(words.start), _BLOCK):
+                lattice = Lattice(words, pieces, np.arange(at, min(at + _BLOCK, len(words.start))))
+                uses += lattice.expected(p, counts[lattice.order])
         uses[:-1] += _PSEUDO
         p = uses / uses.sum(0)
     return Model(languages, pieces, p)
