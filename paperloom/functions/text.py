@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
+from difflib import SequenceMatcher
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .constants import CODAS, KEYWORDS, MARKER_PATTERNS, NUCLEI, ONSETS, ROMAN, VOWELS
-
-_WORD_CHARACTER = r"[^\p{L}\p{N}_]"
+from .constants import CODAS, KEYWORDS, MARKER_PATTERNS, NUCLEI, ONSETS, ROMAN
 
 
 def normalize_word(word: Column) -> Column:
@@ -60,13 +60,9 @@ def is_abbreviation(word: Column) -> Column:
     """True unless the lower-cased word is onset, nucleus and coda of a plain Vietnamese syllable. The longest
     onset and coda are taken; toned vowels count as no letters."""
     w = F.regexp_replace(F.lower(word), "[^a-zăâêôơưđ]", "")
-    longest = lambda parts: sorted(parts, key=lambda p: (-len(p), p))
-    onset = F.coalesce(*(F.when(w.startswith(o), F.lit(o)) for o in longest(ONSETS)), F.lit(""))
-    rest = F.substr(w, F.length(onset) + 1)
-    coda = F.coalesce(*(F.when(rest.endswith(c), F.lit(c)) for c in longest(CODAS)), F.lit(""))
-    nucleus = F.substr(rest, F.lit(1), F.greatest(F.length(rest) - F.length(coda), F.lit(0)))
-    odd_start = (onset == "") & (rest != "") & ~rest.rlike(f"^[{VOWELS}]")
-    return (w == "") | odd_start | ~nucleus.isin(NUCLEI)
+    one_of = lambda parts: "|".join(sorted(parts, key=lambda p: (-len(p), p)))
+    # the onset is possessive: what it takes is never given back to the nucleus; no coda ends another
+    return ~w.rlike(f"^(?:{one_of(ONSETS)})?+(?:{one_of(NUCLEI)})(?:{one_of(CODAS)})?$")
 
 
 def case_style(word: Column) -> Column:
@@ -146,10 +142,6 @@ def is_bullet(marker: Column) -> Column:
 
 def similar_ratio():  # noqa: ANN201
     """A pandas UDF of two strings: the Ratcliff-Obershelp ratio, which no built-in function gives."""
-    from difflib import SequenceMatcher
-
-    import pandas as pd
-
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")

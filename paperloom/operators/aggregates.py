@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,9 +12,9 @@ def frequency(rows: DataFrame, keys: list[str], value: str, position: str) -> Da
 
 
 def mode_first_seen(rows: DataFrame, keys: list[str], value: str, position: str, name: str | None = None) -> DataFrame:
-    """The most frequent value of each group; of equally frequent ones the first."""
-    order = F.struct("cnt", (-F.col("first_pos")).alias("p"))
-    return frequency(rows, keys, value, position).groupBy(*keys).agg(F.max_by(value, order).alias(name or value))
+    """The most frequent value of each group; of equally frequent ones the first, of those at one position the least."""
+    order = F.struct((-F.col("cnt")).alias("n"), "first_pos", value)
+    return frequency(rows, keys, value, position).groupBy(*keys).agg(F.min_by(value, order).alias(name or value))
 
 
 def ranked_frequency(rows: DataFrame, keys: list[str], value: str, position: str) -> DataFrame:
@@ -37,8 +37,3 @@ def global_numbers(rows: DataFrame, order: list[str], name: str, start: int = 0,
     inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
     return ranged.withColumn("__inside", inside).join(F.broadcast(offsets), "__range").withColumn(name, (F.col("__before") + F.col("__inside") - 1 + start).cast("long")).drop("__range", "__inside", "__before")
 
-
-def digits_min(style: Column) -> Column:
-    from ..functions.text import merge_style
-
-    return merge_style(style)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +36,6 @@ def rouge_n(pairs: DataFrame, n: int, keys: list[str], prediction: str = "predic
 
 def rouge_l():  # noqa: ANN201
     """A pandas UDF of two strings: the F-measure, in percent, of their longest common subsequence of words."""
-    import re
-
-    import pandas as pd
-
     def score(a: str, b: str) -> float:
         x, y = re.findall("[a-z0-9]+", (a or "").lower()), re.findall("[a-z0-9]+", (b or "").lower())
         row = [0] * (len(y) + 1)

@@ -5,7 +5,7 @@ Every window is partitioned by doc_id, so one shuffle on it serves the whole cha
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -13,7 +13,10 @@ from ..functions.vectors import round_half_up
 from .aggregates import mode_first_seen, ranked_frequency
 
 PAGE_WIDTH, PAGE_HEIGHT = 595.0, 842.0
-_DOC = Window.partitionBy("doc_id").orderBy("Line")
+
+
+def _doc() -> WindowSpec:
+    return Window.partitionBy("doc_id").orderBy("Line")
 
 
 def span_lines(spans: DataFrame) -> DataFrame:
@@ -136,8 +139,8 @@ def positions(lines: DataFrame, region: DataFrame) -> DataFrame:
             "Left": round_half_up(c("X0") - F.col("xStart")),
             "Right": round_half_up(F.col("xEnd") - c("X1")),
             "Mid": round_half_up(c("XM") - F.col("xMid")),
-            "Top": F.coalesce(round_half_up(c("Y1") - F.lag(c("Y1")).over(_DOC)), F.lit(0.0)),
-            "Bot": F.coalesce(round_half_up(F.lead(c("Y1")).over(_DOC) - c("Y1")), F.lit(0.0)),
+            "Top": F.coalesce(round_half_up(c("Y1") - F.lag(c("Y1")).over(_doc())), F.lit(0.0)),
+            "Bot": F.coalesce(round_half_up(F.lead(c("Y1")).over(_doc()) - c("Y1")), F.lit(0.0)),
         }
     )
     slack = 0.01 * F.col("regionWidth")
@@ -149,7 +152,7 @@ def repair_gaps(lines: DataFrame, columns: tuple[str, ...] = ("Top", "Bot")) ->
     """`lines` with negative gaps, as page breaks leave them, replaced by the least of the repaired gap before and the raw one after."""
     for c in columns:
         g = F.col(c)
-        rows = lines.withColumn("__next", F.lead(g).over(_DOC)).withColumn("__run", F.sum((g >= 0).cast("int")).over(_DOC))
+        rows = lines.withColumn("__next", F.lead(g).over(_doc())).withColumn("__run", F.sum((g >= 0).cast("int")).over(_doc()))
         run = Window.partitionBy("doc_id", "__run")
         before = F.max(F.when(g >= 0, g)).over(run)
         after = F.min(F.when(g < 0, F.col("__next"))).over(run.orderBy("Line"))

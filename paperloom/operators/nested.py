@@ -5,6 +5,8 @@ Everything is built from the DataFrame's schema, whose field order is the docume
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,11 +81,14 @@ def _paths(value: Column, kind: T.StructType, prefix: str, policy: str) -> list[
         elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType):
             inner = f.dataType.elementType
             every = v if policy == "union" else F.slice(v, 1, 1)
-            nested = F.transform(every, lambda x, inner=inner, path=path: F.flatten(F.array(*_paths(x, inner, f"{path}.", policy))))
-            out.append(F.coalesce(F.flatten(nested), empty))
+            out.append(F.coalesce(F.flatten(F.transform(every, _element(inner, f"{path}.", policy))), empty))
     return out
 
 
+def _element(kind: T.StructType, prefix: str, policy: str) -> Callable[[Column], Column]:
+    return lambda x: F.flatten(F.array(*_paths(x, kind, prefix, policy)))
+
+
 def infer_types(rows: DataFrame, policy: str = "first", exclude: tuple[str, ...] = ()) -> DataFrame:
     """`path, type` over all records: null gives way to any type, and types that differ make "mixed"."""
     fields = T.StructType([f for f in rows.schema.fields if f.name not in exclude])

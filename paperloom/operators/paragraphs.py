@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.text import merge_style
 from ..functions.vectors import round_half_up
 from .aggregates import mode_first_seen
 
-_DOC = Window.partitionBy("doc_id").orderBy("Line")
+
+
+def _doc() -> WindowSpec:
+    return Window.partitionBy("doc_id").orderBy("Line")
 
 
 def _before(c: str) -> Column:
-    return F.lag(c).over(_DOC)
+    return F.lag(c).over(_doc())
 
 
 def same_style(part: Column | None = None) -> Column:
@@ -46,7 +49,7 @@ def can_merge() -> Column:
 
 def paragraph_ids(lines: DataFrame) -> DataFrame:
     """`lines` with `Paragraph`, counted from 1."""
-    return lines.withColumn("__new", (~can_merge()).cast("int")).withColumn("Paragraph", F.sum("__new").over(_DOC).cast("int")).drop("__new")
+    return lines.withColumn("__new", (~can_merge()).cast("int")).withColumn("Paragraph", F.sum("__new").over(_doc()).cast("int")).drop("__new")
 
 
 def build(lines: DataFrame) -> DataFrame:

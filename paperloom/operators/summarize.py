@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import split_sentences, word_count
 from ..functions.vectors import cosine
+from ..session import cut_lineage
 
 KEEP, MIN_WORDS, MAX_WORDS, TOPIC, MIN_CHUNK, LONG, DEPTH = 0.4, 256, 768, 0.7, 20, 1024, 4
 
@@ -65,7 +66,6 @@ def summarize(docs: DataFrame, encode: Callable[[Column], Column], summary: Call
     joined by line breaks, and again while over 1,024 words are left and the depth allows. A
     document leaves the loop, of at most `depth` + 1 rounds, when it is done.
     """
-    spark = docs.sparkSession
     todo = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("original_words", word_count(F.col("text")))
     done = None
     for level in range(depth + 1):
@@ -83,9 +83,7 @@ def summarize(docs: DataFrame, encode: Callable[[Column], Column], summary: Call
         done = ready if done is None else done.unionByName(ready)
         if level == depth:
             break
-        todo = merged.where(again).select("doc_id", F.col("summary_text").alias("text"), "original_words")
-        if spark.sparkContext.getCheckpointDir():
-            todo = todo.checkpoint()
+        todo = cut_lineage(merged.where(again).select("doc_id", F.col("summary_text").alias("text"), "original_words"))
         if todo.limit(1).count() == 0:
             break
     words = word_count(F.col("summary_text"))
