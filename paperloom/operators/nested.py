@@ -143,11 +143,12 @@ def by_path(rows: DataFrame, path: str) -> Column:
 
 
 def _reach(kind: T.DataType, parts: list[str]) -> T.DataType | None:
-    if isinstance(kind, T.ArrayType):
-        inner = _reach(kind.elementType, parts)
-        return inner if not parts or isinstance(inner, T.ArrayType) else T.ArrayType(inner) if inner is not None else None
+    """The type that a path leads to."""
     if not parts:
         return kind
+    if isinstance(kind, T.ArrayType):
+        inner = _reach(kind.elementType, parts)
+        return inner if inner is None or isinstance(inner, T.ArrayType) else T.ArrayType(inner)
     if isinstance(kind, T.StructType):
         found = next((f for f in kind.fields if f.name == parts[0]), None)
         return _reach(found.dataType, parts[1:]) if found else None

@@ -1 +1 @@
-
+"""Streaming wrappers around the batch plans."""
