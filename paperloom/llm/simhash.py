@@ -12,6 +12,7 @@ principle over its free bits until it is small, so no group meets in one task.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections.abc import Iterator
 
@@ -25,10 +26,8 @@ from .shared import written
 from .textkernel import shingle_hashes, slices, utf8
 
 BITS = 64
-#: Fingerprints that are compared in one task without further splitting.
-BUCKET = 2048
-#: Partition counts that are tried.
-PARTITIONS = (2, 3, 4, 5)
+#: Fingerprints, of 8 bytes, that are compared in one task without further splitting.
+BUCKET = 1 << 14
 #: Estimated cost of moving a probe, in candidate comparisons.
 PROBE_COST = 200.0
 
@@ -139,7 +138,7 @@ def plan(nodes: DataFrame, limit: int) -> list[tuple[list[int], int]]:
     """(bits, threshold) of each partition that is probed, over whichever number of partitions costs least."""
     rows, both = bit_counts(nodes)
     p = np.diag(both) / max(rows, 1)
-    layouts = {m: group_bits(rows, both, m) for m in PARTITIONS}
+    layouts = {m: group_bits(rows, both, m) for m in sorted({2, 3, (limit + 4) // 2, limit + 1, limit + 2})}
     keys = F.array(
         *(
             F.struct(F.lit(m).alias("m"), F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_mask(bits))).alias("key"))
@@ -297,11 +296,74 @@ def near_duplicates(docs: DataFrame, limit: int = 3, shingle: int = 3, seed: int
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, limit: int = 3, shingle: int = 5) -> DataFrame:
-    """The rows of `docs` with, of each group of near-duplicates, only the document of least doc_id.
+#: Words of the shingles that similarity is measured on, and the similarity from which a document is a near-duplicate.
+SIMILAR_WORDS, SIMILAR = 5, 0.8
 
-    Rows that share a doc_id stay or go together; a row without one stays.
+
+def _described(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """`doc_id, fp, digest` of each row with an id; equal texts have equal digests."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                data, offsets = utf8(part.column("text"))
+                raw = data.tobytes()
+                digest = [hashlib.blake2b(raw[i:j], digest_size=16).digest() for i, j in itertools.pairwise(offsets.tolist())]
+                fp = simhash(data, offsets, shingle, seed).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp), pa.array(digest, pa.binary())], ["doc_id", "fp", "digest"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    return rows.mapInArrow(run, "doc_id long, fp long, digest binary")
+
+
+def _shingle_sets(rows: DataFrame, words: int) -> DataFrame:
+    """`doc_id, root, shingles` (distinct hashes) of rows `doc_id, root, text`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                hashes, begin = shingle_hashes(*utf8(part.column("text")), words)
+                sets = [np.unique(hashes[i:j]).view(np.int64) for i, j in itertools.pairwise(begin)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("root"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "root", "shingles"])
+
+    return rows.select("doc_id", "root", "text").mapInArrow(run, "doc_id long, root long, shingles array<long>")
+
+
+def duplicate_ids(docs: DataFrame, limit: int, shingle: int, seed: int = 42) -> DataFrame:
+    """`doc_id` of each document that a kept one repeats: equal to it, or near it and of a Jaccard similarity of
+    0.8 or more over distinct five-word shingles.
+
+    Copies go first, down to the least doc_id. Among the texts that fingerprints connect, the one of least
+    doc_id leads; those that are as similar to it as asked go, and the others go on without them, until each has gone or led.
+    A pass costs a join with the leaders, one for each connected group that still has members.
+    """
+    described = written(_described(docs, shingle, seed), "described")
+    texts = written(described.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp")), "texts")
+    copies = described.join(texts.select("digest", F.col("doc_id").alias("first")), "digest").where("doc_id <> first").select("doc_id")
+    roots = connected_components(links(texts.select("fp").distinct(), limit)).select(F.col("node").alias("fp"), "root")
+    rooted = texts.join(roots, "fp", "left").select("doc_id", F.coalesce("root", "fp").alias("root"))
+    several = rooted.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
+    members = written(rooted.join(several, "root", "left_semi"), "members")
+    rest = written(_shingle_sets(members.join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id").dropDuplicates(["doc_id"]), SIMILAR_WORDS), "sets")
+    gone = [copies]
+    while rest.limit(1).count():
+        leader = rest.groupBy("root").agg(F.min("doc_id").alias("leader"), F.min_by("shingles", "doc_id").alias("lead"))
+        met = rest.join(leader, "root").where("doc_id <> leader")
+        shared = F.size(F.array_intersect("shingles", "lead"))
+        either = F.size("shingles") + F.size("lead") - shared
+        met = written(met.select("doc_id", "root", "shingles", (shared >= SIMILAR * either).alias("similar")), "met")
+        gone.append(met.where("similar").select("doc_id"))
+        rest = met.where("not similar").select("doc_id", "root", "shingles")
+    out = gone[0]
+    for more in gone[1:]:
+        out = out.union(more)
+    return out.distinct()
+
+
+def keep_first(docs: DataFrame, limit: int = 6, shingle: int = 2) -> DataFrame:
+    """The rows of `docs` without near-duplicates, of which the document of least doc_id stays.
+
+    Fingerprints find what may be similar, and take shorter shingles than those that similarity is measured on: a changed word
+    changes fewer of them. Rows that share a doc_id stay or go together; a row without one stays.
     """
-    least = near_duplicates(docs, limit, shingle)
-    gone = least.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(duplicate_ids(docs, limit, shingle), "doc_id", "left_anti").select(docs.columns)
