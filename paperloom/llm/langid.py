@@ -54,7 +54,7 @@ def _code_points() -> tuple[np.ndarray, np.ndarray]:
     return letter, lower
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         up = np.concatenate([[_U(1)], np.cumprod(np.full(size, _U(_R)))])
@@ -84,7 +84,7 @@ class Letters:
             start, end = np.repeat(start, parts) + k * _LETTERS, np.repeat(end, parts)
             end = np.minimum(end, start + _LETTERS)
         self.first = np.searchsorted(start, at)
-        size = 1 << max(int(n).bit_length(), 10)  # powers are kept for a few sizes
+        size = 1 << max(int(n).bit_length(), 10)  # the powers are kept, 16 bytes each
         up, down = _powers(size)
         with np.errstate(over="ignore"):
             self.prefix = np.concatenate([[_U(0)], np.cumsum((points.astype(np.uint64) + _U(1)) * up[:n])])
@@ -216,7 +216,7 @@ class Lattice:
         return uses
 
 
-#: Distinct words that a lattice takes at once, and training bytes of a run.
+#: Distinct words that a lattice takes at once, and text bytes of a run.
 _BLOCK, _RUN = 1 << 13, 1 << 20
 
 
@@ -301,7 +301,7 @@ def languages(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", _RUN):
                 lang, score = model.predict(*utf8(part.column("text")))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score)], schema.names)
 

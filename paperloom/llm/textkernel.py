@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one kernel call works on; a longer document makes a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 # The XXH64 constants.
 _P1, _P2, _P3, _P4, _P5 = (
