@@ -49,9 +49,9 @@ def text_strip_spaces(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.strip_spaces(F.col("text")).alias("text"))
 
 
-@query(r"select doc_id, substring(regexp_replace(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '[^\p{L}\p{M}\p{N}_\s().,;:\-–]', '', 'g'), ' {2,}', ' ', 'g'), 1, 2000) as text from documents")
+@query(r"select doc_id, regexp_replace(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '[^\p{L}\p{M}\p{N}_\s().,;:\-–]', '', 'g'), ' {2,}', ' ', 'g') as text from documents")
 def text_clean(spark, d):
-    return table(spark, d, "documents").select("doc_id", tx.clean(F.col("text"), 2000).alias("text"))
+    return table(spark, d, "documents").select("doc_id", tx.clean(F.col("text")).alias("text"))
 
 
 @query(r"select doc_id, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) as words from documents")
@@ -64,9 +64,6 @@ def text_case_style(spark, d):
     return _words(spark, d).select("word", tx.case_style(F.col("word")).alias("style"))
 
 
-_PART = "regexp_replace(p_type || ' ' || p_brand, '[^IVXLC]', '', 'g')"
-
-
 @query(f"""with t as (select p_partkey, p_partkey % 400 as n from part),
 r as (select p_partkey, repeat('C', n // 100) || ['', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC'][n // 10 % 10 + 1] || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][n % 10 + 1] as numeral, n from t)
 select p_partkey, numeral, regexp_matches(numeral, '^[IVXLC]+$') as roman, cast(n as int) as value from r""")
@@ -118,7 +115,7 @@ def similar_ratio(spark, d):
     rows = table(spark, d, "conversations")
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     pairs = rows.withColumn("before", before).where("before is not null")
-    return pairs.select("conv_id", "turn", tx.similar_ratio()(F.substring("before", 1, 200), F.substring("text", 1, 200)).alias("ratio"))
+    return pairs.select("conv_id", "turn", tx.similar_ratio()("before", "text").alias("ratio"))
 
 
 # --- markers
@@ -155,8 +152,7 @@ def common_markers(spark, d):
 
 
 @query(rf"""with {_MARKED}, a as (select doc_id, ln, MarkerText, MarkerType, nullif(regexp_extract(regexp_replace(MarkerText, '([\p{{L}}\p{{N}}_]+)', ' \1 ', 'g'), ' ([IVXLC]+) ', 1), '') as num from marked where MarkerType is not null),
-b as (select *, max(case when num is null then 1 else 0 end) over (partition by doc_id, MarkerType order by ln) as other,
-  0 as z from a),
+b as (select *, max(case when num is null then 1 else 0 end) over (partition by doc_id, MarkerType order by ln) as other from a),
 v as (select *, case when num is not null and other = 0 then (select sum(case when n < coalesce(nx, 0) then -n else n end) from (select n, lead(n) over (order by i) as nx from (select i, case substring(num, i, 1) when 'I' then 1 when 'V' then 5 when 'X' then 10 when 'L' then 50 when 'C' then 100 end as n from (select unnest(range(1, length(num) + 1)) as i)))) end as val from b),
 g as (select doc_id, MarkerType, count(val) as c, count(distinct val) as u, min(val) as lo, max(val) as hi from v group by 1, 2)
 select m.doc_id, m.ln, case when v.val is not null and not (g.c = g.hi - g.lo + 1 and g.c = g.u) then replace(m.MarkerType, 'XVI', 'ABC') else m.MarkerType end as MarkerType
