@@ -22,6 +22,8 @@ WEIGHTS = (5, 2, 1)
 #: A source's words are taken this many times at most.
 MOST = 3
 _CELLS = 4096
+#: Sources up to which their values, some 100 bytes each, are broadcast to the documents; more are joined by shuffle.
+BROADCAST_SOURCES = 50_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -75,13 +77,21 @@ def mix(sizes: DataFrame, goals: DataFrame, seed: int = 42, odds: str | None = N
     """`doc_id, size, source_size, target, taken` of each row of `sizes` (doc_id, source, size).
 
     `taken` is the document's words times its copies: those that are certain, and one more for the first
-    documents in Pareto order until the source's target is met as nearly as whole documents allow.
+    documents in Pareto order that fit into the source's target, and for the one document that fills the rest best.
     `odds` names a positive column of `sizes` that multiplies a document's inclusion odds. An empty
     or wordless document is never taken; a null source is a source; repeated rows each count and
     are cut one by one; rows without id share one rank, by size.
     """
     extra = [odds] if odds else []
-    rows = sizes.join(goals.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    goals = written(goals, "goals")
+    few = goals.count() <= BROADCAST_SOURCES
+
+    def per_source(rows: DataFrame, values: DataFrame, how: str) -> DataFrame:
+        """A row per source to each of its documents; where there are few sources, without moving the documents."""
+        values = values.withColumnRenamed("source", "__source")
+        return rows.join(F.broadcast(values) if few else values, F.col("source").eqNullSafe(F.col("__source")), how).drop("__source")
+
+    rows = per_source(sizes, goals, "inner")
     ratio = F.col("target") / F.col("source_size")
     # a ratio of 3 may come out a rounding error below it
     whole = F.when(F.col("source_size") > 0, F.floor(ratio + 1e-12)).otherwise(0).cast("long")
@@ -99,21 +109,27 @@ def mix(sizes: DataFrame, goals: DataFrame, seed: int = 42, odds: str | None = N
         run = cells.withColumn("upto", F.sum("s").over(w)).withColumn("under", F.col("upto") - F.col("s"))
         return run.where((F.col("under") < F.col("rest")) & (F.col("upto") >= F.col("rest"))).groupBy(*by).agg(F.min(F.struct(F.col(cell).alias("at"), F.col("under").alias("under"))).alias(name))
 
-    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    one = cut(rows, ["source"], "first", "one").withColumnRenamed("source", "__s")
-    rows = rows.join(one, same("source", "__s"), "left").drop("__s")
+    rows = per_source(rows, cut(rows, ["source"], "first", "one"), "left")
     inside = rows.where(F.col("first") == F.col("one.at"))
-    two = cut(inside.withColumn("rest", F.col("rest") - F.col("one.under")), ["source"], "second", "two").withColumnRenamed("source", "__s")
-    rows = rows.join(two, same("source", "__s"), "left").drop("__s")
+    two = cut(inside.withColumn("rest", F.col("rest") - F.col("one.under")), ["source"], "second", "two")
+    rows = per_source(rows, two, "left")
     at_cut = (F.col("first") == F.col("one.at")) & (F.col("second") == F.col("two.at"))
     # before the cut: taken; after it: not; in its cell, about one document in 16 million: by a running sum
     ahead = (F.col("first") < F.col("one.at")) | ((F.col("first") == F.col("one.at")) & (F.col("second") < F.col("two.at")))
     plain = rows.where(F.col("one").isNull() | F.col("two").isNull() | ~at_cut).withColumn("more", F.coalesce(ahead, F.col("rest") >= F.col("source_size")) & (F.col("rest") > 0))
     w = Window.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     edge = rows.where(at_cut).withColumn("under", F.col("one.under") + F.col("two.under") + F.coalesce(F.sum("size").over(w), F.lit(0)))
-    edge = edge.withColumn("more", F.col("under") + F.col("size") / 2 <= F.col("rest")).drop("under")
-    taken = F.col("size") * (F.col("whole") + F.col("more").cast("long"))
-    return plain.unionByName(edge).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    edge = edge.withColumn("more", F.col("under") + F.col("size") <= F.col("rest")).drop("under")
+    rows = written(plain.unionByName(edge).drop("one", "two", "first", "second"), "mixed")
+    # what the first document that doesn't fit leaves open goes to the one whose size comes nearest to it
+    gap = rows.groupBy("source").agg((F.first("rest") - F.sum(F.when(F.col("more"), F.col("size")).otherwise(0))).alias("gap"))
+    off = F.abs(F.col("gap") - F.col("size"))
+    spare = per_source(rows, gap, "inner").where(~F.col("more") & (F.col("size") > 0) & (off < F.col("gap")))
+    last = spare.groupBy("source").agg(F.min(F.struct(off.alias("off"), F.col("rank").alias("r"), F.col("doc_id").alias("d"), F.col("size").alias("s"))).alias("last"))
+    rows = per_source(rows, last, "left")
+    chosen = F.coalesce((F.col("rank") == F.col("last.r")) & F.col("doc_id").eqNullSafe(F.col("last.d")) & (F.col("size") == F.col("last.s")), F.lit(False))
+    taken = F.col("size") * (F.col("whole") + (F.col("more") | chosen).cast("long"))
+    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
 def mix_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, seed: int = 42) -> DataFrame:
