@@ -329,13 +329,14 @@ def _shingle_sets(rows: DataFrame, words: int) -> DataFrame:
     return rows.select("doc_id", "root", "text").mapInArrow(run, "doc_id long, root long, shingles array<long>")
 
 
-def duplicate_ids(docs: DataFrame, limit: int, shingle: int, seed: int = 42) -> DataFrame:
+def duplicate_ids(docs: DataFrame, limit: int, shingle: int, seed: int = 42, passes: int = 2) -> DataFrame:
     """`doc_id` of each document that a kept one repeats: equal to it, or near it and of a Jaccard similarity of
     0.8 or more over distinct five-word shingles.
 
     Copies go first, down to the least doc_id. Among the texts that fingerprints connect, the one of least
-    doc_id leads; those that are as similar to it as asked go, and the others go on without them, until each has gone or led.
-    A pass costs a join with the leaders, one for each connected group that still has members.
+    doc_id leads; those that are as similar to it as asked go, and the others go on without them, for so many passes.
+    A pass costs a join with the leaders, one for each connected group that still has members. What is in a group whose texts
+    resemble one another in a chain, and meets no leader of its kind in these passes, stays.
     """
     described = written(_described(docs, shingle, seed), "described")
     texts = written(described.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp")), "texts")
@@ -346,7 +347,7 @@ def duplicate_ids(docs: DataFrame, limit: int, shingle: int, seed: int = 42) ->
     members = written(rooted.join(several, "root", "left_semi"), "members")
     rest = written(_shingle_sets(members.join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id").dropDuplicates(["doc_id"]), SIMILAR_WORDS), "sets")
     gone = [copies]
-    while rest.limit(1).count():
+    for _ in range(passes):
         leader = rest.groupBy("root").agg(F.min("doc_id").alias("leader"), F.min_by("shingles", "doc_id").alias("lead"))
         met = rest.join(leader, "root").where("doc_id <> leader")
         shared = F.size(F.array_intersect("shingles", "lead"))
