@@ -18,11 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components, star_edges
-from .shared import written
+from .shared import fresh_path, written
 from .textkernel import shingle_hashes, slices, utf8
 
 BITS = 64
@@ -316,27 +317,144 @@ def _described(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, fp long, digest binary")
 
 
+#: Shingles, and TEXT more for each text, that one task compares with one another. A larger group is gone through by
+#: its texts of least doc_id, about as many a round, which the rest meets in slices of SLICE times as much.
+GROUP, TEXT, SLICE = 1 << 18, 64, 4
+
+
 def _shingle_sets(rows: DataFrame, words: int) -> DataFrame:
-    """`doc_id, root, shingles` (distinct hashes) of rows `doc_id, root, text`."""
+    """`doc_id, root, shingles` (sorted distinct hashes), `n` (what they count towards a group) of rows `doc_id, root, text`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 hashes, begin = shingle_hashes(*utf8(part.column("text")), words)
                 sets = [np.unique(hashes[i:j]).view(np.int64) for i, j in itertools.pairwise(begin)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("root"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "root", "shingles"])
+                n = pa.array([len(x) + TEXT for x in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("root"), pa.array(sets, pa.list_(pa.int64())), n], ["doc_id", "root", "shingles", "n"])
+
+    return rows.select("doc_id", "root", "text").mapInArrow(run, "doc_id long, root long, shingles array<long>, n long")
+
+
+class Sets:
+    """Shingle sets that others are held against: all shingles sorted, with the set that each is of."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(x) for x in sets], np.int64)
+        shingles = np.concatenate([np.zeros(0, np.int64), *sets])
+        by = np.argsort(shingles, kind="stable")
+        self.shingles, self.of = shingles[by], np.repeat(np.arange(len(sets)), self.size)[by]
+
+    def similar(self, shingles: np.ndarray) -> np.ndarray:
+        """Which sets are as similar to this one as a near-duplicate; two empty ones are."""
+        low = np.searchsorted(self.shingles, shingles)
+        n = np.searchsorted(self.shingles, shingles, side="right") - low
+        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        shared = np.bincount(self.of[at], minlength=len(self.size))
+        return shared >= SIMILAR * (self.size + len(shingles) - shared)
+
+
+def first_kept(sets: list[np.ndarray]) -> np.ndarray:
+    """Which of the sets stay if, in order, each goes that is similar to an earlier one that stays."""
+    index, stays = Sets(sets), np.ones(len(sets), bool)
+    for i, x in enumerate(sets):
+        if stays[i]:
+            near = index.similar(x)
+            near[: i + 1] = False
+            stays &= ~near
+    return stays
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Each run of rows with equal keys, whole."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    whole = lambda: pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in keys], 1)
+        cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1), [True]]))
+        for a, b in itertools.pairwise(cut.tolist()):
+            if held and tuple(key[a]) != now:
+                yield whole()
+                held = []
+            now = tuple(key[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield whole()
+
+
+def _arrays(lists: pa.Array) -> list[np.ndarray]:
+    values = lists.values.to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+    return [values[i:j] for i, j in itertools.pairwise(lists.offsets.to_numpy().tolist())]
+
+
+def _led(block: DataFrame) -> DataFrame:
+    """`block` (doc_id, root, shingles, n) with `stays`, by what comes before in the same root."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, ["root"]):
+            stays = first_kept(_arrays(rows.column("shingles")))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(stays)], [*rows.schema.names, "stays"])
+
+    rows = block.select("doc_id", "root", "shingles", "n").repartition("root").sortWithinPartitions("root", "doc_id")
+    return rows.mapInArrow(run, "doc_id long, root long, shingles array<long>, n long, stays boolean")
 
-    return rows.select("doc_id", "root", "text").mapInArrow(run, "doc_id long, root long, shingles array<long>")
 
+def _met(leaders: DataFrame, others: DataFrame) -> DataFrame:
+    """`others` (root, salt, doc_id, shingles, n) with `similar`: whether a leader of their slice is."""
 
-def duplicate_ids(docs: DataFrame, limit: int, shingle: int, seed: int = 42, passes: int = 2) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, ["root", "salt"]):
+            leads = rows.column("leads")
+            index = Sets(_arrays(rows.filter(leads).column("shingles")))
+            rest = rows.filter(pa.compute.invert(leads))
+            similar = [bool(index.similar(x).any()) for x in _arrays(rest.column("shingles"))]
+            yield pa.RecordBatch.from_arrays([*(rest.column(c) for c in ("doc_id", "root", "shingles", "n")), pa.array(similar, pa.bool_())], ["doc_id", "root", "shingles", "n", "similar"])
+
+    columns = ["root", "salt", "doc_id", "shingles", "n"]
+    both = leaders.select(*columns, F.lit(True).alias("leads")).union(others.select(*columns, F.lit(False).alias("leads")))
+    rows = both.repartition("root", "salt").sortWithinPartitions("root", "salt")
+    return rows.mapInArrow(run, "doc_id long, root long, shingles array<long>, n long, similar boolean")
+
+
+def _repeats(rest: DataFrame) -> DataFrame:
+    """`doc_id` of each row of `rest` (doc_id, root, shingles, n) that is similar to a row of the same root and lower
+    doc_id that isn't one itself.
+
+    In order of doc_id, what is similar to a text that stays goes. The least doc_ids of each root settle among
+    themselves in one task, and what stays of them meets the others of the root in slices; so on until no text is
+    left. A root of at most GROUP is settled in the first round. Each round is written, so plans don't grow.
+    """
+    spark, path = rest.sparkSession, fresh_path(rest.sparkSession, "gone")
+    while True:
+        # at most a row for each GROUP of shingles, so they can be broadcast
+        large = rest.groupBy("root").agg(F.sum("n").alias("total")).where(F.col("total") > GROUP)
+        large = written(large.select("root", F.ceil(F.col("total") / (SLICE * GROUP)).cast("int").alias("salts")), "large")
+        salt = F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt")
+        order = Window.partitionBy("root", "salt").orderBy("doc_id")
+        run = rest.join(F.broadcast(large), "root").select("root", salt, "salts", "doc_id", "n")
+        run = run.select("root", "doc_id", "salts", F.sum("n").over(order).alias("upto"), F.row_number().over(order).alias("place"))
+        # the first of each slice is in, so the least doc_id of the root is
+        ends = written(run.where("place > 1").where(F.col("upto") > GROUP / F.col("salts")).groupBy("root").agg(F.min("doc_id").alias("end")), "ends")
+        placed = rest.join(F.broadcast(large.join(ends, "root")), "root", "left").select("doc_id", "root", "shingles", "n", salt, "end")
+        led = written(_led(placed.where("end is null or doc_id < end")), "led")
+        led.where("not stays").select("doc_id").write.mode("append").parquet(path)
+        if ends.limit(1).count() == 0:
+            return spark.read.schema("doc_id long").parquet(path)
+        leaders = led.where("stays").join(F.broadcast(large.join(ends, "root")), "root").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        met = written(_met(leaders, placed.where("doc_id >= end")), "met")
+        met.where("similar").select("doc_id").write.mode("append").parquet(path)
+        rest = met.where("not similar").drop("similar")
+
+
+def duplicate_ids(docs: DataFrame, limit: int, shingle: int, seed: int = 42) -> DataFrame:
     """`doc_id` of each document that a kept one repeats: equal to it, or near it and of a Jaccard similarity of
     0.8 or more over distinct five-word shingles.
 
-    Copies go first, down to the least doc_id. Among the texts that fingerprints connect, the one of least
-    doc_id leads; those that are as similar to it as asked go, and the others go on without them, for so many passes.
-    A pass costs a join with the leaders, one for each connected group that still has members. What is in a group whose texts
-    resemble one another in a chain, and meets no leader of its kind in these passes, stays.
+    Copies go first, down to the least doc_id. Among the texts that fingerprints connect, each in order of doc_id goes if it is
+    as similar as asked to one that stays, so no two that stay are.
     """
     described = written(_described(docs, shingle, seed), "described")
     texts = written(described.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp")), "texts")
@@ -346,19 +464,7 @@ def duplicate_ids(docs: DataFrame, limit: int, shingle: int, seed: int = 42, pas
     several = rooted.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
     members = written(rooted.join(several, "root", "left_semi"), "members")
     rest = written(_shingle_sets(members.join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id").dropDuplicates(["doc_id"]), SIMILAR_WORDS), "sets")
-    gone = [copies]
-    for _ in range(passes):
-        leader = rest.groupBy("root").agg(F.min("doc_id").alias("leader"), F.min_by("shingles", "doc_id").alias("lead"))
-        met = rest.join(leader, "root").where("doc_id <> leader")
-        shared = F.size(F.array_intersect("shingles", "lead"))
-        either = F.size("shingles") + F.size("lead") - shared
-        met = written(met.select("doc_id", "root", "shingles", (shared >= SIMILAR * either).alias("similar")), "met")
-        gone.append(met.where("similar").select("doc_id"))
-        rest = met.where("not similar").select("doc_id", "root", "shingles")
-    out = gone[0]
-    for more in gone[1:]:
-        out = out.union(more)
-    return out.distinct()
+    return copies.union(_repeats(rest)).distinct()
 
 
 def keep_first(docs: DataFrame, limit: int = 6, shingle: int = 2) -> DataFrame:

@@ -291,6 +291,37 @@ def test_keep_first(spark, docs):
     assert simhash.keep_first(docs).columns == docs.columns
 
 
+def first_kept(texts):
+    """Ids that stay if, in order, each goes that is 0.8 alike to one that stays; by plain sets."""
+    seen, left = {i: set(shingles(t, 5)) for i, t in texts.items()}, []
+    for i in sorted(texts):
+        if not any(len(seen[i] & seen[j]) >= 0.8 * len(seen[i] | seen[j]) for j in left):
+            left.append(i)
+    return left
+
+
+@pytest.mark.parametrize("group", [None, 6000])
+def test_keep_first_of_large_groups(spark, group, monkeypatch):
+    """Hundreds of edited copies, and successive versions, leave no two that are 0.8 alike."""
+    rng = random.Random(12)
+    if group:
+        monkeypatch.setattr(simhash, "GROUP", group)
+    base, texts = [f"w{rng.randrange(3000)}" for _ in range(400)], {}
+    for k in range(200):
+        w = list(base)
+        for at in rng.sample(range(400), 5):
+            w[at] = f"e{rng.randrange(10**6)}"
+        texts[k] = " ".join(w)
+    w = [f"v{rng.randrange(3000)}" for _ in range(400)]
+    for k in range(150):
+        w[rng.randrange(400)] = f"f{rng.randrange(10**6)}"
+        texts[1000 + k] = " ".join(w)
+    rows = [(i, t, None, None, None) for i, t in texts.items()]
+    rng.shuffle(rows)
+    kept = sorted(r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, DOCS), limit=12).collect())
+    assert kept == first_kept(texts) and 20 < len(kept) < 150
+
+
 def test_simhash_general_limits(spark):
     rng = random.Random(8)
     base = [rng.getrandbits(64) for _ in range(40)]
