@@ -69,6 +69,13 @@ class MinHash:
                 least[rows, i] = np.minimum(least[rows, i], np.minimum.reduceat(v, cut))
         return (least >> np.uint64(32)).astype(np.uint16)
 
+    def band_keys(self, signatures: np.ndarray) -> np.ndarray:
+        """uint64 [texts, bands]: a hash of each band's values, and of which band it is."""
+        keys = np.tile(mix(np.arange(self.bands, dtype=np.uint64)), (len(signatures), 1))
+        for i in range(self.rows):
+            keys = mix(keys + signatures[:, i : self.bands * self.rows : self.rows])
+        return keys
+
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Share of equal values, an unbiased estimate of the shingle sets' Jaccard similarity."""

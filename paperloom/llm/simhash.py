@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components, star_edges
+from .minhash import MinHash
 from .shared import fresh_path, written
 from .textkernel import shingle_hashes, slices, utf8
 
@@ -301,8 +302,12 @@ def near_duplicates(docs: DataFrame, limit: int = 3, shingle: int = 3, seed: int
 SIMILAR_WORDS, SIMILAR = 5, 0.8
 
 
+#: Signatures whose bands find what fingerprints miss: texts that are 0.8 alike share one of the 25 bands with odds of 0.99995.
+BANDS = MinHash(functions=125, shingle=SIMILAR_WORDS, rows=5)
+
+
 def _described(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
-    """`doc_id, fp, digest` of each row with an id; equal texts have equal digests."""
+    """`doc_id, fp, digest, bands` of each row with an id; equal texts have equal digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -311,10 +316,23 @@ def _described(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
                 raw = data.tobytes()
                 digest = [hashlib.blake2b(raw[i:j], digest_size=16).digest() for i, j in itertools.pairwise(offsets.tolist())]
                 fp = simhash(data, offsets, shingle, seed).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp), pa.array(digest, pa.binary())], ["doc_id", "fp", "digest"])
+                bands = BANDS.band_keys(BANDS.signatures(data, offsets)).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fp) + 1, dtype=np.int32) * BANDS.bands), pa.array(bands.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp), pa.array(digest, pa.binary()), lists], ["doc_id", "fp", "digest", "bands"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    return rows.mapInArrow(run, "doc_id long, fp long, digest binary")
+    return rows.mapInArrow(run, "doc_id long, fp long, digest binary, bands array<long>")
+
+
+def _candidates(texts: DataFrame, limit: int) -> DataFrame:
+    """`u, v`: links between the doc_ids of `texts` (doc_id, fp, bands) that connect all with fingerprints within `limit`
+    bits, and all that share a band."""
+    near = links(texts.select("fp").distinct(), limit)
+    of = texts.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    near = near.join(of.toDF("u", "a"), "u").join(of.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    keys = texts.select("doc_id", F.explode(F.concat("bands", F.array(F.xxhash64("fp")))).alias("key"))
+    shared = keys.groupBy("key").agg(F.min("doc_id").alias("v"), F.count("*").alias("n")).where("n > 1").select("key", "v")
+    return near.union(keys.join(shared, "key").where("doc_id <> v").select(F.col("doc_id").alias("u"), "v"))
 
 
 #: Shingles, and TEXT more for each text, that one task compares with one another. A larger group is gone through by
@@ -453,16 +471,14 @@ def duplicate_ids(docs: DataFrame, limit: int, shingle: int, seed: int = 42) ->
     """`doc_id` of each document that a kept one repeats: equal to it, or near it and of a Jaccard similarity of
     0.8 or more over distinct five-word shingles.
 
-    Copies go first, down to the least doc_id. Among the texts that fingerprints connect, each in order of doc_id goes if it is
-    as similar as asked to one that stays, so no two that stay are.
+    Copies go first, down to the least doc_id. Among the texts that fingerprints or bands connect, each in order of doc_id goes
+    if it is as similar as asked to one that stays, so no two that stay are, but for those that neither connects.
     """
     described = written(_described(docs, shingle, seed), "described")
-    texts = written(described.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp")), "texts")
+    texts = written(described.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"), F.first("bands").alias("bands")), "texts")
     copies = described.join(texts.select("digest", F.col("doc_id").alias("first")), "digest").where("doc_id <> first").select("doc_id")
-    roots = connected_components(links(texts.select("fp").distinct(), limit)).select(F.col("node").alias("fp"), "root")
-    rooted = texts.join(roots, "fp", "left").select("doc_id", F.coalesce("root", "fp").alias("root"))
-    several = rooted.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
-    members = written(rooted.join(several, "root", "left_semi"), "members")
+    rooted = connected_components(_candidates(texts, limit)).select(F.col("node").alias("doc_id"), "root")
+    members = written(rooted, "members")
     rest = written(_shingle_sets(members.join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id").dropDuplicates(["doc_id"]), SIMILAR_WORDS), "sets")
     return copies.union(_repeats(rest)).distinct()
 
@@ -470,7 +486,7 @@ def duplicate_ids(docs: DataFrame, limit: int, shingle: int, seed: int = 42) ->
 def keep_first(docs: DataFrame, limit: int = 6, shingle: int = 2) -> DataFrame:
     """The rows of `docs` without near-duplicates, of which the document of least doc_id stays.
 
-    Fingerprints find what may be similar, and take shorter shingles than those that similarity is measured on: a changed word
-    changes fewer of them. Rows that share a doc_id stay or go together; a row without one stays.
+    Fingerprints and MinHash bands find what may be similar. Fingerprints take shorter shingles than those that similarity is
+    measured on: a changed word changes fewer of them. Rows that share a doc_id stay or go together; a row without one stays.
     """
     return docs.join(duplicate_ids(docs, limit, shingle), "doc_id", "left_anti").select(docs.columns)
