@@ -12,17 +12,19 @@ where m(u) = MASS * c(u)^POWER follows how many different tokens a context has b
 
 Counting is distributed by hash, each shard builds its part of the filter and of the counts,
 and these are broadcast if together they are at most `BROADCAST_BYTES`. They grow with the corpus, so a
-larger model is not broadcast: pairs are then counted, quantised and scored by joins, with the same
-formula and no false positives.
+larger model is not broadcast: each shard's pairs then go to its part of the filter, which answers
+the same probes, and joins bring the token counts. Scores don't depend on which way is taken.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -239,13 +241,22 @@ def shard_models(docs: DataFrame, shards: int) -> DataFrame:
     return _counted(docs, shards).repartitionById(shards, F.col("shard")).mapInArrow(run, "shard int, total long, tokens binary, token_counts binary, filter binary")
 
 
-def train(docs: DataFrame, limit: int | None = None) -> Model | None:
-    """The model of all texts of `docs` (`text`), or None if it has more than `limit` bytes."""
-    limit = BROADCAST_BYTES if limit is None else limit
+def trained(docs: DataFrame) -> tuple[DataFrame, int]:
+    """The written shard models of all texts of `docs` (`text`), and how many shards there are; one without text has no row."""
     texts = docs.select("text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
-    rows = written(shard_models(texts, shards), "lm")
+    return written(shard_models(texts, shards), "lm"), shards
+
+
+def train(docs: DataFrame, limit: int | None = None) -> Model | None:
+    """The model of all texts of `docs` (`text`), or None if it has more than `limit` bytes."""
+    return gathered(*trained(docs), limit)
+
+
+def gathered(rows: DataFrame, shards: int, limit: int | None = None) -> Model | None:
+    """The shard models as one, or None if they have more than `limit` bytes."""
+    limit = BROADCAST_BYTES if limit is None else limit
     # the size is looked at before anything is collected
     if (rows.agg(F.sum(F.octet_length("tokens") + F.octet_length("token_counts") + F.octet_length("filter"))).first()[0] or 0) > limit:
         return None
@@ -289,8 +300,35 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, _RESULT)
 
 
-def scored_by_joins(docs: DataFrame) -> DataFrame:
-    """The same scores without broadcasting a model: a row per text and distinct pair, joined with the pair's probability."""
+def probed(seen: DataFrame, models: DataFrame, shards: int) -> DataFrame:
+    """`seen` (pair, u, w, c2) with `level`, each pair's by the filter of its shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(0, 0, b"", b"", b"", [0])
+        now = -1
+        for batch in batches:
+            shard = batch.column("shard").to_numpy(zero_copy_only=False)
+            for a, b in itertools.pairwise(np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])).tolist()):
+                rows = batch.slice(a, b - a)
+                if shard[a] != now:  # a shard's filter comes before its pairs; without one, no pair was seen
+                    now, held = shard[a], rows.column("filter")[0].as_py()
+                    model = Model(0, 0, b"", b"", held or b"", [0])
+                rows = rows.filter(pa.compute.is_valid(rows.column("pair")))
+                level = model.pair_level(rows.column("pair").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("pair", "u", "w", "c2")), pa.array(level)], ["pair", "u", "w", "c2", "level"])
+
+    # hashes are unsigned where shards are dealt
+    shard = F.pmod(F.pmod(F.col("pair"), F.lit(shards)) + F.when(F.col("pair") < 0, F.lit(2**64 % shards)).otherwise(F.lit(0)), F.lit(shards)).cast("int")
+    none = F.lit(None).cast("long")
+    filters = models.select("shard", "filter", *(none.alias(c) for c in ("pair", "u", "w", "c2")))
+    both = filters.union(seen.select(shard.alias("shard"), F.lit(None).cast("binary").alias("filter"), "pair", "u", "w", "c2"))
+    rows = both.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("pair").isNotNull())
+    return rows.mapInArrow(run, "pair long, u long, w long, c2 long, level long")
+
+
+def scored_by_joins(docs: DataFrame, models: DataFrame | None = None, shards: int = 1) -> DataFrame:
+    """Scores without broadcasting a model: a row per text and distinct pair, joined with the pair's probability. The filters
+    in `models` give pairs' levels as a broadcast one does; without them, levels come from the exact counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -308,14 +346,15 @@ def scored_by_joins(docs: DataFrame) -> DataFrame:
     numbered = written(docs.select("doc_id", "held_out", "text").withColumn("row", F.monotonically_increasing_id()), "lm-texts")
     rows = written(numbered.select("row", "held_out", "text").mapInArrow(run, "row long, held_out boolean, u long, w long, pair long, n long"), "lm-pairs")
     seen = rows.groupBy("pair", "u", "w").agg(F.sum(F.when(~F.col("held_out"), F.col("n")).otherwise(0)).alias("c2"))
+    seen = seen.withColumn("level", F.when(F.col("c2") > 0, F.floor(F.log2("c2") + 1e-12) + 1).otherwise(0)) if models is None else probed(seen, models, shards)
     seen = written(seen, "lm-counts")
     token = seen.groupBy("w").agg(F.sum("c2").alias("c"))
     context = seen.groupBy("u").agg(F.sum("c2").alias("cu"))
     total, distinct = token.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     base = (F.col("c") + 1) / F.lit(float(total + distinct + 1))
-    level = F.when(F.col("c2") > 0, F.pow(F.lit(2.0), F.floor(F.log2("c2") + 1e-12))).otherwise(0.0)
+    count = F.when(F.col("level") > 0, F.pow(F.lit(2.0), F.col("level") - 1)).otherwise(0.0)
     mass = MASS * F.pow(F.greatest(F.col("cu"), F.lit(1)).cast("double"), F.lit(POWER))
-    p = (level + mass * base) / (F.col("cu") + mass)
+    p = (F.least(count, F.col("cu").cast("double")) + mass * base) / (F.col("cu") + mass)  # a pair is no more frequent than its context
     scored_pairs = seen.join(token, "w").join(context, "u").select("pair", (F.col("c") > 0).cast("long").alias("known"), F.log10(base).alias("base"), F.log10(p).alias("score"))
     sums = rows.select("row", "pair", "n").join(scored_pairs, "pair").groupBy("row").agg(F.sum("n").alias("n_tokens"), F.sum(F.col("n") * F.col("known")).alias("n_known"), F.sum(F.col("n") * F.col("base")).alias("base_score"), F.sum(F.col("n") * F.col("score")).alias("score"))
     return numbered.select("row", "doc_id", "held_out").join(sums, "row").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
@@ -326,8 +365,12 @@ def score_documents(docs: DataFrame, broadcast_bytes: int | None = None) -> Data
 
     The model learns from the rows that aren't held out. A null text counts as empty, and has its end as only
     token; a null doc_id is in the training fold or not as an empty one would be. Repeated rows count and
-    are scored each. With no training text, every count is 0 and an unseen token has probability 1.
+    are scored each. With no training text, every count is 0 and an unseen token has probability 1. A model of more than
+    `broadcast_bytes` is probed shard by shard, with equal scores; 0 asks for exact counts instead of the filter.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
-    model = train(rows.where(~F.col("held_out")), broadcast_bytes)
-    return scored_by_joins(rows) if model is None else scored(rows, model)
+    if broadcast_bytes == 0:
+        return scored_by_joins(rows)
+    models, shards = trained(rows.where(~F.col("held_out")))
+    model = gathered(models, shards, broadcast_bytes)
+    return scored_by_joins(rows, models, shards) if model is None else scored(rows, model)

@@ -162,6 +162,20 @@ def test_lm(spark, docs, nothing, limit):
     assert lm.score_documents(nothing, limit).count() == 0
 
 
+@pytest.mark.parametrize("shard_bytes", [lm.SHARD_BYTES, 2000])
+def test_lm_scores_do_not_depend_on_size(spark, docs, nothing, monkeypatch, shard_bytes):
+    """A model that is too large to broadcast gives the scores of one that isn't, false positives included."""
+    monkeypatch.setattr(lm, "SHARD_BYTES", shard_bytes)
+    extra = [(2000 + i, " ".join(f"u{(i * 7 + k * k) % 301}" for k in range(80)), None, None, None) for i in range(60)]
+    both = docs.drop("score").unionByName(spark.createDataFrame(extra, DOCS))
+    wanted, got = (sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in lm.score_documents(both, limit).collect()) for limit in (None, 1))
+    exact = sum(r.score for r in lm.score_documents(both, 0).collect())
+    assert sum(r[5] for r in wanted) > exact + 0.1
+    for a, b in zip(got, wanted, strict=True):
+        assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:])
+    assert lm.score_documents(nothing, 1).count() == 0
+
+
 def test_lm_filter_has_no_false_negative():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 2**63, 5000).astype(np.uint64))
