@@ -398,7 +398,7 @@ def level_mining(spark, d):
     rows = paragraphs.build(_para(spark, d))
     common = layout.common_markers(rows, "Paragraph")
     sequence = structure.marker_sequence(rows, common)
-    mined = structure.deduplicate(structure.build_structures(sequence, ["doc_id"], ["pos"], "marker", 4), ["doc_id"])
+    mined = structure.deduplicate(structure.build_structures(sequence, ["doc_id"], ["pos"], "marker"), ["doc_id"])
     return structure.level_specs(mined)
 
 

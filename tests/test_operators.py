@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import text as tx
 from paperloom.functions import vectors as vx
 from paperloom.operators import aggregates, chunks, evaluate, index, layout, nested, quality, search, structure
+from paperloom.plans import catalog
 from paperloom.sources import readers, writers
 
 
@@ -188,3 +189,10 @@ def test_plans_hold_no_cross_join_and_one_document_shuffle(spark):
 
     plan = catalog.gap_repair(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_level_mining_reaches_every_depth(spark, monkeypatch):
+    rows = [(1, p, m) for p, m in enumerate("ABCDEF" * 3)]
+    monkeypatch.setattr(structure, "marker_sequence", lambda *_: spark.createDataFrame(rows, "doc_id long, pos long, marker string"))
+    levels = {r.level_name: r.markers for r in catalog.level_mining(spark, "/root/testdata/sf0.001").collect()}
+    assert {m for held in levels.values() for m in held} == set("ABCDEF")
