@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 
@@ -31,3 +32,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread_text(text: str, chars: int, pieces: int = 16) -> Column:
+    """The text, or of one with more than `chars` code points that many, in pieces from all over it."""
+    each = chars // pieces
+    step = F.floor(F.length(text) / F.lit(pieces)).cast("int")
+    parts = F.concat_ws(" ", *(F.substring(text, F.lit(1) + step * k, F.lit(each)) for k in range(pieces)))
+    return F.when(F.length(text) > chars, parts).otherwise(F.col(text))

@@ -464,6 +464,19 @@ def test_language_forward():
     assert [x == langid.UNKNOWN for x in lang] == [False, True, True, True, False] and score[1] == 0
 
 
+def test_language_of_long_words(monkeypatch):
+    """A run of letters of any length is summed over all its segmentations, as the lattice does for short ones."""
+    pieces = langid.Pieces(["a", "b", "ab", "é", "ba"], ["a", "ab", "aba"])
+    model = langid.fit([("abab a ba. ab", "x"), ("baba bé b", "y")], pieces)
+    texts = ["ababba" * 5, "abzéba" * 4 + " b", "漢字" * 9]
+    wanted, _ = model.scores(*textkernel.utf8(pa.array(texts)))
+    monkeypatch.setattr(langid, "_LETTERS", 2)
+    got, _ = model.scores(*textkernel.utf8(pa.array(texts)))
+    assert np.allclose(got, wanted)
+    total, _ = model.scores(*textkernel.utf8(pa.array(["ab" * 10000])))
+    assert np.isfinite(total).all() and (total < -10000).all()
+
+
 def test_language_held_out(spark, nothing):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = langid.predict(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
@@ -544,6 +557,42 @@ def test_toxicity(spark, nothing):
     assert toxicity.keep_clean(docs, labels).columns == docs.columns
 
 
+def test_toxicity_finds_what_is_marked(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = toxicity.predict(docs, labels).where("held_out").join(labels, "doc_id").groupBy("toxic").agg(F.avg("predicted").alias("p")).collect()
+    share = {r.toxic: r.p for r in held}
+    # some 5% of the toxic ones are junk without any word that marks the others
+    assert share[1] >= 0.9 and share[0] <= 0.03
+
+
+def test_toxicity_by_plain_python():
+    """Scores come from the two compressors' lengths of each window alone."""
+    rng = random.Random(21)
+    syllables = "ba be bi bo bu da de di do du ka ke ki ko ku la le li lo lu".split()
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(2, 4)))
+    rows = []
+    for i in range(400):
+        w = [word() for _ in range(120)]
+        if i % 4 == 0:
+            for at in rng.sample(range(120), 4):
+                w[at] = rng.choice(["grubnax", "snorkfizz", "vexmog"])
+        rows.append((" ".join(w), int(i % 4 == 0)))
+    model = toxicity.fit(rows)
+    c = model.compressors
+    assert b"grubnax" in c.toxic and b"snorkfi" in c.toxic and b"vexmog" in c.toxic and b"grubnax" not in c.ordinary
+    text = rows[0][0] + " " + "snorkfizz"
+    evidence = []
+    for w in re.findall(r"[^\W\d_]+", text):
+        plain, both = (len(x.compress(f" {w} ".encode() + c.ordinary[-64:])) for x in (c._plain, c._both))
+        evidence.append(model.evidence.reshape(16, 13)[min(len(w), 15), min(max(plain - both, -3), 9) + 3])
+    assert model.features(c.cells(toxicity.words(text))) == pytest.approx(model.features(np.arange(16 * 13)[[int(np.flatnonzero(model.evidence == e)[0]) for e in evidence]]))
+    assert all((model.score(t) >= 0.5) == bool(y) for t, y in rows)
+    # repeated rows and ties change nothing, and one class alone is no model
+    assert toxicity.fit(rows * 2).score(text) == model.score(text)
+    assert toxicity.fit([r for r in rows if not r[1]]).score(text) == 0.0 and toxicity.fit([]).score("") == 0.0
+    assert model.score("") == model.score("12 !") < 0.5
+
+
 def test_toxic_stems():
     toxic = [f"some words here you idiot {i} friend" for i in range(30)]
     plain = [f"some words here you {i} friend" for i in range(300)]
