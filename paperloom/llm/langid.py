@@ -3,7 +3,8 @@
 The pieces are those of a fixed public vocabulary; each language has its own piece probabilities,
 learned by expectation-maximisation. A word's probability in a language is the sum over all its
 segmentations into pieces, by the forward algorithm, which here runs over all distinct words of a run of
-texts and all languages at once in NumPy. A text's score is the sum over its words.
+texts and all languages at once in NumPy. A text's score is the sum over its words. A word is a run of
+letters of any length, as in scripts without spaces.
 """
 
 from __future__ import annotations
@@ -17,17 +18,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import spread_text
 from .textkernel import mix, slices, utf8
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN = "und"
-#: Bounds of the training sample: rows with a language, those of least hash, and code points of a text that may enter it.
+#: Bounds of the training sample: rows with a language, those of least hash, and code points of each; of a longer text,
+#: sixteen pieces from all over it train.
 SAMPLE_ROWS = 3000
 SAMPLE_CHARS = 32768
 ROUNDS = 4
 #: Pseudo-count of a piece, and probability of a letter that no piece has.
 _PSEUDO, _STRANGE = 0.05, 1e-8
-#: Letters of a word that are segmented at once; a longer run of letters is cut.
+#: Letters of a word up to which it is segmented together with others; longer words go one by one, and don't train.
 _LETTERS = 32
 #: Words up to which evidence adds up in the score.
 _EVIDENCE = 30
@@ -78,11 +81,6 @@ class Letters:
         after = np.concatenate([inside[1:], [False]]) if n else inside
         after[at[(at > 0)] - 1] = False
         end = np.flatnonzero(inside & ~after) + 1
-        parts = np.maximum(-(-(end - start) // _LETTERS), 1)
-        if len(start) and parts.max() > 1:
-            k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-            start, end = np.repeat(start, parts) + k * _LETTERS, np.repeat(end, parts)
-            end = np.minimum(end, start + _LETTERS)
         self.first = np.searchsorted(start, at)
         size = 1 << max(int(n).bit_length(), 10)  # the powers are kept, 16 bytes each
         up, down = _powers(size)
@@ -94,6 +92,20 @@ class Letters:
         self.start, self.end = start[index], end[index]
         self.count = np.diff(self.first)
 
+    def blocks(self) -> Iterator[np.ndarray]:
+        """The distinct words of at most _LETTERS letters, some at a time."""
+        short = np.flatnonzero(self.end - self.start <= _LETTERS)
+        for at in range(0, len(short), _BLOCK):
+            yield short[at : at + _BLOCK]
+
+    def longer(self) -> np.ndarray:
+        return np.flatnonzero(self.end - self.start > _LETTERS)
+
+    def hashes(self, start: int, end: int, size: int) -> np.ndarray:
+        """Of each run of `size` letters from `start` to `end`."""
+        with np.errstate(over="ignore"):
+            return (self.prefix[start + size : end + 1] - self.prefix[start : end + 1 - size]) * self.down[start : end + 1 - size]
+
 
 def _table(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """An open-addressing table of the pieces' hashes: slot -> hash, slot -> piece number (-1: free)."""
@@ -216,6 +228,35 @@ class Lattice:
         return uses
 
 
+def long_word(words: Letters, pieces: Pieces, word: int, p: np.ndarray) -> np.ndarray:
+    """Log probability of one word in each language, over all its segmentations. The forward state is that of the last
+    letters, as many as a piece has at most, and is scaled at each letter, so a word may have any length."""
+    start, end = int(words.start[word]), int(words.end[word])
+    n, longest = end - start, min(pieces.longest, end - start)
+    offset = len(pieces.inside)
+    # by letter and length of the piece that ends there
+    inside = np.full((n + 1, longest), -1, np.int32)
+    for size in range(1, longest + 1):
+        inside[size:, size - 1] = _find(pieces.tables[0], words.hashes(start, end, size))
+    begin = [int(_find(pieces.tables[1], words.hashes(start, start + size, size))[0]) for size in range(1, longest + 1)]
+    strange = inside[:, 0] < 0
+    state = np.zeros((longest, p.shape[1]))  # of the last letters, the latest first
+    state[0] = p[-2]
+    log = np.zeros(p.shape[1])
+    for j in range(1, n + 1):
+        now = (state * p[inside[j]]).sum(0)
+        if strange[j]:
+            now = now + state[0] * _STRANGE
+        if j <= longest and begin[j - 1] >= 0:
+            now = now + p[begin[j - 1] + offset] / np.exp(log)
+        state[1:] = state[:-1]
+        state[0] = now
+        scale = now + 1e-300
+        state /= scale
+        log += np.log(scale)
+    return log
+
+
 #: Distinct words that a lattice takes at once, and text bytes of a run.
 _BLOCK, _RUN = 1 << 13, 1 << 20
 
@@ -230,9 +271,11 @@ class Model:
         """Log probability of each text's words in each language, and how many words it has."""
         words = Letters(data, offsets)
         per = np.zeros((len(words.start), len(self.languages)))
-        for at in range(0, len(words.start), _BLOCK):
-            lattice = Lattice(words, self.pieces, np.arange(at, min(at + _BLOCK, len(words.start))))
+        for block in words.blocks():
+            lattice = Lattice(words, self.pieces, block)
             per[lattice.order] = np.log(np.maximum(lattice.totals(lattice.forward(self.p)), 1e-300))
+        for word in words.longer():
+            per[word] = long_word(words, self.pieces, word, self.p)
         out = np.zeros((len(words.count), len(self.languages)))
         full = np.flatnonzero(words.count)
         if len(full):
@@ -270,8 +313,8 @@ def fit(rows: list[tuple[str, str]], pieces: Pieces, rounds: int = ROUNDS) -> Mo
     for _ in range(rounds):
         uses = np.zeros_like(p)
         for words, counts in runs:
-            for at in range(0, len(words.start), _BLOCK):
-                lattice = Lattice(words, pieces, np.arange(at, min(at + _BLOCK, len(words.start))))
+            for block in words.blocks():
+                lattice = Lattice(words, pieces, block)
                 uses += lattice.expected(p, counts[lattice.order])
         uses[:-1] += _PSEUDO
         p = uses / uses.sum(0)
@@ -279,33 +322,44 @@ def fit(rows: list[tuple[str, str]], pieces: Pieces, rounds: int = ROUNDS) -> Mo
 
 
 def train(docs: DataFrame, vocabulary: str = VOCABULARY, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
-    """`fit` on a bounded sample: of documents with a language, outside the held-out fold and of at most `chars`
-    code points, the `rows` of least hash."""
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out() & (F.length("text") <= chars))
+    """`fit` on a bounded sample: of documents with a language, outside the held-out fold, the `rows` of least hash; equal
+    ids go by text. Of a text of more than `chars` code points, pieces from all over it are used."""
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out())
     ids = known.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id").limit(rows)
     # `rows` ids at most, 8 bytes each
-    sample = known.join(F.broadcast(ids.distinct()), "doc_id").orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id", "text").limit(rows)
-    return fit([(r.text, r.lang) for r in sample.select("text", "lang").collect()], Pieces.load(vocabulary))
-
+    sample = known.join(F.broadcast(ids.distinct()), "doc_id").select("doc_id", spread_text("text", chars).alias("text"), "lang")
+    sample = sample.orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id", "text").limit(rows)
+    return fit([(r.text, r.lang) for r in sample.select("text", "lang").toLocalIterator()], Pieces.load(vocabulary))
 
-def languages(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` with `lang_pred` and `score` (0 to 1) after its columns; only `text` is looked at.
 
-    A null text or one without a letter is `und` with score 0, and so is every text if no language was learned. Equal scores
-    go to the first language by name. Columns of `docs` named like a result are replaced.
-    """
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+def predictor(docs: DataFrame, model: Model) -> Column:
+    """The struct `lang, score` of `text`, null or not; only the text passes to Python."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
         for batch in batches:
-            for part in slices(batch, "text", _RUN):
-                lang, score = model.predict(*utf8(part.column("text")))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score)], schema.names)
+            lang, score = [], []
+            for part in slices(pa.RecordBatch.from_arrays([batch], ["text"]), "text", _RUN):
+                found = model.predict(*utf8(part.column("text")))
+                lang += found[0]
+                score.append(found[1])
+            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(np.concatenate([np.zeros(0), *score]))], ["lang", "score"])
+
+    # evaluated once, wherever the column is used
+    return F.arrow_udf(run, "lang string, score double").asNondeterministic()(F.col("text"))
 
-    return docs.select(*keep).mapInArrow(run, schema)
+
+def languages(docs: DataFrame, model: Model) -> DataFrame:
+    """`docs` with `lang_pred` and `score` (0 to 1) after its columns; only `text` is looked at.
+
+    A null text or one without a letter is `und` with score 0, and so is every text if no language was learned. Equal scores
+    go to the first language by name. The score is the language's share of the evidence, where a text of more than 30 words
+    counts as one of 30 with the same mean. Combining marks end words. Columns of `docs` named like a result are replaced;
+    repeated rows each get a row.
+    """
+    rows = docs.drop("lang_pred", "score").withColumn("__found", predictor(docs, model))
+    return rows.select(*rows.columns[:-1], F.col("__found.lang").alias("lang_pred"), F.col("__found.score").alias("score"))
 
 
 def predict(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -316,5 +370,5 @@ def predict(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 def keep_known(docs: DataFrame, least: float = 0.5, vocabulary: str = VOCABULARY) -> DataFrame:
     """The rows of `docs` whose text is in a learned language with a score of `least` or more, with their columns."""
-    wrapped = docs.select(F.struct("*").alias("__row"), "text")
-    return languages(wrapped, train(docs, vocabulary)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("__row.*")
+    found = docs.withColumn("__found", predictor(docs, train(docs, vocabulary)))
+    return found.where((F.col("__found.lang") != UNKNOWN) & (F.col("__found.score") >= least)).drop("__found")
