@@ -2,9 +2,14 @@
 
 Every element gets a composite text density: its characters per tag, times the logarithm, to a base
 that grows with the share of link text, of its unlinked share of characters and tags. An element's density sum
-adds its children's. The element of the largest sum under body is the core; the least density on
-its path to body is the threshold, and its siblings along that path that reach it and hold more
-plain than linked text belong to the text as well.
+adds its children's. The element of the largest sum under body is the core, taken whole; the least density on
+its path to body is the threshold, and what lies beside that path belongs to the text too if it reaches it
+and holds more plain than linked text.
+
+What elements say of themselves is a prior for that, not a substitute. Elements that name themselves menus, adverts,
+comments and the like are cut before densities are taken, unless they hold a page's main part. If the core lies in
+an article or main element, short pieces of that element belong to it too, and what isn't an article must be as dense as
+it is to be taken from beside it.
 """
 
 from __future__ import annotations
@@ -29,21 +34,28 @@ MAIN = frozenset(("article", "main"))
 #: What a start tag closes, up to the next element that bounds it.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr",), "tbody": ("tr", "thead"), "tfoot": ("tr", "tbody")}
 BOUNDS = frozenset("ul ol dl table html body article section div main td th nav aside header footer form".split())
-#: Words of class, id and role that name what isn't the article.
-_AROUND = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments comentarios commentaires kommentare disqus respond reply replies cookie cookies consent gdpr "
-    "footer header masthead menu menus nav navbar navigation newsletter notice notices alert popup modal overlay promo promotion promoted recommended related share sharing sidebar side aside social sponsor sponsored "
-    "subscribe subscription signup login toolbar pagination pager widget widgets contentinfo complementary search skip copyright legal disclaimer tags taglist".split()
+#: Words of class names and ids that name what isn't the article; those of readers' comments.
+_COMMENTS = frozenset("comment comments comentario comentarios commentaire commentaires kommentar kommentare disqus respond reply replies discussion".split())
+_AROUND = _COMMENTS | frozenset(
+    "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs cookie cookies consent gdpr "
+    "footer header masthead menu menus nav navbar navigation newsletter notice notices alert popup modal overlay promo promotion promoted recommended related share sharing sidebar aside social sponsor sponsored "
+    "subscribe subscription signup login toolbar pagination pager widget widgets search skip copyright legal disclaimer tags taglist".split()
 )
+#: Words that may stand with them in a name: `comment-list` is around, `share-price` isn't.
+_WITH = frozenset("site page main top bottom left right box boxes list area block section wrap wrapper container item items inner outer bar link links post entry article content body text title form count meta panel module row col column group holder region widget".split())
+_ROLES = frozenset("banner navigation complementary contentinfo search dialog alertdialog".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+(?:>|\Z))|<[!?/][^>]*+(?:>|\Z)""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+#: What an element says of itself.
+_PLAIN, _BESIDE, _COMMENT, _HIDDEN = range(4)
 
 
 @dataclass(slots=True)
 class Node:
     tag: str
     parent: Node | None
-    around: bool = False
+    says: int = _PLAIN
     children: list[Node | str] = field(default_factory=list)
     chars: int = 0
     link_chars: int = 0
@@ -53,17 +65,38 @@ class Node:
     total: float = 0.0
 
 
-def _around(attributes: str) -> bool:
+def _named(name: str, alone: bool) -> int:
+    """What a class name or id says; with `alone`, only if it is one word."""
+    found = _PLAIN
+    parts = [x for x in re.split(r"[^a-z]+", name) if x]
+    if alone and len(parts) > 1:
+        return _PLAIN
+    for x in parts:
+        if x in _COMMENTS:
+            found = _COMMENT
+        elif x in _AROUND:
+            found = max(found, _BESIDE)
+        elif x not in _WITH:
+            return _PLAIN
+    return found
+
+
+def _says(tag: str, attributes: str) -> int:
+    found = _PLAIN
     for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-        if name == "style":
-            if re.search(r"display\s*:\s*none", value):
-                return True
-        elif name != "hidden" and any(word in _AROUND for word in re.split(r"[^a-z]+", value)):
-            return True
-    return False
+        name = m[1].lower()
+        if name not in ("class", "id", "role", "hidden", "aria-hidden", "style"):
+            continue
+        value = (m[2] or "").strip("\"'").lower()
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
+            return _HIDDEN
+        if name == "role" and value in _ROLES:
+            found = max(found, _BESIDE)
+        elif tag in INLINE or tag in _HEADINGS or (tag == "p" and name == "id"):
+            continue  # names of words and places in the text
+        elif name in ("class", "id"):
+            found = max([found, *(_named(x, tag == "p") for x in value.split())])
+    return found
 
 
 def parse(text: str) -> Node:
@@ -84,7 +117,7 @@ def parse(text: str) -> Node:
         if tag == "html":
             continue
         _imply(stack, tag)
-        node = Node(tag, stack[-1], _around(m[3]) if len(m[3]) > 4 else False)
+        node = Node(tag, stack[-1], _says(tag, m[3]) if len(m[3]) > 4 else _PLAIN)
         stack[-1].children.append(node)
         if tag in RAW:
             close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(text, at)
@@ -120,27 +153,21 @@ def _end(stack: list[Node], tag: str) -> None:
             return
 
 
-def _weigh(root: Node) -> list[Node]:
-    """Counts characters and tags bottom up; gives the nodes, parents first. Dropped elements are cut."""
+def _under(root: Node) -> list[Node]:
+    """The elements from `root` on, parents first."""
     order: list[Node] = []
     todo = [root]
     while todo:
         node = todo.pop()
         order.append(node)
         todo.extend(c for c in node.children if isinstance(c, Node))
-    holds = {id(n): n.tag in MAIN or n.tag == "body" for n in order}
-    for node in reversed(order):
-        if node.parent and holds[id(node)]:
-            holds[id(node.parent)] = True
-    cut = {id(n) for n in order if n.tag in DROPPED or (n.around and not holds[id(n)])}
+    return order
+
+
+def _count(order: list[Node]) -> None:
+    """Characters and tags of each element, linked and all, bottom up."""
     for node in order:
-        if cut:
-            node.children = [c for c in node.children if isinstance(c, str) or id(c) not in cut]
-    order, todo = [], [root]
-    while todo:
-        node = todo.pop()
-        order.append(node)
-        todo.extend(c for c in node.children if isinstance(c, Node))
+        node.chars = node.link_chars = node.tags = node.link_tags = 0
     for node in reversed(order):
         node.chars += sum(len("".join(c.split())) for c in node.children if isinstance(c, str))
         if node.tag == "a":
@@ -150,62 +177,80 @@ def _weigh(root: Node) -> list[Node]:
             up.link_chars += node.link_chars
             up.tags += node.tags + 1
             up.link_tags += node.link_tags + (node.tag == "a")
+
+
+def _weigh(root: Node) -> list[Node]:
+    """The elements, parents first, counted; those that aren't the article by their tag or name are cut."""
+    order = _under(root)
+    # what an element holds: 2 a page's main part, 1 an article
+    holds = {id(n): 2 if n.tag in ("main", "body", "h1") else 1 if n.tag == "article" and n.says == _PLAIN else 0 for n in order}
+    plain: dict[int, int] = {}
+    inside_article = {id(root): False}
+    for node in order[1:]:
+        inside_article[id(node)] = inside_article[id(node.parent)] or node.parent.tag == "article"
+    for node in reversed(order):
+        if node.tag not in DROPPED or node.tag == "form":
+            plain[id(node)] = sum(len(c) for c in node.children if isinstance(c, str)) + sum(plain.get(id(c), 0) for c in node.children if isinstance(c, Node))
+        if node.parent:
+            holds[id(node.parent)] = max(holds[id(node.parent)], holds[id(node)])
+
+    def goes(node: Node) -> bool:
+        if node.tag == "form":  # some pages are one form
+            return 2 * plain[id(node)] < plain[id(root)]
+        if node.tag in DROPPED:  # an article's own header is the title
+            return not (node.tag == "header" and inside_article[id(node)] and any(isinstance(c, Node) and c.tag in _HEADINGS for c in node.children))
+        return node.says == _HIDDEN or (node.says > _PLAIN and holds[id(node)] < node.says)
+
+    for node in order:
+        node.children = [c for c in node.children if isinstance(c, str) or not goes(c)]
+    order = _under(root)
+    _count(order)
     return order
 
 
 def _score(order: list[Node], body: Node) -> None:
     share = body.link_chars / max(body.chars, 1)
     for n in order:
+        n.density = 0.0
         if n.chars:
             plain = max(n.chars - n.link_chars, 1)
             base = math.log(n.chars / plain * n.link_chars + share * n.chars + math.e)
             ratio = n.chars / max(n.link_chars, 1) * max(n.tags, 1) / max(n.link_tags, 1)
-            n.density = max(0.0, n.chars / max(n.tags, 1) * math.log(max(ratio, 1.0)) / math.log(base) if base > 1.0 and math.log(base) > 0 and ratio > 1 else 0.0)
+            if ratio > 1:  # without any link the base is 1, which has no logarithm
+                n.density = n.chars / max(n.tags, 1) * math.log(ratio) / max(math.log(base), 0.1)
     for n in order:
-        n.total = sum(c.density for c in n.children if isinstance(c, Node))
-        if n.total == 0.0:
-            n.total = n.density
+        n.total = sum(c.density for c in n.children if isinstance(c, Node)) or n.density
 
 
-def main_nodes(root: Node) -> list[Node]:
-    """The core subtree and what goes with it, in page order."""
+def main_part(root: Node) -> Node:
+    """The tree of the page's article: what isn't of the core, nor goes with it, is cut."""
     order = _weigh(root)
     body = next((n for n in order if n.tag == "body"), root)
     if not body.chars:
         body = root
     _score(order, body)
-    inside = {id(body)}
-    under = [body]
-    for n in order:
-        if n.parent is not None and id(n.parent) in inside and n is not body:
-            inside.add(id(n))
-            under.append(n)
-    core = max((n for n in under if n.tag not in INLINE), key=lambda n: n.total)
+    # parents come first, so of equal sums the outermost element is the core
+    core = max((n for n in _under(body) if n.tag not in INLINE), key=lambda n: n.total)
     path = [core]
     while path[-1] is not body:
         path.append(path[-1].parent)
-    for n in path[1:]:  # an element that says it is the article is taken whole
-        if n.tag in MAIN:
-            core = n
-    if core.tag in MAIN:
-        return [core]
-    path = path[path.index(core) :]
     threshold = min(n.density for n in path)
-    found = [core]
-    for node, up in zip(path, path[1:], strict=False):
-        for c in up.children:
-            if isinstance(c, Node) and c is not node and c.density >= threshold and c.chars > 2 * c.link_chars and c.chars:
-                found.append(c)
-    place = {id(n): i for i, n in enumerate(_document_order(body))}
-    return sorted(found, key=lambda n: place[id(n)])
+    own = next((k for k in reversed(range(len(path))) if path[k].tag in MAIN), -1)
 
+    for k in range(1, len(path)):
+        within = k <= own
 
-def _document_order(root: Node) -> Iterator[Node]:
-    todo = [root]
-    while todo:
-        node = todo.pop()
-        yield node
-        todo.extend(c for c in reversed(node.children) if isinstance(c, Node))
+        def kept(c: Node | str, node: Node = path[k - 1], within: bool = within) -> bool:
+            if isinstance(c, str):
+                return within or len("".join(c.split())) >= max(threshold, 1.0)
+            if c is node:
+                return True
+            if 2 * c.link_chars >= c.chars:
+                return within and c.tag in _HEADINGS
+            return within or c.density >= (threshold if own < 0 or c.tag == "article" else max(threshold, path[own].density))
+
+        path[k].children = [c for c in path[k].children if kept(c)]
+    return body
 
 
 def _blocks(root: Node) -> Iterator[str]:
@@ -232,14 +277,15 @@ def _blocks(root: Node) -> Iterator[str]:
 
 def main_text(page: str) -> str:
     """The page's article, its blocks in page order joined by a line break; empty if there is none."""
-    return "\n".join(block for node in main_nodes(parse(page)) for block in _blocks(node))
+    return "\n".join(_blocks(main_part(parse(page))))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """`page_id, url, text, n_chars` for each row of `pages` (page_id, url, html, any others).
 
     A null or empty html, or one without article text, gives an empty text; a text without any tag is one
-    block. Whole pages are read, and nothing is capped. Repeated rows stay rows; nulls in other columns pass.
+    block. Whole pages are read, and nothing is capped. Of elements with equal density sums the outermost, then the last in the
+    page, is the core. Repeated rows stay rows; nulls in other columns pass.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -422,6 +422,48 @@ def test_html(page, text):
     assert htmltext.main_text(page) == text
 
 
+LINE = "Some words of an article that goes on for a while, as articles do, and then ends. "
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # readers' comments in article elements of their own
+        (f"<main><article><h1>T</h1><p>{LINE}<p>{LINE}</article><section id='comments'><article class='comment'><p>{LINE * 3}</article></section></main>", f"T\n{LINE}\n{LINE}"),
+        (f"<article><h1>T</h1><p>{LINE}<p>ok<div class='post-comments'><article><p>{LINE * 9}</article></div></article>", f"T\n{LINE}\nok"),
+        # names inside other names and values say nothing
+        (f"<div><p title='hidden gems of Rome'>{LINE}</p><p data-id='share'>{LINE}</p><p class='share-price'>{LINE}</p></div>", f"{LINE}\n{LINE}\n{LINE}"),
+        (f"<div class='legal-analysis'><h2 id='legal'>{LINE}</h2><p id='search'>{LINE}</p><p class='note'>{LINE}</p></div>", f"{LINE}\n{LINE}\n{LINE}"),
+        # without any telling tag or name: a menu, a sidebar, a footer
+        (
+            "<div><a href=1>Home</a> <a href=2>News</a> <a href=3>Sport</a></div><div><h1>A title of some words here</h1>"
+            + f"<p>{LINE * 3}</p><p>{LINE * 2}</p><p>Short.</p></div><div><h3>More</h3><ul><li><a href=4>One thing</a><li><a href=5>Other thing</a></ul><b>x</b><i>y</i></div><div>(c) <a href=6>us</a></div>",
+            f"A title of some words here\n{LINE * 3}\n{LINE * 2}\nShort.",
+        ),
+        # without any link at all
+        (f"<div><div>a</div><div>b</div><div>c</div><div>d</div></div><div><p>{LINE}</p><p>{LINE * 2}</p></div><div>e</div>", f"{LINE}\n{LINE * 2}"),
+        # an article in parts, a second one beside it, text between, an advert in a box without a name
+        (f"<div><article><h1>T</h1><div><p>{LINE * 3}<p>{LINE * 3}</div><p>end</article><article><p>{LINE * 2}<p>{LINE * 2}</article><div><i>buy</i> <b>this</b> <i>now</i></div></div>", f"T\n{LINE * 3}\n{LINE * 3}\nend\n{LINE * 2}\n{LINE * 2}"),
+        (f"<article><header><h1>Title</h1></header>Bare text <p>{LINE}</p> and more<footer>f</footer></article>", f"Title\nBare text\n{LINE}\nand more"),
+        (f"<form><div><p>{LINE}</p><p>{LINE}</p><input><select><option>o</select></div></form>", f"{LINE}\n{LINE}"),
+        (f"<div class='notice'>We use cookies on this page.</div><p hidden>{LINE}</p><div role=banner>b</div><div><p>{LINE}<p>{LINE}</div>", f"{LINE}\n{LINE}"),
+        # equal densities
+        ("<div><p>same</p></div><div><p>same</p></div>", "same\nsame"),
+    ],
+)
+def test_html_by_density(page, text):
+    assert htmltext.main_text(page) == "\n".join(x.strip() for x in text.split("\n"))
+
+
+def test_html_without_telling_tags(spark):
+    """The pages' articles are found by density alone, in elements that don't say what they are."""
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    plain = pages.withColumn("html", F.regexp_replace("html", "(</?)(article|nav)", "$1div"))
+    wanted = {r.page_id: r.text for r in htmltext.extract(pages).collect()}
+    got = {r.page_id: r.text for r in htmltext.extract(plain).collect()}
+    assert got == wanted
+
+
 def test_html_pages(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet").withColumn("n_chars", F.lit("clash"))
     odd = spark.createDataFrame([(None, None, None, "c"), (1, "u", "", "c"), (2, "u", "<p>" * 5000 + "deep", "c")], pages.schema)
