@@ -5,18 +5,20 @@ ranks of the benchmark's words, and a suffix array holds those positions at whic
 benchmark window can begin. Every test suffix is found in it by binary search: the positions
 between its bounds are the occurrences, and the neighbours give its longest verbatim match.
 Positions left out of the array can't begin a match: the run of benchmark words there is shorter
-than each window that starts with that word.
+than each window that starts with that word. Suffixes whose first two words occur at none of the positions left aren't
+searched. Where a document is hit, its longest verbatim match is found the other way, by searching the hit's suffix
+in the suffix array of the benchmark.
 """
 
 from __future__ import annotations
 
-import hashlib
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .textkernel import ALNUM, Words, slices, utf8, xxh64
@@ -34,10 +36,11 @@ class Suffixes:
     vocabulary: np.ndarray  # sorted word hashes; a word's id is its place here plus 1
     words: np.ndarray  # ids, items one after another, 0 after each
     item: np.ndarray  # item number of each place
-    items: list[int]  # item ids
+    items: list[int | None]  # item ids
     window_at: np.ndarray  # first place of each distinct window
     window_size: np.ndarray
     window_items: list[list[int]]  # the items that have it
+    order: np.ndarray  # suffix array of the items
     longest: int = field(init=False)  # words of the longest item
     needs: np.ndarray = field(init=False)  # by word id, the shortest window that starts with it
 
@@ -71,9 +74,10 @@ class Suffixes:
                     size.append(n)
                     of.append([])
                 held = of[seen[key]]
-                if not held or held[-1] != ids[k]:
+                if ids[k] is not None and (not held or held[-1] != ids[k]):
                     held.append(ids[k])
-        return cls(vocabulary, words, item, ids, np.array(at, np.int64), np.array(size, np.int64), of)
+        order = suffix_array(words, np.flatnonzero(words), int(_runs(words).max(initial=0)))
+        return cls(vocabulary, words, item, ids, np.array(at, np.int64), np.array(size, np.int64), of, order)
 
 
 def _runs(words: np.ndarray) -> np.ndarray:
@@ -164,13 +168,37 @@ class Shard:
         """(window, place) of each occurrence of each window."""
         if not len(self.order) or not len(block.window_at):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        low = search(self.words, self.order, block.words, block.window_at, block.window_size, False)
-        high = search(self.words, self.order, block.words, block.window_at, block.window_size, True)
+        pick = np.flatnonzero(self.begins(block))
+        at, size = block.window_at[pick], block.window_size[pick]
+        low = search(self.words, self.order, block.words, at, size, False)
+        high = search(self.words, self.order, block.words, at, size, True)
         n = high - low
-        window = np.repeat(np.arange(len(n)), n)
+        window = np.repeat(pick, n)
         k = np.arange(len(window)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
         return window, self.order[k]
 
+    def begins(self, block: Suffixes) -> np.ndarray:
+        """Which windows' first words, two if they have as many, occur where one can begin."""
+        wide = np.int64(len(block.vocabulary) + 1)
+        nxt = lambda words, at: words[np.minimum(at + 1, len(words) - 1)]
+        one, two = block.words[block.window_at], nxt(block.words, block.window_at)
+        here = self.words[self.order]
+        single = np.zeros(int(wide), bool)
+        single[here] = True
+        return np.where(block.window_size > 1, np.isin(one * wide + two, here * wide + nxt(self.words, self.order)), single[one])
+
+    def longest_from(self, place: np.ndarray, block: Suffixes) -> tuple[np.ndarray, np.ndarray]:
+        """For the suffix at each place, the words of its longest verbatim match and where in the block that begins."""
+        size = _runs(self.words)[place]
+        point = search(block.words, block.order, self.words, place, size, False)
+        best, where = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+        for k in (point - 1, point):
+            ok = np.flatnonzero((k >= 0) & (k < len(block.order)))
+            n = _match(block.words, block.order[k[ok]], self.words, place[ok], size[ok])
+            better = n > best[ok]
+            best[ok[better]], where[ok[better]] = n[better], block.order[k[ok[better]]]
+        return best, where
+
     def longest(self, block: Suffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For every test suffix: its place, the longest match's words, and where that begins (-1: none)."""
         at = np.flatnonzero(block.words)
@@ -186,7 +214,7 @@ class Shard:
         return at, best, where
 
 
-def _blocks(benchmark: DataFrame, limit: int) -> list[tuple[list[int], list[str | None]]]:
+def _blocks(benchmark: DataFrame, limit: int) -> Iterator[tuple[list[int | None], list[str | None]]]:
     """The benchmark in blocks of at most about `limit` bytes, one at a time on the driver."""
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // limit))
@@ -196,35 +224,61 @@ def _blocks(benchmark: DataFrame, limit: int) -> list[tuple[list[int], list[str
         yield [r.item_id for r in got], [r.text for r in got]
 
 
-def _mark(docs: DataFrame, block: Suffixes) -> DataFrame:
-    """`docs` with the benchmark block's hit runs and items added to `__hits` and `__items`."""
+_FOUND = "n_words long, hits array<long>, items array<long>, longest struct<n_words: long, doc_word: long, item_id: long, item_word: long>"
+
+
+def _marker(docs: DataFrame, block: Suffixes) -> Column:
+    """What the benchmark block finds in `text`; only the text passes to Python."""
     shared = docs.sparkSession.sparkContext.broadcast(block)
-    schema = docs.schema
+    place_of = np.searchsorted(block.item, np.arange(len(block.items)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: pa.Array) -> pa.Array:
         block = shared.value
-        for batch in batches:
-            for part in slices(batch, "text"):
-                shard = Shard(*utf8(part.column("text")), block)
-                window, place = shard.occurrences(block)
-                row = shard.row[place]
-                begin = place - shard.start(row)
-                end = begin + block.window_size[window]
-                hits = part.column("__hits").to_pylist()
-                items = part.column("__items").to_pylist()
-                by = np.lexsort((end, begin, row))
-                for r in np.unique(row):
-                    own = by[np.searchsorted(row[by], r) : np.searchsorted(row[by], r, side="right")]
-                    hits[r] = hits[r] + merged(begin[own], end[own])
-                    items[r] = sorted({*items[r], *(i for k in np.unique(window[own]) for i in block.window_items[k])})
-                own = {
-                    "__n_words": pa.array(shard.count, pa.int64()),
-                    "__hits": pa.array(hits, pa.list_(pa.int64())),
-                    "__items": pa.array(items, pa.list_(pa.int64())),
-                }
-                yield pa.RecordBatch.from_arrays([own.get(name, part.column(name) if name in part.schema.names else None) for name in schema.names], schema.names)
-
-    return docs.mapInArrow(run, schema)
+        count, hits, items, longest = [], [], [], []
+        for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text"):
+            shard = Shard(*utf8(part.column("text")), block)
+            window, place = shard.occurrences(block)
+            row = shard.row[place]
+            begin = place - shard.start(row)
+            end = begin + block.window_size[window]
+            size, where = shard.longest_from(place, block)
+            found: list[tuple] = [([], [], None)] * part.num_rows
+            by = np.lexsort((end, begin, row))
+            cut = np.searchsorted(row[by], np.append(np.unique(row), part.num_rows))
+            for a, b in itertools.pairwise(cut.tolist()):
+                own = by[a:b]
+                of = {i for k in np.unique(window[own]) for i in block.window_items[k]}
+                most = own[np.argmax(size[own])]  # the first of the longest
+                item = block.item[where[most]]
+                match = {"n_words": int(size[most]), "doc_word": int(begin[most]), "item_id": block.items[item], "item_word": int(where[most] - place_of[item])}
+                found[row[own[0]]] = merged(begin[own], end[own]), sorted(of), match
+            count.append(shard.count)
+            hits += [f[0] for f in found]
+            items += [f[1] for f in found]
+            longest += [f[2] for f in found]
+        kind = pa.struct([(n, pa.int64()) for n in ("n_words", "doc_word", "item_id", "item_word")])
+        longs = pa.list_(pa.int64())
+        return pa.StructArray.from_arrays(
+            [pa.array(np.concatenate([np.zeros(0, np.int64), *count]), pa.int64()), pa.array(hits, longs), pa.array(items, longs), pa.array(longest, kind)],
+            ["n_words", "hits", "items", "longest"],
+        )
+
+    return F.arrow_udf(run, _FOUND)(F.col("text"))
+
+
+def _union_of_runs(hits: Column) -> Column:
+    """Of several blocks' hit runs, how many words they cover together."""
+
+    def run(hits: pa.Array) -> pa.Array:
+        out = []
+        for flat in hits.to_pylist():
+            pairs = np.array(flat, np.int64).reshape(-1, 2)
+            pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+            own = np.array(merged(pairs[:, 0], pairs[:, 1]) if len(pairs) else [], np.int64)
+            out.append(int((own[1::2] - own[::2]).sum()))
+        return pa.array(out, pa.int64())
+
+    return F.arrow_udf(run, "long")(hits)
 
 
 def merged(begin: np.ndarray, end: np.ndarray) -> list[int]:
@@ -235,46 +289,46 @@ def merged(begin: np.ndarray, end: np.ndarray) -> list[int]:
     return np.stack([begin[new], reach[last]], 1).ravel().tolist()
 
 
+def _found(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
+    """`docs` with what each block finds in `__found`, an array."""
+    marks = [_marker(docs, Suffixes.build(ids, texts, window)) for ids, texts in _blocks(benchmark, block_bytes)]
+    # the text passes to Python once for all blocks; a generator in between keeps what they found from being found again
+    return docs.withColumn("__found", F.explode(F.array(F.array(*marks))))
+
+
+def _hit_words() -> Column:
+    return _union_of_runs(F.flatten("__found.hits"))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of `docs` with `n_words, n_hit, n_items, items_sha256, contaminated` after their columns.
+    """The rows of `docs` with `n_words, n_hit, n_items, items_sha256, contaminated, longest_match` after their columns.
 
     A document word is hit inside any occurrence of a window of `window` consecutive item words, or of
-    the whole item if it has fewer. `contaminated`: hits make up a twentieth of the words or more. Null
-    texts have no words, an empty or null item no window; items that share a text all count; repeated
+    the whole item if it has fewer. `contaminated`: hits make up a twentieth of the words or more. `longest_match` is
+    the longest verbatim match that begins at an occurrence: `n_words, doc_word, item_id, item_word`, places counted from 0,
+    null without one; of equally long ones the first in the document. Null texts have no words, an empty or null item no
+    window; items that share a text all count, those without an id hit words but aren't among the items; repeated
     documents each get their row. Columns of `docs` named like a result are replaced.
     """
-    added = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    keep = [c for c in docs.columns if c not in added and c != "text"]
-    longs = "array<long>"
-    marked = docs.select(*keep, "text", F.lit(0).cast("long").alias("__n_words"), F.array().cast(longs).alias("__hits"), F.array().cast(longs).alias("__items"))
-    for ids, texts in _blocks(benchmark, block_bytes):
-        marked = _mark(marked, Suffixes.build(ids, texts, window))
-    schema = marked.drop("__n_words", "__hits", "__items").schema
-    schema = schema.add("n_words", "long").add("n_hit", "long").add("n_items", "long").add("items_sha256", "string").add("contaminated", "boolean")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_words = batch.column("__n_words").to_numpy(zero_copy_only=False)
-            n_hit, n_items, digest = [], [], []
-            for hits, items in zip(batch.column("__hits").to_pylist(), batch.column("__items").to_pylist(), strict=True):
-                pairs = np.array(hits, np.int64).reshape(-1, 2)
-                pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-                flat = np.array(merged(pairs[:, 0], pairs[:, 1]) if len(pairs) else [], np.int64)
-                n_hit.append(int((flat[1::2] - flat[::2]).sum()))
-                n_items.append(len(items))
-                digest.append(hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest())
-            hit = np.array(n_hit, np.int64)
-            out = [batch.column(c) for c in [*keep, "text"]]
-            out += [pa.array(n_words, pa.int64()), pa.array(hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest, pa.string()), pa.array((hit > 0) & (20 * hit >= n_words))]
-            yield pa.RecordBatch.from_arrays(out, schema.names)
-
-    return marked.mapInArrow(run, schema).select(*(c for c in docs.columns if c not in added), *added)
+    added = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match"]
+    found = _found(docs, benchmark, window, block_bytes).withColumn("__hit", _hit_words())
+    items = F.array_distinct(F.flatten("__found.items"))
+    longest = F.array_max(F.transform("__found.longest", lambda x: F.struct(x["n_words"].alias("n"), (-x["doc_word"]).alias("at"), x.alias("x"))))["x"]
+    values = {
+        "n_words": F.col("__found")[0]["n_words"],
+        "n_hit": F.col("__hit"),
+        "n_items": F.size(items).cast("long"),
+        "items_sha256": F.sha2(F.array_join(F.array_sort(F.transform(items, lambda i: i.cast("string"))), ",").cast("binary"), 256),
+        "contaminated": (F.col("__hit") > 0) & (20 * F.col("__hit") >= F.col("__found")[0]["n_words"]),
+        "longest_match": longest,
+    }
+    return found.select(*(c for c in docs.columns if c not in added), *(v.alias(n) for n, v in values.items()))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of `docs` that aren't contaminated, with their columns."""
-    extra = docs.select(F.struct("*").alias("__row"), "text")
-    return contamination(extra, benchmark, window).where(~F.col("contaminated")).select("__row.*")
+    found = _found(docs, benchmark, window, BLOCK_BYTES).withColumn("__hit", _hit_words())
+    return found.where((F.col("__hit") == 0) | (20 * F.col("__hit") < F.col("__found")[0]["n_words"])).drop("__found", "__hit")
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -47,7 +47,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13)
-    return marked.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return marked.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -540,13 +540,13 @@ def test_contamination(spark, docs, nothing, block):
     token = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
     cut = lambda t: token.findall(lower(t))
     known = [r.text for r in docs.where("doc_id >= 100").orderBy("doc_id").collect()]
-    items = [(1, known[0]), (2, known[0]), (3, " ".join(known[3].split()[10:30])), (4, "one"), (5, ""), (6, None), (7, "w " * 40), (8, "never seen anywhere at all"), (9, "é ß 漢字")]
+    items = [(1, known[0]), (2, known[0]), (3, " ".join(known[3].split()[10:30])), (4, "one"), (5, ""), (6, None), (7, "w " * 40), (8, "never seen anywhere at all"), (9, "é ß 漢字"), (None, known[0]), (None, known[5]), (None, None)]
     benchmark = spark.createDataFrame([(*i, 0) for i in items], "item_id long, text string, n_hit int")
     windows = collections.defaultdict(set)
     for i, t in items:
         w = cut(t)
         for p in range(max(len(w) - 12, 1) if w else 0):
-            windows[tuple(w[p : p + 13])].add(i)
+            windows[tuple(w[p : p + 13])] |= {i} - {None}
     wanted = []
     for r in docs.collect():
         w, hit, found = cut(r.text), set(), set()
@@ -561,6 +561,21 @@ def test_contamination(spark, docs, nothing, block):
     columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     assert sorted(str(tuple(r)) for r in got.select(columns).collect()) == sorted(wanted)
     assert got.columns[: len(docs.columns)] == docs.columns
+    matched = 0
+    for r in got.collect():
+        w, best = cut(r.text), 0
+        for _, t in items:
+            v = cut(t)
+            for p, q in itertools.product(range(len(w)), range(len(v))) if r.n_hit and len(w) * len(v) < 10000 else ():
+                n = sum(1 for _ in itertools.takewhile(lambda x: x[0] == x[1], zip(w[p:], v[q:], strict=False)))
+                best = max(best, n) if n >= min(13, len(v)) else best
+        if best:
+            m, matched = r.longest_match, matched + 1
+            assert m.n_words == best
+            assert any(i == m.item_id and cut(t)[m.item_word : m.item_word + best] == w[m.doc_word : m.doc_word + best] for i, t in items)
+        elif not r.n_hit:
+            assert r.longest_match is None
+    assert matched > 3
     assert decontaminate.contamination(nothing, benchmark).count() == 0
     assert decontaminate.contamination(docs, benchmark.limit(0)).where("n_hit > 0 or contaminated").count() == 0
     assert decontaminate.decontaminate(docs, benchmark).columns == docs.columns
