@@ -164,8 +164,10 @@ def test_lm(spark, docs, nothing, limit):
 
 @pytest.mark.parametrize("shard_bytes", [lm.SHARD_BYTES, 2000])
 def test_lm_scores_do_not_depend_on_size(spark, docs, nothing, monkeypatch, shard_bytes):
-    """A model that is too large to broadcast gives the scores of one that isn't, false positives included."""
+    """A model that is too large to broadcast gives the scores of one that isn't, false positives included: of these
+    there are some only with fewer hash functions than a model takes."""
     monkeypatch.setattr(lm, "SHARD_BYTES", shard_bytes)
+    monkeypatch.setattr(lm, "probes", lambda distinct: 4)
     extra = [(2000 + i, " ".join(f"u{(i * 7 + k * k) % 301}" for k in range(80)), None, None, None) for i in range(60)]
     both = docs.drop("score").unionByName(spark.createDataFrame(extra, DOCS))
     wanted, got = (sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in lm.score_documents(both, limit).collect()) for limit in (None, 1))
@@ -180,11 +182,30 @@ def test_lm_filter_has_no_false_negative():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 2**63, 5000).astype(np.uint64))
     counts = rng.integers(1, 200, len(keys))
-    model = lm.Model(0, 0, b"", b"", lm.build_filter(keys, counts).tobytes(), [0])
+    model = lm.Model(0, 0, b"", b"", lm.build_filter(keys, counts, 5).tobytes(), [0], 5)
     assert (model.pair_level(keys) >= lm.levels(counts)).all()
     assert (model.pair_level(rng.integers(0, 2**63, 5000).astype(np.uint64)) > 0).mean() < 0.06
 
 
+def test_lm_probabilities_sum_to_one_at_most(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = lm.train(docs)
+    token, before, _ = lm.tokens(*textkernel.utf8(docs.select("text").toArrow().column("text")))
+    every = np.append(np.unique(token), np.uint64(12345))  # and one that was never seen
+    assert model.distinct == len(every) - 1 and model.total == len(token)
+    rng = np.random.default_rng(3)
+    count = model.token_count(every)
+    base = (count + 1) / (model.total + model.distinct + 1)
+    assert base.sum() == pytest.approx(1)
+    sums = []
+    for u in [*rng.choice(np.unique(before), 60), lm.START]:
+        c = model.token_count(np.array([lm.END if u == lm.START else u]))[0]
+        level = model.pair_level(lm.pairs(np.full(len(every), u), every))
+        mass = lm.MASS * max(c, 1) ** lm.POWER
+        sums.append(((np.minimum(np.where(level > 0, 2.0 ** (level - 1), 0), c) + mass * base) / (c + mass)).sum())
+    assert max(sums) <= 1 + 1e-9 and min(sums) > 0.6
+
+
 # --- 3
 
 
