@@ -224,7 +224,7 @@ def _blocks(benchmark: DataFrame, limit: int) -> Iterator[tuple[list[int | None]
         yield [r.item_id for r in got], [r.text for r in got]
 
 
-_FOUND = "n_words long, hits array<long>, items array<long>, longest struct<n_words: long, doc_word: long, item_id: long, item_word: long>"
+_FOUND = "n_words long, hits array<struct<begin: long, end: long>>, items array<long>, longest struct<n_words: long, doc_word: long, item_id: long, item_word: long>"
 
 
 def _marker(docs: DataFrame, block: Suffixes) -> Column:
@@ -257,36 +257,21 @@ def _marker(docs: DataFrame, block: Suffixes) -> Column:
             items += [f[1] for f in found]
             longest += [f[2] for f in found]
         kind = pa.struct([(n, pa.int64()) for n in ("n_words", "doc_word", "item_id", "item_word")])
-        longs = pa.list_(pa.int64())
+        runs = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
         return pa.StructArray.from_arrays(
-            [pa.array(np.concatenate([np.zeros(0, np.int64), *count]), pa.int64()), pa.array(hits, longs), pa.array(items, longs), pa.array(longest, kind)],
+            [pa.array(np.concatenate([np.zeros(0, np.int64), *count]), pa.int64()), pa.array(hits, runs), pa.array(items, pa.list_(pa.int64())), pa.array(longest, kind)],
             ["n_words", "hits", "items", "longest"],
         )
 
     return F.arrow_udf(run, _FOUND)(F.col("text"))
 
 
-def _union_of_runs(hits: Column) -> Column:
-    """Of several blocks' hit runs, how many words they cover together."""
-
-    def run(hits: pa.Array) -> pa.Array:
-        out = []
-        for flat in hits.to_pylist():
-            pairs = np.array(flat, np.int64).reshape(-1, 2)
-            pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-            own = np.array(merged(pairs[:, 0], pairs[:, 1]) if len(pairs) else [], np.int64)
-            out.append(int((own[1::2] - own[::2]).sum()))
-        return pa.array(out, pa.int64())
-
-    return F.arrow_udf(run, "long")(hits)
-
-
-def merged(begin: np.ndarray, end: np.ndarray) -> list[int]:
-    """Sorted runs, merged where they meet, as begin, end, begin, end ..."""
+def merged(begin: np.ndarray, end: np.ndarray) -> list[dict[str, int]]:
+    """Sorted runs, merged where they meet."""
     reach = np.maximum.accumulate(end)
     new = np.concatenate([[True], begin[1:] > reach[:-1]])
     last = np.append(np.flatnonzero(new)[1:] - 1, len(begin) - 1)
-    return np.stack([begin[new], reach[last]], 1).ravel().tolist()
+    return [{"begin": a, "end": b} for a, b in zip(begin[new].tolist(), reach[last].tolist(), strict=True)]
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
@@ -297,7 +282,12 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int)
 
 
 def _hit_words() -> Column:
-    return _union_of_runs(F.flatten("__found.hits"))
+    """Words that the hit runs of all blocks cover together; a block's own runs are apart."""
+    runs = F.array_sort(F.flatten("__found.hits"))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("reach"))
+    more = lambda a, x: F.greatest(F.lit(0).cast("long"), x["end"] - F.greatest(x["begin"], a["reach"]))
+    step = lambda a, x: F.struct((a["n"] + more(a, x)).alias("n"), F.greatest(a["reach"], x["end"]).alias("reach"))
+    return F.aggregate(runs, start, step)["n"]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:

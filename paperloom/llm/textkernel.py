@@ -7,6 +7,7 @@ Nothing in here depends on the size of a partition: callers feed slices of bound
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,8 +63,20 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = lambda _: 0
+
+
+def tidy() -> None:
+    """Gives memory that is free back to the system: workers are kept for later stages, and share their machine with those."""
+    pa.default_memory_pool().release_unused()
+    _trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows whose texts hold about `limit` bytes; a longer text is a run alone."""
+    """The batch in runs of rows whose texts hold about `limit` bytes; a longer text is a run alone. After the last, `tidy`."""
     if not batch.num_rows:
         return
     _, offsets = utf8(batch.column(column))
@@ -73,6 +86,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         to = min(max(to, at + 1), batch.num_rows)
         yield batch.slice(at, to - at)
         at = to
+    tidy()
 
 
 class Words:

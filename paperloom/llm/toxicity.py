@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import spread_text
+from .textkernel import tidy
 
 #: Bounds of the training sample: labelled rows, those of least hash, and code points of each; of a longer text,
 #: sixteen pieces from all over it train.
@@ -292,6 +293,7 @@ def scorer(docs: DataFrame, model: Model) -> Column:
         model = shared.value
         for batch in batches:
             yield pa.array([model.score(t.as_py() or "") for t in batch], pa.float64())
+            tidy()
 
     # evaluated once, wherever the column is used
     return F.arrow_udf(run, "double").asNondeterministic()(F.col("text"))
