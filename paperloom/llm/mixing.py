@@ -2,7 +2,9 @@
 
 A source's target is a number of words. Each of its documents first gets the whole copies that are
 certain, floor(target / source size). For the rest, documents are ranked by random odds divided by
-inclusion odds, and one more copy goes to the first in that order, a fixed-size sample in words.
+inclusion odds, and one more copy goes to the first in that order, a fixed-size sample in words. Inclusion
+probabilities are unequal: they fall with the root of a document's size, so that words come from more documents, and
+are scaled so that the expected words make up what is left of the target.
 Ranks come from a hash of the id, so reruns and other partitionings agree. The cut in each
 source's order is found with two histograms of 4,096 cells, both partially aggregated, and a
 window over the documents of one cell in 16 million, so a source with a third of all rows never
@@ -22,6 +24,8 @@ WEIGHTS = (5, 2, 1)
 #: A source's words are taken this many times at most.
 MOST = 3
 _CELLS = 4096
+#: Power of a document's size that its inclusion probability falls with; at 0 those of a source are equal.
+SHRINK = 0.5
 #: Sources up to which their values, some 100 bytes each, are broadcast to the documents; more are joined by shuffle.
 BROADCAST_SOURCES = 50_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -78,12 +82,16 @@ def mix(sizes: DataFrame, goals: DataFrame, seed: int = 42, odds: str | None = N
 
     `taken` is the document's words times its copies: those that are certain, and one more for the first
     documents in Pareto order that fit into the source's target, and for the one document that fills the rest best.
-    `odds` names a positive column of `sizes` that multiplies a document's inclusion odds. An empty
+    A document's inclusion probability is proportional to size^-SHRINK. `odds` names a positive column of `sizes` that
+    multiplies the odds of that. An empty
     or wordless document is never taken; a null source is a source; repeated rows each count and
     are cut one by one; rows without id share one rank, by size.
     """
     extra = [odds] if odds else []
-    goals = written(goals, "goals")
+    shrink = F.pow(F.greatest(F.col("size"), F.lit(1)).cast("double"), F.lit(-SHRINK))
+    # the words expected if each document were included with its size^-SHRINK
+    expected = sizes.groupBy("source").agg(F.sum(F.col("size") * shrink).alias("expected")).withColumnRenamed("source", "__source")
+    goals = written(goals.join(expected, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source"), "goals")
     few = goals.count() <= BROADCAST_SOURCES
 
     def per_source(rows: DataFrame, values: DataFrame, how: str) -> DataFrame:
@@ -96,11 +104,10 @@ def mix(sizes: DataFrame, goals: DataFrame, seed: int = 42, odds: str | None = N
     # a ratio of 3 may come out a rounding error below it
     whole = F.when(F.col("source_size") > 0, F.floor(ratio + 1e-12)).otherwise(0).cast("long")
     rows = rows.withColumn("whole", whole).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
-    share = F.least(F.greatest(F.col("rest") / F.greatest(F.col("source_size"), F.lit(1)), F.lit(1e-12)), F.lit(1 - 1e-12))
+    share = F.least(F.greatest(shrink * F.col("rest") / F.greatest(F.col("expected"), F.lit(1e-9)), F.lit(1e-12)), F.lit(1 - 1e-12))
     rows = rows.withColumn("rank", _order(seed, share / (1 - share) * (F.col(odds) if odds else F.lit(1.0))))
-    # cells by the random number's own order; ranks are monotone in it when odds are equal
     rows = rows.withColumn("first", F.least(F.floor(F.col("rank") * _CELLS), F.lit(_CELLS - 1)).cast("int"))
-    rows = written(rows.withColumn("second", F.least(F.floor((F.col("rank") * _CELLS - F.col("first")) * _CELLS), F.lit(_CELLS - 1)).cast("int")).drop(*extra), "mixing")
+    rows = written(rows.withColumn("second", F.least(F.floor((F.col("rank") * _CELLS - F.col("first")) * _CELLS), F.lit(_CELLS - 1)).cast("int")).drop("expected", *extra), "mixing")
 
     def cut(rows: DataFrame, by: list[str], cell: str, name: str) -> DataFrame:
         """The cell of each group in which the running size passes `rest`, and the size before it."""
@@ -141,7 +148,7 @@ def mix_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int =
 def mixture(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, seed: int = 42) -> DataFrame:
     """The documents that the mix takes, with `size, source_size, target, taken, copies` after the columns of `docs`.
 
-    Rows that share doc_id and size share their copies.
+    Rows that share doc_id and size share their copies. Columns of `docs` named like a result are replaced.
     """
     added = ["size", "source_size", "target", "taken", "copies"]
     docs = docs.drop(*added)

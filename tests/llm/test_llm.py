@@ -268,6 +268,42 @@ def test_mixing(spark, docs, nothing):
     assert mixing.mixture(docs).columns == [*docs.columns, "size", "source_size", "target", "taken", "copies"]
 
 
+def test_mixing_choice(spark):
+    """Which documents the mix takes, by Pareto ranks worked out in plain Python; shorter ones are likelier."""
+    rng = random.Random(31)
+    rows = [(i, f"s{i % 3}", rng.choice([1, 5, 20, 100, 400])) for i in range(3000)]
+    sizes = spark.createDataFrame(rows, "doc_id long, source string, size long").repartition(5)
+    hashes = {r.doc_id: r.h & (2**64 - 1) for r in sizes.select("doc_id", F.xxhash64("doc_id", F.lit(42)).alias("h")).collect()}
+    goals = [("s0", 0.3), ("s1", 1.0), ("s2", 2.6)]
+    total = {s: sum(z for _, t, z in rows if t == s) for s, _ in goals}
+    table = spark.createDataFrame([(s, total[s], f * total[s]) for s, f in goals], "source string, source_size long, target double")
+    got = {r.doc_id: r.taken for r in mixing.mix(sizes, table).collect()}
+    for s, f in goals:
+        mine = [(i, z) for i, t, z in rows if t == s]
+        whole = math.floor(f + 1e-12)
+        rest = (f - whole) * total[s]
+        expected = sum(z**0.5 for _, z in mine)
+
+        def rank(i, z, rest=rest, expected=expected):
+            share = min(max(z**-0.5 * rest / expected, 1e-12), 1 - 1e-12)
+            u = ((hashes[i] >> 11) + 0.5) / 2**53
+            q = u / (1 - u) / (share / (1 - share))
+            return q / (1 + q)
+
+        more, left = set(), rest
+        for i, z in sorted(mine, key=lambda x: rank(*x)):
+            if z > left:
+                break
+            more.add(i)
+            left -= z
+        extra = [i for i, z in mine if got[i] != z * (whole + (i in more))]
+        # besides those in order, one document at most, the one that fills the rest best
+        assert len(extra) <= 1 and all(i not in more and abs(left - dict(mine)[i]) < left for i in extra)
+        if 0 < rest:
+            share = lambda z: np.mean([i in more for i, y in mine if y == z])
+            assert share(1) > share(100) > 0
+
+
 def test_mixing_odds(spark):
     sizes = spark.range(4000).selectExpr("id as doc_id", "'s' as source", "1L as size", "case when id % 2 = 0 then 9.0 else 1.0 end as w")
     goals = spark.createDataFrame([("s", 4000, 2000.0)], "source string, source_size long, target double")
