@@ -16,13 +16,10 @@ def tokens(text: Column) -> Column:
 def rouge_n(pairs: DataFrame, n: int, keys: list[str], prediction: str = "prediction", reference: str = "reference") -> DataFrame:
     """`keys, precision, recall, f1` in percent with 4 places: the overlap of n-gram multisets."""
 
-    def grams(c: str) -> Column:
-        t = tokens(F.col(c))
-        last = F.size(t) - n + 1
-        return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(F.array().cast("array<string>"))
-
     def counted(c: str, name: str) -> DataFrame:
-        return pairs.select(*keys, F.explode(grams(c)).alias("g")).groupBy(*keys, "g").agg(F.count("*").alias(name))
+        words = pairs.select(*keys, tokens(F.col(c)).alias("t")).where(F.size("t") >= n)
+        gram = F.col("t") if n == 1 else F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), lambda i: F.array_join(F.slice("t", i, n), " "))
+        return words.select(*keys, F.explode(gram).alias("g")).groupBy(*keys, "g").agg(F.count("*").alias(name))
 
     both = counted(prediction, "p").join(counted(reference, "r"), [*keys, "g"], "full").groupBy(*keys).agg(
         F.sum(F.least(F.coalesce("p", F.lit(0)), F.coalesce("r", F.lit(0)))).alias("m"), F.coalesce(F.sum("p"), F.lit(0)).alias("p"), F.coalesce(F.sum("r"), F.lit(0)).alias("r")

@@ -22,9 +22,9 @@ def _before(c: str) -> Column:
 def same_style(part: Column | None = None) -> Column:
     """Any of the line, first-word and last-word styles agrees with the line before (`part`: of a part of the style)."""
     cut = (lambda s: s) if part is None else (lambda s: s % part)
-    line, first, last = F.col("Style"), F.col("Words.First.Style"), F.col("Words.Last.Style")
+    line, first = F.col("Style"), F.col("Words.First.Style")
     was = _before("Style"), _before("Words.Last.Style")
-    return (cut(was[0]) == cut(line)) | (cut(was[0]) == cut(first)) | (cut(was[1]) == cut(line)) | (cut(was[1]) == cut(first)) if last is not None else F.lit(False)
+    return (cut(was[0]) == cut(line)) | (cut(was[0]) == cut(first)) | (cut(was[1]) == cut(line)) | (cut(was[1]) == cut(first))
 
 
 def same_font_style() -> Column:

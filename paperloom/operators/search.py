@@ -14,6 +14,8 @@ from ..functions.text import query_text
 TOP_K, RERANK_K = 20, 10
 #: Query vectors' bytes that are broadcast at once; more queries are taken in blocks.
 QUERY_BYTES = 32 << 20
+#: Bytes of scores that are held at once.
+SCORE_BYTES = 64 << 20
 #: Places that scores are rounded to before they are compared, so that engines agree on ties.
 PLACES = 6
 
@@ -27,12 +29,13 @@ def top_k(queries: DataFrame, index: DataFrame, k: int = TOP_K, normalized: bool
     """`query_id, index, score, rank`: for each query (`query_id, embedding`) the k entries of `index` (`index, embedding`)
     of largest inner product, the smaller index first among equals; vectors are normalised unless they are.
 
-    The index stays where it is: each task multiplies its rows with a block of queries and passes on its own
-    k best, so k rows per query and task are shuffled.
+    The index stays where it is: each task multiplies some of its rows at a time with a block of queries and passes on its own
+    k best, so k rows per query and task are shuffled. Vectors that are null or not as long as the longest query take no part.
     """
-    rows = queries.select(F.col("query_id").cast("long"), "embedding")
-    size = rows.agg(F.sum(F.size("embedding")), F.count("*")).first()
-    blocks = max(1, -(-8 * (size[0] or 0) // QUERY_BYTES))
+    rows = queries.select(F.col("query_id").cast("long"), "embedding").where("embedding is not null")
+    total, dim = rows.agg(F.sum(F.size("embedding")), F.max(F.size("embedding"))).first()
+    rows = rows.where(F.size("embedding") == (dim or 0))
+    blocks = max(1, -(-8 * (total or 0) // QUERY_BYTES))
     spark, found = index.sparkSession, None
     for b in range(blocks):
         part = rows.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).orderBy("query_id").toArrow()
@@ -43,9 +46,8 @@ def top_k(queries: DataFrame, index: DataFrame, k: int = TOP_K, normalized: bool
             ids, q = shared.value
             best_score = np.full((len(ids), 0), 0.0)
             best_id = np.zeros((len(ids), 0), np.int64)
-            for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
+            step = max(k, SCORE_BYTES // (8 * max(len(ids), 1)))
+            for batch in (b.slice(at, step) for b in batches for at in range(0, b.num_rows if len(ids) else 0, step)):
                 m = _matrix(batch.column("embedding"))
                 m = m if normalized else _unit(m)
                 own = batch.column("index").to_numpy(zero_copy_only=False)
@@ -56,7 +58,8 @@ def top_k(queries: DataFrame, index: DataFrame, k: int = TOP_K, normalized: bool
             n = best_id.shape[1]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n).astype(np.int64)), pa.array(best_id.ravel()), pa.array(best_score.ravel())], ["query_id", "index", "score"])
 
-        local = index.select(F.col("index").cast("long").alias("index"), "embedding").mapInArrow(run, "query_id long, index long, score double")
+        entries = index.select(F.col("index").cast("long").alias("index"), "embedding").where(F.size("embedding") == (dim or 0))
+        local = entries.mapInArrow(run, "query_id long, index long, score double")
         found = local if found is None else found.unionByName(local)
     return ranked(found, "score", k, ["index"])
 
@@ -73,8 +76,10 @@ def ranked(hits: DataFrame, score: str, k: int, ties: list[str]) -> DataFrame:
 
 
 def with_entries(hits: DataFrame, index: DataFrame) -> DataFrame:
-    """Hits with their key, text and chunk ids; an unknown index has nulls and no chunks."""
-    rows = hits.join(index.select("index", "key", "text", "chunk_ids"), "index", "left")
+    """Hits with their key, text and chunk ids; an unknown index has nulls and no chunks. The few hits go to the index,
+    whose other entries aren't moved."""
+    found = index.select("index", "key", "text", "chunk_ids").join(hits.select("index").distinct(), "index", "left_semi")
+    rows = hits.join(found, "index", "left")
     return rows.withColumn("chunk_ids", F.coalesce("chunk_ids", F.array().cast("array<bigint>")))
 
 

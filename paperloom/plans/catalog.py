@@ -368,13 +368,15 @@ def _depth_sql(n: int) -> str:
 d{n} as (select user_id, structure, cnt, fp from g{n} where not (cnt = lo and cnt <> hi))"""
 
 
-_MINED = f"""{_SEQ}, d1 as (select user_id, m as structure, count(*) as cnt, min(pos) as fp from seq group by 1, 2), {_depth_sql(2)}, {_depth_sql(3)},
-mined as (select *, 1 as depth from d1 union all select *, 2 from d2 union all select *, 3 from d3),
+#: Depths that the SQL is written out for; the engine goes on to the number of distinct types, of which events have five.
+_DEPTHS = 6
+_MINED = f"""{_SEQ}, d1 as (select user_id, m as structure, count(*) as cnt, min(pos) as fp from seq group by 1, 2), {", ".join(map(_depth_sql, range(2, _DEPTHS + 1)))},
+mined as (select *, 1 as depth from d1 {" ".join(f"union all select *, {n} from d{n}" for n in range(2, _DEPTHS + 1))}),
 best as (select * from (select *, row_number() over (partition by user_id, depth, list_sort(string_split(structure, ' > ')) order by cnt desc, fp) as r from mined) where r = 1)"""
 
 
 def _mined(spark: SparkSession, d: str) -> DataFrame:
-    return structure.build_structures(_sequence(spark, d), ["user_id"], ["pos"], "m", 3)
+    return structure.build_structures(_sequence(spark, d), ["user_id"], ["pos"], "m")
 
 
 @query(f"with {_MINED} select user_id, depth, structure, cnt from mined")
@@ -588,8 +590,9 @@ select query_id, cast(place as int) as place, chunk_id, source, lang, n_chars fr
 def search_end_to_end(spark, d):
     """Retrieve 20, rerank to 10, keep what passes the quality gate, and return the first 3 chunks' fields."""
     docs = table(spark, d, "documents")
-    good = quality.quality_gate(docs.select("doc_id", "text")).where("is_good").select(F.col("doc_id").alias("index"))
-    hits = _reranked(spark, d).join(good, "index", "left_semi")
+    hits = _reranked(spark, d)
+    asked = docs.select("doc_id", "text").join(hits.select(F.col("index").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    hits = hits.join(quality.quality_gate(asked).where("is_good").select(F.col("doc_id").alias("index")), "index", "left_semi")
     chosen = search.first_chunks(hits, 3, "new_rank")
     found = search.lookup(chosen, docs.withColumnRenamed("doc_id", "chunk_id"))
     return found.select("query_id", "place", "chunk_id", "source", "lang", "n_chars")

@@ -104,12 +104,39 @@ def test_structures(spark):
     assert mined[3, ("A", "B", "none")] == 2
 
 
-def test_level_spec():
-    spec = structure.level_spec(["Chương XVI", "Điều 123. ", "none"], [["Chương XVI", "Điều 123. ", "none"], ["Điều 123. ", "123. "], ["123. ", "abc) "]])
-    assert list(spec) == ["Level 1", "Level 2", "Content"] or list(spec)[-1] == "Content"
+def _spec(spark, structures):
+    """Levels of one document, from (structure, cnt)."""
+    rows = spark.createDataFrame([(1, len(s), s, n) for s, n in structures], "doc_id long, depth int, structure array<string>, cnt long")
+    return [(r.level_name, r.markers) for r in structure.level_specs(rows).orderBy("level_ord").collect()]
+
+
+def test_level_spec(spark):
+    spec = dict(_spec(spark, [(["Chương XVI", "Điều 123. ", "none"], 3), (["Điều 123. ", "123. "], 2), (["123. ", "abc) "], 2)]))
+    assert list(spec)[-1] == "Content"
     assert "none" in spec["Content"]
 
 
+def test_level_specs_by_hand(spark):
+    abc = (["A", "B", "C"], 4)
+    # nothing to add: the deepest level joins the contents, the one before is the article
+    assert _spec(spark, [abc, (["A"], 9)]) == [("Article", ["A"]), ("Content", ["C", "B"])]
+    assert _spec(spark, [(["A"], 9)]) == [("Content", ["A"])]
+    # below B, on the level that C is beside, opened after the contents and folded into them
+    assert _spec(spark, [abc, (["B", "x"], 2)]) == [("Level 1", ["A"]), ("Article", ["B"]), ("Content", ["C", "x"])]
+    # two levels opened after the contents: one is left, so no level is the article
+    assert _spec(spark, [abc, (["B", "x"], 2), (["B", "y", "z"], 2)]) == [("Level 1", ["A"]), ("Level 2", ["B"]), ("Level 3", ["x", "y"]), ("Content", ["C", "z"])]
+    deep = (["A", "B", "C", "D", "E"], 1)
+    # three: the last but one of those left
+    assert _spec(spark, [deep, (["D", "w", "x", "y"], 1)]) == [("Level 1", ["A"]), ("Level 2", ["B"]), ("Level 3", ["C"]), ("Level 4", ["D"]), ("Level 6", ["x"]), ("Article", ["w"]), ("Content", ["E", "y"])]
+    # below the last marker only "none"; what overlaps the top structure or begins with its first marker adds nothing
+    assert _spec(spark, [abc, (["C", "none"], 1), (["C", "x"], 1), (["B", "A"], 1), (["A", "q"], 1)]) == [("Level 1", ["A"]), ("Article", ["B"]), ("Content", ["C", "none"])]
+    # a tail counts once, at the lowest place
+    assert _spec(spark, [deep, (["C", "t"], 1), (["B", "t"], 1)]) == [("Level 1", ["A"]), ("Level 2", ["B"]), ("Article", ["C"]), ("Content", ["E", "D", "t"])]
+    # of equal top structures the first by name, by count before that
+    assert _spec(spark, [(["B", "A"], 2), (["A", "B"], 2), (["C", "A"], 1)]) == [("Content", ["B", "A"])]
+    assert structure.level_specs(spark.createDataFrame([], "doc_id long, depth int, structure array<string>, cnt long")).count() == 0
+
+
 def test_golden_index(spark):
     """Records in the shape of a category corpus: order, keys, texts and provenance of the entries."""
     schema = "chunk_id long, Article string, Content struct<SubCategory:struct<Core:array<string>,Applied:array<string>>>"
