@@ -18,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import connected_components, star_edges
 from .ordered import with_successors
+from .sets import Sets, arrays, runs
 from .shared import written
 from .textkernel import mix, shingle_hashes, slices, utf8
 
@@ -153,19 +154,40 @@ def _signed(docs: DataFrame, hasher: MinHash) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fingerprint string, shingles array<long>")
 
 
-#: Members up to which a bucket's pairs are all verified.
-_PAIRS = 64
+#: Nodes of a bucket that one task compares with one another; a larger bucket is compared slice by slice.
+BLOCK = 1 << 11
+
+
+def _verified(members: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """`u, v`: spanning stars of the pairs of `members` (keys, node, root, shingles) that share the keys, are as similar as
+    asked, and aren't connected yet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs(batches, keys):
+            node, root = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("node", "root"))
+            sets = arrays(rows.column("shingles"))
+            index = Sets(sets, threshold)
+            us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i, x in enumerate(sets):
+                near = np.flatnonzero(index.similar(x) & (root != root[i]))
+                us.append(np.full(len(near), node[i]))
+                vs.append(node[near])
+            u, v = star_edges(np.concatenate(us), np.concatenate(vs))
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    rows = members.select(*keys, "node", "root", "shingles").repartition(*keys).sortWithinPartitions(*keys)
+    return rows.mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, hasher: MinHash | None = None) -> DataFrame:
     """`doc_id, fingerprint, component_id` per row: classes of texts linked by a Jaccard similarity of
     `threshold` or more over distinct shingles.
 
-    Equal fingerprints are one node, so copies are never paired. Nodes meet by signature band. A band
-    bucket of more than 64 nodes is split by each other band in turn, which nodes as similar as asked
-    share too; one that is still larger pairs its members with its least one and with their neighbours
-    in order, so that no group's pairs are all made. Exact Jaccard verifies each candidate. Null and
-    wordless texts are one class; a null doc_id never names one.
+    Equal fingerprints are one node, so copies are never paired. Nodes meet by signature band, and exact Jaccard verifies
+    what meets. Each node is first held against its bucket's least one. Buckets whose nodes these links don't
+    connect are then compared whole, by pairs of slices of BLOCK nodes if they are larger, so all that meet
+    are connected as their similarities say, and no group's pairs leave a task. Null and wordless texts are one class;
+    a null doc_id never names one; an empty table gives no row.
     """
     hasher = hasher or MinHash()
     signed = written(_signed(docs, hasher), "minhash")
@@ -174,37 +196,26 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, hasher: MinHash | N
         "minhash-nodes",
     )
     width = 4 * hasher.rows
-    bands = [F.substring("fingerprint", 1 + i * width, width) for i in range(hasher.bands)]
-    buckets = written(nodes.select("node", F.array(*bands).alias("all")).select("node", "all", F.posexplode("all").alias("band", "key")), "bands")
-    sizes = buckets.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    sized = buckets.join(sizes, ["band", "key"])
-
-    def pairs(rows: DataFrame, by: list[str]) -> DataFrame:
-        other = rows.select(*by, F.col("node").alias("v"))
-        return rows.select(*by, F.col("node").alias("u")).join(other, by).where("u < v").select("u", "v")
-
-    small = pairs(sized.where(F.col("n") <= _PAIRS), ["band", "key"])
-    finer = (
-        sized.where(F.col("n") > _PAIRS)
-        .select("node", "band", "key", F.posexplode("all").alias("band2", "key2"))
-        .where("band2 <> band")
-        .select("node", F.xxhash64("band", "key", "band2", "key2").alias("key"))
-    )
-    finer = finer.join(finer.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("v")).where("n > 1"), "key")
-    medium = pairs(finer.where(F.col("n") <= _PAIRS), ["key"])
-    large = finer.where(F.col("n") > _PAIRS)
-    star = large.where("node <> v").select(F.col("node").alias("u"), "v")
-    # neighbours in order, in salted ranges of the node id: a window never holds more than a slice of a bucket
-    salted = large.withColumn("salt", F.shiftright("node", 48))
-    from pyspark.sql import Window
-
-    chain = salted.select(F.col("node").alias("u"), F.lead("node").over(Window.partitionBy("key", "salt").orderBy("node")).alias("v")).where("v is not null")
-    found = small.union(medium).union(star).union(chain).distinct()
+    bands = [F.xxhash64(F.lit(i), F.substring("fingerprint", 1 + i * width, width)) for i in range(hasher.bands)]
+    keys = nodes.select("node", F.explode(F.array(*bands)).alias("key"))
+    shared = keys.groupBy("key").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1")
+    buckets = written(keys.join(shared, "key"), "minhash-buckets")
     sets = nodes.select("node", "shingles")
-    both = found.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    links = both.where(shared >= threshold * (F.size("a") + F.size("b") - shared)).select("u", "v")
+    # a node and the least of its bucket
+    pairs = buckets.where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+    both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
+    common = F.size(F.array_intersect("a", "b"))
+    links = written(both.where(common >= threshold * (F.size("a") + F.size("b") - common)).select("u", "v"), "minhash-links")
     roots = connected_components(links).select("node", "root")
+    rooted = buckets.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # a bucket matters if it holds more than one root; buckets of the same nodes are compared once
+    apart = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("same")).where("a <> b")
+    apart = apart.groupBy("n", "same").agg(F.min("key").alias("key")).withColumn("slices", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int"))
+    left = rooted.join(apart, "key").withColumn("slice", F.pmod(F.xxhash64("node", F.lit(1)), F.col("slices")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
+    left = left.select("key", "node", "root", "slice", other.alias("other")).select("key", "node", "root", F.least("slice", "other").alias("low"), F.greatest("slice", "other").alias("high"))
+    more = _verified(left.join(sets, "node"), ["key", "low", "high"], threshold)
+    roots = connected_components(links.union(more)).select("node", "root")
     labelled = written(nodes.join(roots, "node", "left").select("fingerprint", "least", F.coalesce("root", "node").alias("root")), "labelled")
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     return signed.select("doc_id", "fingerprint").join(labelled.join(least, "root").select("fingerprint", "component_id"), "fingerprint").select("doc_id", "fingerprint", "component_id")

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components, star_edges
 from .minhash import MinHash
+from .sets import Sets, arrays, runs
 from .shared import fresh_path, written
 from .textkernel import shingle_hashes, slices, utf8
 
@@ -354,27 +355,9 @@ def _shingle_sets(rows: DataFrame, words: int) -> DataFrame:
     return rows.select("doc_id", "root", "text").mapInArrow(run, "doc_id long, root long, shingles array<long>, n long")
 
 
-class Sets:
-    """Shingle sets that others are held against: all shingles sorted, with the set that each is of."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        self.size = np.array([len(x) for x in sets], np.int64)
-        shingles = np.concatenate([np.zeros(0, np.int64), *sets])
-        by = np.argsort(shingles, kind="stable")
-        self.shingles, self.of = shingles[by], np.repeat(np.arange(len(sets)), self.size)[by]
-
-    def similar(self, shingles: np.ndarray) -> np.ndarray:
-        """Which sets are as similar to this one as a near-duplicate; two empty ones are."""
-        low = np.searchsorted(self.shingles, shingles)
-        n = np.searchsorted(self.shingles, shingles, side="right") - low
-        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        shared = np.bincount(self.of[at], minlength=len(self.size))
-        return shared >= SIMILAR * (self.size + len(shingles) - shared)
-
-
 def first_kept(sets: list[np.ndarray]) -> np.ndarray:
     """Which of the sets stay if, in order, each goes that is similar to an earlier one that stays."""
-    index, stays = Sets(sets), np.ones(len(sets), bool)
+    index, stays = Sets(sets, SIMILAR), np.ones(len(sets), bool)
     for i, x in enumerate(sets):
         if stays[i]:
             near = index.similar(x)
@@ -383,37 +366,12 @@ def first_kept(sets: list[np.ndarray]) -> np.ndarray:
     return stays
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
-    """Each run of rows with equal keys, whole."""
-    held: list[pa.RecordBatch] = []
-    now = None
-    whole = lambda: pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in keys], 1)
-        cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1), [True]]))
-        for a, b in itertools.pairwise(cut.tolist()):
-            if held and tuple(key[a]) != now:
-                yield whole()
-                held = []
-            now = tuple(key[a])
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield whole()
-
-
-def _arrays(lists: pa.Array) -> list[np.ndarray]:
-    values = lists.values.to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
-    return [values[i:j] for i, j in itertools.pairwise(lists.offsets.to_numpy().tolist())]
-
-
 def _led(block: DataFrame) -> DataFrame:
     """`block` (doc_id, root, shingles, n) with `stays`, by what comes before in the same root."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches, ["root"]):
-            stays = first_kept(_arrays(rows.column("shingles")))
+        for rows in runs(batches, ["root"]):
+            stays = first_kept(arrays(rows.column("shingles")))
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(stays)], [*rows.schema.names, "stays"])
 
     rows = block.select("doc_id", "root", "shingles", "n").repartition("root").sortWithinPartitions("root", "doc_id")
@@ -424,11 +382,11 @@ def _met(leaders: DataFrame, others: DataFrame) -> DataFrame:
     """`others` (root, salt, doc_id, shingles, n) with `similar`: whether a leader of their slice is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches, ["root", "salt"]):
+        for rows in runs(batches, ["root", "salt"]):
             leads = rows.column("leads")
-            index = Sets(_arrays(rows.filter(leads).column("shingles")))
+            index = Sets(arrays(rows.filter(leads).column("shingles")), SIMILAR)
             rest = rows.filter(pa.compute.invert(leads))
-            similar = [bool(index.similar(x).any()) for x in _arrays(rest.column("shingles"))]
+            similar = [bool(index.similar(x).any()) for x in arrays(rest.column("shingles"))]
             yield pa.RecordBatch.from_arrays([*(rest.column(c) for c in ("doc_id", "root", "shingles", "n")), pa.array(similar, pa.bool_())], ["doc_id", "root", "shingles", "n", "similar"])
 
     columns = ["root", "salt", "doc_id", "shingles", "n"]

@@ -134,6 +134,37 @@ def test_minhash_near_duplicates(spark, docs):
         assert found[i] == min(found[j] for j in same) <= min(same), i
 
 
+@pytest.mark.parametrize("block", [None, 40])
+def test_minhash_large_buckets(spark, nothing, block, monkeypatch):
+    """Hundreds of different near copies, and chains of versions, are connected as their similarities say."""
+    if block:
+        monkeypatch.setattr(minhash, "BLOCK", block)
+    rng = random.Random(14)
+    base, texts = [f"w{rng.randrange(3000)}" for _ in range(300)], {}
+    for k in range(150):
+        w = list(base)
+        for at in rng.sample(range(300), rng.randint(1, 6)):
+            w[at] = f"e{rng.randrange(10**6)}"
+        texts[k] = " ".join(w)
+    w = [f"v{rng.randrange(3000)}" for _ in range(300)]
+    for k in range(120):
+        w[rng.randrange(300)] = f"f{rng.randrange(10**6)}"
+        texts[1000 + k] = " ".join(w)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame([(i, t, None, None, None) for i, t in texts.items()], DOCS)).collect()}
+    sets, root = {i: set(shingles(t, 5)) for i, t in texts.items()}, {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(texts, 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    assert got == {i: find(i) for i in texts}
+    assert minhash.near_duplicates(nothing).count() == 0
+
+
 # --- 2
 
 
