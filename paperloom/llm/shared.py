@@ -9,13 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
+#: The tables that this process has made, in order.
+_made: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder; in a local session without the setting, a temporary one."""
     where = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not where:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError(f"set {SETTING} to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="paperloom-")
         spark.conf.set(SETTING, where)
@@ -23,7 +25,22 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/paperloom/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_folder(spark)}/paperloom/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def made() -> int:
+    """How many tables have been made so far."""
+    return len(_made)
+
+
+def discard(spark: SparkSession, since: int, keep: int = 1) -> None:
+    """Deletes the tables made after the first `since`, but the last `keep`: for callers that read none of them any more."""
+    last = len(_made) - keep
+    for place in _made[since:last]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    del _made[since:last]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
