@@ -2,7 +2,10 @@
 
 Each stage takes what its predecessor kept and returns the documents that it keeps, with their
 columns; the last adds how many copies of each the mix takes. A stage's rows are written to the shared
-folder and read again, so a lost executor costs one stage at most.
+folder and read again, so a lost executor costs one stage at most; then what the stage made on its way is deleted.
+
+A null text is empty: not toxic, of no language, so it goes with the second stage. Of rows that share a doc_id copies go or
+stay together; a row without doc_id is never a near-duplicate. Extra columns pass, whatever their names.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from paperloom.llm import decontaminate, langid, mixing, simhash, toxicity
-from paperloom.llm.shared import written
+from paperloom.llm.shared import discard, made, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +32,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near: 0.8 or more alike over five-word shingles."""
+    """Near: 0.8 or more alike over five-word shingles, among what fingerprints or MinHash bands connect."""
     return simhash.keep_first(docs, limit=6, shingle=2)
 
 
@@ -56,6 +59,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
+    begun = made()
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(spark, begun)  # what the stage read and made, now that its rows are written
     return docs
