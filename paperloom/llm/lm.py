@@ -3,12 +3,15 @@
 Tokens are words and one end per text. Counts of tokens are kept exactly, those of token pairs are
 quantised: a pair that was seen c times goes into the filter once for each of the levels 1 to
 1 + floor(log2 c), and repeated membership probes, level by level, give its count back to
-within a factor of 2, from below but for the filter's false positives. These are kept rarer than one context in
-a hundred: an entry of the first level has log2 V + 7 hash functions, so that the V tokens that could follow a
-context add up to less than 1/128 of a false pair. A token's probability is the pair's share smoothed towards the token's
-own, and a context's probabilities sum to 1 at most, as quantised counts sum to c(u) at most:
+within a factor of 2, from below but for the filter's false positives. A token's probability is the
+pair's share smoothed towards the token's own:
 
-    p(w | u) = (c(u, w) + m(u) p(w)) / (c(u) + m(u)),   p(w) = (c(w) + 1) / (N + V + 1)
+    p(w | u) = (t(u) c(u, w) + m(u) p(w)) / (c(u) + m(u)),   p(w) = (c(w) + 1) / (N + V + 1)
+
+t(u) = c(u) / (g (c(u) + F)) takes off what false positives add: F is the false count that V tokens could show after a
+context, with four standard deviations to spare, and g what false levels add to a true count. So a context's
+probabilities sum to 1 at most; a context that is rarer than its false followers leaves the word to p(w). Exact counts have
+no F, and g = 1.
 
 where m(u) = MASS * c(u)^POWER follows how many different tokens a context has been seen with.
 
@@ -35,8 +38,8 @@ from .textkernel import Words, mix, slices, utf8, xxh64
 
 #: Weight of the smoothing distribution, in occurrences of the context.
 MASS, POWER = 4.0, 0.8
-#: Hash functions of an entry of the first level, besides log2 of the distinct tokens, and of one of a higher level.
-SPARE, HIGHER = 7, 12
+#: Hash functions of an entry of the first level, and of one of a higher level; filters are half full.
+FIRST, HIGHER = 7, 4
 #: Model bytes up to which it is broadcast.
 BROADCAST_BYTES = 256 << 20
 #: Tokens that are counted in a task before what is counted is passed on, and text bytes for each shard.
@@ -76,28 +79,35 @@ def levels(count: np.ndarray) -> np.ndarray:
     return np.frexp(np.asarray(count, np.float64))[1]
 
 
-def probes(distinct: int) -> int:
-    """Hash functions of a first level over which so many tokens can follow a context."""
-    return max(distinct - 1, 1).bit_length() + SPARE
+def inflation() -> float:
+    """What a count that is there shows on average, with false positives on the levels above its own."""
+    f = 2.0**-HIGHER
+    return 1 + f / (1 - 2 * f)
+
+
+def false_mass(distinct: int) -> float:
+    """The false count after a context, of `distinct` tokens that don't follow it; 4 standard deviations above what is expected."""
+    expected = distinct * 2.0**-FIRST
+    return expected + 4 * expected**0.5
 
 
-def _slots(keys: np.ndarray, level: int, bits: np.ndarray, first: int) -> Iterator[np.ndarray]:
+def _slots(keys: np.ndarray, level: int, bits: np.ndarray) -> Iterator[np.ndarray]:
     """The filter places of each key at a level, one hash function after another."""
     with np.errstate(over="ignore"):
         h = mix(keys + _U(level) * _U(0xD1342543DE82EF95))
         a, b = h, mix(h) | _U(1)
-        for _ in range(first if level == 1 else HIGHER):
+        for _ in range(FIRST if level == 1 else HIGHER):
             yield (a >> _U(16)) % bits
             a = a + b
 
 
-def build_filter(keys: np.ndarray, counts: np.ndarray, first: int) -> np.ndarray:
-    """The packed filter of one shard's pairs, half of its bits set; `first` functions on the first level."""
+def build_filter(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The packed filter of one shard's pairs, half of its bits set."""
     level = levels(counts)
-    size = max(64, int((len(keys) * first + int((level - 1).sum()) * HIGHER) / np.log(2)) + 7 & ~7)
+    size = max(64, int((len(keys) * FIRST + int((level - 1).sum()) * HIGHER) / np.log(2)) + 7 & ~7)
     bits = np.zeros(size, bool)
     for q in range(1, int(level.max(initial=0)) + 1):
-        for slot in _slots(keys[level >= q], q, _U(size), first):
+        for slot in _slots(keys[level >= q], q, _U(size)):
             bits[slot] = True
     return np.packbits(bits, bitorder="little")
 
@@ -112,7 +122,6 @@ class Model:
     token_counts: bytes
     filters: bytes
     starts: list[int]  # of each shard's filter; a shard is hash mod the number of shards
-    first: int  # hash functions of the first level
 
     def __post_init__(self) -> None:
         self.keys = np.frombuffer(self.token_keys, np.uint64)
@@ -122,7 +131,7 @@ class Model:
         self.size = np.diff(np.array([*self.starts, len(self.filters)], np.int64)).astype(np.uint64) * _U(8)
 
     def __reduce__(self):  # noqa: ANN204
-        return Model, (self.total, self.distinct, self.token_keys, self.token_counts, self.filters, self.starts, self.first)
+        return Model, (self.total, self.distinct, self.token_keys, self.token_counts, self.filters, self.starts)
 
     def token_count(self, token: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -141,7 +150,7 @@ class Model:
         while len(live):
             q += 1
             left = live
-            for k in range(self.first if q == 1 else HIGHER):
+            for k in range(FIRST if q == 1 else HIGHER):
                 # the places of later functions are worked out only for what is left
                 slot = self._slot(pair[left], q, k, self.size[shard[left]])
                 hit = (self.bytes[(self.at[shard[left]] + (slot >> _U(3))).astype(np.int64)] >> (slot & _U(7)).astype(np.uint8)) & 1
@@ -170,7 +179,8 @@ class Model:
         seen = np.where(level > 0, 2.0 ** (level - 1), 0.0)
         base = (count + 1) / (self.total + self.distinct + 1)
         mass = MASS * np.maximum(context, 1) ** POWER
-        p = (np.minimum(seen, context) + mass * base) / (context + mass)  # a pair is no more frequent than its context
+        trust = context / np.maximum(inflation() * (context + false_mass(self.distinct)), 1e-300)
+        p = (trust * np.minimum(seen, context) + mass * base) / (context + mass)  # a pair is no more frequent than its context
         add = lambda x: np.add.reduceat(x, begin[:-1]) if len(begin) > 1 else np.zeros(0)
         return {"n_tokens": np.diff(begin), "n_known": add((count > 0).astype(np.int64)), "base_score": add(np.log10(base)), "score": add(np.log10(p))}
 
@@ -227,8 +237,8 @@ def _merged(parts: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return key[new], np.add.reduceat(count[by], new, dtype=np.int64)
 
 
-def shard_counts(docs: DataFrame, shards: int) -> DataFrame:
-    """A row per shard that has any: `shard, total, distinct, tokens, token_counts, pairs, pair_counts`."""
+def shard_models(docs: DataFrame, shards: int) -> DataFrame:
+    """A row per shard that has any: `shard, total, tokens, token_counts, filter`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple]] = {}
@@ -239,36 +249,19 @@ def shard_counts(docs: DataFrame, shards: int) -> DataFrame:
             rows = held.pop(shard)
             key, count = _merged([r[:2] for r in rows])
             pair, seen = _merged([r[2:] for r in rows])
-            out = [pa.array([shard], pa.int32()), pa.array([int(count.sum())], pa.int64()), pa.array([len(key)], pa.int64())]
-            out += [pa.array([x.tobytes()], pa.binary()) for x in (key, count.astype(np.int64), pair, seen.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(out, ["shard", "total", "distinct", "tokens", "token_counts", "pairs", "pair_counts"])
-
-    return _counted(docs, shards).repartitionById(shards, F.col("shard")).mapInArrow(run, "shard int, total long, distinct long, tokens binary, token_counts binary, pairs binary, pair_counts binary")
-
-
-def shard_models(counts: DataFrame, first: int) -> DataFrame:
-    """`shard, total, tokens, token_counts, filter` of each row of `counts`."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                pair, seen = (np.frombuffer(row.column(c)[0].as_py(), t) for c, t in (("pairs", np.uint64), ("pair_counts", np.int64)))
-                made = pa.array([build_filter(pair, seen, first).tobytes()], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(row.column(c) for c in ("shard", "total", "tokens", "token_counts")), made], ["shard", "total", "tokens", "token_counts", "filter"])
+            out = [pa.array([shard], pa.int32()), pa.array([int(count.sum())], pa.int64())]
+            out += [pa.array([x.tobytes()], pa.binary()) for x in (key, count.astype(np.int64), build_filter(pair, seen))]
+            yield pa.RecordBatch.from_arrays(out, ["shard", "total", "tokens", "token_counts", "filter"])
 
-    return counts.select("shard", "total", "tokens", "token_counts", "pairs", "pair_counts").mapInArrow(run, "shard int, total long, tokens binary, token_counts binary, filter binary")
+    return _counted(docs, shards).repartitionById(shards, F.col("shard")).mapInArrow(run, "shard int, total long, tokens binary, token_counts binary, filter binary")
 
 
-def trained(docs: DataFrame) -> tuple[DataFrame, int, int]:
-    """The written shard models of all texts of `docs` (`text`), how many shards there are, and the first level's hash
-    functions; a shard without text has no row."""
+def trained(docs: DataFrame) -> tuple[DataFrame, int]:
+    """The written shard models of all texts of `docs` (`text`), and how many shards there are; one without text has no row."""
     texts = docs.select("text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
-    counts = written(shard_counts(texts, shards), "lm-shards")
-    first = probes(counts.agg(F.sum("distinct")).first()[0] or 0)
-    return written(shard_models(counts, first), "lm"), shards, first
+    return written(shard_models(texts, shards), "lm"), shards
 
 
 def train(docs: DataFrame, limit: int | None = None) -> Model | None:
@@ -276,7 +269,7 @@ def train(docs: DataFrame, limit: int | None = None) -> Model | None:
     return gathered(*trained(docs), limit)
 
 
-def gathered(rows: DataFrame, shards: int, first: int, limit: int | None = None) -> Model | None:
+def gathered(rows: DataFrame, shards: int, limit: int | None = None) -> Model | None:
     """The shard models as one, or None if they have more than `limit` bytes."""
     limit = BROADCAST_BYTES if limit is None else limit
     # the size is looked at before anything is collected
@@ -288,7 +281,7 @@ def gathered(rows: DataFrame, shards: int, first: int, limit: int | None = None)
         keys.append(np.frombuffer(r.tokens, np.uint64))
         counts.append(np.frombuffer(r.token_counts, np.int64))
         filters[r.shard] = bytes(r.filter)
-    empty = build_filter(np.zeros(0, np.uint64), np.zeros(0, np.int64), first).tobytes()
+    empty = build_filter(np.zeros(0, np.uint64), np.zeros(0, np.int64)).tobytes()
     for k in range(shards):
         starts.append(at)
         at += len(filters.setdefault(k, empty))
@@ -298,7 +291,7 @@ def gathered(rows: DataFrame, shards: int, first: int, limit: int | None = None)
     by = np.argsort(key)
     count = count[by]
     narrow = count.astype(np.uint32) if count.max(initial=0) < 1 << 32 else count
-    return Model(total, len(key), key[by].tobytes(), narrow.tobytes(), b"".join(filters.pop(k) for k in range(shards)), starts, first)
+    return Model(total, len(key), key[by].tobytes(), narrow.tobytes(), b"".join(filters.pop(k) for k in range(shards)), starts)
 
 
 # --- scoring
@@ -322,11 +315,11 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, _RESULT)
 
 
-def probed(seen: DataFrame, models: DataFrame, shards: int, first: int) -> DataFrame:
+def probed(seen: DataFrame, models: DataFrame, shards: int) -> DataFrame:
     """`seen` (pair, u, w, c2) with `level`, each pair's by the filter of its shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(0, 0, b"", b"", b"", [0], first)
+        model = Model(0, 0, b"", b"", b"", [0])
         now = -1
         for batch in batches:
             shard = batch.column("shard").to_numpy(zero_copy_only=False)
@@ -334,7 +327,7 @@ def probed(seen: DataFrame, models: DataFrame, shards: int, first: int) -> DataF
                 rows = batch.slice(a, b - a)
                 if shard[a] != now:  # a shard's filter comes before its pairs; without one, no pair was seen
                     now, held = shard[a], rows.column("filter")[0].as_py()
-                    model = Model(0, 0, b"", b"", held or b"", [0], first)
+                    model = Model(0, 0, b"", b"", held or b"", [0])
                 rows = rows.filter(pa.compute.is_valid(rows.column("pair")))
                 level = model.pair_level(rows.column("pair").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("pair", "u", "w", "c2")), pa.array(level)], ["pair", "u", "w", "c2", "level"])
@@ -348,7 +341,7 @@ def probed(seen: DataFrame, models: DataFrame, shards: int, first: int) -> DataF
     return rows.mapInArrow(run, "pair long, u long, w long, c2 long, level long")
 
 
-def scored_by_joins(docs: DataFrame, models: DataFrame | None = None, shards: int = 1, first: int = 1) -> DataFrame:
+def scored_by_joins(docs: DataFrame, models: DataFrame | None = None, shards: int = 1) -> DataFrame:
     """Scores without broadcasting a model: a row per text and distinct pair, joined with the pair's probability. The filters
     in `models` give pairs' levels as a broadcast one does; without them, levels come from the exact counts."""
 
@@ -368,7 +361,7 @@ def scored_by_joins(docs: DataFrame, models: DataFrame | None = None, shards: in
     numbered = written(docs.select("doc_id", "held_out", "text").withColumn("row", F.monotonically_increasing_id()), "lm-texts")
     rows = written(numbered.select("row", "held_out", "text").mapInArrow(run, "row long, held_out boolean, u long, w long, pair long, n long"), "lm-pairs")
     seen = rows.groupBy("pair", "u", "w").agg(F.sum(F.when(~F.col("held_out"), F.col("n")).otherwise(0)).alias("c2"))
-    seen = seen.withColumn("level", F.when(F.col("c2") > 0, F.floor(F.log2("c2") + 1e-12) + 1).otherwise(0)) if models is None else probed(seen, models, shards, first)
+    seen = seen.withColumn("level", F.when(F.col("c2") > 0, F.floor(F.log2("c2") + 1e-12) + 1).otherwise(0)) if models is None else probed(seen, models, shards)
     seen = written(seen, "lm-counts")
     token = seen.groupBy("w").agg(F.sum("c2").alias("c"))
     context = seen.groupBy("u").agg(F.sum("c2").alias("cu"))
@@ -376,7 +369,8 @@ def scored_by_joins(docs: DataFrame, models: DataFrame | None = None, shards: in
     base = (F.col("c") + 1) / F.lit(float(total + distinct + 1))
     count = F.when(F.col("level") > 0, F.pow(F.lit(2.0), F.col("level") - 1)).otherwise(0.0)
     mass = MASS * F.pow(F.greatest(F.col("cu"), F.lit(1)).cast("double"), F.lit(POWER))
-    p = (F.least(count, F.col("cu").cast("double")) + mass * base) / (F.col("cu") + mass)  # a pair is no more frequent than its context
+    trust = F.lit(1.0) if models is None else F.col("cu") / F.greatest(F.lit(inflation()) * (F.col("cu") + F.lit(false_mass(distinct))), F.lit(1e-300))
+    p = (trust * F.least(count, F.col("cu").cast("double")) + mass * base) / (F.col("cu") + mass)  # a pair is no more frequent than its context
     scored_pairs = seen.join(token, "w").join(context, "u").select("pair", (F.col("c") > 0).cast("long").alias("known"), F.log10(base).alias("base"), F.log10(p).alias("score"))
     sums = rows.select("row", "pair", "n").join(scored_pairs, "pair").groupBy("row").agg(F.sum("n").alias("n_tokens"), F.sum(F.col("n") * F.col("known")).alias("n_known"), F.sum(F.col("n") * F.col("base")).alias("base_score"), F.sum(F.col("n") * F.col("score")).alias("score"))
     return numbered.select("row", "doc_id", "held_out").join(sums, "row").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
