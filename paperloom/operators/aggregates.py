@@ -23,13 +23,32 @@ def ranked_frequency(rows: DataFrame, keys: list[str], value: str, position: str
     return frequency(rows, keys, value, position).withColumn("rank", F.row_number().over(w))
 
 
-def global_numbers(rows: DataFrame, order: list[str], name: str, start: int = 0, ranges: int = 64) -> DataFrame:
+def union_sets(*columns: DataFrame) -> DataFrame:
+    """The distinct rows of one-column tables, under the first one's name."""
+    out = columns[0]
+    for more in columns[1:]:
+        out = out.union(more)
+    return out.distinct()
+
+
+def ordered_distinct(rows: DataFrame, value: str, position: str) -> DataFrame:
+    """`value, first_pos, cnt`: each value with where it comes first."""
+    return rows.groupBy(value).agg(F.min(position).alias("first_pos"), F.count("*").alias("cnt"))
+
+
+#: Rows of a range that are numbered in one task, and how many ranges there may be.
+RANGE_ROWS, RANGES = 500_000, 8192
+
+
+def global_numbers(rows: DataFrame, order: list[str], name: str, start: int = 0, ranges: int | None = None) -> DataFrame:
     """`rows` numbered in the order of `order`, whose first column is an integer that isn't null.
 
-    Rows are numbered inside ranges of that column, and the ranges' sizes give the offsets; no window holds all rows.
+    Rows are numbered inside ranges of that column, as many as the rows ask for, and the ranges' sizes give the offsets; no
+    window holds all rows.
     """
+    ranges = ranges or min(RANGES, max(8, -(-rows.count() // RANGE_ROWS)))
     shares = [i / ranges for i in range(1, ranges)]
-    cuts = sorted(set(rows.agg(F.percentile_approx(F.col(order[0]).cast("long"), shares)).first()[0] or []))
+    cuts = sorted(set(rows.agg(F.percentile_approx(F.col(order[0]).cast("long"), shares, max(10000, 20 * ranges))).first()[0] or []))
     bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda b: b <= F.col(order[0]))) if cuts else F.lit(0)
     ranged = rows.withColumn("__range", bucket)
     sizes = ranged.groupBy("__range").agg(F.count("*").alias("n"))  # a row per range

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +52,76 @@ def rouge_l():  # noqa: ANN201
     return rouge
 
 
+def _words(text: str | None) -> list[str]:
+    return re.findall("[a-z0-9]+", (text or "").lower())
+
+
+def _common(x: list[str], y: list[str]) -> set[int]:
+    """Places in x of a longest common subsequence with y."""
+    best = np.zeros((len(x) + 1, len(y) + 1), np.int32)
+    for i, w in enumerate(x):
+        for j, v in enumerate(y):
+            best[i + 1, j + 1] = best[i, j] + 1 if w == v else max(best[i, j + 1], best[i + 1, j])
+    found, i, j = set(), len(x), len(y)
+    while i and j:
+        if x[i - 1] == y[j - 1]:
+            found.add(i - 1)
+            i, j = i - 1, j - 1
+        elif best[i, j - 1] > best[i - 1, j]:
+            j -= 1
+        else:
+            i -= 1
+    return found
+
+
+def rouge_lsum():  # noqa: ANN201
+    """A pandas UDF of prediction and reference: the F-measure, in percent, of ROUGE-L over lines: of each line of the
+    reference the words that a longest common subsequence with any line of the prediction has, a word counting no
+    more often than either text has it."""
+
+    def score(prediction: str, reference: str) -> float:
+        ours, theirs = ([w for line in (t or "").split("\n") if (w := _words(line))] for t in (prediction, reference))
+        left = [Counter(w for line in t for w in line) for t in (ours, theirs)]
+        hits = 0
+        for line in theirs:
+            for at in sorted(set().union(*(_common(line, other) for other in ours))):
+                if all(c[line[at]] > 0 for c in left):
+                    hits += 1
+                    for c in left:
+                        c[line[at]] -= 1
+        n = sum(map(len, ours)) + sum(map(len, theirs))
+        return round(200.0 * hits / n, 4) if n else 0.0
+
+    @F.pandas_udf("double")
+    def rouge(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([score(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return rouge
+
+
+#: Tokens that a model's input and its target have at most.
+INPUT_TOKENS, TARGET_TOKENS = 512, 128
+
+
+def tokenize(rows: DataFrame, source: str, target: str, vocabulary: str, prefix: str = "", most: tuple[int, int] = (INPUT_TOKENS, TARGET_TOKENS)) -> DataFrame:
+    """`rows` with `input_ids` and `labels`: the pieces of both columns by a sentencepiece model, and its end of text,
+    cut to as many as the model takes. `vocabulary` is a path that all executors can open."""
+
+    def ids(limit: int, before: str) -> Callable[[Column], Column]:
+        @F.pandas_udf("array<int>")
+        def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            import sentencepiece
+
+            model = sentencepiece.SentencePieceProcessor(model_file=vocabulary)
+            end = [model.eos_id()] if model.eos_id() >= 0 else []
+            for texts in batches:
+                yield pd.Series([model.encode(before + (t or ""))[: limit - len(end)] + end for t in texts])
+
+        return encode
+
+    return rows.withColumn("input_ids", ids(most[0], prefix)(F.col(source))).withColumn("labels", ids(most[1], "")(F.col(target)))
+
+
 def split_train(rows: DataFrame, key: str, share: float = 0.9, seed: int = 42) -> DataFrame:
     """`rows` with `split`, train or validation, by a hash of the key."""
     place = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1000))

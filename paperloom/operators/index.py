@@ -32,6 +32,13 @@ def deduplicate(pairs: DataFrame, chunk: str = "chunk_id", order: str = "ord") -
     return out.select("base_key", "text", "f.key", "chunk_ids", F.col(f"f.{chunk}").alias("first_chunk"), F.col(f"f.{order}").alias("first_ord"))
 
 
+def deduplicate_by_key(pairs: DataFrame, order: str = "ord") -> DataFrame:
+    """The first pair of each base path and text that isn't blank, without where else it is."""
+    rows = pairs.withColumn("text", F.trim("text")).where("text <> ''")
+    kept = rows.groupBy("base_key", "text").agg(F.min(F.struct(order, "key")).alias("f"))
+    return kept.select("base_key", F.col("f.key").alias("key"), "text", F.col(f"f.{order}").alias(order))
+
+
 def number(entries: DataFrame) -> DataFrame:
     """`entries` with `index` from 0 in order of first occurrence."""
     return global_numbers(entries, ["first_chunk", "first_ord", "base_key", "text"], "index")
@@ -43,4 +50,7 @@ def build(records: DataFrame, id_col: str, schema: DataFrame | None = None, enco
     pairs = flatten(records, id_col, mode).withColumn("text", clean(F.col("text"), max_chars)).withColumnRenamed(id_col, "chunk_id")
     entries = number(deduplicate(eligible(pairs, schema)))
     out = entries.select("index", "base_key", "key", "text", "chunk_ids")
-    return out if encode is None else out.withColumn("embedding", normalize(encode(F.col("text"))))
+    if encode is None:
+        return out
+    # an encoder in Python can't be inside the lambdas of the norm, so its vectors are a column first
+    return out.withColumn("embedding", encode(F.col("text"))).withColumn("embedding", normalize(F.col("embedding")))

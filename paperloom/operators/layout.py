@@ -5,6 +5,8 @@ Every window is partitioned by doc_id, so one shuffle on it serves the whole cha
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -38,11 +40,11 @@ def line_words(spans: Column) -> Column:
     return F.flatten(F.transform(full, lambda s: F.transform(tx.words(s["text"]), lambda w: F.struct(w.alias("word"), s["size"].alias("size"), s["flags"].alias("flags"), s["bbox"].alias("bbox")))))
 
 
-def line_features(lines: DataFrame, full_case_style: bool = False) -> DataFrame:
+def line_features(lines: DataFrame, full_case_style: bool = False, exceptions: Sequence[str] = ()) -> DataFrame:
     """Marker, style, font size, first and last word and box of each line of `span_lines`.
 
     The case part of a line's style is 1000; with `full_case_style` it is the least of its words' case styles,
-    abbreviations left out.
+    abbreviations and the words in `exceptions`, in whatever case, left out.
     """
     rows = lines.withColumn("__w", line_words(F.col("spans")))
 
@@ -59,7 +61,8 @@ def line_features(lines: DataFrame, full_case_style: bool = False) -> DataFrame:
     every = lambda bit: F.forall("spans", lambda s: tx.has_flag(s["flags"], bit)).cast("int")
     case = F.lit(1000)
     if full_case_style:
-        plain = F.filter("__w", lambda w: ~tx.is_abbreviation(w["word"]))
+        known = [e.lower() for e in exceptions]
+        plain = F.filter("__w", lambda w: ~tx.is_abbreviation(w["word"]) & ~F.lower(tx.normalize_word(w["word"])).isin(known))
         case = F.coalesce(F.array_min(F.transform(plain, lambda w: tx.case_style(w["word"]))), F.lit(1000))
     x0 = F.when(some, round_half_up(F.element_at("__w", 1)["bbox"]["x0"])).otherwise(0.0)
     x1 = F.when(some, round_half_up(F.element_at("__w", -1)["bbox"]["x1"])).otherwise(0.0)
@@ -74,14 +77,17 @@ def line_features(lines: DataFrame, full_case_style: bool = False) -> DataFrame:
         "MarkerText",
         tx.marker_type(F.col("MarkerText")).alias("MarkerType"),
         (case + every(16) * 100 + every(2) * 10 + every(8)).alias("Style"),
-        F.when(some, F.floor(mean * 2 + 0.5) / 2).otherwise(12.0).alias("FontSize"),
+        F.when(some, F.bround(mean * 2) / 2).otherwise(12.0).alias("FontSize"),
         F.struct(word(1).alias("First"), word(-1).alias("Last")).alias("Words"),
         F.struct(x0.alias("X0"), x1.alias("X1"), round_half_up((x0 + x1) / 2).alias("XM"), low.alias("Y0"), high.alias("Y1")).alias("Coords"),
     )
 
 
-def roman_run_fix(lines: DataFrame) -> DataFrame:
-    """`lines` with MarkerType's Roman numeral as ABC where a type's leading Roman markers aren't a gapless run without repeats."""
+def roman_run_fix(lines: DataFrame, mode: str = "marker", replace_with: str = "ABC") -> DataFrame:
+    """`lines` with MarkerType's Roman numeral as `replace_with` where a type's leading Roman markers aren't a gapless run
+    without repeats; with mode "text", those of MarkerText and Text too."""
+    if mode not in ("marker", "text"):
+        raise ValueError(f"no such mode: {mode}")
     numeral = F.nullif(F.regexp_extract("MarkerText", r"(?U)\b([IVXLC]+)\b", 1), F.lit(""))
     marked = F.col("MarkerType").isNotNull() & (F.col("MarkerText") != "")
     by = Window.partitionBy("doc_id", "MarkerType")
@@ -92,15 +98,27 @@ def roman_run_fix(lines: DataFrame) -> DataFrame:
     count, least, most = F.count(mine).over(by), F.min(mine).over(by), F.max(mine).over(by)
     distinct = F.size(F.collect_set(mine).over(by))
     good = (count == most - least + 1) & (count == distinct)
-    fixed = F.when(F.col("__lead") & ~good, F.regexp_replace("MarkerType", r"(?U)\b[IVXLC]+\b", "ABC")).otherwise(F.col("MarkerType"))
-    return rows.withColumn("MarkerType", fixed).drop("__n", "__lead")
+    # the types are windows' keys, so what is wrong is settled before any of them changes
+    rows = rows.withColumn("__wrong", F.col("__lead") & ~good)
+    names = ("MarkerType",) if mode == "marker" else ("MarkerType", "MarkerText", "Text")
+    fixed = {c: F.when(F.col("__wrong"), F.regexp_replace(c, r"(?U)\b[IVXLC]+\b", replace_with)).otherwise(F.col(c)) for c in names}
+    return rows.withColumns(fixed).drop("__n", "__lead", "__wrong")
+
+
+def page_sizes(pages: DataFrame) -> DataFrame:
+    """`doc_id, pageWidth, pageHeight` of each document's first page, from `doc_id, page_no, width, height`."""
+    return pages.groupBy("doc_id").agg(F.min_by(F.struct("width", "height"), "page_no").alias("s")).select("doc_id", F.col("s.width").cast("double").alias("pageWidth"), F.col("s.height").cast("double").alias("pageHeight"))
 
 
-def page_coords(lines: DataFrame, page_width: float = PAGE_WIDTH) -> DataFrame:
-    """A row per document: the text region, `xStart, yStart, xEnd, yEnd, xMid, yMid, regionWidth, regionHeight`."""
+def page_coords(lines: DataFrame, page_width: float = PAGE_WIDTH, sizes: DataFrame | None = None) -> DataFrame:
+    """A row per document: the text region, `xStart, yStart, xEnd, yEnd, xMid, yMid, regionWidth, regionHeight`. A document
+    that `sizes` (as `page_sizes` gives them) hasn't is `page_width` wide."""
     flat = lines.select("doc_id", "Line", F.col("Coords.X0").alias("x0"), F.col("Coords.X1").alias("x1"), F.col("Coords.Y0").alias("y0"), F.col("Coords.Y1").alias("y1"))
     left = mode_first_seen(flat, ["doc_id"], "x0", "Line", "xStart")
-    right = mode_first_seen(flat.where(F.col("x1") >= 0.75 * page_width), ["doc_id"], "x1", "Line", "__right")
+    width = F.lit(float(page_width))
+    if sizes is not None:
+        flat, width = flat.join(sizes.select("doc_id", "pageWidth"), "doc_id", "left"), F.coalesce("pageWidth", width)
+    right = mode_first_seen(flat.where(F.col("x1") >= 0.75 * width), ["doc_id"], "x1", "Line", "__right")
     ends = flat.groupBy("doc_id").agg(F.min("y0").alias("yStart"), F.max("y1").alias("yEnd"), F.max("x1").alias("__most"))
     rows = ends.join(left, "doc_id").join(right, "doc_id", "left").withColumn("xEnd", F.coalesce("__right", "__most"))
     return rows.select(
@@ -117,10 +135,12 @@ def page_coords(lines: DataFrame, page_width: float = PAGE_WIDTH) -> DataFrame:
 
 
 def common_markers(rows: DataFrame, order: str = "Line") -> DataFrame:
-    """`doc_id, MarkerType, cnt, rank`: of each document's ten most frequent marker types those of at least 0.5% of its rows."""
+    """`doc_id, MarkerType, cnt, rank`: of each document's ten most frequent marker types those of at least 0.5% of its rows;
+    of paragraphs that many, rounded down, or one."""
+    least = F.greatest(F.lit(1), F.floor(F.col("total") * 0.005)) if order == "Paragraph" else F.col("total") * 0.005
     total = rows.groupBy("doc_id").agg(F.count("*").alias("total"))
     top = ranked_frequency(rows.where("MarkerType <> ''"), ["doc_id"], "MarkerType", order).where("rank <= 10")
-    return top.join(total, "doc_id").where("cnt >= total * 0.005").select("doc_id", "MarkerType", "cnt", "rank")
+    return top.join(total, "doc_id").where(F.col("cnt") >= least).select("doc_id", "MarkerType", "cnt", "rank")
 
 
 def common_font_sizes(rows: DataFrame, order: str = "Line") -> DataFrame:
@@ -169,10 +189,16 @@ def proper_names(lines: DataFrame, least: int = 10, by: tuple[str, ...] = ()) ->
     return rows.where(title).groupBy(*by, "name").agg(F.count("*").alias("cnt")).where(F.col("cnt") >= least)
 
 
-def extract(spans: DataFrame) -> DataFrame:
-    """The whole chain: lines with features, Roman runs checked, positions, repaired gaps and single spaces."""
+def recomputed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Common font sizes and markers of paragraphs, in place of those of lines."""
+    return common_font_sizes(rows, "Paragraph"), common_markers(rows, "Paragraph")
+
+
+def extract(spans: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """The whole chain: lines with features, Roman runs checked, positions, repaired gaps and single spaces. `pages` has the
+    pages' sizes."""
     lines = roman_run_fix(line_features(span_lines(spans)))
-    placed = repair_gaps(positions(lines, page_coords(lines)))
+    placed = repair_gaps(positions(lines, page_coords(lines, sizes=None if pages is None else page_sizes(pages))))
     word = lambda n: F.col(f"Words.{n}").withField("Text", tx.strip_spaces(F.col(f"Words.{n}.Text")))
     return placed.withColumns(
         {"Text": tx.strip_spaces(F.col("Text")), "MarkerText": tx.strip_spaces(F.col("MarkerText")), "Words": F.struct(word("First").alias("First"), word("Last").alias("Last"))}

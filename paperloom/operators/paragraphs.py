@@ -32,6 +32,11 @@ def same_font_style() -> Column:
     return same_style(F.lit(1000))
 
 
+def same_case() -> Column:
+    """As same_style: the case of a style isn't looked at apart from the rest of it."""
+    return same_style()
+
+
 def near() -> Column:
     """The gap above is below twice that of the line before, below twice the one under it (or that is 3 at most), and below five heights."""
     top, bot = F.col("Top"), F.col("Bot")

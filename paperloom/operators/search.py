@@ -111,10 +111,18 @@ def lookup(chosen: DataFrame, chunks: DataFrame) -> DataFrame:
     return chosen.join(chunks, "chunk_id")
 
 
-def chunk_text(found: DataFrame, text: str = "chunk_text") -> DataFrame:
-    """`query_id, text`: a query's chunks in order, a blank line between them."""
+#: Fixed value: the text of a query without chunks.
+NO_CHUNK = "(Không có chunk nào)"
+
+
+def chunk_text(found: DataFrame, text: str = "chunk_text", queries: DataFrame | None = None) -> DataFrame:
+    """`query_id, text`: a query's chunks in order, a blank line between them. Of `queries` those without chunks have a text
+    that says so."""
     parts = F.transform(F.sort_array(F.collect_list(F.struct("place", text))), lambda x: x[text])
-    return found.groupBy("query_id").agg(F.trim(F.array_join(parts, "\n\n")).alias("text"))
+    texts = found.groupBy("query_id").agg(F.trim(F.array_join(parts, "\n\n")).alias("text"))
+    if queries is None:
+        return texts
+    return queries.select("query_id").distinct().join(texts, "query_id", "left").withColumn("text", F.coalesce("text", F.lit(NO_CHUNK)))
 
 
 def classify(queries: DataFrame, index: DataFrame, label: str = "label", k: int = 1) -> DataFrame:

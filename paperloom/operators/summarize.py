@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,21 +38,29 @@ def semantic_groups(rows: DataFrame, keys: list[str], order: str, words: str = "
     """`keys, order, grp`: a new group begins where it would get too long, or is long enough and the topic changes.
 
     The running length is reset as groups begin, which no window expresses: it is folded over each group's
-    (order, words, similarity to the row before).
+    words and similarities to the row before, which pass by in order; no group is held.
     """
     before = F.lag(vector).over(Window.partitionBy(*keys).orderBy(order))
     rated = rows.withColumn("__sim", F.coalesce(F.round(cosine(before, F.col(vector)), 6), F.lit(1.0)))
-    items = rated.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(words).cast("long").alias("w"), F.col("__sim").alias("s")))).alias("x"))
-    start = F.expr("named_struct('len', cast(0 as bigint), 'g', 0, 'out', cast(array() as array<struct<o:bigint,g:int>>))")
-
-    def step(a: Column, x: Column) -> Column:
-        new = (F.size(a["out"]) > 0) & ((a["len"] + x["w"] > most) | ((a["len"] >= least) & (x["s"] < topic)))
-        g = F.when(new | (F.size(a["out"]) == 0), a["g"] + 1).otherwise(a["g"])
-        item = F.struct(x["o"].cast("long").alias("o"), g.alias("g"))
-        return F.struct(F.when(new, x["w"]).otherwise(a["len"] + x["w"]).alias("len"), g.alias("g"), F.concat(a["out"], F.array(item)).alias("out"))
-
-    folded = items.select(*keys, F.explode(F.aggregate("x", start, step, lambda a: a["out"])).alias("y"))
-    return folded.select(*keys, F.col("y.o").alias(order), F.col("y.g").alias("grp"))
+    ordered = rated.select(*keys, F.col(order).cast("long").alias(order), F.col(words).cast("long").alias("__w"), "__sim").repartition(*keys).sortWithinPartitions(*keys, order)
+    schema = ordered.select(*keys, order).schema.add("grp", "integer")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, length, group = None, 0, 0
+        for batch in batches:
+            numbers = []
+            for *key, w, sim in zip(*(batch.column(c).to_pylist() for c in (*keys, "__w", "__sim")), strict=True):
+                w = w or 0
+                if group == 0 or key != now:
+                    now, length, group = key, w, 1
+                elif length + w > most or (length >= least and sim < topic):
+                    length, group = w, group + 1
+                else:
+                    length += w
+                numbers.append(group)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*keys, order)), pa.array(numbers, pa.int32())], schema.names)
+
+    return ordered.mapInArrow(run, schema)
 
 
 def lead_summary(text: Column, count: int = 3) -> Column:

@@ -104,9 +104,9 @@ def query_trim(spark, d):
     return table(spark, d, "benchmark").select("item_id", tx.query_text(F.col("text")).alias("query")).where("query is not null")
 
 
-@query("select conv_id, trim(string_agg(trim(text), chr(10) order by turn)) as text from conversations where trim(coalesce(text, '')) <> '' group by conv_id")
+@query("select conv_id, trim(regexp_replace(string_agg(trim(text), chr(10) order by turn), chr(10) || '{2,}', chr(10), 'g')) as text from conversations where trim(coalesce(text, '')) <> '' group by conv_id")
 def merge_text(spark, d):
-    return paragraphs.merge_text(table(spark, d, "conversations").withColumn("text", F.regexp_replace("text", "\n{2,}", "\n")), ["conv_id"], "turn", "text")
+    return paragraphs.merge_text(table(spark, d, "conversations"), ["conv_id"], "turn", "text")
 
 
 @query()
@@ -218,13 +218,12 @@ def sort_records(spark, d):
 
 @query("select distinct name from (select n_name as name from nation union all select r_name from region union all select c_mktsegment from customer)")
 def set_union(spark, d):
-    rows = table(spark, d, "nation").select(F.col("n_name").alias("name")).union(table(spark, d, "region").select("r_name")).union(table(spark, d, "customer").select("c_mktsegment"))
-    return rows.distinct()
+    return aggregates.union_sets(table(spark, d, "nation").select(F.col("n_name").alias("name")), table(spark, d, "region").select("r_name"), table(spark, d, "customer").select("c_mktsegment"))
 
 
 @query("select event_type, min(event_id) as first_pos, count(*) as cnt from events group by 1")
 def ordered_distinct(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.min("event_id").alias("first_pos"), F.count("*").alias("cnt"))
+    return aggregates.ordered_distinct(table(spark, d, "events"), "event_type", "event_id")
 
 
 # --- layout

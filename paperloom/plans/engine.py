@@ -7,11 +7,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chunks, index, layout, nested, paragraphs, quality, search, structure, summarize
 from ..operators.summarize import lead_summary
+from ..sources import readers, writers
 
 
 def hashed_encoder(dimensions: int = 64) -> Callable[[Column], Column]:
@@ -46,8 +47,8 @@ class Engine:
     def check(self, pages: DataFrame) -> DataFrame:
         return quality.quality_gate(pages)
 
-    def extract(self, spans: DataFrame) -> DataFrame:
-        return layout.extract(spans)
+    def extract(self, spans: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+        return layout.extract(spans, pages)
 
     def paragraphs(self, spans: DataFrame) -> DataFrame:
         return paragraphs.merge(layout.extract(spans))
@@ -67,6 +68,14 @@ class Engine:
     def index(self, records: DataFrame, id_col: str, schema: DataFrame | None = None) -> DataFrame:
         return index.build(records, id_col, schema, self.encode)
 
+    def save(self, entries: DataFrame, records: DataFrame, folder: str) -> None:
+        """The index bundle: entries with their vectors, and the records that they lead to."""
+        writers.write_index(entries, f"{folder}/index")
+        writers.write_index(records, f"{folder}/records")
+
+    def load(self, spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+        return readers.read_index(spark, f"{folder}/index"), readers.read_index(spark, f"{folder}/records")
+
     def search(self, queries: DataFrame, entries: DataFrame, k: int = search.TOP_K, rerank_k: int = search.RERANK_K) -> DataFrame:
         """Hits for `query_id, query`."""
         asked = queries.select("query_id", self.encode(F.col("query")).alias("embedding"))

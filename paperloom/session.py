@@ -1,8 +1,11 @@
-"""Session defaults, and where lineage is cut."""
+"""Session defaults, paths, models by name, and where lineage is cut."""
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
+from dataclasses import dataclass
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +24,56 @@ def session(name: str = "paperloom", **settings: str) -> SparkSession:
     return SparkSession.builder.appName(name).config(map=wanted).getOrCreate()
 
 
+T = TypeVar("T")
+
+
+def safely(make: Callable[[], T], fallback: T) -> T:
+    """What `make` returns, or the fallback if it raises; in columns, the try_ functions do that."""
+    try:
+        return make()
+    except Exception:  # noqa: BLE001
+        return fallback
+
+
+@dataclass(frozen=True)
+class Config:
+    """Where a service's files are, and the numbers that its steps take."""
+
+    name: str
+    root: str = "."
+    service: str = "Categories"
+    top_k: int = 20
+    rerank_k: int = 10
+    max_depth: int = 4
+    max_chars: int = 2000
+
+    def path(self, kind: str, suffix: str = "") -> str:
+        return f"{self.root}/{self.service}/{self.name}_{kind}{suffix}"
+
+    @property
+    def bundle(self) -> str:
+        return self.path("Index")
+
+
+class Models:
+    """Models by name, each loaded once by the loader that is registered for it; a name without one raises."""
+
+    def __init__(self) -> None:
+        self._loaders: dict[str, Callable[[], object]] = {}
+        self._loaded: dict[str, object] = {}
+
+    def register(self, name: str, loader: Callable[[], object]) -> None:
+        self._loaders[name] = loader
+        self._loaded.pop(name, None)
+
+    def get(self, name: str) -> object:
+        if name not in self._loaded:
+            if name not in self._loaders:
+                raise KeyError(f"no loader for {name}")
+            self._loaded[name] = self._loaders[name]()
+        return self._loaded[name]
+
+
 def cut_lineage(rows: DataFrame) -> DataFrame:
     """`rows` from a reliable checkpoint in the folder that the cluster names, so that loops neither recompute nor
     lose what an executor had. A local session without that setting gets a temporary folder."""
@@ -28,7 +81,7 @@ def cut_lineage(rows: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         folder = rows.sparkSession.conf.get(CHECKPOINTS, None)
         if not folder:
-            if not context.master.startswith("local["):
+            if context.master.split("[")[0] != "local":
                 raise ValueError(f"set {CHECKPOINTS} to a folder that the driver and all executors share")
             folder = tempfile.mkdtemp(prefix="paperloom-")
         context.setCheckpointDir(folder)

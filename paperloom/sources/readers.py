@@ -13,7 +13,9 @@ SPANS = "doc_id long, page_no int, block_no int, line_no int, span_no int, text
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Whole-file JSON with a schema, which keeps the fields' order. A missing file raises."""
+    """Whole-file JSON with a schema, which keeps the fields' order. A missing file has no rows."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
@@ -79,6 +81,61 @@ def parse_spans(files: DataFrame, parser: Parser) -> DataFrame:
     return files.select("doc_id", "content").mapInPandas(run, SPANS)
 
 
+def read_arrow(spark: SparkSession, path: str) -> DataFrame:
+    """The Arrow files under a folder, as data set libraries save them, with `split`, the name of the folder that a file
+    is in. Any of the files has the schema; each is read whole where a task is, so none may exceed 2 GB."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.arrow").load(path)
+    first = files.select("content").limit(1).collect()
+    if not first:
+        raise ValueError(f"no Arrow files under {path}")
+
+    def opened(content: bytes) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from pa.ipc.open_stream(content)
+        except pa.ArrowInvalid:  # the format with a footer
+            found = pa.ipc.open_file(content)
+            yield from (found.get_batch(i) for i in range(found.num_record_batches))
+
+    try:
+        arrow = pa.ipc.open_stream(first[0].content).schema
+    except pa.ArrowInvalid:
+        arrow = pa.ipc.open_file(first[0].content).schema
+    schema = from_arrow_schema(arrow).add("split", "string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for split, content in zip(batch.column("split").to_pylist(), batch.column("content"), strict=True):
+                for rows in opened(content.as_buffer()):
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([split] * rows.num_rows, pa.string())], [*rows.schema.names, "split"])
+
+    return files.select(F.element_at(F.split("path", "/"), -2).alias("split"), "content").mapInArrow(run, schema)
+
+
+def read_training_set(spark: SparkSession, source: DataFrame | str, schema: T.StructType | str | None = None) -> DataFrame:
+    """Training rows from a table, a folder of Arrow files, a Parquet folder or JSON lines; anything else raises."""
+    if isinstance(source, DataFrame):
+        return source
+    if not isinstance(source, str):
+        raise TypeError("a DataFrame or a path is needed")
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(source)
+    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(fs_path):
+        raise ValueError(f"{source} doesn't exist")
+    if not fs.getFileStatus(fs_path).isDirectory():
+        return read_jsonl(spark, source, schema)
+    found = fs.listFiles(fs_path, True)
+    while found.hasNext():
+        name = found.next().getPath().getName()
+        if name.endswith(".arrow"):
+            return read_arrow(spark, source)
+        if name.endswith(".parquet"):
+            return spark.read.parquet(source)
+    return read_jsonl(spark, source, schema)
+
+
 def read_xlsx(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFrame:
     """First row the header. Needs openpyxl where the driver runs."""
     return spark.createDataFrame(pd.read_excel(path, sheet_name=sheet))

@@ -38,6 +38,11 @@ def sheet_columns(rows: DataFrame) -> DataFrame:
     return rows.select(*(c for c in SHEET_COLUMNS if c in rows.columns))
 
 
+def convert_to_xlsx(rows: DataFrame, path: str) -> None:
+    """Records, as read from JSON or JSON lines, as a sheet in the order of its columns."""
+    write_xlsx(sheet_columns(rows), path)
+
+
 def to_json_text(value: Column, pretty: bool = False) -> Column:
     return F.to_json(value, {"pretty": str(pretty).lower(), "ignoreNullFields": "false"})
 

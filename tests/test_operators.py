@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text as tx
 from paperloom.functions import vectors as vx
-from paperloom.operators import aggregates, chunks, evaluate, index, layout, nested, quality, search, structure
+from paperloom import session
+from paperloom.operators import aggregates, chunks, evaluate, index, layout, nested, quality, search, structure, summarize
 from paperloom.plans import catalog
+from paperloom.plans.engine import Engine
 from paperloom.sources import readers, writers
 
 
@@ -223,3 +225,132 @@ def test_level_mining_reaches_every_depth(spark, monkeypatch):
     monkeypatch.setattr(structure, "marker_sequence", lambda *_: spark.createDataFrame(rows, "doc_id long, pos long, marker string"))
     levels = {r.level_name: r.markers for r in catalog.level_mining(spark, "/root/testdata/sf0.001").collect()}
     assert {m for held in levels.values() for m in held} == set("ABCDEF")
+
+
+def test_engine_end_to_end(spark, tmp_path):
+    """Records to an index, the bundle written and read, search, answer, classification and summaries."""
+    engine = Engine()
+    rows = [(1, "Mathematics", ["numbers and algebra", "geometry of figures"]), (2, "Biology", ["cells and genes", "plants and animals"]), (3, "History", ["wars and treaties", "numbers and algebra"])]
+    records = spark.createDataFrame(rows, "chunk_id long, Article string, Content array<string>")
+    schema = engine.schema(records, ("chunk_id",))
+    entries = engine.index(records, "chunk_id", schema)
+    engine.save(entries, records, f"{tmp_path}/bundle")
+    entries, records = engine.load(spark, f"{tmp_path}/bundle")
+    assert {(r.text, tuple(r.chunk_ids)) for r in entries.collect()} >= {("numbers and algebra", (1, 3)), ("cells and genes", (2,))}
+    asked = spark.createDataFrame([(7, "cells and genes"), (8, "numbers and algebra"), (9, "wars and treaties")], "query_id long, query string")
+    hits = engine.search(asked, entries, 5, 3)
+    best = {r.query_id: r.text for r in hits.where("new_rank = 1").collect()}
+    assert best == {7: "cells and genes", 8: "numbers and algebra", 9: "wars and treaties"}
+    answers = {(r.query_id, r.place): r.Article for r in engine.answer(hits, records, 2).collect()}
+    assert answers[7, 1] == "Biology" and answers[8, 1] == "Mathematics" and answers[8, 2] == "History" and answers[9, 1] == "History"
+    assert {r.query_id: r.labels for r in engine.classify(asked, entries, records, "Article").collect()} == {7: "Biology", 8: "Mathematics", 9: "History"}
+    said = engine.summarize(spark.createDataFrame([(1, "One two three. Four five."), (2, None)], "doc_id long, text string"))
+    assert {r.doc_id: r.summary_text for r in said.collect()} == {1: "One two three. Four five.", 2: ""}
+
+
+def test_summary_of_long_texts(spark):
+    """Sentences kept, groups and texts by plain Python, for a text that is summarised by groups."""
+    import numpy as np
+
+    rng = random.Random(5)
+    sentences = [" ".join(f"w{rng.randrange(60)}" for _ in range(rng.randint(15, 60))).capitalize() + "." for _ in range(60)]
+    vectors = {s: [float(len(s) % 7 + 1), float(s.count("1") + 1), float(i % 5)] for i, s in enumerate(sentences)}
+    table = F.create_map(*(x for s, v in vectors.items() for x in (F.lit(s), F.array(*map(F.lit, v)))))
+    docs = spark.createDataFrame([(1, " ".join(sentences))], "doc_id long, text string")
+    got = summarize.summarize(docs, lambda c: table[c], lambda t: F.substring(t, 1, 40)).first()
+    v = np.array([vectors[s] for s in sentences])
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    near = np.round(unit(v) @ unit(v.mean(0)), 6)
+    kept = sorted(sorted(range(60), key=lambda i: (-near[i], i))[: int(60 * 0.4)])
+    groups, length = [], 0
+    for k, i in enumerate(kept):
+        n = len(sentences[i].split())
+        same = round(float(unit(v[i]) @ unit(v[kept[k - 1]])), 6) if k else 1.0
+        if not groups or length + n > 768 or (length >= 256 and same < 0.7):
+            groups.append([])
+            length = 0
+        groups[-1].append(sentences[i])
+        length += n
+    assert len(groups) > 1
+    assert got.summary_text == "\n".join(" ".join(g)[:40] for g in groups if len(" ".join(g).split()) >= 20)
+    assert got.original_words == sum(len(s.split()) for s in sentences)
+
+
+def test_semantic_groups_reset(spark):
+    rows = [(k, i, w, [1.0, 0.0] if turn else [0.0, 1.0]) for k in ("a", "b") for i, (w, turn) in enumerate([(300, 0), (10, 0), (10, 1), (700, 1), (60, 1), (800, 0)])]
+    got = summarize.semantic_groups(spark.createDataFrame(rows, "k string, i long, wc long, embedding array<double>"), ["k"], "i").collect()
+    assert {k: [r.grp for r in sorted(got, key=lambda r: r.i) if r.k == k] for k in "ab"} == {k: [1, 1, 2, 2, 3, 4] for k in "ab"}
+
+
+def test_arrow_folders_and_training_sets(spark, tmp_path):
+    import pyarrow as pa
+
+    table = pa.table({"content": ["a", None, "c"], "n": [1, 2, 3]})
+    for split, new in (("train", pa.ipc.new_stream), ("validation", pa.ipc.new_file)):
+        (tmp_path / "d" / split).mkdir(parents=True)
+        with new(str(tmp_path / "d" / split / "data-0.arrow"), table.schema) as out:
+            out.write_table(table)
+    got = readers.read_training_set(spark, f"{tmp_path}/d")
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(str((c, n, s)) for s in ("train", "validation") for c, n in (("a", 1), (None, 2), ("c", 3)))
+    (tmp_path / "x.jsonl").write_text('{"a": 1}\n')
+    assert readers.read_training_set(spark, f"{tmp_path}/x.jsonl").collect() == [(1,)]
+    assert readers.read_training_set(spark, got) is got
+    with pytest.raises(ValueError):
+        readers.read_training_set(spark, f"{tmp_path}/none")
+    with pytest.raises(TypeError):
+        readers.read_training_set(spark, 5)
+    assert readers.read_json(spark, f"{tmp_path}/none.json", "a int").collect() == []
+    assert evaluate.training_pairs(got, "content", "split").count() == 4
+
+
+def test_tokenize(spark):
+    import sentencepiece
+
+    path = "/opt/tokenizers/piece_bpe_32k.model"
+    rows = spark.createDataFrame([("some words here", "short"), (None, "x " * 500)], "content string, summary string")
+    got = evaluate.tokenize(rows, "content", "summary", path, "sum: ").collect()
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    assert got[0].input_ids[: len(model.encode("sum: some words here"))] == model.encode("sum: some words here")
+    assert len(got[1].labels) == 128 and len(got[1].input_ids) < 8
+
+
+def test_rouge_lsum(spark):
+    pairs = spark.createDataFrame([("a b c\nx y", "a c d\ny x"), ("a b c d", "a b c d"), (None, "a"), ("", "")], "p string, r string")
+    # a c of the first line, one of y x of the second: 3 of 5 and 5
+    assert [r.f for r in pairs.select(evaluate.rouge_lsum()("p", "r").alias("f")).collect()] == [60.0, 100.0, 0.0, 0.0]
+
+
+def test_layout_options(spark):
+    pages = spark.createDataFrame([(1, 2, 100.0, 100.0), (1, 1, 400.0, 300.0)], "doc_id long, page_no int, width double, height double")
+    sizes = layout.page_sizes(pages)
+    assert sizes.collect() == [(1, 400.0, 300.0)]
+    box = "doc_id long, Line long, Coords struct<X0:double,X1:double,XM:double,Y0:double,Y1:double>"
+    lines = spark.createDataFrame([(1, i, (10.0, x, 0.0, 1.0, 2.0)) for i, x in enumerate([310.0, 310.0, 200.0, 350.0])], box)
+    assert layout.page_coords(lines, sizes=sizes).first().xEnd == 310.0 and layout.page_coords(lines).first().xEnd == 350.0
+    romans = spark.createDataFrame([(1, i, "Mục I. ", m, f"{m}text") for i, m in enumerate(["Mục I. ", "Mục III. "])], "doc_id long, Line long, MarkerType string, MarkerText string, Text string")
+    assert {r.MarkerType for r in layout.roman_run_fix(romans, replace_with="Q").collect()} == {"Mục Q. "}
+    fixed = layout.roman_run_fix(romans, "text").orderBy("Line").collect()
+    assert [(r.MarkerText, r.Text) for r in fixed] == [("Mục ABC. ", "Mục ABC. text")] * 2
+    # of paragraphs half a percent, rounded down, is enough: one of 399
+    rows = spark.createDataFrame([(1, i, "A" if i else "B", 12.0) for i in range(399)], "doc_id long, Paragraph long, MarkerType string, FontSize double")
+    fonts, markers = layout.recomputed(rows)
+    assert {r.MarkerType for r in markers.collect()} == {"A", "B"} and fonts.first().cnt == 399
+    assert {r.MarkerType for r in layout.common_markers(rows.withColumnRenamed("Paragraph", "Line")).collect()} == {"A"}
+
+
+def test_small_things(spark):
+    pairs = spark.createDataFrame([("b", 3, "b[1]", " x "), ("b", 1, "b[0]", "x"), ("b", 2, "b[2]", " "), ("c", 0, "c", "x")], "base_key string, ord int, key string, text string")
+    assert sorted(map(tuple, index.deduplicate_by_key(pairs).collect())) == [("b", "b[0]", "x", 1), ("c", "c", "x", 0)]
+    found = spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "query_id long, place int, chunk_text string")
+    asked = spark.createDataFrame([(1,), (2,)], "query_id long")
+    assert dict(map(tuple, search.chunk_text(found, queries=asked).collect())) == {1: "a\n\nb", 2: "(Không có chunk nào)"}
+    assert session.safely(lambda: 1 // 0, 5) == 5 and session.safely(lambda: 4, 5) == 4
+    assert session.Config("x", "/r").bundle == "/r/Categories/x_Index"
+    models, made = session.Models(), []
+    models.register("m", lambda: made.append(1) or "model")
+    assert models.get("m") == models.get("m") == "model" and made == [1]
+    with pytest.raises(KeyError):
+        models.get("other")
+    odd = spark.createDataFrame([(0, [1.0, 0.0]), (1, None), (2, [1.0])], "index long, embedding array<double>")
+    asked = spark.createDataFrame([(5, [1.0, 0.0]), (6, None)], "query_id long, embedding array<double>")
+    assert [(r.query_id, r["index"]) for r in search.top_k(asked, odd, 3).collect()] == [(5, 0)]
