@@ -124,7 +124,8 @@ def tokenize(rows: DataFrame, source: str, target: str, vocabulary: str, prefix:
 
 def split_train(rows: DataFrame, key: str, share: float = 0.9, seed: int = 42) -> DataFrame:
     """`rows` with `split`, train or validation, by a hash of the key."""
-    place = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1000))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+    place = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 1000
     return rows.withColumn("split", F.when(place < int(share * 1000), "train").otherwise("validation"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.vectors import round_half_up
-from .aggregates import mode_first_seen, ranked_frequency
+from .aggregates import ranked_frequency
 
 PAGE_WIDTH, PAGE_HEIGHT = 595.0, 842.0
 
@@ -110,28 +110,53 @@ def page_sizes(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.min_by(F.struct("width", "height"), "page_no").alias("s")).select("doc_id", F.col("s.width").cast("double").alias("pageWidth"), F.col("s.height").cast("double").alias("pageHeight"))
 
 
-def page_coords(lines: DataFrame, page_width: float = PAGE_WIDTH, sizes: DataFrame | None = None) -> DataFrame:
-    """A row per document: the text region, `xStart, yStart, xEnd, yEnd, xMid, yMid, regionWidth, regionHeight`. A document
-    that `sizes` (as `page_sizes` gives them) hasn't is `page_width` wide."""
-    flat = lines.select("doc_id", "Line", F.col("Coords.X0").alias("x0"), F.col("Coords.X1").alias("x1"), F.col("Coords.Y0").alias("y0"), F.col("Coords.Y1").alias("y1"))
-    left = mode_first_seen(flat, ["doc_id"], "x0", "Line", "xStart")
+#: The text region's columns.
+REGION = ("xStart", "yStart", "xEnd", "yEnd", "xMid", "yMid", "regionWidth", "regionHeight")
+
+
+def with_region(lines: DataFrame, page_width: float = PAGE_WIDTH, sizes: DataFrame | None = None) -> DataFrame:
+    """`lines` with their document's text region. All windows are inside a document, so one shuffle on it serves them, and
+    those of the steps before and after."""
     width = F.lit(float(page_width))
     if sizes is not None:
-        flat, width = flat.join(sizes.select("doc_id", "pageWidth"), "doc_id", "left"), F.coalesce("pageWidth", width)
-    right = mode_first_seen(flat.where(F.col("x1") >= 0.75 * width), ["doc_id"], "x1", "Line", "__right")
-    ends = flat.groupBy("doc_id").agg(F.min("y0").alias("yStart"), F.max("y1").alias("yEnd"), F.max("x1").alias("__most"))
-    rows = ends.join(left, "doc_id").join(right, "doc_id", "left").withColumn("xEnd", F.coalesce("__right", "__most"))
-    return rows.select(
-        "doc_id",
-        "xStart",
-        "yStart",
-        "xEnd",
-        "yEnd",
-        round_half_up((F.col("xStart") + F.col("xEnd")) / 2).alias("xMid"),
-        round_half_up((F.col("yStart") + F.col("yEnd")) / 2).alias("yMid"),
-        round_half_up(F.col("xEnd") - F.col("xStart")).alias("regionWidth"),
-        round_half_up(F.col("yEnd") - F.col("yStart")).alias("regionHeight"),
+        lines, width = lines.join(sizes.select("doc_id", F.col("pageWidth").alias("__width")), "doc_id", "left"), F.coalesce("__width", width)
+    x0, x1 = F.col("Coords.X0"), F.col("Coords.X1")
+    doc = Window.partitionBy("doc_id")
+
+    def common(x: Column, there: Column, name: str) -> dict[str, Column]:
+        """How often a value occurs and where first, to take the most frequent, the first of equals."""
+        same = Window.partitionBy("doc_id", x)
+        return {f"__n{name}": F.sum(there.cast("int")).over(same), f"__p{name}": F.min(F.when(there, F.col("Line"))).over(same)}
+
+    def mode(x: Column, there: Column, name: str) -> Column:
+        return F.min_by(x, F.when(there, F.struct((-F.col(f"__n{name}")).alias("n"), F.col(f"__p{name}").alias("p"), x.alias("x")))).over(doc)
+
+    left, right = x0.isNotNull(), F.coalesce(x1 >= 0.75 * width, F.lit(False))
+    rows = lines.withColumns(common(x0, left, "l")).withColumns(common(x1, right, "r"))
+    rows = rows.withColumns(
+        {
+            "xStart": mode(x0, left, "l"),
+            "yStart": F.min("Coords.Y0").over(doc),
+            "xEnd": F.coalesce(mode(x1, right, "r"), F.max(x1).over(doc)),
+            "yEnd": F.max("Coords.Y1").over(doc),
+        }
+    )
+    rows = rows.withColumns(
+        {
+            "xMid": round_half_up((F.col("xStart") + F.col("xEnd")) / 2),
+            "yMid": round_half_up((F.col("yStart") + F.col("yEnd")) / 2),
+            "regionWidth": round_half_up(F.col("xEnd") - F.col("xStart")),
+            "regionHeight": round_half_up(F.col("yEnd") - F.col("yStart")),
+        }
     )
+    return rows.drop("__nl", "__pl", "__nr", "__pr", "__width")
+
+
+def page_coords(lines: DataFrame, page_width: float = PAGE_WIDTH, sizes: DataFrame | None = None) -> DataFrame:
+    """A row per document: the text region, `xStart, yStart, xEnd, yEnd, xMid, yMid, regionWidth, regionHeight`. A document
+    that `sizes` (as `page_sizes` gives them) hasn't is `page_width` wide."""
+    rows = with_region(lines.select("doc_id", "Line", "Coords"), page_width, sizes)
+    return rows.groupBy("doc_id").agg(*(F.first(c).alias(c) for c in REGION))
 
 
 def common_markers(rows: DataFrame, order: str = "Line") -> DataFrame:
@@ -148,10 +173,11 @@ def common_font_sizes(rows: DataFrame, order: str = "Line") -> DataFrame:
     return ranked_frequency(rows, ["doc_id"], "FontSize", order).select("doc_id", "FontSize", "cnt", "rank")
 
 
-def positions(lines: DataFrame, region: DataFrame) -> DataFrame:
-    """`lines` with line size, offsets from the region, gaps to the neighbours and alignment."""
+def positions(lines: DataFrame, region: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
+    """`lines` with line size, offsets from the region, gaps to the neighbours and alignment. The region is that of
+    `page_coords`, found on the way if it isn't given."""
     c = lambda n: F.col(f"Coords.{n}")
-    rows = lines.join(region.select("doc_id", "xStart", "xEnd", "xMid", "regionWidth"), "doc_id")
+    rows = with_region(lines, sizes=sizes) if region is None else lines.join(region.select("doc_id", "xStart", "xEnd", "xMid", "regionWidth"), "doc_id")
     rows = rows.withColumns(
         {
             "LineWidth": round_half_up(c("X1") - c("X0")),
@@ -165,7 +191,7 @@ def positions(lines: DataFrame, region: DataFrame) -> DataFrame:
     )
     slack = 0.01 * F.col("regionWidth")
     align = F.when(F.abs("Mid") <= slack, F.when(F.col("Left") > slack, "Center").otherwise("Justify")).when(F.col("Mid") > slack, "Right").otherwise("Left")
-    return rows.withColumn("Align", align).drop("xStart", "xEnd", "xMid", "regionWidth")
+    return rows.withColumn("Align", align).drop(*REGION)
 
 
 def repair_gaps(lines: DataFrame, columns: tuple[str, ...] = ("Top", "Bot")) -> DataFrame:
@@ -198,7 +224,7 @@ def extract(spans: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """The whole chain: lines with features, Roman runs checked, positions, repaired gaps and single spaces. `pages` has the
     pages' sizes."""
     lines = roman_run_fix(line_features(span_lines(spans)))
-    placed = repair_gaps(positions(lines, page_coords(lines, sizes=None if pages is None else page_sizes(pages))))
+    placed = repair_gaps(positions(lines, sizes=None if pages is None else page_sizes(pages)))
     word = lambda n: F.col(f"Words.{n}").withField("Text", tx.strip_spaces(F.col(f"Words.{n}.Text")))
     return placed.withColumns(
         {"Text": tx.strip_spaces(F.col("Text")), "MarkerText": tx.strip_spaces(F.col("MarkerText")), "Words": F.struct(word("First").alias("First"), word("Last").alias("Last"))}

@@ -271,7 +271,7 @@ _OUT = 'doc_id, Line, LineWidth, LineHeight, "Left" as left_gap, "Right" as righ
 
 def _placed(spark: SparkSession, d: str) -> DataFrame:
     lines = _features(spark, d)
-    return layout.positions(lines, layout.page_coords(lines))
+    return layout.positions(lines)
 
 
 def _gaps(rows: DataFrame) -> DataFrame:
@@ -654,7 +654,7 @@ def rouge_l(spark, d):
     return _pairs(spark, d).select("item_id", evaluate.rouge_l()("prediction", "reference").alias("f1"))
 
 
-@query()
+@query("select doc_id, case when cast('0x' || substr(md5('42:' || doc_id), 1, 8) as bigint) % 1000 < 900 then 'train' else 'validation' end as split from documents")
 def train_split(spark, d):
     return evaluate.split_train(table(spark, d, "documents").select("doc_id"), "doc_id")
 

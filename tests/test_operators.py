@@ -354,3 +354,33 @@ def test_small_things(spark):
     odd = spark.createDataFrame([(0, [1.0, 0.0]), (1, None), (2, [1.0])], "index long, embedding array<double>")
     asked = spark.createDataFrame([(5, [1.0, 0.0]), (6, None)], "query_id long, embedding array<double>")
     assert [(r.query_id, r["index"]) for r in search.top_k(asked, odd, 3).collect()] == [(5, 0)]
+
+
+def test_rouge_l_by_recursion(spark):
+    from functools import cache
+
+    rng = random.Random(6)
+    texts = [(" ".join(rng.choice("abcde") for _ in range(rng.randint(0, 12))), " ".join(rng.choice("abcde") for _ in range(rng.randint(0, 12)))) for _ in range(60)]
+
+    def score(x, y):
+        x, y = x.split(), y.split()
+
+        @cache
+        def common(i, j):
+            if i == len(x) or j == len(y):
+                return 0
+            return 1 + common(i + 1, j + 1) if x[i] == y[j] else max(common(i + 1, j), common(i, j + 1))
+
+        return round(200 * common(0, 0) / (len(x) + len(y)), 4) if x or y else 0.0
+
+    got = spark.createDataFrame(texts, "a string, b string").select("a", "b", evaluate.rouge_l()("a", "b").alias("f")).collect()
+    assert all(r.f == pytest.approx(score(r.a, r.b)) for r in got)
+
+
+def test_level_mining_runs(spark):
+    """Every document's levels end in its contents, counted from 0."""
+    rows = catalog.level_mining(spark, "/root/testdata/sf0.001").collect()
+    by = {}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.level_ord)):
+        by.setdefault(r.doc_id, []).append(r)
+    assert by and all(x[-1].level_name == "Content" and [r.level_ord for r in x] == list(range(len(x))) for x in by.values())
