@@ -183,6 +183,8 @@ class WarcReader(DataSourceReader):
                 while (line := file.readline()) not in (b"\r\n", b"\n", b""):
                     name, _, value = line.decode("utf-8", "replace").partition(":")
                     head[name.strip().lower()] = value.strip()
+                if not head.get("content-length", "").isdigit():
+                    raise ValueError(f"{path}: a WARC record before byte {file.tell()} doesn't say how long it is")
                 left = int(head["content-length"])
                 row: dict = {c: head.get(h) for c, h in _HEADERS.items()}
                 if not all(test(row) for test in self.tests):

@@ -269,6 +269,9 @@ def test_warc_detects_damage(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Payload-Digest: sha1:AAAA\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n")
     with pytest.raises(Exception, match="isn't what its digest says"):
         warc.read_warc(spark, f"file://{tmp_path}", verify=True).collect()
+    (tmp_path / "a.warc").write_bytes(b"WARC/1.1\r\nWARC-Type: response\r\n\r\nabc\r\n\r\n")
+    with pytest.raises(Exception, match="doesn't say how long"):
+        warc.read_warc(spark, f"file://{tmp_path}").collect()
 
 
 # --- 4
@@ -493,6 +496,10 @@ def test_chat(spark):
         windows = chat.format_conversations(frame, template).collect()
         assert all(w.tokens <= template.budget or w.turns - w.repeated == 1 for w in windows)
     assert chat.format_conversations(frame.limit(0)).count() == 0
+    # rows without conv_id are one conversation, and a very long turn is a window of its own
+    odd = spark.createDataFrame([(None, 1, "user", "a"), (None, 0, None, None), (5, 0, "assistant", "x " * 50000)], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.round_trip(odd).collect()}
+    assert got[None].n_turns == 2 and got[None].turns_sha256 == hashlib.sha256(b"\n\nuser\na\n").hexdigest() and got[5].loss_chars == 100000
 
 
 # --- 7
