@@ -11,6 +11,7 @@ from ..functions import text as tx
 from ..functions import vectors as vx
 from ..functions.constants import CODAS, NUCLEI, ONSETS, QUALITY_MESSAGES, VALID_CHARACTERS, VOWELS
 from ..operators import aggregates, chunks, evaluate, index, layout, nested, paragraphs, quality, search, structure, summarize
+from ..session import cut_lineage
 from .fixture import LINES_SQL, laid_out, order_records, spans, table, text_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -396,7 +397,7 @@ def structure_top(spark, d):
 @query()
 def level_mining(spark, d):
     """Each document's level names and markers, mined from its paragraphs' marker types."""
-    rows = paragraphs.build(_para(spark, d))
+    rows = cut_lineage(paragraphs.build(_para(spark, d)).select("doc_id", "Paragraph", "MarkerText", "MarkerType"))  # read three times
     common = layout.common_markers(rows, "Paragraph")
     sequence = structure.marker_sequence(rows, common)
     mined = structure.deduplicate(structure.build_structures(sequence, ["doc_id"], ["pos"], "marker"), ["doc_id"])
