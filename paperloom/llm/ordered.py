@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Text bytes that a range should hold, and how many ranges are cut by quantiles before ranges are cut evenly.
+#: Text bytes that a range should hold, how many ranges there may be (beyond a terabyte they hold more, which streams
+#: through a task), and how many are cut by quantiles before ranges are cut evenly.
 RANGE_BYTES = 16 << 20
+RANGES = 1 << 16
 QUANTILES = 4096
 _FAN = 64
 _LEAST = -(1 << 63)
@@ -34,7 +36,7 @@ def with_successors(rows: DataFrame, key: str, payload: str) -> DataFrame:
     k = F.coalesce(F.col(key).cast("long"), F.lit(_LEAST))
     shares = [i / QUANTILES for i in range(1, QUANTILES)]
     count, size, cuts = rows.agg(F.count("*"), F.sum(F.octet_length(payload)), F.percentile_approx(k, shares, 20 * QUANTILES)).first()
-    n = max(1, -(-(size or 0) // RANGE_BYTES))
+    n = max(1, min(RANGES, -(-(size or 0) // RANGE_BYTES)))
     few = min(n, QUANTILES)
     bounds = sorted({cuts[i * QUANTILES // few - 1] for i in range(1, few)}) if count else []
     at = _range_of(k, bounds)
@@ -51,7 +53,7 @@ def with_successors(rows: DataFrame, key: str, payload: str) -> DataFrame:
     copies = F.when(F.col("__before").isNull(), F.array(F.struct(F.col("__range").alias("r"), F.lit(False).alias("l")))).otherwise(
         F.array(F.struct(F.col("__range").alias("r"), F.lit(False).alias("l")), F.struct(F.col("__before").alias("r"), F.lit(True).alias("l")))
     )
-    # heads: one row of 12 bytes for each partition
+    # heads: one row of 12 bytes for each range, RANGES at most
     spread = ranged.join(F.broadcast(heads), "__key", "left").withColumn("__at", F.explode(copies)).select(*rows.columns, "__key", "__at.r", F.col("__at.l").alias("__last"))
     parts = max(1, (max(r for r, _ in firsts) + 1) if firsts else 1)
     return spread.repartitionById(parts, F.col("r")).sortWithinPartitions("r", "__last", "__key", payload).drop("__key", "r")
