@@ -34,13 +34,16 @@ def made() -> int:
     return len(_made)
 
 
-def discard(spark: SparkSession, since: int, keep: int = 1) -> None:
-    """Deletes the tables made after the first `since`, but the last `keep`: for callers that read none of them any more."""
+def discard(spark: SparkSession, since: int, keep: int = 1, but: tuple[str, ...] = ()) -> None:
+    """Deletes the tables made after the first `since`, but the last `keep` and those of the names `but`: for callers
+    that read none of them any more."""
     last = len(_made) - keep
+    spared = [place for place in _made[since:last] if place.rsplit("/", 1)[1].rsplit("-", 1)[0] in but]
     for place in _made[since:last]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(place)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    del _made[since:last]
+        if place not in spared:
+            path = spark._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _made[since:last] = spared
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
