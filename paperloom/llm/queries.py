@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, htmltext, langid, lm, merkle, minhash, mixing, phrases, simhash, toxicity, warc
+from . import chat, decontaminate, htmltext, langid, lm, merkle, minhash, mixing, phrases, quality, simhash, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,12 +58,16 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.prove_documents(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op2_lm": op2_lm, "op3_warc": op3_warc, "op4_mixing": op4_mixing, "op5_simhash": op5_simhash, "op6_chat": op6_chat, "op7_html": op7_html, "op8_language": op8_language, "op9_decontaminate": op9_decontaminate, "op10_toxicity": op10_toxicity, "op11_phrases": op11_phrases, "op13_merkle": op13_merkle}
+    return {"op1_minhash": op1_minhash, "op2_lm": op2_lm, "op3_warc": op3_warc, "op4_mixing": op4_mixing, "op5_simhash": op5_simhash, "op6_chat": op6_chat, "op7_html": op7_html, "op8_language": op8_language, "op9_decontaminate": op9_decontaminate, "op10_toxicity": op10_toxicity, "op11_phrases": op11_phrases, "op12_quality": op12_quality, "op13_merkle": op13_merkle}
 
 
 def oracle_sql() -> dict[str, str]:
