@@ -7,9 +7,11 @@ its path to body is the threshold, and what lies beside that path belongs to the
 and holds more plain than linked text.
 
 What elements say of themselves is a prior for that, not a substitute. Elements that name themselves menus, adverts,
-comments and the like are cut before densities are taken, unless they hold a page's main part. If the core lies in
+comments and the like are cut before densities are taken, unless they hold a page's main part. A name that is also a topic
+(`legal`, `social`) cuts only what else speaks against: links, controls, or that it holds no prose. If the core lies in
 an article or main element, short pieces of that element belong to it too, and what isn't an article must be as dense as
-it is to be taken from beside it.
+it is to be taken from beside it. Elsewhere a heading right before the core begins the article: what stands between them belongs to it,
+and so do paragraphs and lists that follow.
 """
 
 from __future__ import annotations
@@ -34,13 +36,10 @@ MAIN = frozenset(("article", "main"))
 #: What a start tag closes, up to the next element that bounds it.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr",), "tbody": ("tr", "thead"), "tfoot": ("tr", "tbody")}
 BOUNDS = frozenset("ul ol dl table html body article section div main td th nav aside header footer form".split())
-#: Words of class names and ids that name what isn't the article; those of readers' comments.
-_COMMENTS = frozenset("comment comments comentario comentarios commentaire commentaires kommentar kommentare disqus respond reply replies discussion".split())
-_AROUND = _COMMENTS | frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs cookie cookies consent gdpr "
-    "footer header masthead menu menus nav navbar navigation newsletter notice notices alert popup modal overlay promo promotion promoted recommended related share sharing sidebar aside social sponsor sponsored "
-    "subscribe subscription signup login toolbar pagination pager widget widgets search skip copyright legal disclaimer tags taglist".split()
-)
+#: Words of class names and ids that name readers' comments, what else isn't the article, and what may be either.
+_COMMENTS = frozenset("comment comments comentario comentarios commentaire commentaires kommentar kommentare disqus".split())
+_AROUND = frozenset("ad ads advert adverts advertisement advertising adsense breadcrumb breadcrumbs cookie cookies consent gdpr masthead menu nav navbar navigation newsletter popup modal promo sidebar sponsored subscribe signup toolbar pagination pager widget".split())
+_TOPICS = frozenset("alert banner copyright disclaimer discussion footer header legal login notice notices promotion recommended related reply replies search share sharing social sponsor tags".split())
 #: Words that may stand with them in a name: `comment-list` is around, `share-price` isn't.
 _WITH = frozenset("site page main top bottom left right box boxes list area block section wrap wrapper container item items inner outer bar link links post entry article content body text title form count meta panel module row col column group holder region widget".split())
 _ROLES = frozenset("banner navigation complementary contentinfo search dialog alertdialog".split())
@@ -48,7 +47,12 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+(?:>|\Z))|<[!?/][^>]*+(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 #: What an element says of itself.
-_PLAIN, _BESIDE, _COMMENT, _HIDDEN = range(4)
+_PLAIN, _TOPIC, _BESIDE, _COMMENT, _HIDDEN = range(5)
+#: What an element must hold to stay in spite of it: 1 an article, 2 a page's main part.
+_STAYS = {_TOPIC: 1, _BESIDE: 1, _COMMENT: 2}
+_CONTROLS = frozenset("form input button select textarea".split())
+#: What goes on with an article after its core.
+_TEXTUAL = _HEADINGS | frozenset("p ul ol dl blockquote pre table figure hr".split())
 
 
 @dataclass(slots=True)
@@ -76,6 +80,8 @@ def _named(name: str, alone: bool) -> int:
             found = _COMMENT
         elif x in _AROUND:
             found = max(found, _BESIDE)
+        elif x in _TOPICS:
+            found = max(found, _TOPIC)
         elif x not in _WITH:
             return _PLAIN
     return found
@@ -179,15 +185,38 @@ def _count(order: list[Node]) -> None:
             up.link_tags += node.link_tags + (node.tag == "a")
 
 
+def _spoken_against(node: Node, inside: bool) -> bool:
+    """Whether more than a name says that an element isn't the article: links, controls, or that it has no paragraph,
+    heading or, outside an article or main element, not both."""
+    order = _under(node)
+    tags = {n.tag for n in order}
+    if tags & _CONTROLS:
+        return True
+    chars = linked = 0
+    todo: list[tuple[Node, bool]] = [(node, False)]
+    while todo:
+        x, link = todo.pop()
+        for c in x.children:
+            if isinstance(c, str):
+                n = len("".join(c.split()))
+                chars += n
+                linked += n * link
+            else:
+                todo.append((c, link or c.tag == "a"))
+    prose, headed = "p" in tags, bool(tags & _HEADINGS)
+    return 3 * linked >= chars or not (prose or headed if inside else prose and headed)
+
+
 def _weigh(root: Node) -> list[Node]:
     """The elements, parents first, counted; those that aren't the article by their tag or name are cut."""
     order = _under(root)
     # what an element holds: 2 a page's main part, 1 an article
     holds = {id(n): 2 if n.tag in ("main", "body", "h1") else 1 if n.tag == "article" and n.says == _PLAIN else 0 for n in order}
     plain: dict[int, int] = {}
-    inside_article = {id(root): False}
+    inside_article, inside_main = {id(root): False}, {id(root): False}
     for node in order[1:]:
         inside_article[id(node)] = inside_article[id(node.parent)] or node.parent.tag == "article"
+        inside_main[id(node)] = inside_main[id(node.parent)] or (node.parent.tag in MAIN and node.parent.says < _COMMENT)
     for node in reversed(order):
         if node.tag not in DROPPED or node.tag == "form":
             plain[id(node)] = sum(len(c) for c in node.children if isinstance(c, str)) + sum(plain.get(id(c), 0) for c in node.children if isinstance(c, Node))
@@ -199,7 +228,9 @@ def _weigh(root: Node) -> list[Node]:
             return 2 * plain[id(node)] < plain[id(root)]
         if node.tag in DROPPED:  # an article's own header is the title
             return not (node.tag == "header" and inside_article[id(node)] and any(isinstance(c, Node) and c.tag in _HEADINGS for c in node.children))
-        return node.says == _HIDDEN or (node.says > _PLAIN and holds[id(node)] < node.says)
+        if node.says in _STAYS:
+            return holds[id(node)] < _STAYS[node.says] and (node.says != _TOPIC or _spoken_against(node, inside_main[id(node)]))
+        return node.says == _HIDDEN
 
     for node in order:
         node.children = [c for c in node.children if isinstance(c, str) or not goes(c)]
@@ -222,6 +253,14 @@ def _score(order: list[Node], body: Node) -> None:
         n.total = sum(c.density for c in n.children if isinstance(c, Node)) or n.density
 
 
+def _titles(node: Node) -> bool:
+    """Whether an element is a heading of the first two ranks, or holds a page's title and little more."""
+    if node.tag in ("h1", "h2"):
+        return True
+    found = next((n for n in _under(node) if n.tag == "h1"), None)
+    return found is not None and 2 * found.chars >= node.chars
+
+
 def main_part(root: Node) -> Node:
     """The tree of the page's article: what isn't of the core, nor goes with it, is cut."""
     order = _weigh(root)
@@ -237,17 +276,26 @@ def main_part(root: Node) -> Node:
     threshold = min(n.density for n in path)
     own = next((k for k in reversed(range(len(path))) if path[k].tag in MAIN), -1)
 
+    titled = False  # a heading before the core has been found
     for k in range(1, len(path)):
         within = k <= own
-
-        def kept(c: Node | str, node: Node = path[k - 1], within: bool = within) -> bool:
+        goes_on: set[int] = set()
+        if own < 0 and not titled and path[k - 1].tag not in _HEADINGS:
+            inner = [c for c in path[k].children if isinstance(c, Node)]
+            at = inner.index(path[k - 1])
+            heads = [i for i in range(at) if _titles(inner[i])]
+            if heads:
+                titled = True
+                goes_on = {id(c) for c in inner[heads[-1] : at]} | {id(c) for c in inner[at + 1 :] if c.tag in _TEXTUAL}
+
+        def kept(c: Node | str, node: Node = path[k - 1], within: bool = within, goes_on: set[int] = goes_on) -> bool:
             if isinstance(c, str):
                 return within or len("".join(c.split())) >= max(threshold, 1.0)
             if c is node:
                 return True
             if 2 * c.link_chars >= c.chars:
-                return within and c.tag in _HEADINGS
-            return within or c.density >= (threshold if own < 0 or c.tag == "article" else max(threshold, path[own].density))
+                return (within or id(c) in goes_on) and c.tag in _HEADINGS
+            return within or id(c) in goes_on or c.density >= (threshold if own < 0 or c.tag == "article" else max(threshold, path[own].density))
 
         path[k].children = [c for c in path[k].children if kept(c)]
     return body

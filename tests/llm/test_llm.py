@@ -762,7 +762,7 @@ def test_queries_are_registered():
     import __spark_entry__
 
     found = __spark_entry__.queries()
-    assert {int(n[2:].split("_")[0]) for n in queries()} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries()} == set(range(1, 14))
     assert set(queries()) | {"pipeline"} <= set(found)
 
 
@@ -787,3 +787,97 @@ def test_pipeline(spark, tmp_path):
         docs = out if name == "mixing" else spark.createDataFrame(kept, source.schema)
     wanted = sorted(map(str, docs.collect()))
     assert sorted(map(str, corpus_pipeline.run(spark, DATA).collect())) == wanted
+
+
+# --- 7, elements that share a name with what isn't an article
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<article><h1>T</h1><p>{LINE * 4}</p><section id='discussion'><h2>Discussion</h2><p>{LINE}</p><p>{LINE}</p></section></article>", f"T\n{LINE * 4}\nDiscussion\n{LINE}\n{LINE}"),
+        (f"<main><h1>T</h1><p>{LINE * 4}</p><section id='legal'><h2>Legal</h2><p>{LINE}</p></section><div class='search'><p>How search works.</p></div></main>", f"T\n{LINE * 4}\nLegal\n{LINE}\nHow search works."),
+        (f"<article><h1>T</h1><p>{LINE * 4}</p><div class='social'><p>Social sciences differ.</p></div></article>", f"T\n{LINE * 4}\nSocial sciences differ."),
+        (f"<div id=wrap><h1>Title</h1><div class=byline>By A. Person</div><div><p>{LINE * 3}</p><p>{LINE * 3}</p></div><p>Last short line.</p></div>", f"Title\nBy A. Person\n{LINE * 3}\n{LINE * 3}\nLast short line."),
+        # what speaks against them: links, controls, no prose
+        (f"<article><h1>T</h1><p>{LINE * 4}</p><div class='social'><p>Share: <a href=1>on one</a> <a href=2>on two</a></p></div><div class='search'><p>Search</p><input></div><div class='tags'>a b c</div></article>", f"T\n{LINE * 4}"),
+        (f"<div id=wrap><h1>Title</h1><div><p>{LINE * 3}</p><p>{LINE * 3}</p></div><div>(c) <a href=1>us</a> 2020</div><ul><li><a href=2>one</a><li><a href=3>two</a></ul></div>", f"Title\n{LINE * 3}\n{LINE * 3}"),
+        (f"<article><h1>T</h1><p>{LINE * 4}</p><section id='comments'><h2>Comments</h2><p>{LINE * 3}</p></section></article>", f"T\n{LINE * 4}"),
+    ],
+)
+def test_html_names_that_are_topics(page, text):
+    assert htmltext.main_text(page) == "\n".join(x.strip() for x in text.split("\n"))
+
+
+def densities(node):
+    """Composite text density by its definition, for each element, and the sums of children: by recursion over copies."""
+
+    def chars(n, linked=False):
+        own = sum(len("".join(c.split())) for c in n.children if isinstance(c, str))
+        inner = [chars(c, linked or c.tag == "a") for c in n.children if not isinstance(c, str)]
+        return own + sum(a for a, _ in inner), (own if linked else 0) + sum(b for _, b in inner)
+
+    def tags(n):
+        inner = [(c, tags(c)) for c in n.children if not isinstance(c, str)]
+        return sum(1 + t for _, (t, _) in inner), sum((c.tag == "a") + t for c, (_, t) in inner)
+
+    body_c, body_l = chars(node)
+    out = {}
+
+    def visit(n, linked):
+        c, lc = chars(n, linked)
+        t, lt = tags(n)
+        density = 0.0
+        if c:
+            ratio = c / max(lc, 1) * max(t, 1) / max(lt, 1)
+            base = math.log(c / max(c - lc, 1) * lc + body_l / max(body_c, 1) * c + math.e)
+            density = c / max(t, 1) * math.log(ratio) / max(math.log(base), 0.1) if ratio > 1 else 0.0
+        out[id(n)] = [density, None]
+        inner = [c for c in n.children if not isinstance(c, str)]
+        for x in inner:
+            visit(x, linked or x.tag == "a")
+        out[id(n)][1] = sum(out[id(x)][0] for x in inner) or density
+
+    visit(node, False)
+    return out
+
+
+def test_html_densities_by_plain_python(spark):
+    """Densities and density sums of every element, and the core that they choose."""
+    pages = [r.html for r in spark.read.parquet(f"{DATA}/pages.parquet").limit(30).collect()]
+    pages += [f"<body><div><p>{LINE}<a href=1>x</a></p><p>{LINE * 2}</p></div><ul><li><a href=2>a b</a><li>c</ul></body>", "<p>a<p>b"]
+    for page in pages:
+        root = htmltext.parse(page)
+        order = htmltext._weigh(root)
+        body = next((n for n in order if n.tag == "body"), root)
+        htmltext._score(order, body)
+        exact = densities(body)
+        for n in htmltext._under(body):
+            assert math.isclose(n.density, exact[id(n)][0], rel_tol=1e-9, abs_tol=1e-12) and math.isclose(n.total, exact[id(n)][1], rel_tol=1e-9, abs_tol=1e-12)
+        best = max(v for n in htmltext._under(body) if n.tag not in htmltext.INLINE for v in [exact[id(n)][1]])
+        core = max((n for n in htmltext._under(body) if n.tag not in htmltext.INLINE), key=lambda n: n.total)
+        assert math.isclose(core.total, best, rel_tol=1e-9)
+
+
+# --- clashing names and odd rows through the whole pipeline
+
+CLASHES = ["__found", "__hit", "__toxic", "__size", "__id", "score", "n_words", "pos", "stats"]
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    source = spark.read.parquet(f"{DATA}/documents.parquet")
+    good = source.where("lang = 'en' and length(text) between 500 and 900").limit(1).first().text
+    odd = [(9001, None, "en", "s", 1), (9002, "", "en", "s", 0), (None, good + " and so on", None, None, None), (9003, good, None, "s", 3), (9003, good, None, "s", 3), (9004, (good + "\n") * 300, "en", "s", 9)]
+    docs = source.unionByName(spark.createDataFrame(odd, source.schema))
+    for i, name in enumerate(CLASHES):
+        docs = docs.withColumn(name, F.lit(i))
+    folder = tmp_path / "odd"
+    docs.write.parquet(f"{folder}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{DATA}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+    out = corpus_pipeline.run(spark, str(folder))
+    assert out.columns == [*docs.columns, "size", "source_size", "target", "taken", "copies"]
+    rows = out.collect()
+    assert len(rows) > 50 and all([r[c] for c in CLASHES] == list(range(len(CLASHES))) for r in rows)
+    assert not {9001, 9002} & {r.doc_id for r in rows}
+    assert len([r for r in rows if r.text == good]) <= 2  # copies under one doc_id stay together
