@@ -5,7 +5,8 @@ columns; the last adds how many copies of each the mix takes. A stage's rows are
 folder and read again, so a lost executor costs one stage at most; then what the stage made on its way is deleted.
 
 A null text is empty: not toxic, of no language, so it goes with the second stage. Of rows that share a doc_id copies go or
-stay together; a row without doc_id is never a near-duplicate. Extra columns pass, whatever their names.
+stay together; a row without doc_id is never a near-duplicate. Extra columns pass, whatever their names, but those
+named like what the mix adds (`size`, `source_size`, `target`, `taken`, `copies`), which it replaces.
 """
 
 from __future__ import annotations

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import free_name
 from .textkernel import ALNUM, Words, slices, utf8, xxh64
 
 #: Words of a window; a shorter item is one window.
@@ -274,16 +275,16 @@ def merged(begin: np.ndarray, end: np.ndarray) -> list[dict[str, int]]:
     return [{"begin": a, "end": b} for a, b in zip(begin[new].tolist(), reach[last].tolist(), strict=True)]
 
 
-def _found(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
-    """`docs` with what each block finds in `__found`, an array."""
+def _found(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, name: str) -> DataFrame:
+    """`docs` with what each block finds in the column `name`, an array."""
     marks = [_marker(docs, Suffixes.build(ids, texts, window)) for ids, texts in _blocks(benchmark, block_bytes)]
     # the text passes to Python once for all blocks; a generator in between keeps what they found from being found again
-    return docs.withColumn("__found", F.explode(F.array(F.array(*marks))))
+    return docs.withColumn(name, F.explode(F.array(F.array(*marks))))
 
 
-def _hit_words() -> Column:
+def _hit_words(found: str) -> Column:
     """Words that the hit runs of all blocks cover together; a block's own runs are apart."""
-    runs = F.array_sort(F.flatten("__found.hits"))
+    runs = F.array_sort(F.flatten(F.col(found)["hits"]))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("reach"))
     more = lambda a, x: F.greatest(F.lit(0).cast("long"), x["end"] - F.greatest(x["begin"], a["reach"]))
     step = lambda a, x: F.struct((a["n"] + more(a, x)).alias("n"), F.greatest(a["reach"], x["end"]).alias("reach"))
@@ -301,24 +302,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     documents each get their row. Columns of `docs` named like a result are replaced.
     """
     added = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match"]
-    found = _found(docs, benchmark, window, block_bytes).withColumn("__hit", _hit_words())
-    items = F.array_distinct(F.flatten("__found.items"))
-    longest = F.array_max(F.transform("__found.longest", lambda x: F.struct(x["n_words"].alias("n"), (-x["doc_word"]).alias("at"), x.alias("x"))))["x"]
+    name, hit = free_name(docs, "__found"), free_name(docs, "__hit")
+    found = _found(docs, benchmark, window, block_bytes, name).withColumn(hit, _hit_words(name))
+    items = F.array_distinct(F.flatten(F.col(name)["items"]))
+    longest = F.array_max(F.transform(F.col(name)["longest"], lambda x: F.struct(x["n_words"].alias("n"), (-x["doc_word"]).alias("at"), x.alias("x"))))["x"]
     values = {
-        "n_words": F.col("__found")[0]["n_words"],
-        "n_hit": F.col("__hit"),
+        "n_words": F.col(name)[0]["n_words"],
+        "n_hit": F.col(hit),
         "n_items": F.size(items).cast("long"),
         "items_sha256": F.sha2(F.array_join(F.array_sort(F.transform(items, lambda i: i.cast("string"))), ",").cast("binary"), 256),
-        "contaminated": (F.col("__hit") > 0) & (20 * F.col("__hit") >= F.col("__found")[0]["n_words"]),
+        "contaminated": (F.col(hit) > 0) & (20 * F.col(hit) >= F.col(name)[0]["n_words"]),
         "longest_match": longest,
     }
     return found.select(*(c for c in docs.columns if c not in added), *(v.alias(n) for n, v in values.items()))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of `docs` that aren't contaminated, with their columns."""
-    found = _found(docs, benchmark, window, BLOCK_BYTES).withColumn("__hit", _hit_words())
-    return found.where((F.col("__hit") == 0) | (20 * F.col("__hit") < F.col("__found")[0]["n_words"])).drop("__found", "__hit")
+    """The rows of `docs` that aren't contaminated, with their columns, whatever their names."""
+    name, hit = free_name(docs, "__found"), free_name(docs, "__hit")
+    found = _found(docs, benchmark, window, BLOCK_BYTES, name).withColumn(hit, _hit_words(name))
+    return found.where((F.col(hit) == 0) | (20 * F.col(hit) < F.col(name)[0]["n_words"])).drop(name, hit)
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:

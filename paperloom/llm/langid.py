@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import spread_text
+from .shared import free_name, spread_text
 from .textkernel import mix, slices, utf8
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -358,8 +358,9 @@ def languages(docs: DataFrame, model: Model) -> DataFrame:
     counts as one of 30 with the same mean. Combining marks end words. Columns of `docs` named like a result are replaced;
     repeated rows each get a row.
     """
-    rows = docs.drop("lang_pred", "score").withColumn("__found", predictor(docs, model))
-    return rows.select(*rows.columns[:-1], F.col("__found.lang").alias("lang_pred"), F.col("__found.score").alias("score"))
+    rows = docs.drop("lang_pred", "score")
+    name = free_name(rows, "__found")
+    return rows.withColumn(name, predictor(docs, model)).select(*rows.columns, F.col(name)["lang"].alias("lang_pred"), F.col(name)["score"].alias("score"))
 
 
 def predict(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -370,5 +371,6 @@ def predict(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 def keep_known(docs: DataFrame, least: float = 0.5, vocabulary: str = VOCABULARY) -> DataFrame:
     """The rows of `docs` whose text is in a learned language with a score of `least` or more, with their columns."""
-    found = docs.withColumn("__found", predictor(docs, train(docs, vocabulary)))
-    return found.where((F.col("__found.lang") != UNKNOWN) & (F.col("__found.score") >= least)).drop("__found")
+    name = free_name(docs, "__found")
+    found = docs.withColumn(name, predictor(docs, train(docs, vocabulary)))
+    return found.where((F.col(name)["lang"] != UNKNOWN) & (F.col(name)["score"] >= least)).drop(name)

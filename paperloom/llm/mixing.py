@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import free_name, written
 
 WEIGHTS = (5, 2, 1)
 #: A source's words are taken this many times at most.
@@ -148,12 +148,14 @@ def mix_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int =
 def mixture(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, seed: int = 42) -> DataFrame:
     """The documents that the mix takes, with `size, source_size, target, taken, copies` after the columns of `docs`.
 
-    Rows that share doc_id and size share their copies. Columns of `docs` named like a result are replaced.
+    Rows that share doc_id and size share their copies. Columns of `docs` named like a result (`size`, `source_size`, `target`,
+    `taken`, `copies`) are replaced; all others, whatever their names, pass.
     """
     added = ["size", "source_size", "target", "taken", "copies"]
     docs = docs.drop(*added)
+    of, big = free_name(docs, "__id"), free_name(docs, "__size")
     chosen = mix_documents(docs, weights, most, seed).where("taken > 0").withColumn("copies", (F.col("taken") / F.col("size")).cast("long"))
-    chosen = chosen.groupBy("doc_id", "size").agg(*(F.max(c).alias(c) for c in added[1:])).withColumnsRenamed({"doc_id": "__id", "size": "__size"})
+    chosen = chosen.groupBy("doc_id", "size").agg(*(F.max(c).alias(c) for c in added[1:])).withColumnsRenamed({"doc_id": of, "size": big})
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.withColumn("size", size).join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("size") == F.col("__size")))
+    rows = docs.withColumn("size", size).join(chosen, F.col("doc_id").eqNullSafe(F.col(of)) & (F.col("size") == F.col(big)))
     return rows.select(*docs.columns, *added)

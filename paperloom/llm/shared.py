@@ -54,6 +54,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """`name`, with underscores after it if `docs` has a column of that name."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def spread_text(text: str, chars: int, pieces: int = 16) -> Column:
     """The text, or of one with more than `chars` code points that many, in pieces from all over it."""
     each = chars // pieces

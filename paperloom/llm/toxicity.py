@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import spread_text
+from .shared import free_name, spread_text
 from .textkernel import tidy
 
 #: Bounds of the training sample: labelled rows, those of least hash, and code points of each; of a longer text,
@@ -322,4 +322,5 @@ def predict(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of `docs` that aren't predicted toxic, with their columns."""
-    return docs.withColumn("__toxic", scorer(docs, train(docs, labels))).where(F.col("__toxic") < threshold).drop("__toxic")
+    name = free_name(docs, "__toxic")
+    return docs.withColumn(name, scorer(docs, train(docs, labels))).where(F.col(name) < threshold).drop(name)
