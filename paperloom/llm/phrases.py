@@ -8,8 +8,10 @@ complete there, so what is below the support goes no further; the fragments of a
 several tasks, and what these count is summed once more.
 
 Rarity comes from a count-min table of the frequent words' counts: of bounded size, the same for all tasks. Any order
-of words gives the same counts, so what collides in the table costs balance, not exactness. Words are grouped by 64-bit
-hashes inside a task, and held against their bytes.
+of words gives the same counts, so what collides in the table costs balance, not exactness. A phrase of the support has only
+word pairs of the support, so a fragment also ends between two words whose pair can't have it: pairs are counted in hashed
+cells, of which one bit each says whether it reached the support; pairs that share a cell cost volume, not exactness. Words are
+grouped by 64-bit hashes inside a task, and held against their bytes.
 
 Texts are read whole, in blocks cut between pieces. Null texts have no words; a null language is `und`.
 Repeated rows count as often as they are there, rows without an id like others; columns beside `text` and `lang` have no influence. An empty table gives no
@@ -34,9 +36,13 @@ _BREAKS = [(ord(c), ord(c)) for c in ".,;:!?"] + [(0x0A, 0x0D)]
 _ENDS = ~byte_class(_BREAKS)
 _INSIDE = byte_class([(0x20, 0x20), (0x09, 0x09), *_BREAKS])
 #: Bytes of text that are worked on at once.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 #: The count-min table: rows, and bounds of its cells a row, 4 bytes each; in between, cells for each frequent word.
 _ROWS, _LEAST_CELLS, _MOST_CELLS, _CELLS_A_WORD = 2, 1 << 14, 1 << 23, 8
+#: Bounds of the cells that pairs are counted in, one bit each when shared; in between, one for each word of the texts.
+_LEAST_PAIRS, _MOST_PAIRS = 1 << 20, 1 << 29
+#: Cells that are counted together in a task.
+_SPAN = 1 << 20
 #: Occurrences of a pivot whose fragments go to one task.
 PIVOT_OCCURRENCES = 1 << 14
 #: Parts that a language's phrases are ranked in before the last ranking.
@@ -178,6 +184,58 @@ def rarity(words: DataFrame, cells: int | None = None) -> Rarity:
     return empty
 
 
+def _pair_cells(block: Block, cells: int) -> np.ndarray:
+    """The cell of each word and the next one."""
+    hashes = block.hash[block.code]
+    with np.errstate(over="ignore"):
+        return (mix(hashes[:-1] * np.uint64(3) + hashes[1:]) & np.uint64(cells - 1)).astype(np.int64)
+
+
+def pair_filter(texts: DataFrame, known: Rarity, support: int, words: int, limit: int = BLOCK_BYTES) -> np.ndarray:
+    """A bit for each cell of pairs of frequent words: whether `support` pairs or more fell into it. Cells are summed by
+    ranges of equal size; the bits, an eighth of a byte a cell, come to the driver."""
+    cells = 1 << (min(_MOST_PAIRS, max(_LEAST_PAIRS, words)) - 1).bit_length()
+    span = min(_SPAN, cells)
+    shared = texts.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, _ in _worked(batches, limit):
+            frequent = (shared.value.counts(block.hash) >= support)[block.code]
+            together = frequent[:-1] & frequent[1:] & ~block.opens[1 : len(frequent)]
+            cell, n = np.unique(_pair_cells(block, cells)[together], return_counts=True)
+            bounds = np.searchsorted(cell, np.arange(0, cells + 1, span))
+            part = np.flatnonzero(np.diff(bounds))
+            at = [(cell[bounds[k] : bounds[k + 1]] - k * span).astype(np.int32).tobytes() for k in part]
+            counts = [n[bounds[k] : bounds[k + 1]].astype(np.int32).tobytes() for k in part]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(at, pa.binary()), pa.array(counts, pa.binary())], ["part", "at", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, None
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([now]), pa.array([np.packbits(held >= support).tobytes()], pa.binary())], ["part", "bits"])
+        for batch in batches:
+            for part, at, n in zip(*(batch.column(c).to_pylist() for c in ("part", "at", "n")), strict=True):
+                if part != now:
+                    if now is not None:
+                        yield out()
+                    now, held = part, np.zeros(span, np.int64)
+                held[np.frombuffer(at, np.int32)] += np.frombuffer(n, np.int32)
+        if now is not None:
+            yield out()
+
+    counted = texts.mapInArrow(run, "part long, at binary, n binary").repartition("part").sortWithinPartitions("part")
+    found = counted.mapInArrow(add, "part long, bits binary").toArrow()
+    bits = np.zeros(cells // 8, np.uint8)
+    for part, some in zip(found["part"].to_pylist(), found["bits"].to_pylist(), strict=True):
+        bits[part * span // 8 :][: len(some)] = np.frombuffer(some, np.uint8)
+    return bits
+
+
+def _cut(block: Block, bits: np.ndarray) -> None:
+    """Ends pieces between words whose pair's bit isn't set."""
+    cell = _pair_cells(block, 8 * len(bits))
+    block.opens[1 : len(block.code)] |= (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 0
+
+
 def _owned(block: Block, counts: np.ndarray, support: int, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions that own n-grams, and how many words left and right of each its fragment takes."""
     # ranks in the one order of all tasks: by count, then by hash
@@ -204,9 +262,10 @@ def _owned(block: Block, counts: np.ndarray, support: int, longest: int) -> tupl
 
 def _alike(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first of each kind of equal rows, and how many there are."""
-    odd = mix(np.arange(1, rows.shape[1] + 1, dtype=np.uint64)) | np.uint64(1)
+    key = np.zeros(len(rows), np.uint64)
     with np.errstate(over="ignore"):
-        key = mix((rows.astype(np.uint64) * odd).sum(1, dtype=np.uint64))
+        for k in range(rows.shape[1]):
+            key = mix(key * np.uint64(3) + rows[:, k].astype(np.uint64) + np.uint64(1))
     by = np.argsort(key)
     key, sorted_rows = key[by], rows[by]
     new = np.ones(len(by), bool)
@@ -218,15 +277,18 @@ def _alike(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return by[start], np.diff(np.append(start, len(by)))
 
 
-def fragments(texts: DataFrame, known: Rarity, support: int, longest: int, limit: int = BLOCK_BYTES, share: int = PIVOT_OCCURRENCES) -> DataFrame:
+def fragments(texts: DataFrame, known: Rarity, pairs: np.ndarray, support: int, longest: int, limit: int = BLOCK_BYTES, share: int = PIVOT_OCCURRENCES) -> DataFrame:
     """`lang, pivot, split, text, at, n`: fragments with the place of the pivot, summed within blocks. `pivot` routes: the
     pivot's hash, and for a pivot of more than `share` occurrences (`split`) one of several of it, by the fragment."""
-    shared = texts.sparkSession.sparkContext.broadcast(known)  # _MOST_CELLS at most, 64 MB
+    # _MOST_CELLS and _MOST_PAIRS at most: 64 MB each
+    shared = texts.sparkSession.sparkContext.broadcast((known, pairs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reach = longest - 1
         for block, names in _worked(batches, limit):
-            counts = shared.value.counts(block.hash)
+            rare, bits = shared.value
+            counts = rare.counts(block.hash)
+            _cut(block, bits)
             at, left, right = _owned(block, counts, support, longest)
             padded = np.zeros(len(block.code) + 2 * reach, np.int32)
             padded[reach : reach + len(block.code)] = block.code + 1
@@ -280,7 +342,8 @@ def collocations(docs: DataFrame, support: int = 30, longest: int = 4, inside: t
     words = written(count_words(texts).where((F.col("n") >= support) | F.col("word").isNull()), "phrases-words")
     frequent = words.where(F.col("word").isNotNull())
     known = rarity(frequent)
-    mined = _mined(fragments(texts, known, support, longest), support, longest)
+    pairs = pair_filter(texts, known, support, words.where(F.col("word").isNull()).agg(F.sum("n")).first()[0] or 0)
+    mined = _mined(fragments(texts, known, pairs, support, longest), support, longest)
     counts = written(mined.unionByName(frequent.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), F.col("n").alias("f"))), "phrases-counts")
     several = counts.where("words > 1").withColumn("w", F.split("phrase", " "))
     # the weakest cut: both parts of a frequent phrase are frequent, so they have counts

@@ -67,10 +67,14 @@ def texts_with_phrases(seed=1):
 def test_phrases(spark, nothing, block, share, cells, monkeypatch):
     """Blocks, dealt pivots and a table too small for the words change no count."""
     rows = texts_with_phrases()
-    fragments, rarity, count = phrases.fragments, phrases.rarity, phrases.count_words
+    fragments, rarity, count, pairs = phrases.fragments, phrases.rarity, phrases.count_words, phrases.pair_filter
     monkeypatch.setattr(phrases, "fragments", lambda *a: fragments(*a, limit=block, share=share))
     monkeypatch.setattr(phrases, "rarity", lambda words: rarity(words, cells))
     monkeypatch.setattr(phrases, "count_words", lambda texts: count(texts, block))
+    monkeypatch.setattr(phrases, "pair_filter", lambda *a: pairs(*a, limit=block))
+    if cells:  # and so do pairs that share cells
+        monkeypatch.setattr(phrases, "_LEAST_PAIRS", cells * 8)
+        monkeypatch.setattr(phrases, "_MOST_PAIRS", cells * 8)
     docs = spark.createDataFrame(rows, DOCS).withColumn("phrase", F.lit("clash")).withColumn("n", F.lit(0)).repartition(3)
     for support in (5, 30):
         got = sorted(map(tuple, phrases.collocations(docs, support).collect()))
