@@ -41,10 +41,14 @@ BLOCK_BYTES = 4 << 20
 _ROWS, _LEAST_CELLS, _MOST_CELLS, _CELLS_A_WORD = 2, 1 << 14, 1 << 23, 8
 #: Bounds of the cells that pairs are counted in, one bit each when shared; in between, one for each word of the texts.
 _LEAST_PAIRS, _MOST_PAIRS = 1 << 20, 1 << 29
+#: Buckets that words are counted in.
+_BUCKETS = 1 << 10
 #: Cells that are counted together in a task.
 _SPAN = 1 << 20
 #: Occurrences of a pivot whose fragments go to one task.
 PIVOT_OCCURRENCES = 1 << 14
+#: Bits of a route that aren't used: 2**24 routes.
+_ROUTE_SHIFT = 40
 #: Parts that a language's phrases are ranked in before the last ranking.
 _RANK_PARTS = 64
 
@@ -68,12 +72,35 @@ def _blocks(batch: pa.RecordBatch, limit: int) -> Iterator[tuple[np.ndarray, np.
         begin = end
 
 
-def _take(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
-    """The spans of `data` as strings."""
-    size = end - start
+#: Stands after each text of a bundle; no word has it.
+_END = 10
+
+
+def _bundled(data: np.ndarray, start: np.ndarray, end: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The spans of `data`, each with a line break after it, as a string for each range of spans that `bounds` cut."""
+    size = end - start + 1
     offsets = np.concatenate([[0], np.cumsum(size)])
-    out = data[np.repeat(start - offsets[:-1], size) + np.arange(offsets[-1])]
-    return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out)).cast(pa.string())
+    out = np.append(data, np.uint8(_END))[np.repeat(start - offsets[:-1], size) + np.arange(offsets[-1])]
+    out[offsets[1:] - 1] = _END
+    return pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(offsets[bounds].astype(np.int64)), pa.py_buffer(out)).cast(pa.string())
+
+
+def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
+
+
+def _ranges(*keys: np.ndarray) -> np.ndarray:
+    """Where ranges of equal keys begin, and their end."""
+    n = len(keys[0])
+    new = np.ones(n + 1, bool)
+    if n:
+        new[1:n] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return np.flatnonzero(new)
+
+
+def _unbundled(*lists: str) -> Column:
+    """An array of structs of a bundle's `texts` as `text` and what `lists` have for each."""
+    return F.arrays_zip(F.split("texts", "\n").alias("text"), *lists)
 
 
 class Block:
@@ -133,19 +160,25 @@ def _worked(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[Blo
 
 
 def count_words(texts: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
-    """`lang, word, n`, summed within blocks; a row without a word has the number of all words."""
+    """`lang, word, n`, summed within blocks, whose words travel in bundles; the empty word has the number of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, names in _worked(batches, limit):
-            of = pa.array(names, pa.string())
             here, total = np.unique(block.lang, return_counts=True)
-            seen = np.bincount(block.code, minlength=len(block.at))
-            words = _take(block.data, block.start[block.at], block.end[block.at])
-            lang = of.take(pa.array(np.concatenate([block.lang[block.at], here])))
-            word = pa.concat_arrays([words, pa.nulls(len(here), pa.string())])
-            yield pa.RecordBatch.from_arrays([lang, word, pa.array(np.concatenate([seen, total]).astype(np.int64))], ["lang", "word", "n"])
-
-    return texts.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+            lang, start, end = block.lang[block.at], block.start[block.at], block.end[block.at]
+            bucket, seen = (block.hash % np.uint64(_BUCKETS)).astype(np.int64), np.bincount(block.code, minlength=len(block.at))
+            # the number of all words is that of a word without letters, in a bucket of the language
+            lang, start, end = np.concatenate([lang, here]), np.append(start, np.zeros_like(here)), np.append(end, np.zeros_like(here))
+            bucket, seen = np.append(bucket, here % _BUCKETS), np.append(seen, total)
+            by = np.lexsort((start, lang, bucket))
+            bounds = _ranges(bucket[by], lang[by])
+            first = by[bounds[:-1]]
+            columns = [pa.array(bucket[first].astype(np.int32)), pa.array(names, pa.string()).take(pa.array(lang[first])), _bundled(block.data, start[by], end[by], bounds), _lists(seen[by].astype(np.int32), bounds)]
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "lang", "texts", "n"])
+
+    found = texts.mapInArrow(run, "bucket int, lang string, texts string, n array<int>").repartition("bucket")
+    rows = found.select("bucket", "lang", F.explode(_unbundled("n")).alias("w")).where("w.n is not null").select("bucket", "lang", F.col("w.text").alias("word"), "w.n")
+    return rows.groupBy("bucket", "lang", "word").agg(F.sum("n").alias("n")).groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 class Rarity:
@@ -191,6 +224,15 @@ def _pair_cells(block: Block, cells: int) -> np.ndarray:
         return (mix(hashes[:-1] * np.uint64(3) + hashes[1:]) & np.uint64(cells - 1)).astype(np.int64)
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """32-bit numbers, their low bytes first, then the next: small numbers leave long runs of zeros."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view("<u4")[:, 0].astype(np.int64)
+
+
 def pair_filter(texts: DataFrame, known: Rarity, support: int, words: int, limit: int = BLOCK_BYTES) -> np.ndarray:
     """A bit for each cell of pairs of frequent words: whether `support` pairs or more fell into it. Cells are summed by
     ranges of equal size; the bits, an eighth of a byte a cell, come to the driver."""
@@ -205,8 +247,8 @@ def pair_filter(texts: DataFrame, known: Rarity, support: int, words: int, limit
             cell, n = np.unique(_pair_cells(block, cells)[together], return_counts=True)
             bounds = np.searchsorted(cell, np.arange(0, cells + 1, span))
             part = np.flatnonzero(np.diff(bounds))
-            at = [(cell[bounds[k] : bounds[k + 1]] - k * span).astype(np.int32).tobytes() for k in part]
-            counts = [n[bounds[k] : bounds[k + 1]].astype(np.int32).tobytes() for k in part]
+            at = [_planes(np.diff(cell[bounds[k] : bounds[k + 1]], prepend=k * span)) for k in part]
+            counts = [_planes(n[bounds[k] : bounds[k + 1]]) for k in part]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(at, pa.binary()), pa.array(counts, pa.binary())], ["part", "at", "n"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +260,7 @@ def pair_filter(texts: DataFrame, known: Rarity, support: int, words: int, limit
                     if now is not None:
                         yield out()
                     now, held = part, np.zeros(span, np.int64)
-                held[np.frombuffer(at, np.int32)] += np.frombuffer(n, np.int32)
+                held[np.cumsum(_numbers(at))] += _numbers(n)
         if now is not None:
             yield out()
 
@@ -278,8 +320,8 @@ def _alike(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fragments(texts: DataFrame, known: Rarity, pairs: np.ndarray, support: int, longest: int, limit: int = BLOCK_BYTES, share: int = PIVOT_OCCURRENCES) -> DataFrame:
-    """`lang, pivot, split, text, at, n`: fragments with the place of the pivot, summed within blocks. `pivot` routes: the
-    pivot's hash, and for a pivot of more than `share` occurrences (`split`) one of several of it, by the fragment."""
+    """`lang, route, split, texts, at, n`: bundles of a pivot's fragments, with the place of the pivot in each, summed within
+    blocks. `route` is the pivot's hash, and for a pivot of more than `share` occurrences (`split`) one of several of it, by the fragment."""
     # _MOST_CELLS and _MOST_PAIRS at most: 64 MB each
     shared = texts.sparkSession.sparkContext.broadcast((known, pairs))
 
@@ -298,27 +340,29 @@ def fragments(texts: DataFrame, known: Rarity, pairs: np.ndarray, support: int,
             at, left, right = at[first], left[first], right[first]
             start, end = block.start[at - left], block.end[at + right]
             code = block.code[at]
-            parts = np.ceil(counts[code].astype(float) / share).astype(np.uint64)
+            parts = np.maximum(np.ceil(counts[code].astype(float) / share).astype(np.uint64), np.uint64(1))
+            part = xxh64(block.data, start, end) % parts
+            by = np.lexsort((start, part, code))
+            bounds = _ranges(code[by], part[by])
+            head = by[bounds[:-1]]
             with np.errstate(over="ignore"):
-                part = xxh64(block.data, start, end) % np.maximum(parts, np.uint64(1))
-                pivot = mix(block.hash[code] + part * np.uint64(0x9E3779B97F4A7C15))
-            for i in range(0, len(at), 1 << 18):
-                k = slice(i, i + (1 << 18))
-                columns = [
-                    pa.array(names, pa.string()).take(pa.array(block.lang[at[k]])), pa.array(pivot[k].view(np.int64)), pa.array(parts[k] > 1),
-                    _take(block.data, start[k], end[k]), pa.array(left[k].astype(np.int32)), pa.array(n[k].astype(np.int64)),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["lang", "pivot", "split", "text", "at", "n"])
+                route = mix(block.hash[code[head]] + part[head] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(_ROUTE_SHIFT)
+            columns = [
+                pa.array(names, pa.string()).take(pa.array(block.lang[at[head]])), pa.array(route.astype(np.int32)), pa.array(parts[head] > 1),
+                _bundled(block.data, start[by], end[by], bounds), _lists(left[by].astype(np.int8), bounds), _lists(n[by].astype(np.int32), bounds),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "route", "split", "texts", "at", "n"])
 
-    return texts.mapInArrow(run, "lang string, pivot long, split boolean, text string, at int, n long")
+    return texts.mapInArrow(run, "lang string, route int, split boolean, texts string, at array<tinyint>, n array<int>")
 
 
-def _mined(pieces: DataFrame, support: int, longest: int) -> DataFrame:
+def _mined(bundles: DataFrame, support: int, longest: int) -> DataFrame:
     """`lang, phrase, words, f` of the n-grams that fragments own, those of the support or more."""
-    grams = F.expr(f"""flatten(transform(sequence(0, at), i -> transform(
-        filter(sequence(at, size(words) - 1), j -> j > i and j - i < {longest}), j -> array_join(slice(words, i + 1, j - i + 1), ' '))))""")
-    routed = pieces.repartition("pivot").withColumn("words", F.split("text", " "))
-    mined = routed.select("lang", "pivot", "split", F.explode(grams).alias("phrase"), "n").groupBy("pivot", "lang", "split", "phrase").agg(F.sum("n").alias("n"))
+    grams = F.expr(f"""flatten(transform(sequence(0, int(at)), i -> transform(
+        filter(sequence(int(at), size(words) - 1), j -> j > i and j - i < {longest}), j -> array_join(slice(words, i + 1, j - i + 1), ' '))))""")
+    routed = bundles.repartition("route").select("route", "lang", "split", F.explode(_unbundled("at", "n")).alias("f")).where("f.n is not null")
+    routed = routed.select("route", "lang", "split", F.split("f.text", " ").alias("words"), "f.at", "f.n")
+    mined = routed.select("lang", "route", "split", F.explode(grams).alias("phrase"), "n").groupBy("route", "lang", "split", "phrase").agg(F.sum("n").alias("n"))
     whole = mined.where(F.col("split") | (F.col("n") >= support)).groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= support)
     return whole.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("words"), "f")
 
@@ -339,10 +383,10 @@ def collocations(docs: DataFrame, support: int = 30, longest: int = 4, inside: t
     """
     begun = made()
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where(F.col("text").isNotNull())
-    words = written(count_words(texts).where((F.col("n") >= support) | F.col("word").isNull()), "phrases-words")
-    frequent = words.where(F.col("word").isNotNull())
+    words = written(count_words(texts).where((F.col("n") >= support) | (F.col("word") == "")), "phrases-words")
+    frequent = words.where("word <> ''")
     known = rarity(frequent)
-    pairs = pair_filter(texts, known, support, words.where(F.col("word").isNull()).agg(F.sum("n")).first()[0] or 0)
+    pairs = pair_filter(texts, known, support, words.where("word = ''").agg(F.sum("n")).first()[0] or 0)
     mined = _mined(fragments(texts, known, pairs, support, longest), support, longest)
     counts = written(mined.unionByName(frequent.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), F.col("n").alias("f"))), "phrases-counts")
     several = counts.where("words > 1").withColumn("w", F.split("phrase", " "))
@@ -366,7 +410,7 @@ def collocations(docs: DataFrame, support: int = 30, longest: int = 4, inside: t
         kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best)).cast("long")).where(F.col("rank") <= most)
     else:
         kept = kept.withColumn("rank", F.lit(None).cast("long"))
-    totals = words.where(F.col("word").isNull()).select("lang", "n")
+    totals = words.where("word = ''").select("lang", "n")
     ranked = written(kept.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score"), "phrases-ranked")
     discard(docs.sparkSession, begun)
     return ranked
