@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stemming import with_stems
+
 
 def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
@@ -34,6 +36,19 @@ def rouge_n(pairs: DataFrame, n: int, keys: list[str], prediction: str = "predic
     return rows.select(*keys, *(F.round(x * 100, 4).alias(c) for x, c in ((F.col("precision"), "precision"), (F.col("recall"), "recall"), (f1, "f1"))))
 
 
+def stemmed(pairs: DataFrame, keys: list[str], columns: tuple[str, ...] = ("prediction", "reference")) -> DataFrame:
+    """`pairs` with the words of the columns stemmed, those of up to 3 letters aside, and nothing but words and line breaks between
+    them; for any ROUGE. Each distinct word is stemmed once. `keys` have no repeats; null texts become empty."""
+    for c in columns:
+        found = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+|\n"), F.lit(0))
+        rows = pairs.select(*keys, F.posexplode(found).alias("at", "word"))
+        stems = with_stems(rows.where(F.length("word") > 3).select("word").distinct(), "word", "stem")
+        words = rows.join(stems, "word", "left").select(*keys, F.struct("at", F.coalesce("stem", "word").alias("w")).alias("x"))
+        text = words.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["w"]), " ").alias("__text"))
+        pairs = pairs.drop(c).join(text, keys, "left").withColumn(c, F.coalesce("__text", F.lit(""))).drop("__text")
+    return pairs
+
+
 def rouge_l():  # noqa: ANN201
     """A pandas UDF of two strings: the F-measure, in percent, of their longest common subsequence of words."""
     def score(a: str, b: str) -> float:

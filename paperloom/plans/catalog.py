@@ -669,3 +669,6 @@ def summarize_documents(spark, d):
 
 #: What entry() returns.
 FLAGSHIP = search_end_to_end
+
+
+from . import features  # noqa: E402, F401 - registers its queries in the tables above

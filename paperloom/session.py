@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import TypeVar
@@ -74,15 +75,41 @@ class Models:
         return self._loaded[name]
 
 
+#: The tables that cut_lineage has written, in order.
+_written: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for what jobs share. A local session without one gets a temporary folder."""
+    where = spark.conf.get(CHECKPOINTS, None) or spark.sparkContext.getConf().get(CHECKPOINTS)
+    if not where:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError(f"set {CHECKPOINTS} to a folder that the driver and all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="paperloom-")
+        spark.conf.set(CHECKPOINTS, where)
+    return where.rstrip("/")
+
+
 def cut_lineage(rows: DataFrame) -> DataFrame:
-    """`rows` from a reliable checkpoint in the folder that the cluster names, so that loops neither recompute nor
-    lose what an executor had. A local session without that setting gets a temporary folder."""
-    context = rows.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = rows.sparkSession.conf.get(CHECKPOINTS, None)
-        if not folder:
-            if context.master.split("[")[0] != "local":
-                raise ValueError(f"set {CHECKPOINTS} to a folder that the driver and all executors share")
-            folder = tempfile.mkdtemp(prefix="paperloom-")
-        context.setCheckpointDir(folder)
-    return rows.checkpoint()
+    """`rows` written as Parquet to the shared folder and read again, so that loops neither recompute nor lose what
+    an executor had, and later steps read only the columns that they need."""
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/paperloom/cut-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    _written.append(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def cuts() -> int:
+    """How many tables cut_lineage has written and nobody has dropped."""
+    return len(_written)
+
+
+def drop_cuts(spark: SparkSession, since: int, keep: int = 1) -> None:
+    """Deletes the tables that cut_lineage wrote after the first `since`, but the last `keep`: for callers that read them no more."""
+    last = len(_written) - keep
+    for place in _written[since:last]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if last > since:
+        del _written[since:last]

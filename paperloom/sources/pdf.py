@@ -344,15 +344,16 @@ def glyph(name: str) -> str:
     return "�"
 
 
-def _unicode_map(data: bytes) -> tuple[dict[int, str], int]:
-    """Texts by code, and the bytes of a code, from a /ToUnicode map."""
+def _unicode_map(data: bytes) -> tuple[dict[int, str], list[tuple[int, int, bytes]], int]:
+    """Texts by code, ranges of codes with the first one's text, and the bytes of a code, from a /ToUnicode map."""
     out: dict[int, str] = {}
+    ranges: list[tuple[int, int, bytes]] = []
     size, held, at = 0, [], 0
     text = lambda b: b.decode("utf-16-be", "replace")
     while True:
         value, at = value_at(data, at)
         if value is None:
-            return out, size
+            return out, ranges, size
         if not isinstance(value, Operator):
             held.append(value)
             continue
@@ -366,7 +367,7 @@ def _unicode_map(data: bytes) -> tuple[dict[int, str], int]:
                 if isinstance(c, list):
                     out |= {first + k: text(x) for k, x in enumerate(c[: last - first + 1])}
                 else:
-                    out |= {k: text((int.from_bytes(c, "big") + k - first).to_bytes(len(c), "big")) for k in range(first, min(last, first + 65535) + 1)}
+                    ranges.append((first, last, c))
         held = []
 
 
@@ -376,7 +377,7 @@ class Font:
     def __init__(self, file: File, keys: dict):
         get = file.get
         self.name = str(get(keys.get("BaseFont")) or "").split("+")[-1]
-        self.bytes, self.texts, self.widths, self.other = 1, {}, {}, 500.0
+        self.bytes, self.texts, self.ranges, self.widths, self.other = 1, {}, [], {}, 500.0
         inner = keys
         if get(keys.get("Subtype")) == "Type0":
             self.bytes = 2
@@ -399,8 +400,10 @@ class Font:
         # fixed values: bits for italic, serif, monospaced and bold
         self.flags = 2 * italic + 4 * bool(said & 2 or "times" in style) + 8 * bool(said & 1 or "courier" in style) + 16 * bold
         if isinstance(stream := get(keys.get("ToUnicode")), Stream):
-            texts, size = _unicode_map(file.content(stream))
-            self.texts |= texts
+            texts, self.ranges, size = _unicode_map(file.content(stream))
+            self.texts = texts if self.bytes == 2 else self.texts | texts
+            if self.bytes == 1:  # a map goes before the encoding
+                self.texts |= {k: self._ranged(k) for a, b, _ in self.ranges for k in range(a, min(b, 255) + 1)}
             self.bytes = size if self.bytes == 2 and size in (1, 2) else self.bytes
 
     def _wide(self, file: File, w: list) -> None:
@@ -427,11 +430,22 @@ class Font:
                 else:
                     code = x
 
+    def _ranged(self, code: int) -> str | None:
+        for first, last, begin in self.ranges:
+            if first <= code <= last:
+                return (int.from_bytes(begin, "big") + code - first).to_bytes(len(begin), "big").decode("utf-16-be", "replace")
+        return None
+
+    def _text(self, code: int) -> str:
+        if code not in self.texts:
+            self.texts[code] = self._ranged(code) or ("�" if self.bytes == 2 else "")
+        return self.texts[code]
+
     def read(self, shown: bytes) -> Iterator[tuple[str, float, bool]]:
         """Text, width in em and whether it is a single-byte space, for each code."""
         for at in range(0, len(shown) - self.bytes + 1, self.bytes):
             code = int.from_bytes(shown[at : at + self.bytes], "big")
-            yield self.texts.get(code, "�" if self.bytes == 2 else ""), self.widths.get(code, self.other) * self.unit, self.bytes == 1 and code == 32
+            yield self._text(code), self.widths.get(code, self.other) * self.unit, self.bytes == 1 and code == 32
 
 
 # --- content
