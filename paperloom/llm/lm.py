@@ -3,19 +3,19 @@
 Tokens are words and one end per text. Counts of tokens are kept exactly, those of token pairs are
 quantised: a pair that was seen c times goes into the filter once for each of the levels 1 to
 1 + floor(log2 c), and repeated membership probes, level by level, give its count back to
-within a factor of 2, from below but for the filter's false positives. A token's probability is the
+within a factor of 2, from below. A shard knows the pairs that it has seen, so those few that a false level would raise
+are listed beside the filter; pairs that were never seen can be false positives. A token's probability is the
 pair's share smoothed towards the token's own:
 
     p(w | u) = (t(u) c(u, w) + m(u) p(w)) / (c(u) + m(u)),   p(w) = (c(w) + 1) / (N + V + 1)
 
-t(u) = c(u) / (g (c(u) + F)) takes off what false positives add: F is the false count that V tokens could show after a
-context, with four standard deviations to spare, and g what false levels add to a true count. So a context's
-probabilities sum to 1 at most; a context that is rarer than its false followers leaves the word to p(w). Exact counts have
-no F, and g = 1.
+where m(u) = MASS * c(u)^POWER follows how many different tokens a context has been seen with, and
+t(u) = c(u) / (c(u) + F(u)) takes off what false positives add: F(u) is the false count that V tokens could show after the
+context, with four standard deviations to spare. So a context's probabilities sum to 1 at most. F(u) is a small share of c(u) at every size, because pairs of a rare context have more
+hash functions: as many as it takes for V tokens to add SPARE of its count. How frequent a context is, to a factor of 2, is read
+from a table of hashed cells, of bounded size; contexts that share a cell are taken for the rarest. Exact counts have no F.
 
-where m(u) = MASS * c(u)^POWER follows how many different tokens a context has been seen with.
-
-Counting is distributed by hash, each shard builds its part of the filter and of the counts,
+Counting is distributed by hash, first of tokens, then of pairs; each shard builds its part of the counts and of the filter,
 and these are broadcast if together they are at most `BROADCAST_BYTES`. They grow with the corpus, so a
 larger model is not broadcast: each shard's pairs then go to its part of the filter, which answers
 the same probes, and joins bring the token counts. Scores don't depend on which way is taken.
@@ -38,8 +38,12 @@ from .textkernel import Words, mix, slices, utf8, xxh64
 
 #: Weight of the smoothing distribution, in occurrences of the context.
 MASS, POWER = 4.0, 0.8
-#: Hash functions of an entry of the first level, and of one of a higher level; filters are half full.
-FIRST, HIGHER = 7, 4
+#: Bounds of the hash functions of an entry of the first level, and how many one of a higher level has; filters are half full.
+LEAST, MOST, HIGHER = 2, 48, 6
+#: Share of a context's count that false followers may add.
+SPARE = 0.1
+#: Bounds of the cells that contexts' frequencies are read from, a byte each; in between, so many for a token. Cells of a range.
+_LEAST_CELLS, _MOST_CELLS, _CELLS_A_TOKEN, _SPAN = 1 << 16, 1 << 26, 4, 1 << 20
 #: Model bytes up to which it is broadcast.
 BROADCAST_BYTES = 256 << 20
 #: Tokens that are counted in a task before what is counted is passed on, and text bytes for each shard.
@@ -79,37 +83,75 @@ def levels(count: np.ndarray) -> np.ndarray:
     return np.frexp(np.asarray(count, np.float64))[1]
 
 
-def inflation() -> float:
-    """What a count that is there shows on average, with false positives on the levels above its own."""
-    f = 2.0**-HIGHER
-    return 1 + f / (1 - 2 * f)
+#: What an unseen pair that shows a count shows on average, with further false levels above the first.
+FALSE_COUNT = 1 + 2.0**-HIGHER / (1 - 2.0 ** (1 - HIGHER))
+
 
+def functions(frequency: np.ndarray, distinct: int) -> np.ndarray:
+    """Hash functions of a first-level entry whose context was seen 2**frequency times or more: with them the false count
+    of `distinct` tokens, spread included, is SPARE of that."""
+    count = 2.0 ** np.where(frequency == _NEVER, 0, frequency).astype(float)
+    expected = (np.sqrt(4 + SPARE * count / FALSE_COUNT) - 2) ** 2  # x + 4 sqrt(x), times what each shows, is SPARE * count
+    return np.clip(np.ceil(np.log2(max(distinct, 1) / expected)), LEAST, MOST).astype(np.int64)
 
-def false_mass(distinct: int) -> float:
+
+def false_mass(distinct: int, functions: np.ndarray) -> np.ndarray:
     """The false count after a context, of `distinct` tokens that don't follow it; 4 standard deviations above what is expected."""
-    expected = distinct * 2.0**-FIRST
-    return expected + 4 * expected**0.5
+    expected = distinct * 2.0 ** -np.asarray(functions, float)
+    return FALSE_COUNT * (expected + 4 * expected**0.5)
+
+
+#: The cell of no context.
+_NEVER = 255
+
+
+@dataclass
+class Contexts:
+    """The frequency of each context's cell: floor(log2 c) of the rarest token in it. A text's start is as frequent as its end."""
+
+    cells: bytes
+    distinct: int
+
+    def __post_init__(self) -> None:
+        self.table = np.frombuffer(self.cells, np.uint8)
+
+    def __reduce__(self):  # noqa: ANN204
+        return Contexts, (self.cells, self.distinct)
+
+    @staticmethod
+    def place(token: np.ndarray, cells: int) -> np.ndarray:
+        return (mix(token) & _U(cells - 1)).astype(np.int64)
 
+    def functions(self, context: np.ndarray) -> np.ndarray:
+        known = np.where(context == START, END, context)
+        return functions(np.arange(256), self.distinct)[self.table[self.place(known, len(self.table))]]
 
-def _slots(keys: np.ndarray, level: int, bits: np.ndarray) -> Iterator[np.ndarray]:
-    """The filter places of each key at a level, one hash function after another."""
+
+def _slots(keys: np.ndarray, level: int, bits: np.ndarray, functions: np.ndarray) -> Iterator[np.ndarray]:
+    """The filter places of the keys at a level, one hash function after another; a key has its own number of them."""
     with np.errstate(over="ignore"):
         h = mix(keys + _U(level) * _U(0xD1342543DE82EF95))
         a, b = h, mix(h) | _U(1)
-        for _ in range(FIRST if level == 1 else HIGHER):
-            yield (a >> _U(16)) % bits
+        for k in range(int(functions.max(initial=0))):
+            yield (a[functions > k] >> _U(16)) % bits
             a = a + b
 
 
-def build_filter(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The packed filter of one shard's pairs, half of its bits set."""
+def build_filter(keys: np.ndarray, counts: np.ndarray, functions: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """The packed filter of one shard's pairs, half of its bits set; `functions` are those of the first level. Also the
+    pairs, sorted, that a false level would raise, and their levels."""
     level = levels(counts)
-    size = max(64, int((len(keys) * FIRST + int((level - 1).sum()) * HIGHER) / np.log(2)) + 7 & ~7)
+    size = max(64, int((int(functions.sum()) + int((level - 1).sum()) * HIGHER) / np.log(2)) + 7 & ~7)
     bits = np.zeros(size, bool)
     for q in range(1, int(level.max(initial=0)) + 1):
-        for slot in _slots(keys[level >= q], q, _U(size)):
+        own = level >= q
+        for slot in _slots(keys[own], q, _U(size), functions[own] if q == 1 else np.full(int(own.sum()), HIGHER)):
             bits[slot] = True
-    return np.packbits(bits, bitorder="little")
+    packed = np.packbits(bits, bitorder="little").tobytes()
+    shown = Model(0, 0, b"", b"", packed, [0]).pair_level(keys, functions)
+    raised = np.flatnonzero(shown > level)
+    raised = raised[np.argsort(keys[raised])]
+    return packed, keys[raised].tobytes(), level[raised].astype(np.uint8).tobytes()
 
 
 @dataclass
@@ -122,8 +164,12 @@ class Model:
     token_counts: bytes
     filters: bytes
     starts: list[int]  # of each shard's filter; a shard is hash mod the number of shards
+    contexts: Contexts | None = None
+    raised_keys: bytes = b""  # pairs, sorted, and their levels
+    raised_levels: bytes = b""
 
     def __post_init__(self) -> None:
+        self.raised = np.frombuffer(self.raised_keys, np.uint64), np.frombuffer(self.raised_levels, np.uint8)
         self.keys = np.frombuffer(self.token_keys, np.uint64)
         self.counts = np.frombuffer(self.token_counts, np.int64 if len(self.token_counts) == len(self.token_keys) else np.uint32)
         self.bytes = np.frombuffer(self.filters, np.uint8)
@@ -131,7 +177,7 @@ class Model:
         self.size = np.diff(np.array([*self.starts, len(self.filters)], np.int64)).astype(np.uint64) * _U(8)
 
     def __reduce__(self):  # noqa: ANN204
-        return Model, (self.total, self.distinct, self.token_keys, self.token_counts, self.filters, self.starts)
+        return Model, (self.total, self.distinct, self.token_keys, self.token_counts, self.filters, self.starts, self.contexts, self.raised_keys, self.raised_levels)
 
     def token_count(self, token: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -139,8 +185,8 @@ class Model:
         at = np.minimum(np.searchsorted(self.keys, token), len(self.keys) - 1)
         return np.where(self.keys[at] == token, self.counts[at], 0).astype(np.int64)
 
-    def pair_level(self, pair: np.ndarray) -> np.ndarray:
-        """By probing level after level until one misses."""
+    def pair_level(self, pair: np.ndarray, functions: np.ndarray) -> np.ndarray:
+        """By probing level after level until one misses; `functions` are those of each pair's context."""
         out = np.zeros(len(pair), np.int64)
         if not len(self.bytes):
             return out
@@ -150,15 +196,21 @@ class Model:
         while len(live):
             q += 1
             left = live
-            for k in range(FIRST if q == 1 else HIGHER):
+            for k in range(int(functions.max()) if q == 1 else HIGHER):
                 # the places of later functions are worked out only for what is left
-                slot = self._slot(pair[left], q, k, self.size[shard[left]])
-                hit = (self.bytes[(self.at[shard[left]] + (slot >> _U(3))).astype(np.int64)] >> (slot & _U(7)).astype(np.uint8)) & 1
-                left = left[hit == 1]
-                if not len(left):
+                through = functions[left] <= k if q == 1 else np.zeros(len(left), bool)
+                test = left[~through]
+                if not len(test):
                     break
+                slot = self._slot(pair[test], q, k, self.size[shard[test]])
+                hit = (self.bytes[(self.at[shard[test]] + (slot >> _U(3))).astype(np.int64)] >> (slot & _U(7)).astype(np.uint8)) & 1
+                left = np.concatenate([left[through], test[hit == 1]])
             out[left] = q
             live = left
+        key, level = self.raised
+        if len(key):
+            at = np.minimum(np.searchsorted(key, pair), len(key) - 1)
+            out = np.where(key[at] == pair, level[at], out)
         return out
 
     @staticmethod
@@ -174,12 +226,13 @@ class Model:
         context = np.empty_like(count)
         context[1:] = count[:-1]
         context[begin[:-1]] = self.token_count(np.array([END]))[0]  # texts begin as often as they end
-        pair, inverse = np.unique(pairs(before, token), return_inverse=True)
-        level = self.pair_level(pair)[inverse]
+        pair, first, inverse = np.unique(pairs(before, token), return_index=True, return_inverse=True)
+        tests = self.contexts.functions(before[first])
+        level, false = self.pair_level(pair, tests)[inverse], false_mass(self.distinct, tests)[inverse]
         seen = np.where(level > 0, 2.0 ** (level - 1), 0.0)
         base = (count + 1) / (self.total + self.distinct + 1)
         mass = MASS * np.maximum(context, 1) ** POWER
-        trust = context / np.maximum(inflation() * (context + false_mass(self.distinct)), 1e-300)
+        trust = context / np.maximum(context + false, 1e-300)
         p = (trust * np.minimum(seen, context) + mass * base) / (context + mass)  # a pair is no more frequent than its context
         add = lambda x: np.add.reduceat(x, begin[:-1]) if len(begin) > 1 else np.zeros(0)
         return {"n_tokens": np.diff(begin), "n_known": add((count > 0).astype(np.int64)), "base_score": add(np.log10(base)), "score": add(np.log10(p))}
@@ -188,34 +241,42 @@ class Model:
 # --- counting
 
 
-def _counted(docs: DataFrame, shards: int) -> DataFrame:
-    """`shard, tokens, token_counts, pairs, pair_counts` as binaries: what each run of training texts holds, by shard."""
+def _counted(docs: DataFrame, shards: int, contexts: Contexts | None = None) -> DataFrame:
+    """What each run of training texts holds, by shard, as binaries: `shard, keys, counts` of its tokens, or, with
+    `contexts`, of its pairs, and their `functions`."""
+    shared = docs.sparkSession.sparkContext.broadcast(contexts)  # _MOST_CELLS bytes at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        names = ["shard", "tokens", "token_counts", "pairs", "pair_counts"]
+        held: list[np.ndarray] = []
+        tests: list[np.ndarray] = []
+        known = shared.value
 
         def flush() -> pa.RecordBatch:
-            columns = []
-            for x in zip(*held, strict=True):
-                key, count = np.unique(np.concatenate(x), return_counts=True)
-                shard = (key % _U(shards)).astype(np.int64)
-                by = np.argsort(shard, kind="stable")
-                columns.append((shard[by], key[by], count[by].astype(np.uint32)))
+            key, first, count = np.unique(np.concatenate(held), return_index=True, return_counts=True)
+            columns = [key, count.astype(np.uint32)]
+            if known:
+                columns.append(np.concatenate(tests)[first])
             held.clear()
-            # only shards that got something: there are no more rows than different tokens and pairs, however many shards
-            own = np.union1d(columns[0][0], columns[1][0])
+            tests.clear()
+            shard = (key % _U(shards)).astype(np.int64)
+            by = np.argsort(shard, kind="stable")
+            shard = shard[by]
+            # only shards that got something: there are no more rows than different keys, however many shards
+            own = np.unique(shard)
+            cut = np.stack([np.searchsorted(shard, own), np.searchsorted(shard, own, side="right")], 1).tolist()
             out = [pa.array(own.astype(np.int32))]
-            for shard, key, count in columns:
-                cut = np.stack([np.searchsorted(shard, own), np.searchsorted(shard, own, side="right")], 1).tolist()
-                out += [pa.array([values[a:b].tobytes() for a, b in cut], pa.binary()) for values in (key, count)]
-            return pa.RecordBatch.from_arrays(out, names)
+            for values in columns:
+                values = values[by]
+                out.append(pa.array([values[a:b].tobytes() for a, b in cut], pa.binary()))
+            return pa.RecordBatch.from_arrays(out, ["shard", "keys", "counts", "functions"][: len(out)])
 
         size = 0
         for batch in batches:
             for part in slices(batch, "text"):
                 token, before, _ = tokens(*utf8(part.column("text")))
-                held.append((token, pairs(before, token)))
+                held.append(pairs(before, token) if known else token)
+                if known:
+                    tests.append(known.functions(before).astype(np.uint8))
                 size += len(token)
                 if size >= FLUSH:
                     yield flush()
@@ -223,22 +284,25 @@ def _counted(docs: DataFrame, shards: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, "shard int, tokens binary, token_counts binary, pairs binary, pair_counts binary")
+    return docs.mapInArrow(run, "shard int, keys binary, counts binary" + (", functions binary" if contexts else ""))
 
 
-def _merged(parts: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    key = np.frombuffer(b"".join(k for k, _ in parts), np.uint64)
-    count = np.frombuffer(b"".join(c for _, c in parts), np.uint32)
+def _merged(parts: list[tuple[bytes, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, the sums of their counts, and the first of what else stands beside each."""
+    key = np.frombuffer(b"".join(p[0] for p in parts), np.uint64)
+    count = np.frombuffer(b"".join(p[1] for p in parts), np.uint32)
+    rest = np.frombuffer(b"".join(p[2] for p in parts), np.uint8) if parts and len(parts[0]) > 2 else np.zeros(len(key), np.uint8)
     if not len(key):
-        return key, count.astype(np.int64)
+        return key, count.astype(np.int64), rest
     by = np.argsort(key)
     key = key[by]
     new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return key[new], np.add.reduceat(count[by], new, dtype=np.int64)
+    return key[new], np.add.reduceat(count[by], new, dtype=np.int64), rest[by][new]
 
 
-def shard_models(docs: DataFrame, shards: int) -> DataFrame:
-    """A row per shard that has any: `shard, total, tokens, token_counts, filter`."""
+def _by_shard(rows: DataFrame, shards: int, make, schema: str) -> DataFrame:  # noqa: ANN001
+    """A row per shard that has any: `shard` and the columns that `make` gives of its merged keys."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple]] = {}
@@ -246,43 +310,110 @@ def shard_models(docs: DataFrame, shards: int) -> DataFrame:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held.setdefault(row[0], []).append(row[1:])
         for shard in sorted(held):
-            rows = held.pop(shard)
-            key, count = _merged([r[:2] for r in rows])
-            pair, seen = _merged([r[2:] for r in rows])
-            out = [pa.array([shard], pa.int32()), pa.array([int(count.sum())], pa.int64())]
-            out += [pa.array([x.tobytes()], pa.binary()) for x in (key, count.astype(np.int64), build_filter(pair, seen))]
-            yield pa.RecordBatch.from_arrays(out, ["shard", "total", "tokens", "token_counts", "filter"])
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *make(*_merged(held.pop(shard)))], names)
+
+    return rows.repartitionById(shards, F.col("shard")).mapInArrow(run, schema)
+
+
+def token_counts(docs: DataFrame, shards: int) -> DataFrame:
+    """`shard, total, tokens, token_counts`."""
+    binary = lambda x: pa.array([x.tobytes()], pa.binary())
+    make = lambda key, count, _: [pa.array([int(count.sum())], pa.int64()), binary(key), binary(count.astype(np.int64))]
+    return _by_shard(_counted(docs, shards), shards, make, "shard int, total long, tokens binary, token_counts binary")
+
+
+def pair_filters(docs: DataFrame, shards: int, contexts: Contexts) -> DataFrame:
+    """`shard, filter, raised, raised_levels`."""
+    make = lambda key, count, tests: [pa.array([x], pa.binary()) for x in build_filter(key, count, tests.astype(np.int64))]
+    return _by_shard(_counted(docs, shards, contexts), shards, make, "shard int, filter binary, raised binary, raised_levels binary")
+
+
+def contexts_of(counted: DataFrame) -> Contexts:
+    """The table of contexts' frequencies from `token_counts`. Ranges of cells are filled in tasks; the cells, a byte each and
+    _MOST_CELLS at most, come to the driver."""
+    distinct = counted.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
+    distinct //= 8
+    cells = 1 << (min(_MOST_CELLS, max(_LEAST_CELLS, _CELLS_A_TOKEN * distinct)) - 1).bit_length()
+    span = min(_SPAN, cells)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, counts in zip(batch.column("tokens").to_pylist(), batch.column("token_counts").to_pylist(), strict=True):
+                place = Contexts.place(np.frombuffer(keys, np.uint64), cells)
+                by = np.argsort(place)
+                place, level = place[by], (levels(np.frombuffer(counts, np.int64)) - 1).astype(np.uint8)[by]
+                bounds = np.searchsorted(place, np.arange(0, cells + 1, span))
+                part = np.flatnonzero(np.diff(bounds))
+                at = [(place[bounds[k] : bounds[k + 1]] - k * span).astype(np.int32).tobytes() for k in part]
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(at, pa.binary()), pa.array([level[bounds[k] : bounds[k + 1]].tobytes() for k in part], pa.binary())], ["part", "at", "level"])
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, None
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([now]), pa.array([held.tobytes()], pa.binary())], ["part", "cells"])
+        for batch in batches:
+            for part, at, level in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != now:
+                    if now is not None:
+                        yield out()
+                    now, held = part, np.full(span, _NEVER, np.uint8)
+                np.minimum.at(held, np.frombuffer(at, np.int32), np.frombuffer(level, np.uint8))
+        if now is not None:
+            yield out()
+
+    ranges = counted.select("tokens", "token_counts").mapInArrow(run, "part long, at binary, level binary").repartition("part").sortWithinPartitions("part")
+    found = ranges.mapInArrow(least, "part long, cells binary").toArrow()
+    table = np.full(cells, _NEVER, np.uint8)
+    for part, some in zip(found["part"].to_pylist(), found["cells"].to_pylist(), strict=True):
+        table[part * span :][: len(some)] = np.frombuffer(some, np.uint8)
+    return Contexts(table.tobytes(), distinct)
+
+
+@dataclass
+class Trained:
+    """The written `token_counts` and `pair_filters`, how many shards there are (one without text has no row), and the contexts."""
 
-    return _counted(docs, shards).repartitionById(shards, F.col("shard")).mapInArrow(run, "shard int, total long, tokens binary, token_counts binary, filter binary")
+    counts: DataFrame
+    filters: DataFrame
+    shards: int
+    contexts: Contexts
 
 
-def trained(docs: DataFrame) -> tuple[DataFrame, int]:
-    """The written shard models of all texts of `docs` (`text`), and how many shards there are; one without text has no row."""
+def trained(docs: DataFrame) -> Trained:
+    """What all texts of `docs` (`text`) teach."""
     texts = docs.select("text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
-    return written(shard_models(texts, shards), "lm"), shards
+    counts = written(token_counts(texts, shards), "lm-tokens")
+    contexts = contexts_of(counts)
+    return Trained(counts, written(pair_filters(texts, shards, contexts), "lm-filters"), shards, contexts)
 
 
 def train(docs: DataFrame, limit: int | None = None) -> Model | None:
     """The model of all texts of `docs` (`text`), or None if it has more than `limit` bytes."""
-    return gathered(*trained(docs), limit)
+    return gathered(trained(docs), limit)
 
 
-def gathered(rows: DataFrame, shards: int, limit: int | None = None) -> Model | None:
-    """The shard models as one, or None if they have more than `limit` bytes."""
+def gathered(parts: Trained, limit: int | None = None) -> Model | None:
+    """The shards' parts as one model, or None if they have more than `limit` bytes."""
     limit = BROADCAST_BYTES if limit is None else limit
     # the size is looked at before anything is collected
-    if (rows.agg(F.sum(F.octet_length("tokens") + F.octet_length("token_counts") + F.octet_length("filter"))).first()[0] or 0) > limit:
+    size = sum(rows.agg(F.sum(sum((F.octet_length(c) for c in names[1:]), F.octet_length(names[0])))).first()[0] or 0 for rows, names in ((parts.counts, ["tokens", "token_counts"]), (parts.filters, ["filter", "raised", "raised_levels"])))
+    if size + len(parts.contexts.cells) > limit:
         return None
-    keys, counts, filters, starts, total, at = [], [], {}, [], 0, 0
-    for r in rows.toLocalIterator():
+    keys, counts, starts, total, at = [], [], [], 0, 0
+    for r in parts.counts.toLocalIterator():
         total += r.total
         keys.append(np.frombuffer(r.tokens, np.uint64))
         counts.append(np.frombuffer(r.token_counts, np.int64))
+    filters, raised = {}, [(np.zeros(0, np.uint64), np.zeros(0, np.uint8))]
+    for r in parts.filters.toLocalIterator():
         filters[r.shard] = bytes(r.filter)
-    empty = build_filter(np.zeros(0, np.uint64), np.zeros(0, np.int64)).tobytes()
-    for k in range(shards):
+        raised.append((np.frombuffer(r.raised, np.uint64), np.frombuffer(r.raised_levels, np.uint8)))
+    none = np.zeros(0, np.int64)
+    empty = build_filter(none.astype(np.uint64), none, none)[0]
+    pair, level = (np.concatenate(x) for x in zip(*raised, strict=True))
+    order = np.argsort(pair)
+    for k in range(parts.shards):
         starts.append(at)
         at += len(filters.setdefault(k, empty))
     key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
@@ -291,7 +422,7 @@ def gathered(rows: DataFrame, shards: int, limit: int | None = None) -> Model |
     by = np.argsort(key)
     count = count[by]
     narrow = count.astype(np.uint32) if count.max(initial=0) < 1 << 32 else count
-    return Model(total, len(key), key[by].tobytes(), narrow.tobytes(), b"".join(filters.pop(k) for k in range(shards)), starts)
+    return Model(total, len(key), key[by].tobytes(), narrow.tobytes(), b"".join(filters.pop(k) for k in range(parts.shards)), starts, parts.contexts, pair[order].tobytes(), level[order].tobytes())
 
 
 # --- scoring
@@ -315,8 +446,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, _RESULT)
 
 
-def probed(seen: DataFrame, models: DataFrame, shards: int) -> DataFrame:
-    """`seen` (pair, u, w, c2) with `level`, each pair's by the filter of its shard."""
+def probed(seen: DataFrame, parts: Trained) -> DataFrame:
+    """`seen` (pair, u, w, c2) with `level`, each pair's by the filter of its shard, and the `functions` of its context."""
+    shards, shared = parts.shards, seen.sparkSession.sparkContext.broadcast(parts.contexts)  # _MOST_CELLS bytes at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(0, 0, b"", b"", b"", [0])
@@ -326,24 +458,27 @@ def probed(seen: DataFrame, models: DataFrame, shards: int) -> DataFrame:
             for a, b in itertools.pairwise(np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])).tolist()):
                 rows = batch.slice(a, b - a)
                 if shard[a] != now:  # a shard's filter comes before its pairs; without one, no pair was seen
-                    now, held = shard[a], rows.column("filter")[0].as_py()
-                    model = Model(0, 0, b"", b"", held or b"", [0])
+                    now = shard[a]
+                    held = [rows.column(c)[0].as_py() or b"" for c in ("filter", "raised", "raised_levels")]
+                    model = Model(0, 0, b"", b"", held[0], [0], None, *held[1:])
                 rows = rows.filter(pa.compute.is_valid(rows.column("pair")))
-                level = model.pair_level(rows.column("pair").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("pair", "u", "w", "c2")), pa.array(level)], ["pair", "u", "w", "c2", "level"])
+                pair, u = (rows.column(c).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for c in ("pair", "u"))
+                tests = shared.value.functions(u)
+                level = model.pair_level(pair, tests) if len(pair) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("pair", "u", "w", "c2")), pa.array(level), pa.array(tests)], ["pair", "u", "w", "c2", "level", "functions"])
 
     # hashes are unsigned where shards are dealt
     shard = F.pmod(F.pmod(F.col("pair"), F.lit(shards)) + F.when(F.col("pair") < 0, F.lit(2**64 % shards)).otherwise(F.lit(0)), F.lit(shards)).cast("int")
     none = F.lit(None).cast("long")
-    filters = models.select("shard", "filter", *(none.alias(c) for c in ("pair", "u", "w", "c2")))
-    both = filters.union(seen.select(shard.alias("shard"), F.lit(None).cast("binary").alias("filter"), "pair", "u", "w", "c2"))
+    filters = parts.filters.select("shard", "filter", "raised", "raised_levels", *(none.alias(c) for c in ("pair", "u", "w", "c2")))
+    both = filters.union(seen.select(shard.alias("shard"), *(F.lit(None).cast("binary").alias(c) for c in ("filter", "raised", "raised_levels")), "pair", "u", "w", "c2"))
     rows = both.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("pair").isNotNull())
-    return rows.mapInArrow(run, "pair long, u long, w long, c2 long, level long")
+    return rows.mapInArrow(run, "pair long, u long, w long, c2 long, level long, functions long")
 
 
-def scored_by_joins(docs: DataFrame, models: DataFrame | None = None, shards: int = 1) -> DataFrame:
+def scored_by_joins(docs: DataFrame, parts: Trained | None = None) -> DataFrame:
     """Scores without broadcasting a model: a row per text and distinct pair, joined with the pair's probability. The filters
-    in `models` give pairs' levels as a broadcast one does; without them, levels come from the exact counts."""
+    in `parts` give pairs' levels as a broadcast one does; without them, levels come from the exact counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -361,7 +496,7 @@ def scored_by_joins(docs: DataFrame, models: DataFrame | None = None, shards: in
     numbered = written(docs.select("doc_id", "held_out", "text").withColumn("row", F.monotonically_increasing_id()), "lm-texts")
     rows = written(numbered.select("row", "held_out", "text").mapInArrow(run, "row long, held_out boolean, u long, w long, pair long, n long"), "lm-pairs")
     seen = rows.groupBy("pair", "u", "w").agg(F.sum(F.when(~F.col("held_out"), F.col("n")).otherwise(0)).alias("c2"))
-    seen = seen.withColumn("level", F.when(F.col("c2") > 0, F.floor(F.log2("c2") + 1e-12) + 1).otherwise(0)) if models is None else probed(seen, models, shards)
+    seen = seen.withColumn("level", F.when(F.col("c2") > 0, F.floor(F.log2("c2") + 1e-12) + 1).otherwise(0)) if parts is None else probed(seen, parts)
     seen = written(seen, "lm-counts")
     token = seen.groupBy("w").agg(F.sum("c2").alias("c"))
     context = seen.groupBy("u").agg(F.sum("c2").alias("cu"))
@@ -369,7 +504,10 @@ def scored_by_joins(docs: DataFrame, models: DataFrame | None = None, shards: in
     base = (F.col("c") + 1) / F.lit(float(total + distinct + 1))
     count = F.when(F.col("level") > 0, F.pow(F.lit(2.0), F.col("level") - 1)).otherwise(0.0)
     mass = MASS * F.pow(F.greatest(F.col("cu"), F.lit(1)).cast("double"), F.lit(POWER))
-    trust = F.lit(1.0) if models is None else F.col("cu") / F.greatest(F.lit(inflation()) * (F.col("cu") + F.lit(false_mass(distinct))), F.lit(1e-300))
+    trust = F.lit(1.0)
+    if parts is not None:
+        expected = F.lit(float(distinct)) * F.pow(F.lit(2.0), -F.col("functions"))
+        trust = F.col("cu") / F.greatest(F.col("cu") + F.lit(FALSE_COUNT) * (expected + 4 * F.sqrt(expected)), F.lit(1e-300))
     p = (trust * F.least(count, F.col("cu").cast("double")) + mass * base) / (F.col("cu") + mass)  # a pair is no more frequent than its context
     scored_pairs = seen.join(token, "w").join(context, "u").select("pair", (F.col("c") > 0).cast("long").alias("known"), F.log10(base).alias("base"), F.log10(p).alias("score"))
     sums = rows.select("row", "pair", "n").join(scored_pairs, "pair").groupBy("row").agg(F.sum("n").alias("n_tokens"), F.sum(F.col("n") * F.col("known")).alias("n_known"), F.sum(F.col("n") * F.col("base")).alias("base_score"), F.sum(F.col("n") * F.col("score")).alias("score"))
@@ -387,6 +525,6 @@ def score_documents(docs: DataFrame, broadcast_bytes: int | None = None) -> Data
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
     if broadcast_bytes == 0:
         return scored_by_joins(rows)
-    models = trained(rows.where(~F.col("held_out")))
-    model = gathered(*models, broadcast_bytes)
-    return scored_by_joins(rows, *models) if model is None else scored(rows, model)
+    parts = trained(rows.where(~F.col("held_out")))
+    model = gathered(parts, broadcast_bytes)
+    return scored_by_joins(rows, parts) if model is None else scored(rows, model)
