@@ -20,9 +20,33 @@ SCORE_BYTES = 64 << 20
 PLACES = 6
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+def _matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The rows of each length, and their vectors; null vectors are left out."""
+    size = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    for n in np.unique(size[size >= 0]):
+        rows = np.flatnonzero(size == n)
+        flat = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        yield rows, flat.reshape(len(rows), n)
+
+
+class _Best:
+    """The k best entries so far of some queries, the smaller index first among equals."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+        self.ids, self.vectors, self.k = ids, vectors, k
+        self.row, self.score, self.entry = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+
+    def add(self, entries: np.ndarray, vectors: np.ndarray) -> None:
+        score = np.round(self.vectors @ vectors.T, PLACES)
+        # only what reaches a query's k-th score is sorted
+        low = np.partition(score, -self.k, axis=1)[:, -self.k, None] if score.shape[1] > self.k else -np.inf
+        row, at = np.nonzero(score >= low)
+        row, value, entry = np.append(self.row, row), np.append(self.score, score[row, at]), np.append(self.entry, entries[at])
+        order = np.lexsort((entry, -value, row))
+        row = row[order]
+        begin = np.searchsorted(row, np.arange(len(self.ids)))
+        first = np.arange(len(row)) - begin[row] < self.k
+        self.row, self.score, self.entry = row[first], value[order][first], entry[order][first]
 
 
 def top_k(queries: DataFrame, index: DataFrame, k: int = TOP_K, normalized: bool = False) -> DataFrame:
@@ -30,35 +54,31 @@ def top_k(queries: DataFrame, index: DataFrame, k: int = TOP_K, normalized: bool
     of largest inner product, the smaller index first among equals; vectors are normalised unless they are.
 
     The index stays where it is: each task multiplies some of its rows at a time with a block of queries and passes on its own
-    k best, so k rows per query and task are shuffled. Vectors that are null or not as long as the longest query take no part.
+    k best, so k rows per query and task are shuffled. A query is held against the entries of its own length, whatever lengths other
+    queries or entries have; without such entries, or if it is null, it has no hits.
     """
     rows = queries.select(F.col("query_id").cast("long"), "embedding").where("embedding is not null")
-    total, dim = rows.agg(F.sum(F.size("embedding")), F.max(F.size("embedding"))).first()
-    rows = rows.where(F.size("embedding") == (dim or 0))
+    total = rows.agg(F.sum(F.size("embedding"))).first()[0]
     blocks = max(1, -(-8 * (total or 0) // QUERY_BYTES))
     spark, found = index.sparkSession, None
     for b in range(blocks):
         part = rows.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).orderBy("query_id").toArrow()
-        ids, q = part["query_id"].to_numpy(), _matrix(part["embedding"].combine_chunks())
-        shared = spark.sparkContext.broadcast((ids, _unit(q) if not normalized else q))
+        ids, vectors = part["query_id"].to_numpy(), part["embedding"].combine_chunks()
+        asked = {m.shape[1]: (ids[at], m if normalized else _unit(m)) for at, m in _matrices(vectors)} if len(ids) else {}
+        shared = spark.sparkContext.broadcast(asked)  # QUERY_BYTES
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            best_score = np.full((len(ids), 0), 0.0)
-            best_id = np.zeros((len(ids), 0), np.int64)
-            step = max(k, SCORE_BYTES // (8 * max(len(ids), 1)))
-            for batch in (b.slice(at, step) for b in batches for at in range(0, b.num_rows if len(ids) else 0, step)):
-                m = _matrix(batch.column("embedding"))
-                m = m if normalized else _unit(m)
+            best = {n: _Best(*own, k) for n, own in shared.value.items()}
+            step = max(k, SCORE_BYTES // (8 * max([1, *(len(x.ids) for x in best.values())])))
+            for batch in (b.slice(at, step) for b in batches for at in range(0, b.num_rows if best else 0, step)):
                 own = batch.column("index").to_numpy(zero_copy_only=False)
-                score = np.concatenate([best_score, np.round(q @ m.T, PLACES)], axis=1)
-                ident = np.concatenate([best_id, np.broadcast_to(own, (len(ids), len(own)))], axis=1)
-                order = np.lexsort((ident, -score), axis=1)[:, :k]
-                best_score, best_id = np.take_along_axis(score, order, 1), np.take_along_axis(ident, order, 1)
-            n = best_id.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n).astype(np.int64)), pa.array(best_id.ravel()), pa.array(best_score.ravel())], ["query_id", "index", "score"])
-
-        entries = index.select(F.col("index").cast("long").alias("index"), "embedding").where(F.size("embedding") == (dim or 0))
+                for at, m in _matrices(batch.column("embedding")):
+                    if m.shape[1] in best:
+                        best[m.shape[1]].add(own[at], m if normalized else _unit(m))
+            for x in best.values():
+                yield pa.RecordBatch.from_arrays([pa.array(x.ids[x.row].astype(np.int64)), pa.array(x.entry), pa.array(x.score)], ["query_id", "index", "score"])
+
+        entries = index.select(F.col("index").cast("long").alias("index"), "embedding").where("embedding is not null and index is not null")
         local = entries.mapInArrow(run, "query_id long, index long, score double")
         found = local if found is None else found.unionByName(local)
     return ranked(found, "score", k, ["index"])

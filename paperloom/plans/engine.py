@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chunks, index, layout, nested, paragraphs, quality, search, structure, summarize
-from ..operators.summarize import lead_summary
+from ..operators.coverage import coverage_summary
 from ..sources import readers, writers
 
 
@@ -42,7 +42,7 @@ class Engine:
 
     encode: Callable[[Column], Column] = field(default_factory=hashed_encoder)
     score: Callable[[Column, Column], Column] = search.overlap_score
-    summary: Callable[[Column], Column] = lead_summary
+    summary: Callable[[Column], Column] = field(default_factory=coverage_summary)
 
     def check(self, pages: DataFrame) -> DataFrame:
         return quality.quality_gate(pages)
