@@ -34,14 +34,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import written
-from .textkernel import Words, mix, slices, utf8, xxh64
+from .textkernel import Words, mix, slices, tidy, utf8, xxh64
 
 #: Weight of the smoothing distribution, in occurrences of the context.
 MASS, POWER = 4.0, 0.8
 #: Bounds of the hash functions of an entry of the first level, and how many one of a higher level has; filters are half full.
 LEAST, MOST, HIGHER = 2, 48, 6
 #: Share of a context's count that false followers may add.
-SPARE = 0.1
+SPARE = 0.2
 #: Bounds of the cells that contexts' frequencies are read from, a byte each; in between, so many for a token. Cells of a range.
 _LEAST_CELLS, _MOST_CELLS, _CELLS_A_TOKEN, _SPAN = 1 << 16, 1 << 26, 4, 1 << 20
 #: Model bytes up to which it is broadcast.
@@ -162,7 +162,7 @@ class Model:
     distinct: int
     token_keys: bytes
     token_counts: bytes
-    filters: bytes
+    filters: bytes | np.ndarray
     starts: list[int]  # of each shard's filter; a shard is hash mod the number of shards
     contexts: Contexts | None = None
     raised_keys: bytes = b""  # pairs, sorted, and their levels
@@ -400,29 +400,32 @@ def gathered(parts: Trained, limit: int | None = None) -> Model | None:
     size = sum(rows.agg(F.sum(sum((F.octet_length(c) for c in names[1:]), F.octet_length(names[0])))).first()[0] or 0 for rows, names in ((parts.counts, ["tokens", "token_counts"]), (parts.filters, ["filter", "raised", "raised_levels"])))
     if size + len(parts.contexts.cells) > limit:
         return None
-    keys, counts, starts, total, at = [], [], [], 0, 0
+    # arrays of the sizes that are known are filled part by part, so the driver holds the model once
+    key, count = np.empty(parts.contexts.distinct, np.uint64), np.empty(parts.contexts.distinct, np.int64)
+    total = at = 0
     for r in parts.counts.toLocalIterator():
-        total += r.total
-        keys.append(np.frombuffer(r.tokens, np.uint64))
-        counts.append(np.frombuffer(r.token_counts, np.int64))
-    filters, raised = {}, [(np.zeros(0, np.uint64), np.zeros(0, np.uint8))]
+        n = len(r.tokens) // 8
+        key[at : at + n], count[at : at + n] = np.frombuffer(r.tokens, np.uint64), np.frombuffer(r.token_counts, np.int64)
+        total, at = total + r.total, at + n
+    by = np.argsort(key)
+    key = key[by].tobytes()
+    count = (count.astype(np.uint32) if count.max(initial=0) < 1 << 32 else count)[by].tobytes()
+    del by
+    none = np.zeros(0, np.int64)
+    empty = np.frombuffer(build_filter(none.astype(np.uint64), none, none)[0], np.uint8)
+    own = {r.shard: r.n for r in parts.filters.select("shard", F.octet_length("filter").alias("n")).collect()}  # a number a shard
+    ends = np.cumsum([own.get(k, len(empty)) for k in range(parts.shards)]).tolist()
+    starts = [0, *ends[:-1]]
+    filters, raised = np.empty(ends[-1], np.uint8), [(np.zeros(0, np.uint64), np.zeros(0, np.uint8))]
+    for k in set(range(parts.shards)) - own.keys():
+        filters[starts[k] : ends[k]] = empty
     for r in parts.filters.toLocalIterator():
-        filters[r.shard] = bytes(r.filter)
+        filters[starts[r.shard] : ends[r.shard]] = np.frombuffer(r.filter, np.uint8)
         raised.append((np.frombuffer(r.raised, np.uint64), np.frombuffer(r.raised_levels, np.uint8)))
-    none = np.zeros(0, np.int64)
-    empty = build_filter(none.astype(np.uint64), none, none)[0]
     pair, level = (np.concatenate(x) for x in zip(*raised, strict=True))
     order = np.argsort(pair)
-    for k in range(parts.shards):
-        starts.append(at)
-        at += len(filters.setdefault(k, empty))
-    key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-    count = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-    del keys, counts
-    by = np.argsort(key)
-    count = count[by]
-    narrow = count.astype(np.uint32) if count.max(initial=0) < 1 << 32 else count
-    return Model(total, len(key), key[by].tobytes(), narrow.tobytes(), b"".join(filters.pop(k) for k in range(parts.shards)), starts, parts.contexts, pair[order].tobytes(), level[order].tobytes())
+    tidy()
+    return Model(total, parts.contexts.distinct, key, count, filters, starts, parts.contexts, pair[order].tobytes(), level[order].tobytes())
 
 
 # --- scoring

@@ -185,7 +185,7 @@ def test_lm(spark, docs, nothing, limit):
     def spare_of(t):
         c = 2.0 ** cell.get(place(t), 0)
         shown = 1 + (1 / 64) / (1 - 2 / 64)  # what a false positive shows on average
-        h = min(max(math.ceil(math.log2(v / (math.sqrt(4 + 0.1 * c / shown) - 2) ** 2)), 2), 48)
+        h = min(max(math.ceil(math.log2(v / (math.sqrt(4 + 0.2 * c / shown) - 2) ** 2)), 2), 48)
         return shown * (v / 2**h + 4 * (v / 2**h) ** 0.5)
 
     def probability(u, t):
