@@ -22,21 +22,26 @@ def _join(base: str, name: str) -> str:
     return f"{base}.{name}" if base else name
 
 
-def flatten_pairs(value: Column, kind: T.DataType, mode: str = "split", separator: str = "\n", base: str = "", key: Column | None = None) -> Column:
+def flatten_pairs(value: Column, kind: T.DataType, mode: str = "split", separator: str = "\n", base: str = "", key: Column | None = None, merge: bool = False) -> Column:
     """The leaves of a column as an array of (base path, path with subscripts, text), in document order.
 
-    Lists are split into subscripted elements, joined into one text (blank elements left out), or kept as JSON.
+    Lists are split into subscripted elements, joined into one text (blank elements left out), or kept as JSON. With `merge`, lists
+    of nothing but plain values, none of them null, become one text as they are, whatever the mode; a list without elements an empty one.
     """
     key = F.lit(base) if key is None else key
     if isinstance(kind, T.StructType):
         parts = []
         for f in kind.fields:
             inner = F.concat(key, F.lit(f".{f.name}")) if base else F.lit(f.name)
-            parts.append(flatten_pairs(value[f.name], f.dataType, mode, separator, _join(base, f.name), inner))
+            parts.append(flatten_pairs(value[f.name], f.dataType, mode, separator, _join(base, f.name), inner, merge))
         return F.when(value.isNotNull(), F.flatten(F.array(*parts))).otherwise(F.array().cast(PAIR)) if parts else F.array().cast(PAIR)
     if isinstance(kind, T.ArrayType):
+        if merge and not isinstance(kind.elementType, (T.StructType, T.ArrayType, T.MapType)):
+            shown = F.transform(value, lambda x: F.initcap(x.cast("string")) if isinstance(kind.elementType, T.BooleanType) else _text(x, kind.elementType))
+            whole = _pair(base, key, F.array_join(shown, separator), value.isNotNull())
+            return F.when(F.exists(value, lambda x: x.isNull()), flatten_pairs(value, kind, mode, separator, base, key)).otherwise(whole)
         if mode == "split":
-            nested = F.transform(value, lambda x, i: flatten_pairs(x, kind.elementType, mode, separator, base, F.concat(key, F.lit("["), i.cast("string"), F.lit("]"))))
+            nested = F.transform(value, lambda x, i: flatten_pairs(x, kind.elementType, mode, separator, base, F.concat(key, F.lit("["), i.cast("string"), F.lit("]")), merge))
             return F.coalesce(F.flatten(nested), F.array().cast(PAIR))
         if mode == "join":
             simple = not isinstance(kind.elementType, (T.StructType, T.ArrayType, T.MapType))
@@ -52,10 +57,10 @@ def _pair(base: str, key: Column, text: Column, there: Column) -> Column:
     return F.when(there, one.cast(PAIR)).otherwise(F.array().cast(PAIR))
 
 
-def flatten(rows: DataFrame, id_col: str, mode: str = "split", separator: str = "\n") -> DataFrame:
-    """`id, ord, base_key, key, text`: a row per leaf of each record, ord counted from 0."""
+def flatten(rows: DataFrame, id_col: str, mode: str = "split", separator: str = "\n", merge: bool = False) -> DataFrame:
+    """`id, ord, base_key, key, text`: a row per leaf of each record, ord counted from 0; `flatten_pairs` says how lists are treated."""
     fields = [f for f in rows.schema.fields if f.name != id_col]
-    pairs = F.flatten(F.array(*(flatten_pairs(F.col(f.name), f.dataType, mode, separator, f.name, F.lit(f.name)) for f in fields)))
+    pairs = F.flatten(F.array(*(flatten_pairs(F.col(f.name), f.dataType, mode, separator, f.name, F.lit(f.name), merge) for f in fields)))
     return rows.select(F.col(id_col), F.posexplode(pairs).alias("ord", "p")).select(id_col, "ord", F.col("p.base").alias("base_key"), F.col("p.key").alias("key"), F.col("p.text").alias("text"))
 
 

@@ -186,3 +186,17 @@ def test_rouge_with_stems(spark):
     assert score(stems)[1] == pytest.approx(200 * 2 / 9, abs=1e-3) and score(pairs)[1] == 0
     longest = {r.id: r.x for r in stems.select("id", evaluate.rouge_lsum()("prediction", "reference").alias("x")).collect()}
     assert longest[4] == pytest.approx(100 * 2 * 3 / 8, abs=30) and longest[4] > 60
+
+
+# --- list policy
+
+
+def test_merged_lists(spark):
+    from paperloom.operators import nested
+
+    rows = spark.createDataFrame([(1, ["a ", "b"], [1.5, 2.0], [True, False], [(1, ["x", "y"])], []), (2, ["a", None], None, [], [], ["z"])], "id long, s array<string>, n array<double>, b array<boolean>, o array<struct<k:int,t:array<string>>>, e array<string>")
+    got = {}
+    for r in nested.flatten(rows, "id", "split", "+", merge=True).orderBy("id", "ord").collect():
+        got.setdefault(r.id, []).append((r.key, r.text))
+    assert got[1] == [("s", "a +b"), ("n", "1.5+2.0"), ("b", "True+False"), ("o[0].k", "1"), ("o[0].t", "x+y"), ("e", "")]
+    assert got[2] == [("s[0]", "a"), ("s[1]", None), ("b", ""), ("e", "z")]
