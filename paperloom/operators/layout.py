@@ -206,13 +206,18 @@ def repair_gaps(lines: DataFrame, columns: tuple[str, ...] = ("Top", "Bot")) ->
     return lines
 
 
-def proper_names(lines: DataFrame, least: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
-    """`name, cnt`: title-case words, but each line's first, that occur `least` times or more (by document with `by`)."""
+def name_words(lines: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """`by, name`: each occurrence of a title-case word that isn't its line's first."""
     found = F.regexp_extract_all("Text", F.lit("[A-Za-zÀ-ỹĐđ0-9]+"), F.lit(0))
     rows = lines.select(*by, F.explode(F.slice(found, 2, F.greatest(F.size(found), F.lit(1)))).alias("name"))
     # title case is all that counts, so an upper-case word of one letter is one too
     title = F.col("name").rlike(r"^[^\p{L}]*(?:\p{Lu}\p{Ll}*(?:[^\p{L}]+|$))+$")
-    return rows.where(title).groupBy(*by, "name").agg(F.count("*").alias("cnt")).where(F.col("cnt") >= least)
+    return rows.where(title)
+
+
+def proper_names(lines: DataFrame, least: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
+    """`name, cnt`: title-case words, but each line's first, that occur `least` times or more (by document with `by`)."""
+    return name_words(lines, by).groupBy(*by, "name").agg(F.count("*").alias("cnt")).where(F.col("cnt") >= least)
 
 
 def recomputed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chunks, index, layout, nested, paragraphs, quality, search, structure, summarize
+from ..operators import chunks, index, latent, layout, nested, paragraphs, quality, search, structure, summarize
 from ..operators.coverage import coverage_summary
 from ..sources import readers, writers
 
@@ -44,6 +44,11 @@ class Engine:
     score: Callable[[Column, Column], Column] = search.overlap_score
     summary: Callable[[Column], Column] = field(default_factory=coverage_summary)
 
+    @classmethod
+    def learned(cls, docs: DataFrame, text: str = "text", **parameters: int) -> Engine:
+        """An engine whose encoder has learned from the texts of `docs`; `parameters` as `operators.latent.learn` takes them."""
+        return cls(encode=latent.learn(docs, text, **parameters).encoder())
+
     def check(self, pages: DataFrame) -> DataFrame:
         return quality.quality_gate(pages)
 

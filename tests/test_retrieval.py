@@ -158,3 +158,54 @@ def test_any_updates_equal_one_build(spark, tmp_path):
     # nothing has changed: nothing is written
     again = upkeep.update(spark, path, rows, encode, partitions=16)
     assert again["written"] == again["new"] == again["gone"] == again["changed"] == 0
+
+
+# --- a learned encoder
+
+
+def topics(n=240, seed=6):
+    """Texts of a topic share few words each, but their words occur together elsewhere."""
+    rng = random.Random(seed)
+    words = {t: [f"{t}{k}" for k in range(30)] for t in "abcd"}
+    return [(i, t, " ".join(rng.choice(words[t]) for _ in range(6)) + " " + " ".join(f"x{rng.randrange(60)}" for _ in range(4))) for i in range(n) for t in [rng.choice("abcd")]]
+
+
+def test_directions_against_numpy(spark):
+    from paperloom.operators import latent
+
+    docs = topics(150)
+    rows = spark.createDataFrame([(i, t) for i, _, t in docs] + [(900, None), (901, ""), (902, "!?")], "id long, text string").repartition(4)
+    found = latent.learn(rows, directions=6, cells=512, passes=12)
+    a = np.zeros((len(docs), 512))
+    for i, (_, _, t) in enumerate(docs):
+        for c, w in latent.cells_of(t, 512).items():
+            a[i, c] = w
+    df = (a > 0).sum(0)
+    idf = np.where(df > 0, np.log((1 + len(docs)) / (1 + df)) + 1, 0.0)
+    m = a * idf
+    m /= np.sqrt((m * m).sum(1, keepdims=True))
+    _, s, vt = np.linalg.svd(m, full_matrices=False)
+    assert found.strength == pytest.approx(s[:6], rel=1e-3)
+    own = found.projection / np.where(idf > 0, idf, 1.0)[:, None]
+    assert np.allclose(own.T @ own, np.eye(6), atol=1e-6)
+    # the strongest directions are the same: cosines of the angles between the spaces
+    assert np.linalg.svd(vt[:4] @ own[:, :4])[1].min() > 0.99
+    assert not latent.learn(rows.limit(0), directions=3, cells=64).projection.any()
+
+
+def test_encoder_beats_hashes(spark):
+    from paperloom.operators import latent
+    from paperloom.plans.engine import hashed_encoder
+
+    docs = topics(400, 7)
+    rows = spark.createDataFrame(docs, "id long, topic string, text string").repartition(4)
+    label = {i: t for i, t, _ in docs}
+
+    def hits(encode):
+        own = rows.select(F.col("id").alias("index"), encode("text").alias("embedding")).cache()
+        asked = own.where("index % 8 = 0").select(F.col("index").alias("query_id"), "embedding")
+        found = search.top_k(asked, own, 6).where("query_id <> index").collect()
+        return np.mean([label[r.query_id] == label[r["index"]] for r in found])
+
+    learned, plain = hits(latent.learn(rows, directions=8, cells=2048).encoder()), hits(hashed_encoder(64))
+    assert learned > 0.9 and learned > plain + 0.1
