@@ -20,6 +20,18 @@ class Limits:
     short: int = 10
 
 
+#: What ends a line, white space inside one, and a line that isn't blank.
+_BREAK = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
+_BLANK = rf"[\s&&[^{_BREAK}]]*+"
+_LINE = rf"(?U){_BLANK}[^{_BREAK}\s][^{_BREAK}]*+"
+
+
+def _short_line(least: int) -> str:
+    """A whole line that isn't blank, and without white space around it has fewer than `least` code points."""
+    more = rf"(?:[^{_BREAK}]{{0,{least - 3}}}[^{_BREAK}\s])?" if least > 2 else ""
+    return rf"(?U)(?<![^{_BREAK}]){_BLANK}[^{_BREAK}\s]{more}{_BLANK}(?![^{_BREAK}])" if least > 1 else r"(?!)"
+
+
 def quality_gate(pages: DataFrame, limits: Limits = Limits(), text: str = "text") -> DataFrame:  # noqa: B008
     """`pages` with `is_good, check_mess, total_chars, invalid_ratio, whitespace_ratio, short_line_ratio`.
 
@@ -28,16 +40,14 @@ def quality_gate(pages: DataFrame, limits: Limits = Limits(), text: str = "text"
     are compared as they are and shown with 3 places.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    blank = F.trim(F.regexp_replace(t, r"(?U)\s+", " ")) == ""
-    whole = F.when(blank, "").otherwise(F.concat(t, F.lit("\n")))
-    lines = F.filter(F.transform(F.split(whole, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
+    whole = F.when(t.rlike(r"(?U)\S"), F.concat(t, F.lit("\n"))).otherwise("")
     counted = pages.withColumns(
         {
             "total_chars": F.length(whole),
-            "__bad": F.length(F.regexp_replace(whole, f"(?U)[{VALID_CHARACTERS}]", "")),
+            "__bad": F.length(F.regexp_replace(whole, f"(?U)[{VALID_CHARACTERS}]++", "")),
             "__wide": F.regexp_count(whole, F.lit(" {3,}")),
-            "__lines": F.size(lines),
-            "__short": F.size(F.filter(lines, lambda x: F.length(x) < limits.short)),
+            "__lines": F.regexp_count(whole, F.lit(_LINE)),
+            "__short": F.regexp_count(whole, F.lit(_short_line(limits.short))),
         }
     )
     long = F.col("total_chars") >= limits.characters
