@@ -127,14 +127,16 @@ class Contexts:
         return functions(np.arange(256), self.distinct)[self.table[self.place(known, len(self.table))]]
 
 
-def _slots(keys: np.ndarray, level: int, bits: np.ndarray, functions: np.ndarray) -> Iterator[np.ndarray]:
-    """The filter places of the keys at a level, one hash function after another; a key has its own number of them."""
+def _hashes(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each key at a level, and the step to each further one."""
     with np.errstate(over="ignore"):
         h = mix(keys + _U(level) * _U(0xD1342543DE82EF95))
-        a, b = h, mix(h) | _U(1)
-        for k in range(int(functions.max(initial=0))):
-            yield (a[functions > k] >> _U(16)) % bits
-            a = a + b
+        return h, mix(h) | _U(1)
+
+
+def _slot(place: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """A place among so many bits, fewer than 2**32: its upper half's share of them."""
+    return ((place >> _U(32)) * bits) >> _U(32)
 
 
 def build_filter(keys: np.ndarray, counts: np.ndarray, functions: np.ndarray) -> tuple[bytes, bytes, bytes]:
@@ -145,8 +147,12 @@ def build_filter(keys: np.ndarray, counts: np.ndarray, functions: np.ndarray) ->
     bits = np.zeros(size, bool)
     for q in range(1, int(level.max(initial=0)) + 1):
         own = level >= q
-        for slot in _slots(keys[own], q, _U(size), functions[own] if q == 1 else np.full(int(own.sum()), HIGHER)):
-            bits[slot] = True
+        place, step = _hashes(keys[own], q)
+        last = functions[own] if q == 1 else np.full(len(place), HIGHER)
+        for k in range(int(last.max(initial=0))):
+            bits[_slot(place[last > k], _U(size))] = True
+            with np.errstate(over="ignore"):
+                place = place + step
     packed = np.packbits(bits, bitorder="little").tobytes()
     shown = Model(0, 0, b"", b"", packed, [0]).pair_level(keys, functions)
     raised = np.flatnonzero(shown > level)
@@ -191,33 +197,39 @@ class Model:
         if not len(self.bytes):
             return out
         shard = (pair % _U(len(self.at))).astype(np.int64)
-        live = np.arange(len(pair))
-        q = 0
+        live, q = np.arange(len(pair)), 0
         while len(live):
             q += 1
-            left = live
-            for k in range(int(functions.max()) if q == 1 else HIGHER):
-                # the places of later functions are worked out only for what is left
-                through = functions[left] <= k if q == 1 else np.zeros(len(left), bool)
-                test = left[~through]
-                if not len(test):
-                    break
-                slot = self._slot(pair[test], q, k, self.size[shard[test]])
-                hit = (self.bytes[(self.at[shard[test]] + (slot >> _U(3))).astype(np.int64)] >> (slot & _U(7)).astype(np.uint8)) & 1
-                left = np.concatenate([left[through], test[hit == 1]])
-            out[left] = q
-            live = left
+            live = live[self._holds(pair[live], q, shard[live], functions[live] if q == 1 else np.full(len(live), HIGHER))]
+            out[live] = q
         key, level = self.raised
         if len(key):
             at = np.minimum(np.searchsorted(key, pair), len(key) - 1)
             out = np.where(key[at] == pair, level[at], out)
         return out
 
-    @staticmethod
-    def _slot(keys: np.ndarray, level: int, k: int, bits: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            h = mix(keys + _U(level) * _U(0xD1342543DE82EF95))
-            return ((h + _U(k) * (mix(h) | _U(1)) if k else h) >> _U(16)) % bits
+    def _holds(self, keys: np.ndarray, level: int, shard: np.ndarray, functions: np.ndarray) -> np.ndarray:
+        """Places of the keys that are in the filter at a level. Keys that missed are sorted out when they are a quarter."""
+        out = np.zeros(len(keys), bool)
+        place, step = _hashes(keys, level)
+        left, size, begin, last = np.arange(len(keys)), self.size[shard], self.at[shard], functions
+        alive = np.ones(len(keys), bool)
+        for k in range(int(functions.max())):
+            slot = _slot(place, size)
+            alive &= ((self.bytes[(begin + (slot >> _U(3))).astype(np.int64)] >> (slot & _U(7)).astype(np.uint8)) & 1).astype(bool)
+            with np.errstate(over="ignore"):
+                place = place + step
+            done = alive & (last == k + 1)
+            out[left[done]] = True
+            go = alive & (last > k + 1)
+            if np.count_nonzero(go) < 0.75 * len(left):
+                left, size, begin, last, place, step = (x[go] for x in (left, size, begin, last, place, step))
+                alive = np.ones(len(left), bool)
+                if not len(left):
+                    break
+            else:
+                alive = go
+        return np.flatnonzero(out)
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         token, before, begin = tokens(data, offsets)
