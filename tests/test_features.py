@@ -200,3 +200,33 @@ def test_merged_lists(spark):
         got.setdefault(r.id, []).append((r.key, r.text))
     assert got[1] == [("s", "a +b"), ("n", "1.5+2.0"), ("b", "True+False"), ("o[0].k", "1"), ("o[0].t", "x+y"), ("e", "")]
     assert got[2] == [("s[0]", "a"), ("s[1]", None), ("b", ""), ("e", "z")]
+
+
+# --- likeness of strings
+
+
+def test_similar_ratio_by_recursion(spark):
+    """Twice the characters in common blocks over all characters: the longest common block, then what lies left and right of it."""
+    from paperloom.functions.text import similar_ratio
+
+    def blocks(a, b):
+        best = (0, 0, 0)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                    n += 1
+                if n > best[0]:  # the first of equally long ones
+                    best = (n, i, j)
+        n, i, j = best
+        return n + blocks(a[:i], b[:j]) + blocks(a[i + n :], b[j + n :]) if n else 0
+
+    rng = random.Random(8)
+    text = lambda: "".join(rng.choice("abcé ") for _ in range(rng.randint(0, 14)))
+    rows = [(i, text(), text()) for i in range(150)] + [(900, "", ""), (901, None, "a"), (902, "same", "same")]
+    got = {r.id: r.x for r in spark.createDataFrame(rows, "id long, a string, b string").select("id", similar_ratio()("a", "b").alias("x")).collect()}
+    for i, a, b in rows:
+        if a is None:
+            assert got[i] is None
+        else:
+            assert got[i] == pytest.approx(2 * blocks(a, b) / (len(a) + len(b)) if a or b else 1.0)
