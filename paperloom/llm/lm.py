@@ -168,7 +168,7 @@ class Model:
     distinct: int
     token_keys: bytes
     token_counts: bytes
-    filters: bytes | np.ndarray
+    filters: bytes | bytearray
     starts: list[int]  # of each shard's filter; a shard is hash mod the number of shards
     contexts: Contexts | None = None
     raised_keys: bytes = b""  # pairs, sorted, and their levels
@@ -377,6 +377,8 @@ def contexts_of(counted: DataFrame) -> Contexts:
     table = np.full(cells, _NEVER, np.uint8)
     for part, some in zip(found["part"].to_pylist(), found["cells"].to_pylist(), strict=True):
         table[part * span :][: len(some)] = np.frombuffer(some, np.uint8)
+    found = None
+    tidy()
     return Contexts(table.tobytes(), distinct)
 
 
@@ -428,7 +430,9 @@ def gathered(parts: Trained, limit: int | None = None) -> Model | None:
     own = {r.shard: r.n for r in parts.filters.select("shard", F.octet_length("filter").alias("n")).collect()}  # a number a shard
     ends = np.cumsum([own.get(k, len(empty)) for k in range(parts.shards)]).tolist()
     starts = [0, *ends[:-1]]
-    filters, raised = np.empty(ends[-1], np.uint8), [(np.zeros(0, np.uint64), np.zeros(0, np.uint8))]
+    # a bytearray, which goes into a broadcast without being copied
+    whole, raised = bytearray(ends[-1]), [(np.zeros(0, np.uint64), np.zeros(0, np.uint8))]
+    filters = np.frombuffer(whole, np.uint8)
     for k in set(range(parts.shards)) - own.keys():
         filters[starts[k] : ends[k]] = empty
     for r in parts.filters.toLocalIterator():
@@ -437,7 +441,7 @@ def gathered(parts: Trained, limit: int | None = None) -> Model | None:
     pair, level = (np.concatenate(x) for x in zip(*raised, strict=True))
     order = np.argsort(pair)
     tidy()
-    return Model(total, parts.contexts.distinct, key, count, filters, starts, parts.contexts, pair[order].tobytes(), level[order].tobytes())
+    return Model(total, parts.contexts.distinct, key, count, whole, starts, parts.contexts, pair[order].tobytes(), level[order].tobytes())
 
 
 # --- scoring
