@@ -17,19 +17,17 @@ from a table of hashed cells, of bounded size; contexts that share a cell are ta
 
 Counting is distributed by hash, first of tokens, then of pairs; each shard builds its part of the counts and of the filter,
 and these are broadcast if together they are at most `BROADCAST_BYTES`. They grow with the corpus, so a
-larger model is not broadcast: each shard's pairs then go to its part of the filter, which answers
-the same probes, and joins bring the token counts. Scores don't depend on which way is taken.
+larger model is not broadcast: each run of texts then asks the shards about its different tokens and pairs, and
+is scored with their answers. Scores don't depend on which way is taken.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -449,55 +447,114 @@ def gathered(parts: Trained, limit: int | None = None) -> Model | None:
 _RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+def _rows(part: pa.RecordBatch, model: Model, names: list[str]) -> pa.RecordBatch:
+    got = model.score(*utf8(part.column("text")))
+    out = [part.column("doc_id"), part.column("held_out"), got["n_tokens"], got["n_known"].astype(np.int64), np.full(part.num_rows, model.total, np.int64), got["base_score"], got["score"]]
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in out], names)
+
+
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """`docs` (doc_id, held_out, text) scored with a broadcast model."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [x.split()[0] for x in _RESULT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
-                got = model.score(*utf8(part.column("text")))
-                out = [part.column("doc_id"), part.column("held_out"), got["n_tokens"], got["n_known"].astype(np.int64), np.full(part.num_rows, model.total, np.int64), got["base_score"], got["score"]]
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in out], names)
+                yield _rows(part, shared.value, names)
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, _RESULT)
 
 
-def probed(seen: DataFrame, parts: Trained) -> DataFrame:
-    """`seen` (pair, u, w, c2) with `level`, each pair's by the filter of its shard, and the `functions` of its context."""
-    shards, shared = parts.shards, seen.sparkSession.sparkContext.broadcast(parts.contexts)  # _MOST_CELLS bytes at most
+#: Text bytes of a run, whose different tokens and pairs are asked about together.
+RUN_BYTES = 8 << 20
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(0, 0, b"", b"", b"", [0])
-        now = -1
+
+@dataclass
+class Answers(Model):
+    """What the shards said about one run's tokens and pairs."""
+
+    pairs: np.ndarray | None = None  # sorted, and their levels
+    pair_levels: np.ndarray | None = None
+
+    def pair_level(self, pair: np.ndarray, functions: np.ndarray) -> np.ndarray:
+        return self.pair_levels[np.searchsorted(self.pairs, pair)].astype(np.int64)
+
+
+def _asked(run: pa.Table, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """A run's different tokens, its different pairs and a context of each, sorted by hash; and the order of tokens and of pairs by shard."""
+    words, both, contexts = [], [], []
+    for batch in run.select(["text"]).combine_chunks().to_batches():
+        for part in slices(batch, "text"):
+            token, before, _ = tokens(*utf8(part.column("text")))
+            pair, first = np.unique(pairs(before, token), return_index=True)
+            words.append(np.unique(token))
+            both.append(pair)
+            contexts.append(before[first])
+    token = np.unique(np.concatenate(words))
+    pair, first = np.unique(np.concatenate(both), return_index=True)
+    return token, pair, np.concatenate(contexts)[first], [np.argsort(x % _U(shards), kind="stable") for x in (token, pair)]
+
+
+def scored_by_shards(docs: DataFrame, parts: Trained) -> DataFrame:
+    """`docs` (doc_id, held_out, text) scored without a broadcast model. Each run of texts asks the shards about its different tokens and
+    pairs, in one binary a shard, and meets their answers again: 8 bytes a token or pair go out, and a count or level of few comes back."""
+    shards, shared = parts.shards, docs.sparkSession.sparkContext.broadcast(parts.contexts)  # _MOST_CELLS bytes at most
+    total = parts.counts.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    runs = docs.select("doc_id", "held_out", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-size // RUN_BYTES)))).alias("run"))
+    names = [x.split()[0] for x in _RESULT.split(", ")]
+
+    def ask(run: pa.Table) -> pa.Table:
+        token, pair, context, (by_token, by_pair) = _asked(run, shards)
+        columns = [token[by_token], pair[by_pair], shared.value.functions(context).astype(np.uint8)[by_pair]]
+        dealt = [(x % _U(shards)).astype(np.int64) for x in columns[:2]]
+        own = np.union1d(*dealt)
+        cuts = [np.stack([np.searchsorted(x, own), np.searchsorted(x, own, side="right")], 1).tolist() for x in (dealt[0], dealt[1], dealt[1])]
+        out = [pa.array([x[a:b].tobytes() for a, b in cut], pa.binary()) for x, cut in zip(columns, cuts, strict=True)]
+        tidy()
+        return pa.table([pa.array(np.full(len(own), run.column("run")[0].as_py())), pa.array(own.astype(np.int32)), *out], ["run", "shard", "ask_tokens", "ask_pairs", "functions"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, model = -1, None
         for batch in batches:
-            shard = batch.column("shard").to_numpy(zero_copy_only=False)
-            for a, b in itertools.pairwise(np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])).tolist()):
-                rows = batch.slice(a, b - a)
-                if shard[a] != now:  # a shard's filter comes before its pairs; without one, no pair was seen
-                    now = shard[a]
-                    held = [rows.column(c)[0].as_py() or b"" for c in ("filter", "raised", "raised_levels")]
-                    model = Model(0, 0, b"", b"", held[0], [0], None, *held[1:])
-                rows = rows.filter(pa.compute.is_valid(rows.column("pair")))
-                pair, u = (rows.column(c).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for c in ("pair", "u"))
-                tests = shared.value.functions(u)
-                level = model.pair_level(pair, tests) if len(pair) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("pair", "u", "w", "c2")), pa.array(level), pa.array(tests)], ["pair", "u", "w", "c2", "level", "functions"])
-
-    # hashes are unsigned where shards are dealt
-    shard = F.pmod(F.pmod(F.col("pair"), F.lit(shards)) + F.when(F.col("pair") < 0, F.lit(2**64 % shards)).otherwise(F.lit(0)), F.lit(shards)).cast("int")
-    none = F.lit(None).cast("long")
-    filters = parts.filters.select("shard", "filter", "raised", "raised_levels", *(none.alias(c) for c in ("pair", "u", "w", "c2")))
-    both = filters.union(seen.select(shard.alias("shard"), *(F.lit(None).cast("binary").alias(c) for c in ("filter", "raised", "raised_levels")), "pair", "u", "w", "c2"))
-    rows = both.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("pair").isNotNull())
-    return rows.mapInArrow(run, "pair long, u long, w long, c2 long, level long, functions long")
-
-
-def scored_by_joins(docs: DataFrame, parts: Trained | None = None) -> DataFrame:
-    """Scores without broadcasting a model: a row per text and distinct pair, joined with the pair's probability. The filters
-    in `parts` give pairs' levels as a broadcast one does; without them, levels come from the exact counts."""
+            out = []
+            for run, shard, *asked, keys, counts, filters, raised, raised_levels in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if shard != now:
+                    now, model = shard, Model(0, 0, b"", b"", b"", [0])
+                if run is None:  # what a shard knows comes before what it is asked
+                    filled = lambda new, old: old if new is None else new
+                    model = Model(0, 0, filled(keys, model.token_keys), filled(counts, model.token_counts), filled(filters, model.filters), [0], None, filled(raised, model.raised_keys), filled(raised_levels, model.raised_levels))
+                    continue
+                token, pair = (np.frombuffer(x, np.uint64) for x in asked[:2])
+                level = model.pair_level(pair, np.frombuffer(asked[2], np.uint8).astype(np.int64)) if len(pair) else np.zeros(0, np.int64)
+                out.append((run, shard, model.token_count(token).tobytes(), level.astype(np.uint8).tobytes()))
+            types = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["run", "shard", "counts", "levels"])
+
+    def score(run: pa.Table, answers: pa.Table) -> pa.Table:
+        token, pair, _, (by_token, by_pair) = _asked(run, shards)
+        answers = answers.sort_by("shard")
+        count, level = np.empty(len(token), np.int64), np.empty(len(pair), np.uint8)
+        count[by_token] = np.frombuffer(b"".join(answers.column("counts").to_pylist()), np.int64)
+        level[by_pair] = np.frombuffer(b"".join(answers.column("levels").to_pylist()), np.uint8)
+        model = Answers(total, shared.value.distinct, token.tobytes(), count.tobytes(), b"", [0], shared.value, pairs=pair, pair_levels=level)
+        out = [_rows(part, model, names) for batch in run.combine_chunks().to_batches() for part in slices(batch, "text")]
+        return pa.Table.from_batches(out)
+
+    none = lambda kind, *cs: [F.lit(None).cast(kind).alias(c) for c in cs]
+    asks = runs.groupBy("run").applyInArrow(ask, "run long, shard int, ask_tokens binary, ask_pairs binary, functions binary")
+    rows = asks.select("*", *none("binary", "tokens", "token_counts", "filter", "raised", "raised_levels"))
+    blank = [*none("long", "run"), F.col("shard"), *none("binary", "ask_tokens", "ask_pairs", "functions")]
+    rows = rows.union(parts.counts.select(*blank, "tokens", "token_counts", *none("binary", "filter", "raised", "raised_levels")))
+    rows = rows.union(parts.filters.select(*blank, *none("binary", "tokens", "token_counts"), "filter", "raised", "raised_levels"))
+    rows = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("run").isNotNull())
+    answers = rows.mapInArrow(answer, "run long, shard int, counts binary, levels binary")
+    return runs.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(score, _RESULT)
+
+
+def scored_by_joins(docs: DataFrame) -> DataFrame:
+    """Scores by exact counts, without a filter: a row per text and distinct pair, joined with the pair's probability."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -515,7 +572,7 @@ def scored_by_joins(docs: DataFrame, parts: Trained | None = None) -> DataFrame:
     numbered = written(docs.select("doc_id", "held_out", "text").withColumn("row", F.monotonically_increasing_id()), "lm-texts")
     rows = written(numbered.select("row", "held_out", "text").mapInArrow(run, "row long, held_out boolean, u long, w long, pair long, n long"), "lm-pairs")
     seen = rows.groupBy("pair", "u", "w").agg(F.sum(F.when(~F.col("held_out"), F.col("n")).otherwise(0)).alias("c2"))
-    seen = seen.withColumn("level", F.when(F.col("c2") > 0, F.floor(F.log2("c2") + 1e-12) + 1).otherwise(0)) if parts is None else probed(seen, parts)
+    seen = seen.withColumn("level", F.when(F.col("c2") > 0, F.floor(F.log2("c2") + 1e-12) + 1).otherwise(0))
     seen = written(seen, "lm-counts")
     token = seen.groupBy("w").agg(F.sum("c2").alias("c"))
     context = seen.groupBy("u").agg(F.sum("c2").alias("cu"))
@@ -523,11 +580,7 @@ def scored_by_joins(docs: DataFrame, parts: Trained | None = None) -> DataFrame:
     base = (F.col("c") + 1) / F.lit(float(total + distinct + 1))
     count = F.when(F.col("level") > 0, F.pow(F.lit(2.0), F.col("level") - 1)).otherwise(0.0)
     mass = MASS * F.pow(F.greatest(F.col("cu"), F.lit(1)).cast("double"), F.lit(POWER))
-    trust = F.lit(1.0)
-    if parts is not None:
-        expected = F.lit(float(distinct)) * F.pow(F.lit(2.0), -F.col("functions"))
-        trust = F.col("cu") / F.greatest(F.col("cu") + F.lit(FALSE_COUNT) * (expected + 4 * F.sqrt(expected)), F.lit(1e-300))
-    p = (trust * F.least(count, F.col("cu").cast("double")) + mass * base) / (F.col("cu") + mass)  # a pair is no more frequent than its context
+    p = (F.least(count, F.col("cu").cast("double")) + mass * base) / (F.col("cu") + mass)  # a pair is no more frequent than its context
     scored_pairs = seen.join(token, "w").join(context, "u").select("pair", (F.col("c") > 0).cast("long").alias("known"), F.log10(base).alias("base"), F.log10(p).alias("score"))
     sums = rows.select("row", "pair", "n").join(scored_pairs, "pair").groupBy("row").agg(F.sum("n").alias("n_tokens"), F.sum(F.col("n") * F.col("known")).alias("n_known"), F.sum(F.col("n") * F.col("base")).alias("base_score"), F.sum(F.col("n") * F.col("score")).alias("score"))
     return numbered.select("row", "doc_id", "held_out").join(sums, "row").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
@@ -546,4 +599,4 @@ def score_documents(docs: DataFrame, broadcast_bytes: int | None = None) -> Data
         return scored_by_joins(rows)
     parts = trained(rows.where(~F.col("held_out")))
     model = gathered(parts, broadcast_bytes)
-    return scored_by_joins(rows, parts) if model is None else scored(rows, model)
+    return scored_by_shards(rows, parts) if model is None else scored(rows, model)

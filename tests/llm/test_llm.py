@@ -221,6 +221,17 @@ def test_lm_scores_do_not_depend_on_size(spark, docs, nothing, monkeypatch, shar
     assert lm.score_documents(nothing, 1).count() == 0
 
 
+def test_lm_writes_no_row_per_pair(spark, docs, monkeypatch):
+    """A model that isn't broadcast is asked in binaries: only its own tables are written, and many small runs score as one."""
+    tables = []
+    monkeypatch.setattr(lm, "written", lambda rows, name, write=lm.written: tables.append(name) or write(rows, name))
+    rows = lambda: sorted((str(r.doc_id), r.n_tokens, r.n_known, r.base_score, r.score) for r in lm.score_documents(docs, 1).collect())
+    one = rows()
+    assert set(tables) == {"lm-tokens", "lm-filters"}
+    monkeypatch.setattr(lm, "RUN_BYTES", 500)
+    assert rows() == one
+
+
 def test_lm_filter_has_no_false_negative():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 2**63, 5000).astype(np.uint64))
