@@ -77,6 +77,20 @@ def test_blocks_are_left_out(spark):
     assert [r.id for r in relevance.search(asked, index, 5).orderBy("rank").collect()] == [0, 1, 2, 3, 4]
 
 
+def test_relevance_sends_no_row_per_posting(spark, monkeypatch):
+    """Only texts, queries and each block's best move, and groups of queries find what all of them together do."""
+    docs = spark.createDataFrame([(i, "common " + f"w{i % 7} " * (i % 3)) for i in range(300)], "doc_id long, text string")
+    asked = spark.createDataFrame([(q, f"common w{q % 7}") for q in range(20)], "query_id long, query string")
+    index = relevance.inverted(docs, block=40)
+    found = relevance.search(asked, index, 4)
+    assert "explode(entries" not in found._jdf.queryExecution().toString()
+    rows = lambda found: sorted((r.query_id, r["rank"], r.id, r.score) for r in found.collect())
+    wanted = rows(found)
+    assert len(wanted) == 80
+    monkeypatch.setattr(relevance, "QUERIES", 6)
+    assert rows(relevance.search(asked, index, 4)) == wanted
+
+
 # --- summaries
 
 
