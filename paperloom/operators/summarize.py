@@ -84,15 +84,17 @@ def summarize(docs: DataFrame, encode: Callable[[Column], Column], summary: Call
         kept = extractive_filter(rows, ["doc_id"], "pos").withColumn("wc", word_count(F.col("sentence")))
         groups = kept.join(semantic_groups(kept, ["doc_id"], "pos"), ["doc_id", "pos"])
         parts = groups.groupBy("doc_id", "grp").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "sentence"))), lambda s: s["sentence"]), " ").alias("content"))
-        parts = parts.where(word_count(F.col("content")) >= MIN_CHUNK).withColumn("s", summary(F.col("content"))).where("s <> ''")
-        joined = parts.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("grp", "s"))), lambda x: x["s"]), "\n").alias("summary_text"))
-        merged = long.join(joined, "doc_id", "left").withColumn("summary_text", F.coalesce("summary_text", F.lit("")))
+        parts = parts.where(word_count(F.col("content")) >= MIN_CHUNK).withColumn("s", summary(F.col("content")))
+        joined = parts.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("s") != "", F.struct("grp", "s")))), lambda x: x["s"]), "\n").alias("summary_text"))
+        # empty ones go as they are gathered, as a filter on a summary would work it out twice; written once a round: what is ready and what goes on are both read from it
+        merged = cut_lineage(long.select("doc_id", "original_words").join(joined, "doc_id", "left").withColumn("summary_text", F.coalesce("summary_text", F.lit(""))))
         again = (word_count(F.col("summary_text")) > LONG) & F.lit(level < depth)
-        ready = short.unionByName(merged.where(~again)).select("doc_id", "summary_text", "original_words")
+        names = ["doc_id", "summary_text", "original_words"]
+        ready = short.select(names).unionByName(merged.where(~again).select(names))
         done = ready if done is None else done.unionByName(ready)
         if level == depth:
             break
-        todo = cut_lineage(merged.where(again).select("doc_id", F.col("summary_text").alias("text"), "original_words"))
+        todo = merged.where(again).select("doc_id", F.col("summary_text").alias("text"), "original_words")
         if todo.limit(1).count() == 0:
             break
     words = word_count(F.col("summary_text"))

@@ -23,13 +23,19 @@ def hashed_encoder(dimensions: int = 64) -> Callable[[Column], Column]:
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import zlib
 
+        places: dict[str, tuple[int, float]] = {}
         for texts in batches:
             out = []
             for t in texts:
                 v = np.zeros(dimensions)
                 for w in (t or "").lower().split():
-                    h = zlib.crc32(w.encode())
-                    v[h % dimensions] += 1.0 if h >> 16 & 1 else -1.0
+                    if w not in places:
+                        if len(places) >= 1 << 16:  # a worker's memory of words is bounded
+                            places.clear()
+                        h = zlib.crc32(w.encode())
+                        places[w] = h % dimensions, 1.0 if h >> 16 & 1 else -1.0
+                    at, sign = places[w]
+                    v[at] += sign
                 out.append(v / (np.sqrt((v * v).sum()) or 1.0))
             yield pd.Series(out)
 

@@ -7,10 +7,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.operators import coverage, relevance, search, upkeep
+from paperloom.operators import coverage, relevance, search, summarize, upkeep
+from paperloom.plans.engine import hashed_encoder
 
 # --- vectors
 
@@ -94,6 +96,38 @@ def test_relevance_sends_no_row_per_posting(spark, monkeypatch):
 # --- summaries
 
 
+def test_rounds_summarise_each_group_once(spark):
+    """What a round has summarised is read again, not worked out again, for the texts that are ready and for those that go on."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("string")
+    def first(texts: pd.Series) -> pd.Series:
+        calls.add(len(texts))
+        return texts.str.split(".").str[0] + "."
+
+    text = " ".join(f"Sentence {k} has some words of its own to say." for k in range(60))
+    docs = spark.createDataFrame([(i, text) for i in range(5)], "doc_id long, text string")
+    found = summarize.summarize(docs, hashed_encoder(), first)
+    assert len(found.collect()) == 5 and calls.value == 5
+
+
+def test_equal_sentences_are_chosen_in_order():
+    """Of sentences that add the same the first is taken, as if all gains were worked out by the definition."""
+    rng = random.Random(7)
+    for _ in range(20):
+        sentences = [" ".join(f"w{int(rng.paretovariate(0.8)) % 40}" for _ in range(rng.randint(1, 9))) + "." for _ in range(25)]
+        text, chosen, seen, left = coverage.Text(sentences), [], set(), 40
+        while True:
+            able = [i for i in range(25) if i not in chosen and text.size[i] <= left and len(set(text.runs(i))) == len(text.runs(i)) and not seen.intersection(text.runs(i))]
+            rated = [(round((text.worth([*chosen, i]) - text.worth(chosen)) / text.size[i], 9), -i) for i in able]
+            if not rated or (max(rated)[0] <= 1e-9 and 40 - left >= 20):
+                break
+            chosen.append(-max(rated)[1])
+            seen.update(text.runs(chosen[-1]))
+            left -= text.size[chosen[-1]]
+        assert text.worth(coverage.choose(sentences, 20, 40)) >= text.worth(chosen) - 1e-6
+
+
 def test_choice_against_all_choices():
     """Within the bound that the greedy rule has: (1 - 1/e) / 2 of the best choice there is."""
     rng = random.Random(3)
