@@ -157,6 +157,20 @@ def test_sentences_of_odd_rows(spark):
     assert sentences.learned_sentences(rows.limit(0)).count() == 0
 
 
+def test_sentences_read_the_texts_twice(spark):
+    """Once to learn from, once to split."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(i, "Dr. No met Mr. Yes. They spoke! Well.") for i in range(40)], "doc_id long, text string").mapInArrow(counted, "doc_id long, text string")
+    assert sentences.learned_sentences(rows).count() >= 80
+    assert read.value <= 80
+
+
 # --- stems
 
 #: Words and stems that the algorithm's author published with it.
