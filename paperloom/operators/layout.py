@@ -34,10 +34,10 @@ def span_lines(spans: DataFrame) -> DataFrame:
     return rows.where("Text <> ''").select("doc_id", number.alias("Line"), "Text", "spans")
 
 
-def line_words(spans: Column) -> Column:
-    """The words of a line's spans that aren't blank, each with its span's size, flags and box."""
-    full = F.filter(spans, lambda s: F.trim(s["text"]) != "")
-    return F.flatten(F.transform(full, lambda s: F.transform(tx.words(s["text"]), lambda w: F.struct(w.alias("word"), s["size"].alias("size"), s["flags"].alias("flags"), s["bbox"].alias("bbox")))))
+def worded_spans(spans: Column) -> Column:
+    """A line's spans that have words: `words, size, flags, bbox`."""
+    split = F.transform(spans, lambda s: F.struct(tx.words(s["text"]).alias("words"), s["size"].alias("size"), s["flags"].alias("flags"), s["bbox"].alias("bbox")))
+    return F.filter(split, lambda s: F.size(s["words"]) > 0)
 
 
 def line_features(lines: DataFrame, full_case_style: bool = False, exceptions: Sequence[str] = ()) -> DataFrame:
@@ -46,24 +46,26 @@ def line_features(lines: DataFrame, full_case_style: bool = False, exceptions: S
     The case part of a line's style is 1000; with `full_case_style` it is the least of its words' case styles,
     abbreviations and the words in `exceptions`, in whatever case, left out.
     """
-    rows = lines.withColumn("__w", line_words(F.col("spans")))
+    rows = lines.withColumn("__w", worded_spans(F.col("spans")))
 
     def word(i: int) -> Column:
         w = F.try_element_at("__w", F.lit(i))
+        own = F.try_element_at(w["words"], F.lit(i))
         return F.struct(
-            F.coalesce(w["word"], F.lit("")).alias("Text"),
-            F.coalesce(tx.build_style(w["word"], w["flags"]), F.lit(0)).alias("Style"),
+            F.coalesce(own, F.lit("")).alias("Text"),
+            F.coalesce(tx.build_style(own, w["flags"]), F.lit(0)).alias("Style"),
             round_half_up(F.coalesce(w["size"], F.lit(12.0))).alias("FontSize"),
         )
 
-    mean = F.aggregate("__w", F.lit(0.0), lambda s, w: s + w["size"]) / F.size("__w")
+    # over words, which share their span's size
+    mean = F.aggregate("__w", F.lit(0.0), lambda s, w: s + w["size"] * F.size(w["words"])) / F.aggregate("__w", F.lit(0), lambda s, w: s + F.size(w["words"]))
     some = F.size("__w") > 0
     every = lambda bit: F.forall("spans", lambda s: tx.has_flag(s["flags"], bit)).cast("int")
     case = F.lit(1000)
     if full_case_style:
         known = [e.lower() for e in exceptions]
-        plain = F.filter("__w", lambda w: ~tx.is_abbreviation(w["word"]) & ~F.lower(tx.normalize_word(w["word"])).isin(known))
-        case = F.coalesce(F.array_min(F.transform(plain, lambda w: tx.case_style(w["word"]))), F.lit(1000))
+        plain = F.filter(F.flatten(F.transform("__w", lambda s: s["words"])), lambda w: ~tx.is_abbreviation(w) & ~F.lower(tx.normalize_word(w)).isin(known))
+        case = F.coalesce(F.array_min(F.transform(plain, tx.case_style)), F.lit(1000))
     x0 = F.when(some, round_half_up(F.element_at("__w", 1)["bbox"]["x0"])).otherwise(0.0)
     x1 = F.when(some, round_half_up(F.element_at("__w", -1)["bbox"]["x1"])).otherwise(0.0)
     low = F.when(some, round_half_up(F.array_min(F.transform("__w", lambda w: w["bbox"]["y0"])))).otherwise(0.0)
@@ -163,9 +165,10 @@ def common_markers(rows: DataFrame, order: str = "Line") -> DataFrame:
     """`doc_id, MarkerType, cnt, rank`: of each document's ten most frequent marker types those of at least 0.5% of its rows;
     of paragraphs that many, rounded down, or one."""
     least = F.greatest(F.lit(1), F.floor(F.col("total") * 0.005)) if order == "Paragraph" else F.col("total") * 0.005
-    total = rows.groupBy("doc_id").agg(F.count("*").alias("total"))
-    top = ranked_frequency(rows.where("MarkerType <> ''"), ["doc_id"], "MarkerType", order).where("rank <= 10")
-    return top.join(total, "doc_id").where(F.col("cnt") >= least).select("doc_id", "MarkerType", "cnt", "rank")
+    counted = rows.groupBy("doc_id", "MarkerType").agg(F.count("*").alias("cnt"), F.min(order).alias("first_pos"))
+    counted = counted.withColumn("total", F.sum("cnt").over(Window.partitionBy("doc_id"))).where("MarkerType <> ''")
+    by_count = Window.partitionBy("doc_id").orderBy(F.desc("cnt"), "first_pos")
+    return counted.withColumn("rank", F.row_number().over(by_count)).where((F.col("rank") <= 10) & (F.col("cnt") >= least)).select("doc_id", "MarkerType", "cnt", "rank")
 
 
 def common_font_sizes(rows: DataFrame, order: str = "Line") -> DataFrame:

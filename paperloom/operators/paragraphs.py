@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import merge_style
 from ..functions.vectors import round_half_up
-from .aggregates import mode_first_seen
-
 
 
 def _doc() -> WindowSpec:
@@ -64,19 +62,21 @@ def build(lines: DataFrame) -> DataFrame:
     ones the first; the alignment is the mode, the first seen of equals.
     """
     keys = ["doc_id", "Paragraph"]
+    # all windows are inside a document, as those that made the lines, so that nothing is read or moved twice
+    often = lambda name, *by: {f"__n{name}": F.count("*").over(Window.partitionBy(*by)), f"__p{name}": F.min("Line").over(Window.partitionBy(*by))}
+    rows = lines.select(*keys, "Line", "Text", "MarkerText", "MarkerType", "Style", "FontSize", "Align")
+    rows = rows.withColumns(often("s", *keys, "FontSize")).withColumns(often("a", *keys, "Align")).withColumns(often("d", "doc_id", "FontSize"))
+    first = lambda c, *by: F.when(F.col(c).isNotNull(), F.struct(*by, F.col(c).alias("c")))  # noqa: E731 - what isn't there is never the mode
+    rows = rows.withColumn("__common", F.min_by("FontSize", first("FontSize", (-F.col("__nd")).alias("n"), F.col("__pd").alias("p"))).over(Window.partitionBy("doc_id")))
     texts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("Line", "Text"))), lambda x: x["Text"]), " ")
-    base = lines.groupBy(*keys).agg(
+    built = rows.where("__common is not null").groupBy(*keys).agg(
         texts.alias("Text"),
         F.min_by(F.struct("MarkerText", "MarkerType"), "Line").alias("__m"),
         merge_style(F.col("Style")).alias("Style"),
+        F.min_by("FontSize", F.struct((-F.col("__ns")).alias("n"), F.abs(F.col("FontSize") - F.col("__common")).alias("d"), F.col("__ps").alias("p"))).alias("__size"),
+        F.min_by("Align", first("Align", (-F.col("__na")).alias("n"), F.col("__pa").alias("p"))).alias("Align"),
     )
-    common = mode_first_seen(lines, ["doc_id"], "FontSize", "Line", "__common")
-    sizes = lines.groupBy(*keys, "FontSize").agg(F.count("*").alias("n"), F.min("Line").alias("p"))
-    top = sizes.withColumn("__most", F.max("n").over(Window.partitionBy(*keys))).where("n = __most")
-    size = top.join(common, "doc_id").groupBy(*keys).agg(F.min_by("FontSize", F.struct(F.abs(F.col("FontSize") - F.col("__common")).alias("d"), F.col("p"))).alias("__size"))
-    align = mode_first_seen(lines, keys, "Align", "Line")
-    rows = base.join(size, keys).join(align, keys)
-    return rows.select(*keys, "Text", F.col("__m.MarkerText").alias("MarkerText"), F.col("__m.MarkerType").alias("MarkerType"), "Style", round_half_up(F.col("__size")).alias("FontSize"), "Align")
+    return built.where("Align is not null").select(*keys, "Text", F.col("__m.MarkerText").alias("MarkerText"), F.col("__m.MarkerType").alias("MarkerType"), "Style", round_half_up(F.col("__size")).alias("FontSize"), "Align")
 
 
 def merge(lines: DataFrame) -> DataFrame:

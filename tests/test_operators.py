@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import text as tx
 from paperloom.functions import vectors as vx
 from paperloom import session
-from paperloom.operators import aggregates, chunks, evaluate, index, layout, nested, quality, search, structure, summarize
+from paperloom.operators import aggregates, chunks, evaluate, index, layout, nested, paragraphs, quality, search, structure, summarize
 from paperloom.plans import catalog
 from paperloom.plans.engine import Engine
 from paperloom.sources import readers, writers
@@ -384,3 +384,22 @@ def test_level_mining_runs(spark):
     for r in sorted(rows, key=lambda r: (r.doc_id, r.level_ord)):
         by.setdefault(r.doc_id, []).append(r)
     assert by and all(x[-1].level_name == "Content" and [r.level_ord for r in x] == list(range(len(x))) for x in by.values())
+
+
+def test_paragraphs_and_markers_read_their_rows_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    schema = "doc_id long, Paragraph int, Line int, Text string, MarkerText string, MarkerType string, Style int, FontSize double, Align string"
+    # the document's common size is 10; a null size counts for nothing there
+    lines = [(1, 1, 1, "a", "1. ", "123. ", 1110, 12.0, "Left"), (1, 1, 2, "b", None, None, 1010, 9.0, "Right"), (1, 2, 3, "c", "2. ", "123. ", 1000, 10.0, None), (1, 2, 4, "d", None, None, 1000, 10.0, "Center"), (1, 3, 5, "e", None, None, 1000, 10.0, None), (2, 1, 1, "f", None, None, 1000, None, "Left")]
+    rows = spark.createDataFrame(lines, schema).mapInArrow(counted, schema)
+    built = paragraphs.build(rows)
+    assert [tuple(r) for r in built.orderBy("Paragraph").collect()] == [(1, 1, "a b", "1. ", "123. ", 1010, 9.0, "Left"), (1, 2, "c d", "2. ", "123. ", 1000, 10.0, "Center")]
+    assert read.value == len(lines)
+    assert [tuple(r) for r in layout.common_markers(rows, "Paragraph").collect()] == [(1, "123. ", 2, 1)]
+    assert read.value == 2 * len(lines)
