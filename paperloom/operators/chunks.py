@@ -25,15 +25,16 @@ def hierarchical_chunks(rows: DataFrame, levels: int, order: str = "ln", text: s
     first = F.lag(order).over(doc).isNull()
     new = F.col("lvl").isNotNull() & ~first & (lag.isNull() | (lag >= F.col("lvl")))
     marked = rows.withColumn("__new", F.coalesce(new, F.lit(False)).cast("int")).withColumn("chunk", F.sum("__new").over(doc))
-    names = []
+    # one order serves all levels, so a task sorts its texts once: a heading is in force unless a higher one has come since
+    so_far = doc.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    names = {}
     for f in range(levels):
-        above = F.sum(F.when(F.col("lvl") < f, 1).otherwise(0)).over(doc)
-        marked = marked.withColumn(f"__above{f}", above)
-        scope = Window.partitionBy("doc_id", f"__above{f}").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        marked = marked.withColumn(f"__l{f}", F.last(F.when(F.col("lvl") == f, F.col(text)), ignorenulls=True).over(scope))
-        names.append(f"__l{f}")
+        own = F.last(F.when((F.col("lvl") == f) & F.col(text).isNotNull(), F.struct(F.col(order).alias("at"), F.col(text).alias("t"))), ignorenulls=True).over(so_far)
+        names |= {f"__l{f}": own, f"__above{f}": F.max(F.when(F.col("lvl") < f, F.col(order))).over(so_far)}
+    marked = marked.withColumns(names)
+    in_force = [F.when(F.coalesce(F.col(f"__l{f}.at") > F.col(f"__above{f}"), F.lit(True)), F.col(f"__l{f}.t")) for f in range(levels)]
     body = F.transform(F.sort_array(F.collect_list(F.when(F.col("lvl").isNull(), F.struct(F.col(order), F.col(text).alias("t"))))), lambda x: x["t"])
-    at_end = F.max_by(F.array(*(F.coalesce(n, F.lit("")) for n in names)), order)
+    at_end = F.max_by(F.array(*(F.coalesce(t, F.lit("")) for t in in_force)), order)
     return marked.groupBy("doc_id", "chunk").agg(at_end.alias("levels"), body.alias("content"))
 
 

@@ -403,3 +403,13 @@ def test_paragraphs_and_markers_read_their_rows_once(spark):
     assert read.value == len(lines)
     assert [tuple(r) for r in layout.common_markers(rows, "Paragraph").collect()] == [(1, "123. ", 2, 1)]
     assert read.value == 2 * len(lines)
+
+
+def test_chunks_sort_their_rows_once(spark):
+    """One order for all levels; a heading without text leaves the one before in force, a higher one ends it."""
+    schema = "doc_id long, ln int, lvl int, txt string"
+    rows = spark.createDataFrame([(1, 1, 0, "A"), (1, 2, 1, "B"), (1, 3, 2, "C"), (1, 4, None, "x"), (1, 5, 1, None), (1, 6, None, "y"), (1, 7, 0, None), (1, 8, None, "z")], schema)
+    found = chunks.hierarchical_chunks(rows, 3)
+    assert [(r.levels, r.content) for r in found.orderBy("chunk").collect()] == [(["A", "B", "C"], ["x"]), (["A", "B", ""], ["y"]), (["A", "", ""], ["z"])]
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Window [") - plan.count("Sort [doc_id") >= 1 and plan.count("Sort [") <= 2
