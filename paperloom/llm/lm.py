@@ -16,7 +16,7 @@ hash functions: as many as it takes for V tokens to add SPARE of its count. How
 from a table of hashed cells, of bounded size; contexts that share a cell are taken for the rarest. Exact counts have no F.
 
 Counting is distributed by hash, first of tokens, then of pairs; each shard builds its part of the counts and of the filter,
-and these are broadcast if together they are at most `BROADCAST_BYTES`. They grow with the corpus, so a
+and these are broadcast, some shards at a time, if together they are at most `BROADCAST_BYTES`. They grow with the corpus, so a
 larger model is not broadcast: each run of texts then asks the shards about its different tokens and pairs, and
 is scored with their answers. Scores don't depend on which way is taken.
 """
@@ -24,10 +24,11 @@ is scored with their answers. Scores don't depend on which way is taken.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +43,8 @@ LEAST, MOST, HIGHER = 2, 48, 6
 SPARE = 0.2
 #: Bounds of the cells that contexts' frequencies are read from, a byte each; in between, so many for a token. Cells of a range.
 _LEAST_CELLS, _MOST_CELLS, _CELLS_A_TOKEN, _SPAN = 1 << 16, 1 << 26, 4, 1 << 20
-#: Model bytes up to which it is broadcast.
-BROADCAST_BYTES = 256 << 20
+#: Model bytes up to which it is broadcast, and of the shards that are broadcast together: the driver holds no more of it at once.
+BROADCAST_BYTES, PIECE_BYTES = 256 << 20, 16 << 20
 #: Tokens that are counted in a task before what is counted is passed on, and text bytes for each shard.
 FLUSH = 1_500_000
 SHARD_BYTES = 8 << 20
@@ -183,6 +184,9 @@ class Model:
     def __reduce__(self):  # noqa: ANN204
         return Model, (self.total, self.distinct, self.token_keys, self.token_counts, self.filters, self.starts, self.contexts, self.raised_keys, self.raised_levels)
 
+    def shard(self, key: np.ndarray) -> np.ndarray:
+        return (key % _U(len(self.at))).astype(np.int64)
+
     def token_count(self, token: np.ndarray) -> np.ndarray:
         if not len(self.keys):
             return np.zeros(len(token), np.int64)
@@ -194,7 +198,7 @@ class Model:
         out = np.zeros(len(pair), np.int64)
         if not len(self.bytes):
             return out
-        shard = (pair % _U(len(self.at))).astype(np.int64)
+        shard = self.shard(pair)
         live, q = np.arange(len(pair)), 0
         while len(live):
             q += 1
@@ -405,12 +409,18 @@ def train(docs: DataFrame, limit: int | None = None) -> Model | None:
     return gathered(trained(docs), limit)
 
 
+_COUNTS, _FILTERS = ("tokens", "token_counts"), ("filter", "raised", "raised_levels")
+
+
+def _model_bytes(parts: Trained) -> int:
+    """Looked at before anything is collected."""
+    held = lambda rows, names: rows.agg(F.sum(sum((F.octet_length(c) for c in names[1:]), F.octet_length(names[0])))).first()[0] or 0
+    return held(parts.counts, _COUNTS) + held(parts.filters, _FILTERS) + len(parts.contexts.cells)
+
+
 def gathered(parts: Trained, limit: int | None = None) -> Model | None:
     """The shards' parts as one model, or None if they have more than `limit` bytes."""
-    limit = BROADCAST_BYTES if limit is None else limit
-    # the size is looked at before anything is collected
-    size = sum(rows.agg(F.sum(sum((F.octet_length(c) for c in names[1:]), F.octet_length(names[0])))).first()[0] or 0 for rows, names in ((parts.counts, ["tokens", "token_counts"]), (parts.filters, ["filter", "raised", "raised_levels"])))
-    if size + len(parts.contexts.cells) > limit:
+    if _model_bytes(parts) > (BROADCAST_BYTES if limit is None else limit):
         return None
     # arrays of the sizes that are known are filled part by part, so the driver holds the model once
     key, count = np.empty(parts.contexts.distinct, np.uint64), np.empty(parts.contexts.distinct, np.int64)
@@ -442,6 +452,54 @@ def gathered(parts: Trained, limit: int | None = None) -> Model | None:
     return Model(total, parts.contexts.distinct, key, count, whole, starts, parts.contexts, pair[order].tobytes(), level[order].tobytes())
 
 
+@dataclass
+class Piece(Model):
+    """The shards from `first` on, as many as `starts` has, of a model of `shards`."""
+
+    first: int = 0
+    shards: int = 1
+
+    def __reduce__(self):  # noqa: ANN204
+        return Piece, (self.total, self.distinct, self.token_keys, self.token_counts, self.filters, self.starts, None, self.raised_keys, self.raised_levels, self.first, self.shards)
+
+    def shard(self, key: np.ndarray) -> np.ndarray:
+        return (key % _U(self.shards)).astype(np.int64) - self.first
+
+
+def _piece(parts: Trained, first: int, end: int) -> Piece:
+    """The shards from `first` to before `end`, as they were written."""
+    own = (F.col("shard") >= first) & (F.col("shard") < end)
+    counts, filters = (rows.where(own).orderBy("shard").toArrow() for rows in (parts.counts, parts.filters))
+    key, count = (np.frombuffer(b"".join(counts[c].to_pylist()), kind) for c, kind in (("tokens", np.uint64), ("token_counts", np.int64)))
+    by = np.argsort(key)
+    held, none = dict(zip(filters["shard"].to_pylist(), filters["filter"].to_pylist(), strict=True)), np.zeros(0, np.int64)
+    empty = build_filter(none.astype(np.uint64), none, none)[0]
+    bits = [held.get(k, empty) for k in range(first, end)]
+    raised, level = (np.frombuffer(b"".join(filters[c].to_pylist()), kind) for c, kind in (("raised", np.uint64), ("raised_levels", np.uint8)))
+    order = np.argsort(raised)
+    starts = [0, *np.cumsum([len(b) for b in bits[:-1]]).tolist()]
+    count = count.astype(np.uint32) if count.max(initial=0) < 1 << 32 else count
+    return Piece(0, 0, key[by].tobytes(), count[by].tobytes(), b"".join(bits), starts, None, raised[order].tobytes(), level[order].tobytes(), first, parts.shards)
+
+
+def broadcast_pieces(parts: Trained, limit: int | None = None) -> list[Broadcast] | None:
+    """The model in pieces of some PIECE_BYTES, each broadcast before the next is collected, or None if they have more than `limit` bytes."""
+    if _model_bytes(parts) > (BROADCAST_BYTES if limit is None else limit):
+        return None
+    size = np.zeros(parts.shards, np.int64)
+    for rows, names in ((parts.counts, _COUNTS), (parts.filters, _FILTERS)):
+        for r in rows.select("shard", sum((F.octet_length(c) for c in names[1:]), F.octet_length(names[0])).alias("n")).collect():  # a number a shard
+            size[r.shard] += r.n
+    context, out, first = parts.counts.sparkSession.sparkContext, [], 0
+    while first < parts.shards:
+        end = first + max(1, int(np.searchsorted(np.cumsum(size[first:]), PIECE_BYTES, side="right")))
+        end = min(end, parts.shards)
+        out.append(context.broadcast(_piece(parts, first, end)))
+        tidy()
+        first = end
+    return out
+
+
 # --- scoring
 
 _RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -453,15 +511,43 @@ def _rows(part: pa.RecordBatch, model: Model, names: list[str]) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in out], names)
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
+@dataclass
+class Pieced(Model):
+    """A model whose shards are in several pieces; each token and pair is looked up in its own."""
+
+    pieces: list[Piece] = field(default_factory=list)
+
+    def _dealt(self, key: np.ndarray) -> Iterator[tuple[Piece, np.ndarray]]:
+        shard = (key % _U(self.pieces[0].shards)).astype(np.int64)
+        owner = np.searchsorted([p.first for p in self.pieces], shard, side="right") - 1
+        by = np.argsort(owner, kind="stable")
+        cuts = np.searchsorted(owner[by], np.arange(len(self.pieces) + 1))
+        return ((p, by[a:b]) for p, a, b in zip(self.pieces, cuts[:-1], cuts[1:], strict=True) if b > a)
+
+    def token_count(self, token: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(token), np.int64)
+        for piece, at in self._dealt(token):
+            out[at] = piece.token_count(token[at])
+        return out
+
+    def pair_level(self, pair: np.ndarray, functions: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(pair), np.int64)
+        for piece, at in self._dealt(pair):
+            out[at] = piece.pair_level(pair[at], functions[at])
+        return out
+
+
+def scored(docs: DataFrame, parts: Trained, pieces: list[Broadcast]) -> DataFrame:
     """`docs` (doc_id, held_out, text) scored with a broadcast model."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(parts.contexts)  # _MOST_CELLS bytes at most
+    total = parts.counts.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
     names = [x.split()[0] for x in _RESULT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Pieced(total, shared.value.distinct, b"", b"", b"", [0], shared.value, pieces=[p.value for p in pieces])
         for batch in batches:
             for part in slices(batch, "text"):
-                yield _rows(part, shared.value, names)
+                yield _rows(part, model, names)
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, _RESULT)
 
@@ -598,5 +684,5 @@ def score_documents(docs: DataFrame, broadcast_bytes: int | None = None) -> Data
     if broadcast_bytes == 0:
         return scored_by_joins(rows)
     parts = trained(rows.where(~F.col("held_out")))
-    model = gathered(parts, broadcast_bytes)
-    return scored_by_shards(rows, parts) if model is None else scored(rows, model)
+    pieces = broadcast_pieces(parts, broadcast_bytes)
+    return scored_by_shards(rows, parts) if pieces is None else scored(rows, parts, pieces)

@@ -221,6 +221,22 @@ def test_lm_scores_do_not_depend_on_size(spark, docs, nothing, monkeypatch, shar
     assert lm.score_documents(nothing, 1).count() == 0
 
 
+def test_lm_is_broadcast_in_pieces(spark, docs, monkeypatch):
+    """The driver holds some shards at a time, and pieces score as the whole does."""
+    monkeypatch.setattr(lm, "SHARD_BYTES", 500)
+    rows = lambda: sorted((str(r.doc_id), r.n_tokens, r.n_known, r.base_score, r.score) for r in lm.score_documents(docs).collect())
+    whole = rows()
+    monkeypatch.setattr(lm, "PIECE_BYTES", 4000)
+    parts = lm.trained(docs.where(~lm.held_out()))
+    pieces, model = [p.value for p in lm.broadcast_pieces(parts)], lm.gathered(parts)
+    assert len(pieces) > 1 and [p.first for p in pieces] == np.cumsum([0, *(len(p.starts) for p in pieces[:-1])]).tolist()
+    size = [len(p.token_keys) + 2 * len(p.token_counts) + len(p.filters) + len(p.raised_keys) + len(p.raised_levels) for p in pieces]
+    assert all(n <= 4000 or len(p.starts) == 1 for n, p in zip(size, pieces, strict=True))
+    assert b"".join(p.filters for p in pieces) == bytes(model.filters)
+    assert rows() == whole
+    assert lm.broadcast_pieces(parts, 1) is None
+
+
 def test_lm_writes_no_row_per_pair(spark, docs, monkeypatch):
     """A model that isn't broadcast is asked in binaries: only its own tables are written, and many small runs score as one."""
     tables = []
