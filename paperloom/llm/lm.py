@@ -469,7 +469,7 @@ class Piece(Model):
 def _piece(parts: Trained, first: int, end: int) -> Piece:
     """The shards from `first` to before `end`, as they were written."""
     own = (F.col("shard") >= first) & (F.col("shard") < end)
-    counts, filters = (rows.where(own).orderBy("shard").toArrow() for rows in (parts.counts, parts.filters))
+    counts, filters = (rows.where(own).toArrow() for rows in (parts.counts, parts.filters))
     key, count = (np.frombuffer(b"".join(counts[c].to_pylist()), kind) for c, kind in (("tokens", np.uint64), ("token_counts", np.int64)))
     by = np.argsort(key)
     held, none = dict(zip(filters["shard"].to_pylist(), filters["filter"].to_pylist(), strict=True)), np.zeros(0, np.int64)
