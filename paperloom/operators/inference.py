@@ -1,8 +1,9 @@
 """Types of JSON records, from the values that are there.
 
-Texts are parsed to VARIANT once; each round explodes what the one before found nested, so there are as many
-rounds as levels of nesting. A round's types are summed up where they arise: a path has few, however many records
-there are.
+Types depend on a record's shape, not on its values, and records have few shapes. So every text is parsed to see that it is JSON,
+and then only the different shapes, texts with values of one kind made equal, are parsed to VARIANT; where nearly every record has a
+shape of its own, they move once. Each round explodes what the one before found nested, so there are as many rounds as levels of nesting.
+A round's types are summed up where they arise: a path has few, however many records there are.
 """
 
 from __future__ import annotations
@@ -23,6 +24,19 @@ def value_type(value: Column) -> Column:
     return F.coalesce(*(F.when(name == k, v) for k, v in known.items()), F.lit("number"))
 
 
+#: In JSON, a key with its colon, a text, a truth value or a number; and what stays of each, a mark after it.
+_VALUE = r'("[^"\\]*+(?:\\.[^"\\]*+)*+"\s*+:)|(")[^"\\]*+(?:\\.[^"\\]*+)*+(")|tru(e)|fals(e)|-?[0-9][0-9.eE+-]*+'
+_MARK = "\x01"  # JSON has none as it is
+
+
+def json_shape(text: Column) -> Column:
+    """JSON of the same structure whose texts are empty, numbers 0 and truth values true."""
+    kept = F.regexp_replace(text, _VALUE, f"$1$2$3$4$5{_MARK}")
+    for end, whole in ((f":{_MARK}", ":"), (f'"{_MARK}', '"'), (f"e{_MARK}", "true"), (_MARK, "0")):
+        kept = F.replace(kept, F.lit(end), F.lit(whole))
+    return kept
+
+
 def infer_json_types(texts: DataFrame, column: str, policy: str = "first", lenient: bool = False) -> DataFrame:
     """`path, type` over all records: JSON objects as text in `column`, of any shape.
 
@@ -35,7 +49,9 @@ def infer_json_types(texts: DataFrame, column: str, policy: str = "first", lenie
         raise ValueError(f"{policy} isn't one of {POLICIES}")
     spark, begun = texts.sparkSession, cuts()
     parse = F.try_parse_json if lenient else F.parse_json
-    whole = texts.select(parse(column).alias("v")).where("v is not null")
+    read = parse(column)
+    valid = texts.where(read.isNotNull() if lenient else ~F.is_variant_null(read))  # parse_json of a column without nulls is never null, so no such test would run it
+    whole = valid.select(json_shape(F.col(column)).alias("shape")).distinct().select(F.parse_json("shape").alias("v")).where("v is not null")
     todo = cut_lineage(whole.where(value_type(F.col("v")) == "object").select(F.lit("").alias("prefix"), "v", F.lit(None).cast("string").alias("first")))
     found = None
     while True:

@@ -8,10 +8,11 @@ from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperloom import session
 from paperloom.functions.stemming import with_stems
-from paperloom.operators import evaluate, inference, sentences
+from paperloom.operators import evaluate, inference, nested, sentences
 
 # --- types of JSON
 
@@ -244,3 +245,33 @@ def test_similar_ratio_by_recursion(spark):
             assert got[i] is None
         else:
             assert got[i] == pytest.approx(2 * blocks(a, b) / (len(a) + len(b)) if a or b else 1.0)
+
+
+def test_json_types_parse_shapes_and_not_records(spark, monkeypatch):
+    """Many records of few shapes are as many VARIANTs as shapes; keys that look like values, escapes and invalid records stay what they are."""
+    sizes = []
+    monkeypatch.setattr(inference, "cut_lineage", lambda rows, cut=inference.cut_lineage: (found := cut(rows), sizes.append(found.count()))[0])
+    odd = [{"a": i, "true,1": f'x\\","b":{i}', "l": [i, {"false": -1.5e30 * i}], "5": i % 2 == 0, "n": [[1, f"s{i}"], None]} for i in range(400)]
+    rows = spark.createDataFrame([(json.dumps(x),) for x in odd], "j string")
+    got = {r.path: r.type for r in inference.infer_json_types(rows, "j", "union").collect()}
+    assert got == {"a": "number", "true,1": "string", "l": "array", "5": "boolean", "n": "array"}
+    assert sizes[0] == 1
+    texts = [r.j for r in rows.limit(5).collect()] + ['{"k":"","e":[true,false],"t":"true","m":{"q:":":"}}', "3", '"s"', "null", "[1]"]
+    for text, shape in zip(texts, spark.createDataFrame([(t,) for t in texts], "j string").select(inference.json_shape(F.col("j"))).collect(), strict=True):
+        same = lambda v: {k: same(x) for k, x in v.items()} if isinstance(v, dict) else [same(x) for x in v] if isinstance(v, list) else None if v is None else type(v)() if isinstance(v, str) else True if isinstance(v, bool) else 0
+        assert json.loads(shape[0]) == same(json.loads(text))
+    # a column that can't hold nulls is checked too, and what only its shape would make valid
+    for bad in ("{broken", '{"a":01}'):
+        whole = spark.createDataFrame([(bad,)], T.StructType([T.StructField("j", T.StringType(), False)]))
+        with pytest.raises(Exception, match="MALFORMED|malformed|parse"):
+            inference.infer_json_types(whole, "j").count()
+        assert inference.infer_json_types(whole, "j", lenient=True).count() == 0
+
+
+def test_flatten_of_leaves_joins_no_arrays(spark):
+    """A list of plain records is one array for each record, and lists of plain values none at all."""
+    rows = spark.sql("select 1 as id, array(named_struct('a', 1, 'b', 'x'), null, named_struct('a', null, 'b', 'y')) as l, array('p', null) as t, cast(null as array<string>) as n, named_struct('c', true) as s")
+    found = nested.flatten(rows, "id")
+    assert [tuple(r)[1:] for r in found.orderBy("ord").collect()] == [(0, "l.a", "l[0].a", "1"), (1, "l.b", "l[0].b", "x"), (2, "l.a", "l[2].a", None), (3, "l.b", "l[2].b", "y"), (4, "t", "t[0]", "p"), (5, "t", "t[1]", None), (6, "s.c", "s.c", "true")]
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert plan.count("flatten(") == 2  # of all fields, and of the records of the list
