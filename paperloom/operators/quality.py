@@ -20,16 +20,14 @@ class Limits:
     short: int = 10
 
 
-#: What ends a line, white space inside one, and a line that isn't blank.
-_BREAK = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
-_BLANK = rf"[\s&&[^{_BREAK}]]*+"
-_LINE = rf"(?U){_BLANK}[^{_BREAK}\s][^{_BREAK}]*+"
+#: What ends a line.
+_BREAK = r"[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def _short_line(least: int) -> str:
-    """A whole line that isn't blank, and without white space around it has fewer than `least` code points."""
-    more = rf"(?:[^{_BREAK}]{{0,{least - 3}}}[^{_BREAK}\s])?" if least > 2 else ""
-    return rf"(?U)(?<![^{_BREAK}]){_BLANK}[^{_BREAK}\s]{more}{_BLANK}(?![^{_BREAK}])" if least > 1 else r"(?!)"
+    """A line that isn't blank, and without white space around it has fewer than `least` code points."""
+    more = rf"(?:.{{0,{least - 3}}}\S)?" if least > 2 else ""
+    return rf"(?Us)\A\s*+\S{more}\s*+\z" if least > 1 else r"(?!)"
 
 
 def quality_gate(pages: DataFrame, limits: Limits = Limits(), text: str = "text") -> DataFrame:  # noqa: B008
@@ -46,10 +44,12 @@ def quality_gate(pages: DataFrame, limits: Limits = Limits(), text: str = "text"
             "total_chars": F.length(whole),
             "__bad": F.length(F.regexp_replace(whole, f"(?U)[{VALID_CHARACTERS}]++", "")),
             "__wide": F.regexp_count(whole, F.lit(" {3,}")),
-            "__lines": F.regexp_count(whole, F.lit(_LINE)),
-            "__short": F.regexp_count(whole, F.lit(_short_line(limits.short))),
+            "__split": F.split(whole, _BREAK),
         }
     )
+    # a line decides by its first characters, where a pattern over the text would look at all of them
+    held = lambda pattern: F.size(F.filter("__split", lambda x: x.rlike(pattern)))
+    counted = counted.withColumns({"__lines": held(r"(?U)\S"), "__short": held(_short_line(limits.short))})
     long = F.col("total_chars") >= limits.characters
     ratios = {
         "invalid_ratio": F.when(long, F.col("__bad") / F.col("total_chars")),
@@ -66,4 +66,4 @@ def quality_gate(pages: DataFrame, limits: Limits = Limits(), text: str = "text"
         .otherwise(m["good"]),
     )
     shown = {c: F.round(c, 3) for c in ratios}
-    return rated.withColumns(shown).withColumn("is_good", F.col("check_mess") == m["good"]).drop("__bad", "__wide", "__lines", "__short")
+    return rated.withColumns(shown).withColumn("is_good", F.col("check_mess") == m["good"]).drop("__bad", "__wide", "__split", "__lines", "__short")
