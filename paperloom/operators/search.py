@@ -14,8 +14,8 @@ from ..functions.text import query_text
 TOP_K, RERANK_K = 20, 10
 #: Query vectors' bytes that are broadcast at once; more queries are taken in blocks.
 QUERY_BYTES = 32 << 20
-#: Bytes of scores that are held at once.
-SCORE_BYTES = 64 << 20
+#: Bytes of scores, and of entries' vectors, that a task holds at once, however many queries and entries there are.
+SCORE_BYTES = 8 << 20
 #: Places that scores are rounded to before they are compared, so that engines agree on ties.
 PLACES = 6
 
@@ -30,23 +30,38 @@ def _matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 class _Best:
-    """The k best entries so far of some queries, the smaller index first among equals."""
+    """The k best entries so far of some queries, the smaller index first among equals; -inf where there are fewer."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
         self.ids, self.vectors, self.k = ids, vectors, k
-        self.row, self.score, self.entry = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        self.score, self.entry = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
 
     def add(self, entries: np.ndarray, vectors: np.ndarray) -> None:
-        score = np.round(self.vectors @ vectors.T, PLACES)
+        step = max(1, SCORE_BYTES // (8 * max(1, len(entries))))
+        for at in range(0, len(self.ids), step):
+            score = self.vectors[at : at + step] @ vectors.T
+            np.round(score, PLACES, out=score)
+            score[np.isnan(score)] = -np.inf
+            self._merge(at, score, entries)
+
+    def _merge(self, begin: int, score: np.ndarray, entries: np.ndarray) -> None:
         # only what reaches a query's k-th score is sorted
-        low = np.partition(score, -self.k, axis=1)[:, -self.k, None] if score.shape[1] > self.k else -np.inf
-        row, at = np.nonzero(score >= low)
-        row, value, entry = np.append(self.row, row), np.append(self.score, score[row, at]), np.append(self.entry, entries[at])
+        low = self.score[begin : begin + len(score), -1]
+        if score.shape[1] > self.k and np.isneginf(low).any():
+            low = np.maximum(low, np.partition(score, -self.k, axis=1)[:, -self.k])
+        row, at = np.nonzero((score >= low[:, None]) & (score > -np.inf))
+        rows, place = np.unique(row, return_inverse=True)
+        own = begin + rows
+        row = np.append(np.repeat(np.arange(len(rows)), self.k), place)
+        value, entry = np.append(self.score[own], score[rows[place], at]), np.append(self.entry[own], entries[at])
         order = np.lexsort((entry, -value, row))
-        row = row[order]
-        begin = np.searchsorted(row, np.arange(len(self.ids)))
-        first = np.arange(len(row)) - begin[row] < self.k
-        self.row, self.score, self.entry = row[first], value[order][first], entry[order][first]
+        first = np.searchsorted(row[order], np.arange(len(rows)))
+        best = order[first[:, None] + np.arange(self.k)]
+        self.score[own], self.entry[own] = value[best], entry[best]
+
+    def rows(self) -> pa.RecordBatch:
+        row, at = np.nonzero(self.score > -np.inf)
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[row].astype(np.int64)), pa.array(self.entry[row, at]), pa.array(self.score[row, at])], ["query_id", "index", "score"])
 
 
 def top_k(queries: DataFrame, index: DataFrame, k: int = TOP_K, normalized: bool = False) -> DataFrame:
@@ -69,14 +84,13 @@ def top_k(queries: DataFrame, index: DataFrame, k: int = TOP_K, normalized: bool
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             best = {n: _Best(*own, k) for n, own in shared.value.items()}
-            step = max(k, SCORE_BYTES // (8 * max([1, *(len(x.ids) for x in best.values())])))
+            step = max(1, SCORE_BYTES // (8 * max([1, *best])))  # entries, by the bytes of their vectors
             for batch in (b.slice(at, step) for b in batches for at in range(0, b.num_rows if best else 0, step)):
                 own = batch.column("index").to_numpy(zero_copy_only=False)
                 for at, m in _matrices(batch.column("embedding")):
                     if m.shape[1] in best:
                         best[m.shape[1]].add(own[at], m if normalized else _unit(m))
-            for x in best.values():
-                yield pa.RecordBatch.from_arrays([pa.array(x.ids[x.row].astype(np.int64)), pa.array(x.entry), pa.array(x.score)], ["query_id", "index", "score"])
+            yield from (x.rows() for x in best.values())
 
         entries = index.select(F.col("index").cast("long").alias("index"), "embedding").where("embedding is not null and index is not null")
         local = entries.mapInArrow(run, "query_id long, index long, score double")

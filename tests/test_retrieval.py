@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -257,3 +258,24 @@ def test_encoder_beats_hashes(spark):
 
     learned, plain = hits(latent.learn(rows, directions=8, cells=2048).encoder()), hits(hashed_encoder(64))
     assert learned > 0.9 and learned > plain + 0.1
+
+
+def test_top_k_holds_a_part_of_the_scores(monkeypatch):
+    """What a task holds doesn't grow with queries times entries, and parts give what the whole gives."""
+    monkeypatch.setattr(search, "SCORE_BYTES", 1 << 20)
+    rng = np.random.default_rng(8)
+    asked, entries = rng.integers(-2, 3, (3000, 4)).astype(float), rng.integers(-2, 3, (4000, 4)).astype(float)
+    best = search._Best(np.arange(3000), asked, 5)
+    tracemalloc.start()
+    for at in range(0, 4000, 1000):
+        best.add(np.arange(4000)[at : at + 1000], entries[at : at + 1000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20  # a thousand entries' scores alone are 24 MB
+    for q in range(0, 3000, 37):
+        score = np.round(asked[q] @ entries.T, 6)
+        first = np.lexsort((np.arange(4000), -score))[:5]
+        assert best.entry[q].tolist() == first.tolist() and best.score[q].tolist() == score[first].tolist()
+    few = search._Best(np.arange(2), asked[:2], 5)
+    few.add(np.arange(3), np.array([[1.0, 0, 0, 0], [np.nan, 0, 0, 0], [0, 1.0, 0, 0]]))
+    assert few.rows().column("index").to_pylist() and 1 not in few.rows().column("index").to_pylist() and few.rows().num_rows == 4
