@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean
 from ..functions.vectors import normalize
+from ..session import cut_lineage
 from .aggregates import global_numbers
 from .nested import flatten
 
@@ -40,8 +41,9 @@ def deduplicate_by_key(pairs: DataFrame, order: str = "ord") -> DataFrame:
 
 
 def number(entries: DataFrame) -> DataFrame:
-    """`entries` with `index` from 0 in order of first occurrence."""
-    return global_numbers(entries, ["first_chunk", "first_ord", "base_key", "text"], "index")
+    """`entries` with `index` from 0 in order of first occurrence. They are worked out once, and of what is written the
+    counts of the ranges read one column."""
+    return global_numbers(cut_lineage(entries), ["first_chunk", "first_ord", "base_key", "text"], "index")
 
 
 def build(records: DataFrame, id_col: str, schema: DataFrame | None = None, encode: Callable[[Column], Column] | None = None, mode: str = "split", max_chars: int = 2000) -> DataFrame:

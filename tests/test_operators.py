@@ -1,6 +1,7 @@
 """Edge cases, sequential models of the window forms, and plans."""
 
 import random
+import re
 
 import pandas as pd
 import pytest
@@ -10,7 +11,7 @@ from paperloom.functions import text as tx
 from paperloom.functions import vectors as vx
 from paperloom import session
 from paperloom.operators import aggregates, chunks, evaluate, index, layout, nested, paragraphs, quality, search, structure, summarize
-from paperloom.plans import catalog
+from paperloom.plans import catalog, fixture
 from paperloom.plans.engine import Engine
 from paperloom.sources import readers, writers
 
@@ -413,3 +414,31 @@ def test_chunks_sort_their_rows_once(spark):
     assert [(r.levels, r.content) for r in found.orderBy("chunk").collect()] == [(["A", "B", "C"], ["x"]), (["A", "B", ""], ["y"]), (["A", "", ""], ["z"])]
     plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.count("Window [") - plan.count("Sort [doc_id") >= 1 and plan.count("Sort [") <= 2
+
+
+def test_quality_looks_at_lines_once(spark):
+    """Lines are told apart once, and each decides by its first characters; counts are those of the definition."""
+    rng, white = random.Random(3), " \t\u00a0\u2003"
+    breaks = ["\n", "\r", "\x0b", "\x0c", "\x1c", "\x85", "\u2028"]
+    line = lambda: rng.choice(["", " ", white]) + "".join(rng.choice("ab đ😀 \u00a0\x1f") for _ in range(rng.randint(0, 14))) + rng.choice(["", white])
+    texts = ["".join(line() + rng.choice(breaks) for _ in range(60)) for _ in range(40)]
+    rows = quality.quality_gate(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), quality.Limits(characters=1))
+    assert rows._jdf.queryExecution().analyzed().toString().count("regexp_count(") == 1
+    for r in rows.collect():
+        lines = [x.strip(white) for x in re.split("[" + "".join(breaks) + "]", r.text)]
+        lines = [x for x in lines if x]
+        assert r.short_line_ratio == pytest.approx(round(sum(len(x) < 10 for x in lines) / max(1, len(lines)), 3), abs=6e-4)
+
+
+def test_index_is_worked_out_once(spark, tmp_path, monkeypatch):
+    """Lines come with their document's columns without moving, and entries are written before they are numbered."""
+    docs = spark.createDataFrame([(1, " a\n\n b ", "s"), (2, "b\na", None), (3, None, "s"), (4, "\n", "t")], "doc_id long, text string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = fixture.document_lines(spark, str(tmp_path), "source")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    both = fixture.text_lines(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.ln, r.x) for r in found.collect()) == sorted(map(tuple, both)) == [(1, 1, "a"), (1, 2, "b"), (2, 1, "b"), (2, 2, "a")]
+    cut = []
+    monkeypatch.setattr(index, "cut_lineage", lambda rows, write=index.cut_lineage: cut.append(1) or write(rows))
+    assert [(r.idx, r.text) for r in catalog.dedup_provenance(spark, str(tmp_path)).orderBy("idx").collect()] == [(0, "a"), (1, "b"), (2, "b"), (3, "a")]
+    assert len(cut) == 1
