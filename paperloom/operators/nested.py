@@ -30,10 +30,14 @@ def flatten_pairs(value: Column, kind: T.DataType, mode: str = "split", separato
     """
     key = F.lit(base) if key is None else key
     if isinstance(kind, T.StructType):
+        inside = lambda f: F.concat(key, F.lit(f".{f.name}")) if base else F.lit(f.name)
+        if kind.fields and not any(isinstance(f.dataType, (T.StructType, T.ArrayType)) for f in kind.fields):
+            # of nothing but leaves: one array, not one for each that are then joined
+            leaves = F.array(*(_one(_join(base, f.name), inside(f), _text(value[f.name], f.dataType)) for f in kind.fields))
+            return F.when(value.isNotNull(), leaves).otherwise(F.array().cast(PAIR))
         parts = []
         for f in kind.fields:
-            inner = F.concat(key, F.lit(f".{f.name}")) if base else F.lit(f.name)
-            parts.append(flatten_pairs(value[f.name], f.dataType, mode, separator, _join(base, f.name), inner, merge))
+            parts.append(flatten_pairs(value[f.name], f.dataType, mode, separator, _join(base, f.name), inside(f), merge))
         return F.when(value.isNotNull(), F.flatten(F.array(*parts))).otherwise(F.array().cast(PAIR)) if parts else F.array().cast(PAIR)
     if isinstance(kind, T.ArrayType):
         if merge and not isinstance(kind.elementType, (T.StructType, T.ArrayType, T.MapType)):
@@ -41,6 +45,8 @@ def flatten_pairs(value: Column, kind: T.DataType, mode: str = "split", separato
             whole = _pair(base, key, F.array_join(shown, separator), value.isNotNull())
             return F.when(F.exists(value, lambda x: x.isNull()), flatten_pairs(value, kind, mode, separator, base, key)).otherwise(whole)
         if mode == "split":
+            if not isinstance(kind.elementType, (T.StructType, T.ArrayType)):
+                return F.coalesce(F.transform(value, lambda x, i: _one(base, F.concat(key, F.lit("["), i.cast("string"), F.lit("]")), _text(x, kind.elementType))), F.array().cast(PAIR))
             nested = F.transform(value, lambda x, i: flatten_pairs(x, kind.elementType, mode, separator, base, F.concat(key, F.lit("["), i.cast("string"), F.lit("]")), merge))
             return F.coalesce(F.flatten(nested), F.array().cast(PAIR))
         if mode == "join":
@@ -52,9 +58,12 @@ def flatten_pairs(value: Column, kind: T.DataType, mode: str = "split", separato
     return _pair(base, key, _text(value, kind), F.lit(True))
 
 
+def _one(base: str, key: Column, text: Column) -> Column:
+    return F.struct(F.lit(base).alias("base"), key.alias("key"), text.alias("text"))
+
+
 def _pair(base: str, key: Column, text: Column, there: Column) -> Column:
-    one = F.array(F.struct(F.lit(base).alias("base"), key.alias("key"), text.alias("text")))
-    return F.when(there, one.cast(PAIR)).otherwise(F.array().cast(PAIR))
+    return F.when(there, F.array(_one(base, key, text))).otherwise(F.array().cast(PAIR))
 
 
 def flatten(rows: DataFrame, id_col: str, mode: str = "split", separator: str = "\n", merge: bool = False) -> DataFrame:
