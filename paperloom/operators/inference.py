@@ -49,9 +49,11 @@ def infer_json_types(texts: DataFrame, column: str, policy: str = "first", lenie
         raise ValueError(f"{policy} isn't one of {POLICIES}")
     spark, begun = texts.sparkSession, cuts()
     parse = F.try_parse_json if lenient else F.parse_json
-    read = parse(column)
-    valid = texts.where(read.isNotNull() if lenient else ~F.is_variant_null(read))  # parse_json of a column without nulls is never null, so no such test would run it
-    whole = valid.select(json_shape(F.col(column)).alias("shape")).distinct().select(F.parse_json("shape").alias("v")).where("v is not null")
+    # parse_json of a column without nulls is never null, so a test for that wouldn't run it
+    valid = lambda v: v.isNotNull() if lenient else ~F.is_variant_null(v)
+    # inside a lambda, or what makes the texts and this are one generated method, too long for the JVM to compile
+    shape = F.transform(F.array(column), lambda x: F.when(valid(parse(x)), json_shape(x)))[0]
+    whole = texts.select(shape.alias("shape")).distinct().select(F.parse_json("shape").alias("v")).where("v is not null")
     todo = cut_lineage(whole.where(value_type(F.col("v")) == "object").select(F.lit("").alias("prefix"), "v", F.lit(None).cast("string").alias("first")))
     found = None
     while True:
