@@ -1,7 +1,10 @@
 """Connected components by alternating large and small stars, as DataFrame joins.
 
 No step gathers a component: minima are partially aggregated, and the joins that follow them
-are plain sort-merge joins whose skewed sides adaptive execution splits.
+are plain sort-merge joins whose skewed sides adaptive execution splits. They stay so when a round's edges are few:
+else each would be collected and sent out by the driver, which holds what it has sent until its next full collection.
+
+In all edges `u, v` here u is the larger.
 """
 
 from __future__ import annotations
@@ -36,16 +39,15 @@ def star_edges(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Each neighbour larger than a node goes to the least node of that neighbourhood."""
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    """Each neighbour larger than a node goes to the least node of that neighbourhood: the node itself, if none is smaller."""
+    least = edges.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+    return edges.join(least.hint("merge"), "v", "left").select("u", F.coalesce("m", "v").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours go to the least of them."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = edges.join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v")))
 
 

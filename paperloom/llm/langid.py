@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import free_name, spread_text
-from .textkernel import mix, slices, utf8
+from .textkernel import mix, slices, tidy, utf8
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN = "und"
@@ -329,7 +329,10 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, rows: int = SAMPLE_ROWS
     # `rows` ids at most, 8 bytes each
     sample = known.join(F.broadcast(ids.distinct()), "doc_id").select("doc_id", spread_text("text", chars).alias("text"), "lang")
     sample = sample.orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id", "text").limit(rows)
-    return fit([(r.text, r.lang) for r in sample.select("text", "lang").toLocalIterator()], Pieces.load(vocabulary))
+    model = fit([(r.text, r.lang) for r in sample.select("text", "lang").toLocalIterator()], Pieces.load(vocabulary))
+    _powers.cache_clear()
+    tidy()  # the driver goes on without the sample
+    return model
 
 
 def predictor(docs: DataFrame, model: Model) -> Column:

@@ -401,13 +401,17 @@ def _repeats(rest: DataFrame) -> DataFrame:
 
     In order of doc_id, what is similar to a text that stays goes. The least doc_ids of each root settle among
     themselves in one task, and what stays of them meets the others of the root in slices; so on until no text is
-    left. A root of at most GROUP is settled in the first round. Each round is written, so plans don't grow.
+    left. A root of at most GROUP is settled in the first round, and where all are, that is the only one and nothing is
+    sent to all tasks. Each round is written, so plans don't grow.
     """
     spark, path = rest.sparkSession, fresh_path(rest.sparkSession, "gone")
     while True:
         # at most a row for each GROUP of shingles, so they can be broadcast
         large = rest.groupBy("root").agg(F.sum("n").alias("total")).where(F.col("total") > GROUP)
         large = written(large.select("root", F.ceil(F.col("total") / (SLICE * GROUP)).cast("int").alias("salts")), "large")
+        if large.limit(1).count() == 0:
+            _led(rest).where("not stays").select("doc_id").write.mode("append").parquet(path)
+            return spark.read.schema("doc_id long").parquet(path)
         salt = F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt")
         order = Window.partitionBy("root", "salt").orderBy("doc_id")
         run = rest.join(F.broadcast(large), "root").select("root", salt, "salts", "doc_id", "n")

@@ -282,7 +282,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: in
     # 2 x rows ids at most, 12 bytes each
     sample = texts.join(F.broadcast(known), "doc_id").select("doc_id", spread_text("text", chars).alias("text"), "__toxic")
     sample = sample.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "text").limit(rows)
-    return fit([(r.text, int(r["__toxic"])) for r in sample.select("text", "__toxic").toLocalIterator()])
+    model = fit([(r.text, int(r["__toxic"])) for r in sample.select("text", "__toxic").toLocalIterator()])
+    tidy()  # the driver goes on without the sample
+    return model
 
 
 def scorer(docs: DataFrame, model: Model) -> Column:

@@ -440,6 +440,29 @@ def test_simhash(spark, docs, nothing, bucket):
     assert simhash.near_duplicates(nothing).count() == 0
 
 
+def test_near_duplicates_spare_the_driver(spark, monkeypatch):
+    """Rounds of small tables are joined where they lie; the driver collects none of them to send it to all tasks."""
+    edges = spark.createDataFrame([(4, 3), (3, 2), (2, 1), (9, 7), (8, 7)], "u long, v long")
+    got = components._small_star(components._large_star(edges).distinct()).distinct()
+    assert sorted(map(tuple, got.collect())) == [(2, 1), (3, 1), (4, 2), (8, 7), (9, 7)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    names, put = [], simhash.written
+    monkeypatch.setattr(simhash, "written", lambda df, name: names.append(name) or put(df, name))
+    rest = spark.createDataFrame([(1, 1, [1, 2, 3], 67), (2, 1, [1, 2, 3], 67), (3, 1, [7, 8], 66), (5, 4, [], 64)], "doc_id long, root long, shingles array<long>, n long")
+    assert [r.doc_id for r in simhash._repeats(rest).collect()] == [2]
+    assert names == ["large"]  # no group is large, so no rounds
+
+
+def test_driver_gives_back_training_memory(spark, docs, monkeypatch):
+    given = []
+    for module in (toxicity, langid):
+        monkeypatch.setattr(module, "tidy", lambda m=module: given.append(m), raising=False)
+    toxicity.train(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic"))
+    langid.train(docs.withColumn("lang", F.lit("en")))
+    assert given == [toxicity, langid]
+
+
 def test_keep_first(spark, docs):
     """Copies and near copies go, the least doc_id stays, and nothing else goes."""
     rng = random.Random(11)
