@@ -23,21 +23,28 @@ def hashed_encoder(dimensions: int = 64) -> Callable[[Column], Column]:
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import zlib
 
-        places: dict[str, tuple[int, float]] = {}
+        class Places(dict[str, int]):
+            """A word's place, and beyond the dimensions if its sign is negative."""
+
+            def __missing__(self, w: str) -> int:
+                h = zlib.crc32(w.encode())
+                self[w] = place = h % dimensions + (0 if h >> 16 & 1 else dimensions)
+                return place
+
+        places = Places()
         for texts in batches:
-            out = []
+            found, sizes = [], []
             for t in texts:
-                v = np.zeros(dimensions)
-                for w in (t or "").lower().split():
-                    if w not in places:
-                        if len(places) >= 1 << 16:  # a worker's memory of words is bounded
-                            places.clear()
-                        h = zlib.crc32(w.encode())
-                        places[w] = h % dimensions, 1.0 if h >> 16 & 1 else -1.0
-                    at, sign = places[w]
-                    v[at] += sign
-                out.append(v / (np.sqrt((v * v).sum()) or 1.0))
-            yield pd.Series(out)
+                if len(places) >= 1 << 16:  # a worker's memory of words is bounded
+                    places.clear()
+                own = [places[w] for w in (t or "").lower().split()]
+                found += own
+                sizes.append(len(own))
+            at = np.repeat(np.arange(len(sizes)) * (2 * dimensions), sizes) + np.array(found, int)
+            counts = np.bincount(at, minlength=len(sizes) * 2 * dimensions).reshape(len(sizes), 2, dimensions)
+            v = (counts[:, 0] - counts[:, 1]).astype(float)
+            length = np.sqrt((v * v).sum(1, keepdims=True))
+            yield pd.Series(list(v / np.where(length == 0, 1.0, length)))
 
     return encode
 

@@ -112,6 +112,33 @@ def test_rounds_summarise_each_group_once(spark):
     assert len(found.collect()) == 5 and calls.value == 5
 
 
+def test_sentences_are_encoded_once(spark):
+    """A round encodes each sentence of a long text once, wherever Arrow's batches cut it, and keeps texts that have no sentences."""
+    calls = spark.sparkContext.accumulator(0)
+    encode = hashed_encoder()
+
+    @F.pandas_udf("string")
+    def counted(texts: pd.Series) -> pd.Series:
+        calls.add(len(texts))
+        return texts
+
+    rng = random.Random(9)
+    sentence = lambda: " ".join(f"w{int(rng.paretovariate(0.7)) % 300}" for _ in range(rng.randint(3, 30))).capitalize() + "."
+    texts = {i: " ".join(sentence() for _ in range(rng.randint(20, 200))) for i in range(12)}
+    rows = [*texts.items(), (20, "a. " * 300), (21, None), (22, "Short one. Another one here."), (None, texts[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    long = [t for i, t in rows if t and i != 20 and len(t.split()) >= 256]
+    run = lambda: {r.doc_id: tuple(r) for r in summarize.summarize(docs, lambda c: encode(counted(c)), coverage.coverage_summary()).collect()}
+    got = run()
+    assert calls.value == sum(len(re.findall(r"\.", t)) for t in long) + 1  # one row of the text without sentences
+    assert len(got) == len(rows) and got[20][1:3] == ("", 300) and got[21][1:3] == ("", 0) and got[22][1] == rows[-2][1] and got[None][1:] == got[0][1:]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert run() == got
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_equal_sentences_are_chosen_in_order():
     """Of sentences that add the same the first is taken, as if all gains were worked out by the definition."""
     rng = random.Random(7)
