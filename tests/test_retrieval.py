@@ -94,6 +94,37 @@ def test_relevance_sends_no_row_per_posting(spark, monkeypatch):
     assert rows(relevance.search(asked, index, 4)) == wanted
 
 
+def test_what_relevance_moves_does_not_grow_with_blocks(spark):
+    """Smaller blocks send no more copies of the queries, and the hits stay."""
+    docs = spark.createDataFrame([(i, f"common w{i % 7} w{i % 11} v{i % 5}") for i in range(400)], "doc_id long, text string")
+    asked = spark.createDataFrame([(q, f"common w{q % 7} v{q % 5}") for q in range(40)], "query_id long, query string")
+    store, quantiles = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def moved(block):
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        before = {(x.stageId(), x.attemptId()) for x in stages()}
+        found = sorted((r.query_id, r["rank"], r.id, r.score) for r in relevance.search(asked, relevance.inverted(docs, block=block), 3).collect())
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return found, sum(x.shuffleWriteRecords() for x in stages() if (x.stageId(), x.attemptId()) not in before)
+
+    def stages():
+        every = store.stageList(None, False, False, quantiles, None)
+        return [every.apply(i) for i in range(every.size())]
+
+    few, many = moved(400), moved(5)
+    assert few[0] == many[0] and len(few[0]) == 120
+    assert many[1] <= 1.2 * few[1]
+
+
+def test_relevance_of_nothing(spark):
+    docs = spark.createDataFrame([(1, "some words"), (2, None), (3, "")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "words"), (2, None), (3, "...")], "query_id long, query string")
+    none = lambda rows: rows.where("false")
+    found = lambda asked, docs: [(r.query_id, r.id, r["rank"]) for r in relevance.search(asked, relevance.inverted(docs), 5).collect()]
+    assert found(asked, docs) == [(1, 1, 1)]
+    assert found(none(asked), docs) == found(asked, none(docs)) == found(asked.where("query_id > 1"), docs) == found(asked, docs.where("doc_id > 1")) == []
+
+
 # --- summaries
 
 
